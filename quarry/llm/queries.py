@@ -6,20 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitplane, packing
+from . import bitplane, boilerplate, iblt, packing
 from .common import table
 
 
+def op2_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_iblt": op2_iblt,
     "op3_bitplanes": op3_bitplanes,
+    "op8_boilerplate": op8_boilerplate,
     "op10_packing": op10_packing,
 }
 

@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, iblt, packing
+from . import bitplane, boilerplate, iblt, neural_index, packing
 from .common import table
 
 
+def op1_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neural_index.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op2_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iblt.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -27,6 +33,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_learned_partitions": op1_learned_partitions,
     "op2_iblt": op2_iblt,
     "op3_bitplanes": op3_bitplanes,
     "op8_boilerplate": op8_boilerplate,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, iblt, neural_index, packing
+from . import bitplane, boilerplate, crf, iblt, neural_index, packing
 from .common import table
 
 
@@ -24,6 +24,13 @@ def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = crf.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
+    return crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "words", "switches")
+
+
 def op8_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(table(spark, sf_dir, "pages"))
 
@@ -36,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_iblt": op2_iblt,
     "op3_bitplanes": op3_bitplanes,
+    "op5_crf_language": op5_crf_language,
     "op8_boilerplate": op8_boilerplate,
     "op10_packing": op10_packing,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, crf, iblt, neural_index, packing
+from . import bitplane, boilerplate, crf, iblt, line_dedup, neural_index, packing
 from .common import table
 
 
@@ -35,6 +35,10 @@ def op8_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -45,7 +49,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bitplanes": op3_bitplanes,
     "op5_crf_language": op5_crf_language,
     "op8_boilerplate": op8_boilerplate,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, crf, iblt, line_dedup, neural_index, packing
+from . import bitplane, boilerplate, crf, iblt, line_dedup, neural_index, packing, set_join
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "words", "switches")
 
 
+def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, per_cent=85)
+
+
 def op8_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boilerplate.extract(table(spark, sf_dir, "pages"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_iblt": op2_iblt,
     "op3_bitplanes": op3_bitplanes,
     "op5_crf_language": op5_crf_language,
+    "op7_shingle_join": op7_shingle_join,
     "op8_boilerplate": op8_boilerplate,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,

@@ -321,3 +321,23 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
             yield out
 
     return docs.select("doc_id", "text", *[c for c in keep if c != "text"]).mapInPandas(run, schema)
+
+
+def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """The rows whose language is told with a score of at least `least`, all columns; a null lang is filled in.
+
+    Rejected are texts that are null or have no letters, and texts of which no one
+    language covers as much as that share.
+    """
+    columns = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 200)):
+                rows = batch.iloc[part]
+                names, score, _, _ = label_texts(model, [t if isinstance(t, str) else "" for t in rows["text"]])
+                names = pd.Series(names, index=rows.index, dtype=object)
+                rows = rows.assign(lang=rows["lang"].where(rows["lang"].notna(), names))
+                yield rows[(names != UNKNOWN).to_numpy() & (score >= least)][columns]
+
+    return docs.mapInPandas(run, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, crf, iblt, line_dedup, neural_index, packing, set_join
+from . import bitplane, boilerplate, crf, fixity, iblt, line_dedup, neural_index, packing, pfair, set_join
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_bitplanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.audit_pages(spark, table(spark, sf_dir, "pages")).select("file_no", "record_no", "page_id", "url", "kind")
+
+
 def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
@@ -31,6 +35,10 @@ def op5_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "words", "switches")
 
 
+def op6_pfair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.schedule(table(spark, sf_dir, "documents"))
+
+
 def op7_shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return set_join.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"), width=4, per_cent=85)
 
@@ -51,11 +59,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_iblt": op2_iblt,
     "op3_bitplanes": op3_bitplanes,
+    "op4_fixity": op4_fixity,
     "op5_crf_language": op5_crf_language,
+    "op6_pfair": op6_pfair,
     "op7_shingle_join": op7_shingle_join,
     "op8_boilerplate": op8_boilerplate,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op4_fixity": fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE}

@@ -44,7 +44,7 @@ _RUN = 256
 
 
 def words_in(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\t-\r ]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"[\t-\r ]+"), "")
 
 
 def place_id(docs: DataFrame) -> Column:
@@ -140,27 +140,49 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def near_lines(docs: DataFrame) -> DataFrame:
-    """id, line_no of first occurrences that have an earlier near neighbour."""
-    split = docs.select(place_id(docs).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    listed = split.select(
+def lines_of(docs: DataFrame) -> DataFrame:
+    """id, line_no, line of every line."""
+    return docs.select(place_id(docs).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+
+
+def hashed_lines(docs: DataFrame) -> DataFrame:
+    """id, line_no, h1, h2 of every line with words, and the halves of the longer ones."""
+    hashed = lines_of(docs).select(
         "id", "line_no",
         F.inline(F.transform(F.array(words_in(F.col("line"))), lambda w: F.struct(
-            w.alias("words"), F.xxhash64(w).alias("h1"),
+            F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"),
             F.when(F.size(w) >= MIN_WORDS, halves(w)).alias("halves")))),
     )
+    return stored(hashed.where("n > 0").drop("n"), "lines")
+
+
+def first_places(lines: DataFrame) -> DataFrame:
+    """h1, h2, at (id, line_no), copies, halves of every distinct line."""
+    first = lines.groupBy("h1", "h2").agg(
+        F.min(F.struct("id", "line_no", "halves")).alias("least"), F.count(F.lit(1)).alias("copies")
+    )
+    at = F.struct("least.id", "least.line_no")
+    return stored(first.select("h1", "h2", at.alias("at"), "copies", F.col("least.halves").alias("halves")), "distinct-lines")
+
+
+def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id, line_no of first occurrences that have an earlier near neighbour."""
+    listed = firsts.select("at", "h1", F.explode("halves").alias("half"))
     shared = (
-        listed.select("h1", F.explode("halves").alias("half"))
-        .groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
+        listed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where(F.col("low") != F.col("high"))
     )
     marks = stored(bitmap(shared, "half"), "shared-halves")
-    tested = in_bitmap(listed.select("id", "line_no", "words", F.explode("halves").alias("half")), "half", marks)
-    candidates = stored(
-        tested.groupBy("words").agg(F.min(F.struct("id", "line_no")).alias("at")), "near-candidates"
-    )
-
-    keyed = variants(candidates.select("words", "at", F.xxhash64("words").alias("h1")))
+    place = F.xxhash64("id", "line_no")
+    wanted = in_bitmap(listed, "half", marks).select("at", "h1").distinct().select("at.id", "at.line_no", "at", "h1")
+    wanted = stored(wanted.withColumn("place", place), "wanted-places")
+    # The words of these lines: other lines are passed over before they are split.
+    places = stored(bitmap(wanted, "place"), "wanted-bitmap")
+    met_lines = in_bitmap(lines_of(docs).withColumn("place", place), "place", places).select("id", "line_no", "line")
+    candidates = met_lines.join(wanted, ["id", "line_no"]).select("at", "h1", words_in(F.col("line")).alias("words"))
+    candidates = stored(candidates.where(F.xxhash64("words") == F.col("h1")).dropDuplicates(["at", "h1"]), "near-candidates")
+
+    keyed = stored(variants(candidates), "variants")
     met = (
         keyed.select("key", "h1").groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where(F.col("low") != F.col("high"))
@@ -190,23 +212,26 @@ def near_lines(docs: DataFrame) -> DataFrame:
     return found.unionByName(again.select("at")).distinct().select("at.id", "at.line_no")
 
 
-def repeated_lines(docs: DataFrame) -> DataFrame:
+def repeated_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """id, line_no of all later occurrences of a line's words."""
-    split = docs.select(place_id(docs).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    lines = split.select(
-        "id", "line_no",
-        F.inline(F.transform(F.array(words_in(F.col("line"))), lambda w: F.struct(
-            F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2")))),
+    keys = ["h1", "h2"]
+    again = firsts.where("copies > 1").select(*keys, "at", "copies")
+    # Lines with more copies than a hundred-thousandth of all lines (so fewer than 100,000 of
+    # them) are sent to every task, so that their copies stay where they are.
+    many = max(1000, lines.count() // 100_000)
+    hot = again.where(F.col("copies") > many)
+    rows = lines.select("id", "line_no", *keys)
+    met = rows.join(F.broadcast(hot), keys).unionByName(
+        rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(again.where(F.col("copies") <= many), keys)
     )
-    lines = stored(lines.where("n > 0").drop("n"), "lines")
-    # Copies of one document hold many equal lines: minimum of the id first, then of the line in it.
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("at"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    return lines.join(first, ["h1", "h2"]).where(F.struct("id", "line_no") > F.col("at")).select("id", "line_no")
+    return met.where(F.struct("id", "line_no") > F.col("at")).select("id", "line_no")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents without their near-duplicate lines, with n_lines and n_dropped added."""
-    gone = repeated_lines(docs).unionByName(near_lines(docs))
+    lines = hashed_lines(docs)
+    firsts = first_places(lines)
+    gone = repeated_lines(lines, firsts).unionByName(near_lines(docs, firsts))
     drops = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__drops"))
     joined = docs.withColumn("__key", place_id(docs)).join(drops, F.col("__key") == F.col("__id"), "left")
     lines = F.split("text", "\n", -1)

@@ -1,0 +1,121 @@
+"""Ranking, fusion, versions, budgets, samples and splits."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def channel_ranks(df: DataFrame, query: str, id_: str, score: str) -> DataFrame:
+    w = Window.partitionBy(query).orderBy(F.desc(score), F.asc(id_))
+    return df.withColumn("rank", F.row_number().over(w))
+
+
+def weighted_rrf(channels: dict[str, tuple[DataFrame, float]], query: str, id_: str, k: int = 60) -> DataFrame:
+    """Weighted reciprocal rank fusion of ranked channels, over the largest of each query."""
+    total = sum(w for _, w in channels.values())
+    parts = [d.select(query, id_, (F.lit(w / total) / (k + F.col("rank"))).alias("__s")) for d, w in channels.values()]
+    summed = reduce(DataFrame.unionByName, parts).groupBy(query, id_).agg(F.sum("__s").alias("rrf"))
+    top = summed.groupBy(query).agg(F.max("rrf").alias("__top"))
+    return summed.join(top, query).select(query, id_, "rrf", (F.col("rrf") / F.col("__top")).alias("fused"))
+
+
+def rrf(channels: list[DataFrame], query: str, id_: str, k: int = 60) -> DataFrame:
+    """Plain reciprocal rank fusion with the number of channels that found each id."""
+    parts = reduce(DataFrame.unionByName, [d.select(query, id_, "rank") for d in channels])
+    return parts.groupBy(query, id_).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"), F.count(F.lit(1)).alias("channels"))
+
+
+def diverse(df: DataFrame, query: str, group: str, order: list[Column], cap: int = 2, top: int = 10) -> DataFrame:
+    """At most `cap` rows of a group per query, all first choices before second ones."""
+    inner = Window.partitionBy(query, group).orderBy(*order)
+    kept = df.withColumn("group_rank", F.row_number().over(inner)).where(F.col("group_rank") <= cap)
+    outer = Window.partitionBy(query).orderBy("group_rank", *order)
+    return kept.withColumn("rank", F.row_number().over(outer)).where(F.col("rank") <= top)
+
+
+def two_pass(df: DataFrame, query: str, company: str, item: str, score: str, top: int = 10, item_cap: int = 2) -> DataFrame:
+    """Greedy choice: one of a company in the first pass, two in the second, `item_cap` of an item.
+
+    Order-dependent, so each query's candidates (bounded by the search's limit) go to one function.
+    """
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([score, item], ascending=[False, True])
+        chosen, per_company, per_item = [], {}, {}
+        for cap in (1, 2):
+            for at, r in rows.iterrows():
+                if len(chosen) == top:
+                    break
+                if at not in chosen and per_company.get(r[company], 0) < cap and per_item.get(r[item], 0) < item_cap:
+                    chosen.append(at)
+                    per_company[r[company]] = per_company.get(r[company], 0) + 1
+                    per_item[r[item]] = per_item.get(r[item], 0) + 1
+        return rows.loc[chosen].assign(rank=range(1, len(chosen) + 1))
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", rank long"
+    return df.groupBy(query).applyInPandas(choose, shape)
+
+
+def versions(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """version_number by order within a key, and which one is current."""
+    w = Window.partitionBy(key).orderBy(*order)
+    back = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("version_number", F.row_number().over(w)).withColumn("is_current", F.row_number().over(back) == 1)
+
+
+def top_per_parent(df: DataFrame, parent: str, order: list[Column], most: int) -> tuple[DataFrame, DataFrame]:
+    """(kept rows with a new rank, overflowing rows)."""
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(parent).orderBy(*order)))
+    return ranked.where(F.col("rank") <= most), ranked.where(F.col("rank") > most).drop("rank")
+
+
+def within_budget(items: Column, cost: str, budget: int) -> Column:
+    """Items of an ordered array of structs that fit a budget, passing over those that don't."""
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
+    indexed = F.transform(items, lambda x, i: F.struct(x[cost].cast("long").alias("c"), i.alias("i")))
+    fold = F.aggregate(indexed, start, lambda s, x: F.when(
+        s["used"] + x["c"] <= budget,
+        F.struct((s["used"] + x["c"]).alias("used"), F.array_append(s["kept"], x["i"]).alias("kept")),
+    ).otherwise(s))
+    return F.transform(fold["kept"], lambda i: F.get(items, i))
+
+
+def stratified(df: DataFrame, strata: list[str], key: str, quota: int, seed: str = "s") -> DataFrame:
+    """Up to `quota` rows of each stratum by a hash order: a sampling operator."""
+    w = Window.partitionBy(*strata).orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)
+    return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= quota).drop("__r")
+
+
+def grouped_split(df: DataFrame, group: str, shares: tuple[tuple[str, int], ...] = (("train", 60), ("dev", 20), ("test", 20))) -> DataFrame:
+    """A split by a hash of the group, so that no group crosses splits; any number of groups."""
+    at = F.conv(F.substring(F.md5(F.col(group).cast("string")), 1, 8), 16, 10).cast("long") % 100
+    out, upto = None, 0
+    for name, share in shares[:-1]:
+        upto += share
+        out = F.when(at < upto, name) if out is None else out.when(at < upto, name)
+    return df.withColumn("split", out.otherwise(shares[-1][0]))
+
+
+def recency(days: Column, scale: float = 30.0) -> Column:
+    return 1 / (1 + days / scale)
+
+
+def last_messages(df: DataFrame, conversation: str, turn: str, role: str, text: str, n: int = 6, chars: int = 240) -> DataFrame:
+    """The last n messages of each conversation, cut and joined in order of turns."""
+    w = Window.partitionBy(conversation).orderBy(F.desc(turn), F.desc(text))
+    last = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n)
+    line = F.concat(F.col(role), F.lit(": "), F.substring(F.col(text), 1, chars))
+    ordered = F.sort_array(F.collect_list(F.struct(turn, line.alias("line"))))
+    return last.groupBy(conversation).agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
+
+
+def sections(lines: DataFrame, doc: str, number: str, heading: Column) -> DataFrame:
+    """Each line with the last heading above it in its document ("body" before the first)."""
+    w = Window.partitionBy(doc).orderBy(number).rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.withColumn("section", F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit("body")))
+    inner = Window.partitionBy(doc, "section").orderBy(number)
+    return marked.where(heading.isNull()).withColumn("item_index", F.row_number().over(inner) - 1)

@@ -145,3 +145,40 @@ def coverage(covered: Column, missing: Column) -> Column:
 
 def sample_confidence(n: Column) -> Column:
     return F.when(n >= 10, "high").when(n >= 5, "medium").otherwise("insufficient")
+
+
+def term_categories(facts: DataFrame, owner: str, term: str, kind: str, owners: int) -> DataFrame:
+    """term, n, required, preferred and category; one fact per owner and lower-cased term, required first.
+
+    core: required by half of the owners; high_frequency: a quarter name it; bonus: more preferred than required.
+    """
+    rank = F.when(F.col(kind) == "required", 2).when(F.col(kind) == "preferred", 1).otherwise(0)
+    one = facts.groupBy(owner, F.lower(term).alias("term")).agg(F.max(rank).alias("r"))
+    n = F.count(F.lit(1))
+    counted = one.groupBy("term").agg(n.alias("n"), F.count_if(F.col("r") == 2).alias("required"), F.count_if(F.col("r") == 1).alias("preferred"))
+    category = (
+        F.when(F.col("required") / owners >= 0.5, "core").when(100.0 * F.col("n") / owners >= 25, "high_frequency")
+        .when(F.col("preferred") > F.col("required"), "bonus").otherwise("emerging")
+    )
+    return counted.withColumn("category", category)
+
+
+def clusters(df: DataFrame, role: Column, title: str, most: int = 5) -> DataFrame:
+    """role, n and up to `most` distinct titles, the most frequent first."""
+    counts = df.select(role.alias("role"), F.col(title).alias("title")).groupBy("role", "title").agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy("role").orderBy(F.desc("c"), "title")
+    top = counts.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
+    titles = top.groupBy("role").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "title"))), lambda x: x["title"]).alias("titles"))
+    return counts.groupBy("role").agg(F.sum("c").alias("n")).join(titles, "role")
+
+
+def progress(df: DataFrame, by: str, status: str, done: tuple[str, ...]) -> DataFrame:
+    """total, done and percentage done of each group."""
+    n = F.count(F.lit(1))
+    good = F.count_if(F.col(status).isin(*done))
+    return df.groupBy(by).agg(n.alias("total"), good.alias("done"), F.bround(100.0 * good / n, 1).alias("pct"))
+
+
+def watermark(df: DataFrame, id_: str, *columns: str) -> DataFrame:
+    """What a cache of this table is valid for: distinct ids and the greatest values."""
+    return df.agg(F.countDistinct(id_).alias("ids"), *[F.max(c).cast("string").alias(f"max_{c}") for c in columns])

@@ -73,7 +73,8 @@ def nearest(queries: DataFrame, table: DataFrame, k: int, most_queries: int = 10
     if n > most_queries:
         raise ValueError(f"more than {most_queries} queries: search them in parts")
     left = queries.select("query_id", F.col("vector").alias("__q"))
-    scored = table.crossJoin(F.broadcast(left)).select("query_id", "id", V.cosine(F.col("__q"), F.col("vector")).alias("score"))
+    scored = table.crossJoin(F.broadcast(left)).where(F.col("query_id") != F.col("id"))
+    scored = scored.select("query_id", "id", F.round(V.cosine(F.col("__q"), F.col("vector")), 6).alias("score"))
     return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
 
 
@@ -139,3 +140,39 @@ def greedy_matches(expected: DataFrame, observed: DataFrame, key: str) -> DataFr
     return expected.groupBy(key).cogroup(observed.groupBy(key)).applyInPandas(
         match, f"{key} {kind}, expected_position int, observed_position long, exact boolean"
     )
+
+
+def substring_hits(texts: DataFrame, key: str, text: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Dictionary join on substrings: key and every canonical name with an alias in the text.
+
+    The dictionary is literal, so this is one projection; nothing is joined.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    found = []
+    for name, words in aliases.items():
+        test = low.contains(name)
+        for w in words:
+            test = test | low.contains(w)
+        found.append(F.when(test, name))
+    return texts.select(key, F.explode(F.array_compact(F.array(*found))).alias("canonical"))
+
+
+def conflicts(claims: DataFrame, topic: str, id_: str, tokens: str, numbers: str, least: float = 0.45) -> DataFrame:
+    """Pairs of claims on a topic whose tokens overlap and whose numbers differ.
+
+    Pairs meet on a shared token of their topic, so unrelated claims never do.
+    """
+    words = claims.select(topic, id_, tokens, numbers, F.explode(F.array_distinct(tokens)).alias("__w"))
+    x, y = words.alias("x"), words.alias("y")
+    met = x.join(y, (F.col(f"x.{topic}") == F.col(f"y.{topic}")) & (F.col("x.__w") == F.col("y.__w")) & (F.col(f"x.{id_}") < F.col(f"y.{id_}")))
+    differ = (F.size(F.col(f"x.{numbers}")) > 0) & (F.size(F.col(f"y.{numbers}")) > 0) & (F.array_sort(F.array_distinct(f"x.{numbers}")) != F.array_sort(F.array_distinct(f"y.{numbers}")))
+    near = T.min_overlap(F.col(f"x.{tokens}"), F.col(f"y.{tokens}"))
+    return met.where(differ & (near >= least)).select(
+        F.col(f"x.{topic}").alias(topic), F.col(f"x.{id_}").alias("first_id"), F.col(f"y.{id_}").alias("second_id"), near.alias("overlap")).distinct()
+
+
+def multiset_overlap(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
+    """Size of the multiset intersection of each key's items in two tables."""
+    n = a.groupBy(key, item).agg(F.count(F.lit(1)).alias("n"))
+    m = b.groupBy(key, item).agg(F.count(F.lit(1)).alias("m"))
+    return n.join(m, [key, item]).groupBy(key).agg(F.sum(F.least("n", "m")).alias("shared"))

@@ -20,11 +20,11 @@ def distribution_pct(t: Tables) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT o_orderpriority AS unit, coalesce((low + high) / 2, low, high) AS v FROM (
-  SELECT o_orderpriority, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS low, CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * 1.5::DOUBLE END AS high FROM orders))
+  SELECT o_orderpriority, CASE WHEN o_totalprice > 50000 THEN o_totalprice END AS low, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 1.5::DOUBLE END AS high FROM orders))
 SELECT unit, count(*) AS n, round(min(v), 4) AS low, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median,
   round(quantile_cont(v, 0.75), 4) AS p75, round(max(v), 4) AS high FROM v WHERE v IS NOT NULL GROUP BY unit""")
 def percentile_bands(t: Tables) -> DataFrame:
-    rows = t.orders.select("o_orderpriority", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") * 1.5).alias("b"))
+    rows = t.orders.select("o_orderpriority", F.when(F.col("o_totalprice") > 50000, F.col("o_totalprice")).alias("a"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") * 1.5).alias("b"))
     out = A.bands(rows, "o_orderpriority", "a", "b")
     return out.withColumns({c: F.round(c, 4) for c in ("low", "p25", "median", "p75", "high")})
 
@@ -50,10 +50,11 @@ def dashboard_snapshot(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT user_id, CASE WHEN event_id % 17 <> 0 THEN CAST(event_id % 100 AS BIGINT) END AS cost FROM events)
+WITH c AS (SELECT user_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) < 95 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS cost FROM events)
 SELECT user_id, count(*) AS runs, CASE WHEN count(*) FILTER (cost IS NULL) = 0 THEN CAST(sum(cost) AS DOUBLE) END AS cost FROM c GROUP BY 1""")
 def null_poisoned_cost(t: Tables) -> DataFrame:
-    rows = t.events.select("user_id", F.when(F.col("event_id") % 17 != 0, F.col("event_id") % 100).alias("cost"))
+    k = F.get_json_object("props", "$.k").cast("long")
+    rows = t.events.select("user_id", F.when(k < 95, k).alias("cost"))
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), A.total_or_null("cost").cast("double").alias("cost"))
 
 
@@ -138,12 +139,12 @@ def themes(t: Tables) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT doc_id, source, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS r1 FROM documents),
-a AS (SELECT *, row_number() OVER (ORDER BY abs(hash_key), doc_id) AS r2 FROM (SELECT *, doc_id % 97 AS hash_key FROM s WHERE r1 <= 100)),
+a AS (SELECT *, row_number() OVER (ORDER BY abs(hash_key), doc_id) AS r2 FROM (SELECT *, n_chars % 97 AS hash_key FROM s WHERE r1 <= 100)),
 b AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS r3 FROM a WHERE r2 <= 30)
 SELECT 1 AS stage_no, 'length' AS stage, doc_id, n_chars::DOUBLE AS score, r1 <= 100 AS selected FROM s
 UNION ALL SELECT 2, 'spread', doc_id, 0.0::DOUBLE - hash_key, r2 <= 30 FROM a UNION ALL SELECT 3, 'age', doc_id, 0.0::DOUBLE - doc_id, r3 <= 10 FROM b""")
 def cascade_trace(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("length"), (0 - F.col("doc_id") % 97).cast("double").alias("spread"), (0 - F.col("doc_id")).cast("double").alias("age"))
+    rows = t.documents.select("doc_id", F.col("n_chars").cast("double").alias("length"), (0 - F.col("n_chars") % 97).cast("double").alias("spread"), (0 - F.col("doc_id")).cast("double").alias("age"))
     _, trace = S.cascade(rows, "doc_id", [("length", "length", 100), ("spread", "spread", 30), ("age", "age", 10)])
     return trace
 
@@ -180,3 +181,53 @@ def weighted_scores(t: Tables) -> DataFrame:
     parts = {"experience": S.experience_score(F.col("c_custkey") % 9, F.lit(5)), "education": S.education_score(F.col("c_nationkey"), F.lit(12)),
              "preference": F.when(F.col("c_acctbal") > 0, 100.0)}
     return t.customer.select("c_custkey", F.round(S.final_score(parts), 6).alias("score"))
+
+
+@query("""
+WITH f AS (SELECT l_suppkey, lower(l_returnflag || l_linenumber) AS term, max(CASE WHEN l_linestatus = 'F' THEN 2 WHEN l_quantity > 25 THEN 1 ELSE 0 END) AS r FROM lineitem GROUP BY 1, 2),
+o AS (SELECT count(*) AS owners FROM supplier),
+c AS (SELECT term, count(*) AS n, count(*) FILTER (r = 2) AS required, count(*) FILTER (r = 1) AS preferred FROM f GROUP BY 1)
+SELECT term, n, required, preferred, CASE WHEN required / owners >= 0.5 THEN 'core' WHEN 100.0 * n / owners >= 25 THEN 'high_frequency' WHEN preferred > required THEN 'bonus' ELSE 'emerging' END AS category FROM c, o""")
+def term_categories(t: Tables) -> DataFrame:
+    kind = F.when(F.col("l_linestatus") == "F", "required").when(F.col("l_quantity") > 25, "preferred").otherwise("inferred")
+    facts = t.lineitem.select("l_suppkey", F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("term"), kind.alias("kind"))
+    return A.term_categories(facts, "l_suppkey", "term", "kind", t.supplier.count())
+
+
+@query("""
+WITH c AS (SELECT CASE WHEN contains(lower(p_type), 'steel') THEN 'steel' WHEN contains(lower(p_type), 'brass') THEN 'brass' ELSE 'other' END AS role, p_brand AS title, count(*) AS c FROM part GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY role ORDER BY c DESC, title) AS r FROM c)
+SELECT role, CAST(sum(c) AS BIGINT) AS n, string_agg(title, ',' ORDER BY r) FILTER (r <= 5) AS titles FROM r GROUP BY role""")
+def role_clusters(t: Tables) -> DataFrame:
+    from ..functions.parse import ordered_rules
+
+    out = A.clusters(t.part, ordered_rules(F.col("p_type"), [("steel", "steel"), ("brass", "brass")], "other"), "p_brand")
+    return out.withColumn("titles", F.array_join("titles", ","))
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, round_even(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*)::DOUBLE, 1) AS pct FROM orders GROUP BY 1""")
+def annotation_progress(t: Tables) -> DataFrame:
+    return A.progress(t.orders, "o_orderpriority", "o_orderstatus", ("F",))
+
+
+@query("SELECT count(DISTINCT user_id) AS ids, CAST(max(ts) AS VARCHAR) AS max_ts, CAST(max(event_id) AS VARCHAR) AS max_event_id FROM events")
+def data_watermark(t: Tables) -> DataFrame:
+    return A.watermark(t.events, "user_id", "ts", "event_id")
+
+
+@query("""
+WITH a AS (SELECT source, lang, count(*) AS n FROM documents WHERE n_chars < 1500 GROUP BY 1, 2), b AS (SELECT source, lang, count(*) AS m FROM documents WHERE n_chars >= 500 GROUP BY 1, 2)
+SELECT source, CAST(sum(least(n, m)) AS BIGINT) AS shared FROM a JOIN b USING (source, lang) GROUP BY 1""")
+def multiset_overlap(t: Tables) -> DataFrame:
+    from ..operators.joins import multiset_overlap as shared
+
+    return shared(t.documents.where("n_chars < 1500"), t.documents.where("n_chars >= 500"), "source", "lang")
+
+
+@query("""
+WITH d AS (SELECT c_mktsegment, c_nationkey, avg(c_acctbal) AS q, count(*)::DOUBLE AS latency FROM customer GROUP BY 1, 2)
+SELECT c_mktsegment, round(avg(q), 4) AS mean_quality, round(min(latency), 4) AS best_latency, count(*) AS configs FROM d GROUP BY 1""")
+def ablation_summary(t: Tables) -> DataFrame:
+    d = t.customer.groupBy("c_mktsegment", "c_nationkey").agg(F.avg("c_acctbal").alias("q"), F.count(F.lit(1)).cast("double").alias("latency"))
+    return d.groupBy("c_mktsegment").agg(F.round(F.avg("q"), 4).alias("mean_quality"), F.round(F.min("latency"), 4).alias("best_latency"), F.count(F.lit(1)).alias("configs"))

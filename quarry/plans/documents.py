@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions import vectors as V
 from ..operators import etl as X
 from ..operators import joins as J
 from ..operators import metrics as M
@@ -37,11 +36,16 @@ o AS (SELECT q.item_id, x.doc_id, round(count(DISTINCT x.term) / max(z.n)::DOUBL
 otop AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o)"""
 
 
-def _overlap(t: Tables, k: int) -> DataFrame:
+def _shared_terms(t: Tables) -> DataFrame:
+    """item_id, doc_id, shared: terms of the item in the document, n: terms of the item."""
     words = t.documents.select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("term"))
     asked = t.benchmark.select("item_id", F.array_distinct(T.ascii_tokens(F.col("text"))).alias("w"))
     terms = asked.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    shared = words.join(terms, "term").groupBy("item_id", "doc_id").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("score"))
+    return words.join(terms, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+
+
+def _overlap(t: Tables, k: int) -> DataFrame:
+    shared = _shared_terms(t).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
     return J.top_k(shared, "item_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
@@ -62,15 +66,14 @@ def candidate_pool(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 20),
+WITH q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 20 = 0),
 s AS (SELECT query_id, vec_id AS id, round(list_dot_product(e::DOUBLE[], embedding::DOUBLE[]) / sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM q, embeddings WHERE vec_id <> query_id)
 SELECT query_id, id, r::INTEGER AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s) WHERE r <= 5""")
 def cosine_topk(t: Tables) -> DataFrame:
-    """A stated set of twenty query vectors against all rows."""
-    q = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("__q"))
-    scored = t.embeddings.crossJoin(F.broadcast(q)).where("vec_id <> query_id")
-    scored = scored.select("query_id", F.col("vec_id").alias("id"), F.round(V.cosine(F.col("__q"), F.col("embedding")), 6).alias("score"))
-    return J.top_k(scored, "query_id", [F.desc("score"), F.asc("id")], 5)
+    """Every row whose id is divisible by 20 as a query, against all rows."""
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = rows.where("id % 20 = 0").withColumnRenamed("id", "query_id")
+    return J.nearest(queries, rows, 5)
 
 
 
@@ -130,7 +133,8 @@ def quality_score(t: Tables) -> DataFrame:
 
 
 _METRICS = _BM25 + """,
-j AS (SELECT b.item_id, d.doc_id, CASE WHEN contains(d.text, b.text) THEN 2 ELSE 1 END AS grade FROM benchmark b JOIN documents d ON contains(d.text, substr(b.text, 1, 40))),
+z AS (SELECT item_id, count(*) AS n FROM q GROUP BY 1),
+j AS (SELECT item_id, doc_id, CASE WHEN count(DISTINCT x.term) >= 0.9 * max(n) THEN 2 ELSE 1 END AS grade FROM q JOIN x USING (term) JOIN z USING (item_id) GROUP BY 1, 2 HAVING count(DISTINCT x.term) >= 0.6 * max(n)),
 rel AS (SELECT item_id, count(*) AS relevant FROM j GROUP BY 1),
 h AS (SELECT t.item_id, t.rank, coalesce(j.grade, 0) AS g FROM top t LEFT JOIN j USING (item_id, doc_id) WHERE rank <= 5),
 c AS (SELECT *, sum((g > 0)::INT) OVER (PARTITION BY item_id ORDER BY rank) AS sofar FROM h),
@@ -143,12 +147,9 @@ FROM rel LEFT JOIN got USING (item_id) LEFT JOIN i USING (item_id)"""
 
 @query(_METRICS)
 def ir_metrics(t: Tables) -> DataFrame:
-    """Ranking metrics of BM25 against silver grades: 2 for a document that holds the whole item, 1 for its start."""
-    items = t.benchmark.select("item_id", F.col("text").alias("item"))
-    # Candidates by the item's first words, then the exact test.
-    start = F.substring("item", 1, 40)
-    graded = t.documents.join(F.broadcast(items.limit(10_001)), F.col("text").contains(start))
-    judgments = graded.select("item_id", "doc_id", F.when(F.col("text").contains(F.col("item")), 2).otherwise(1).alias("grade"))
+    """Ranking metrics of BM25 against silver grades: 2 for documents with nine tenths of an item's terms, 1 for six."""
+    shared = _shared_terms(t)
+    judgments = shared.where(F.col("shared") >= 0.6 * F.col("n")).select("item_id", "doc_id", F.when(F.col("shared") >= 0.9 * F.col("n"), 2).otherwise(1).alias("grade"))
     out = M.ranking_metrics(R.bm25(t.documents, t.benchmark), judgments, "item_id", "doc_id")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "mrr", "ndcg", "map")})
 
@@ -197,3 +198,29 @@ def corpus_freeze(t: Tables) -> DataFrame:
 SELECT role, count(*) AS n, count(DISTINCT conv_id) AS conversations FROM conversations GROUP BY role""")
 def conversation_facets(t: Tables) -> DataFrame:
     return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("conv_id").alias("conversations"))
+
+
+@query("""
+SELECT doc_id, unnest(list_filter([CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'copyright') THEN 'license' END, CASE WHEN contains(lower(text), 'token') OR contains(lower(text), 'password') THEN 'token' END,
+  CASE WHEN contains(lower(text), 'mail') OR contains(lower(text), '@') THEN 'mail' END], lambda x: x IS NOT NULL)) AS canonical FROM documents""")
+def substring_dictionary(t: Tables) -> DataFrame:
+    return J.substring_hits(t.documents, "doc_id", "text", {"license": ("copyright",), "token": ("password",), "mail": ("@",)})
+
+
+@query("""
+WITH h AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS alias FROM conversations), d AS (SELECT * FROM (VALUES ('the', 'article'), ('a', 'article'), ('of', 'preposition'), ('to', 'preposition')) v(alias, canonical))
+SELECT DISTINCT conv_id, canonical FROM h JOIN d USING (alias)""")
+def alias_dictionary(t: Tables) -> DataFrame:
+    terms = t.spark.createDataFrame([("the", "article"), ("a", "article"), ("of", "preposition"), ("to", "preposition")], "alias string, canonical string")
+    return J.term_hits(t.conversations, terms, "conv_id", "text")
+
+
+@query("""
+WITH a AS (SELECT conv_id, turn, regexp_extract_all(text, '[0-9]+(?:[.][0-9]+)?') AS n, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations)
+SELECT conv_id, turn, len(list_distinct(list_filter(n, lambda x: NOT list_contains(regexp_extract_all(coalesce(before, ''), '[0-9]+(?:[.][0-9]+)?'), x)))) AS ungrounded FROM a""")
+def number_grounding(t: Tables) -> DataFrame:
+    from pyspark.sql import Window
+
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return t.conversations.withColumn("before", F.coalesce(before, F.lit(""))).select(
+        "conv_id", "turn", F.size(R.numbers_grounded(F.col("text"), F.col("before"))).cast("long").alias("ungrounded"))

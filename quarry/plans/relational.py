@@ -40,13 +40,13 @@ def json_predicate(t: Tables) -> DataFrame:
     return t.events.where(k.like("1%") & F.col("props").ilike("%k%")).select("event_id", "event_type", k.cast("long").alias("k"))
 
 
-_BOUNDS = """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS low,
-  CASE WHEN o_orderkey % 3 <> 0 THEN o_totalprice * 1.5 END AS high FROM orders)"""
+_BOUNDS = """WITH b AS (SELECT o_orderkey, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS low,
+  CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 1.5 END AS high FROM orders)"""
 
 
 def _bounds(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")).alias("low"),
-                           F.when(F.col("o_orderkey") % 3 != 0, F.col("o_totalprice") * 1.5).alias("high"))
+    return t.orders.select("o_orderkey", F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice")).alias("low"),
+                           F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") * 1.5).alias("high"))
 
 
 @query(_BOUNDS + " SELECT o_orderkey FROM b WHERE coalesce(high, low) >= 100000 AND coalesce(low, high) <= 200000")
@@ -140,10 +140,10 @@ def index_health(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT l.doc_id, d.source, d.doc_id IS NULL AS missing FROM (SELECT doc_id + CASE WHEN doc_id % 7 = 0 THEN 100000000 ELSE 0 END AS doc_id FROM labels) l
+SELECT l.doc_id, d.source, d.doc_id IS NULL AS missing FROM (SELECT doc_id + CASE WHEN toxic = 1 THEN 100000000 ELSE 0 END AS doc_id FROM labels) l
 LEFT JOIN documents d USING (doc_id)""")
 def ordered_lookup_missing(t: Tables) -> DataFrame:
-    asked = t.labels.select((F.col("doc_id") + F.when(F.col("doc_id") % 7 == 0, 100000000).otherwise(0)).alias("doc_id"))
+    asked = t.labels.select((F.col("doc_id") + F.when(F.col("toxic") == 1, 100000000).otherwise(0)).alias("doc_id"))
     return J.ordered_lookup(asked, t.documents.select("doc_id", "source"), "doc_id")
 
 
@@ -167,12 +167,12 @@ def topn_per_parent(t: Tables) -> DataFrame:
     return kept.select("o_custkey", "o_orderkey", "rank")
 
 
-_RUNS = """WITH a AS (SELECT user_id, avg(value) AS m FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, avg(value) AS m FROM events WHERE event_id % 2 = 1 GROUP BY 1)"""
+_RUNS = """WITH a AS (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, avg(value) AS m FROM events WHERE event_type = 'click' GROUP BY 1)"""
 
 
 def _runs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    mean = lambda k: t.events.where(F.col("event_id") % 2 == k).groupBy("user_id").agg(F.avg("value").alias("m"))
-    return mean(0), mean(1)
+    mean = lambda k: t.events.where(F.col("event_type") == k).groupBy("user_id").agg(F.avg("value").alias("m"))
+    return mean("view"), mean("click")
 
 
 @query(_RUNS + " SELECT a.user_id, round(a.m - b.m, 6) AS m_delta FROM a JOIN b USING (user_id)")
@@ -215,21 +215,21 @@ def link_upsert_merge(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH have AS (SELECT user_id, count(*) AS n, 1 AS generation FROM events WHERE event_id % 2 = 0 GROUP BY 1),
-inc AS (SELECT user_id, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY 1)
+WITH have AS (SELECT user_id, count(*) AS n, 1 AS generation FROM events WHERE event_type = 'signup' GROUP BY 1),
+inc AS (SELECT user_id, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1)
 SELECT user_id, coalesce(i.n, h.n) AS n, CASE WHEN h.user_id IS NULL THEN 1 WHEN i.user_id IS NOT NULL THEN h.generation + 1 ELSE h.generation END AS generation
 FROM have h FULL JOIN inc i USING (user_id)""".replace("h.user_id IS NULL", "h.n IS NULL").replace("i.user_id IS NOT NULL", "i.n IS NOT NULL"))
 def keyed_upsert(t: Tables) -> DataFrame:
-    have = t.events.where("event_id % 2 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("generation", F.lit(1))
-    return I.upsert(have, t.events.where("event_id % 3 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), ["user_id"])
+    have = t.events.where("event_type = 'signup'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("generation", F.lit(1))
+    return I.upsert(have, t.events.where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), ["user_id"])
 
 
 @query("""
-WITH s AS (SELECT DISTINCT source, md5(text) AS h FROM documents WHERE doc_id % 2 = 0)
+WITH s AS (SELECT DISTINCT source, md5(text) AS h FROM documents WHERE lang = 'en')
 SELECT DISTINCT d.source, md5(d.text) AS h FROM documents d WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source = d.source AND s.h = md5(d.text))""")
 def snapshot_insert(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", "source", F.md5("text").alias("h"))
-    return I.new_snapshots(rows.where("doc_id % 2 = 0"), rows, ["source", "h"]).select("source", "h")
+    rows = t.documents.select("doc_id", "lang", "source", F.md5("text").alias("h"))
+    return I.new_snapshots(rows.where("lang = 'en'"), rows, ["source", "h"]).select("source", "h")
 
 
 @query("""
@@ -239,13 +239,13 @@ def exact_dedup(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH f AS (SELECT doc_id, sha256(lang || '|' || regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]', '', 'g')) AS fp FROM documents),
+WITH f AS (SELECT doc_id, sha256(lang || '|' || regexp_replace(lower(text), '[^a-z0-9]', '', 'g')) AS fp FROM documents),
 g AS (SELECT fp, count(*) AS n, min(doc_id) AS first_id FROM f GROUP BY 1 HAVING count(*) > 1)
 SELECT fp AS fingerprint, n, first_id FROM g""")
 def fingerprint_groups(t: Tables) -> DataFrame:
     from ..functions.text import fingerprint
 
-    fp = fingerprint(F.col("lang"), F.regexp_replace(F.lower(F.substring("text", 1, 200)), "[^a-z0-9]", ""))
+    fp = fingerprint(F.col("lang"), F.regexp_replace(F.lower("text"), "[^a-z0-9]", ""))
     fp = F.coalesce(fp, F.sha2(F.concat(F.col("lang"), F.lit("|")), 256))
     return A.duplicate_groups(t.documents, fp, "doc_id")
 
@@ -261,33 +261,33 @@ def eager_children(t: Tables) -> DataFrame:
 
 @query("""
 WITH d AS (SELECT doc_id, md5(text) AS content_hash FROM documents), i AS (
-  SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'old' ELSE md5(text) END AS content_hash, CASE WHEN doc_id % 7 = 0 THEN 'v1' ELSE 'v2' END AS version FROM documents WHERE doc_id % 3 <> 0)
+  SELECT doc_id, CASE WHEN source = 'src5' THEN 'old' ELSE md5(text) END AS content_hash, CASE WHEN source = 'src7' THEN 'v1' ELSE 'v2' END AS version FROM documents WHERE lang <> 'fr')
 SELECT d.doc_id, CASE WHEN i.doc_id IS NULL THEN 'no_document' WHEN i.content_hash <> d.content_hash THEN 'content_hash' ELSE 'version' END AS reason
 FROM d LEFT JOIN i USING (doc_id) WHERE i.doc_id IS NULL OR i.content_hash <> d.content_hash OR i.version <> 'v2'""")
 def needs_index(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", F.md5("text").alias("content_hash"))
-    i = d.where("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"),
-                                          F.when(F.col("doc_id") % 7 == 0, "v1").otherwise("v2").alias("version"))
+    d = t.documents.select("doc_id", "lang", "source", F.md5("text").alias("content_hash"))
+    i = d.where("lang <> 'fr'").select("doc_id", F.when(F.col("source") == "src5", "old").otherwise(F.col("content_hash")).alias("content_hash"),
+                                       F.when(F.col("source") == "src7", "v1").otherwise("v2").alias("version"))
     return I.needs_index(d, i, "doc_id", {"version": "v2"}).select("doc_id", "reason")
 
 
 @query("""
-WITH c AS (SELECT source, md5(text) AS h FROM documents), cache AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 2 = 0)
+WITH c AS (SELECT source, md5(text) AS h FROM documents), cache AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE lang = 'en')
 SELECT count(*) FILTER (h IN (SELECT h FROM cache)) AS reused, count(DISTINCT h) FILTER (h NOT IN (SELECT h FROM cache)) AS to_embed FROM c""")
 def embedding_reuse(t: Tables) -> DataFrame:
-    chunks = t.documents.select("doc_id", F.md5("text").alias("h"))
-    cache = chunks.where("doc_id % 2 = 0").select("h", F.array(F.lit(1.0)).alias("vector"))
+    chunks = t.documents.select("doc_id", "lang", F.md5("text").alias("h"))
+    cache = chunks.where("lang = 'en'").select("h", F.array(F.lit(1.0)).alias("vector"))
     hit, need = I.reuse_embeddings(chunks, cache, ["h"])
     return hit.agg(F.count(F.lit(1)).alias("reused")).crossJoin(need.agg(F.count(F.lit(1)).alias("to_embed")))
 
 
 @query("""
-WITH o AS (SELECT doc_id, md5(text) AS h, lang FROM documents WHERE doc_id % 4 <> 0), n AS (SELECT doc_id, md5(text) AS h, CASE WHEN doc_id % 6 = 1 THEN 'xx' ELSE lang END AS lang FROM documents)
+WITH o AS (SELECT doc_id, md5(text) AS h, lang FROM documents WHERE lang <> 'fr'), n AS (SELECT doc_id, md5(text) AS h, CASE WHEN source = 'src6' THEN 'xx' ELSE lang END AS lang FROM documents)
 SELECT n.doc_id, n.lang FROM n LEFT JOIN o USING (doc_id) WHERE o.doc_id IS NULL OR o.h <> n.h OR o.lang IS DISTINCT FROM n.lang""")
 def change_set(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", F.md5("text").alias("h"), "lang")
-    new = rows.withColumn("lang", F.when(F.col("doc_id") % 6 == 1, "xx").otherwise(F.col("lang")))
-    return I.changed(rows.where("doc_id % 4 <> 0"), new, "doc_id", ["h", "lang"]).select("doc_id", "lang")
+    rows = t.documents.select("doc_id", F.md5("text").alias("h"), "lang", "source")
+    new = rows.withColumn("lang", F.when(F.col("source") == "src6", "xx").otherwise(F.col("lang")))
+    return I.changed(rows.where("lang <> 'fr'"), new, "doc_id", ["h", "lang"]).select("doc_id", "lang")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

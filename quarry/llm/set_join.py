@@ -43,11 +43,12 @@ from pyspark.sql import functions as F
 from .common import stored
 from .line_dedup import bitmap, in_bitmap
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 CHUNK = 1 << 14
 GROUPS = 64
-STARS = 3
-BYTES = 2_000_000
+STARS = 2
+BYTES = 1_000_000
+SENT_LABELS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -110,10 +111,10 @@ def shingle_counts(docs: DataFrame, width: int, slots: int = SLOTS) -> np.ndarra
     """How many of all documents' shingles fall in each slot of a table of fixed size."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(slots, np.int64)
+        table = np.zeros(slots, np.uint32)
         for batch in _batches(batches):
             hashed, _ = shingle_sets(list(batch["text"]), width)
-            table += np.bincount((hashed % np.uint64(slots)).astype(np.int64), minlength=slots)
+            np.add.at(table, (hashed % np.uint64(slots)).astype(np.int64), 1)
         if table.any():
             group = TaskContext.get().partitionId() % GROUPS
             yield pd.DataFrame([(group, at, _packed(table[at : at + CHUNK])) for at in range(0, slots, CHUNK)], columns=["grp", "chunk", "counts"])
@@ -208,8 +209,22 @@ def _possible(per_cent: int, a: str, b: str):
     )
 
 
-def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """a, b, distance (1 - Jaccard), linked of pairs (a, b)."""
+def sent(rows: DataFrame) -> DataFrame:
+    """The rows for a broadcast join if there are few enough, else for a shuffled one."""
+    return F.broadcast(rows) if rows.limit(SENT_LABELS + 1).count() <= SENT_LABELS else rows
+
+
+def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with each set's component so far (its own id where it has no link)."""
+    named = lists.join(sent(labels), lists["doc_id"] == labels["id"], "left").drop("id")
+    return named.withColumn("component", F.coalesce("component", "doc_id"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """a, b, distance (1 - Jaccard), linked of pairs (a, b). Only the documents in some pair are shingled again."""
+    pairs = stored(pairs, "pairs")
+    ids = stored(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id"), "paired-ids")
+    sets = stored(sets_of(in_bitmap(docs.where(F.col("doc_id").isNotNull()), "doc_id", ids), width), "sets")
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b").select(
@@ -221,7 +236,6 @@ def verified(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, linked_to_other_text of every document."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     counts = shingle_counts(docs, width)
     # Coarse classes: twice as many occurrences, one class later.
@@ -240,54 +254,41 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
     listed = in_bitmap(entries, "shingle", marks).withColumn("size_class", sized)
     listed = listed.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
     lists = stored(listed, "lists")
-    ids = stored(bitmap(lists.select("doc_id"), "doc_id"), "listed-ids")
-    sets = stored(sets_of(in_bitmap(docs.where(F.col("doc_id").isNotNull()), "doc_id", ids), width), "sets")
-
-    nothing = spark.createDataFrame([], "id long, component long")
-    labels, links, compared = nothing, None, None
     keys = ["shingle", "size_class"]
+    labels, links, compared = components(copies), copies, None
     for _ in range(STARS):
-        known = lists.join(labels, lists["doc_id"] == labels["id"], "left").drop("id").withColumn("component", F.coalesce("component", "doc_id"))
-        first = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-        open_lists = first.where("low != high").select(*keys, F.col("top.component").alias("major"))
+        known = labelled(lists, labels)
+        first = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "n", "pos", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
         if compared is None:
-            leaders = known.join(first.where("low != high"), keys).where(F.col("doc_id") == F.col("top.doc_id"))
+            leaders = first.where("low != high")
         else:  # the most typical set that the list's leader has not drawn in
-            minor = known.join(open_lists, keys).where(F.col("component") != F.col("major"))
-            top = minor.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id")).alias("top"))
-            leaders = known.join(top, keys).where(F.col("doc_id") == F.col("top.doc_id"))
-        leaders = leaders.select(*keys, F.col("doc_id").alias("leader"), F.col("n").alias("leader_n"), F.col("pos").alias("leader_pos"), F.col("component").alias("leader_component"))
-        met = known.join(leaders, keys).where((F.col("doc_id") != F.col("leader")) & (F.col("component") != F.col("leader_component")))
-        met = met.select(
-            F.struct("n", "pos").alias("x"), F.struct(F.col("leader_n").alias("n"), F.col("leader_pos").alias("pos")).alias("l"), "doc_id", "leader"
-        ).where(_possible(per_cent, "x", "l"))
-        pairs = met.select(F.col("leader").alias("a"), F.col("doc_id").alias("b")).distinct()
-        new = stored(verified(pairs, sets, per_cent), "stars")
+            major = first.where("low != high").select(*keys, F.col("top.component").alias("major"))
+            minor = known.join(major, keys).where(F.col("component") != F.col("major"))
+            leaders = minor.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "n", "pos", "component")).alias("top"))
+        met = known.join(leaders.select(*keys, "top"), keys).where(F.col("component") != F.col("top.component"))
+        met = met.select(F.struct("n", "pos").alias("x"), F.col("top").alias("l"), "doc_id").where(_possible(per_cent, "x", "l"))
+        pairs = met.select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        new = stored(verified(pairs, docs, width, per_cent), "stars")
         compared = new if compared is None else compared.unionByName(new)
-        links = compared.where("linked").select("a", "b").unionByName(copies)
-        labels = components(links)
-        if not new.limit(1).count():
-            break
+        linked = new.where("linked").select("a", "b")
+        if linked.limit(1).count():
+            links = links.unionByName(linked)
+            labels = components(links)
 
     # What is left: between components of a list, from its smaller ones to all.
-    known = lists.join(labels, lists["doc_id"] == labels["id"], "left").drop("id").withColumn("component", F.coalesce("component", "doc_id"))
+    known = labelled(lists, labels)
     by_list = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "component")).alias("top"))
-    told = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "distance")
-    known = (
-        known.join(by_list, keys)
-        .withColumn("leader", F.col("top.doc_id"))
-        .withColumn("major", F.col("component") == F.col("top.component"))
-        .join(told.groupBy("leader", "doc_id").agg(F.min("distance").alias("distance")), ["leader", "doc_id"], "left")
-        .withColumn("distance", F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.col("distance")))
-    )
-    known = stored(known.select(*keys, "doc_id", "n", "pos", "component", "major", "leader", "distance"), "left")
-    spread = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    known = stored(known.join(spread.select("shingle"), "shingle"), "left-lists")
+    spread = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
     # Blocks of positions that no set of a neighbouring size could reach are left out as a whole.
     block = F.floor(F.col("pos") * 16 / F.col("n")).cast("int")
     reach = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * per_cent / 100 - 1e-9)
-    blocks = known.where(reach).withColumn("block", block).groupBy(*keys, "block").agg(F.min("pos").alias("lowest"))
-    near = known.withColumn("block", block).join(blocks, [*keys, "block"], "left_semi")
+    blocks = known.where(reach).select(*keys, block.alias("block")).distinct()
+    near = known.join(spread, "shingle", "left_semi").withColumn("block", block).join(blocks, [*keys, "block"], "left_semi")
+    near = near.join(by_list, keys).select(
+        *keys, "doc_id", "n", "pos", "component", F.col("top.doc_id").alias("leader"), (F.col("component") == F.col("top.component")).alias("major"))
+    told = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "distance").groupBy("leader", "doc_id").agg(F.min("distance").alias("distance"))
+    near = near.join(sent(told), ["leader", "doc_id"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.col("distance")))
+    near = stored(near, "left-lists")
     x = near.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
     x, y = x.alias("x"), near.alias("y")
     slack = 1 - per_cent / 100 + 1e-9
@@ -301,7 +302,7 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
     )
     pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = stored(verified(pairs.join(done, ["a", "b"], "left_anti"), sets, per_cent), "rest")
+    new = stored(verified(pairs.join(sent(done), ["a", "b"], "left_anti"), docs, width, per_cent), "rest")
     fresh = new.where("linked").select("a", "b")
     labels = components(links.unionByName(fresh)) if fresh.limit(1).count() else labels
     out = base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("id"), "left")

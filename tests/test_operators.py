@@ -182,3 +182,22 @@ def test_stream_upserts(spark, tmp_path):
     E.upserts(stream, str(tmp_path / "table"), ["k"], "at", str(tmp_path / "state"))
     got = {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "table/v00000000")).collect()}
     assert got == {1: "b", 2: "c"}
+
+
+def test_dictionaries_and_conflicts(spark):
+    df = spark.createDataFrame([(1, "MySQL and Postgres"), (2, None), (3, "plain")], "id int, t string")
+    got = {(r["id"], r["canonical"]) for r in J.substring_hits(df, "id", "t", {"sql": (), "postgres": ("pg",)}).collect()}
+    assert got == {(1, "sql"), (1, "postgres")}
+    claims = spark.createDataFrame([("t", 1, ["pay", "is", "high"], ["3"]), ("t", 2, ["pay", "is", "low"], ["5"]), ("t", 3, ["other"], ["9"]), ("u", 4, ["pay", "is", "high"], ["7"])],
+                                   "topic string, id int, w array<string>, n array<string>")
+    assert [(r["first_id"], r["second_id"]) for r in J.conflicts(claims, "topic", "id", "w", "n").collect()] == [(1, 2)]
+
+
+def test_queue_and_expiry(spark):
+    shape = "run_id int, status string, attempts int, available_at timestamp, updated_at timestamp"
+    t = lambda s: __import__("datetime").datetime.fromisoformat(s)
+    rows = [(1, "PENDING", 0, t("2024-01-01"), t("2024-01-02")), (2, "DONE", 0, t("2024-01-01"), t("2024-01-01")), (3, "RUNNING", 5, t("2024-01-01"), t("2024-01-01")),
+            (4, "PENDING", 1, t("2024-03-01"), t("2024-01-01")), (5, "RUNNING", 4, t("2024-01-01"), t("2024-01-01"))]
+    assert [r["run_id"] for r in E.due(spark.createDataFrame(rows, shape), "2024-02-01 00:00:00").collect()] == [5, 1]
+    held = spark.createDataFrame([(1, t("2024-01-01"), False), (2, t("2024-01-01"), True), (3, None, None)], "id int, until timestamp, pinned boolean")
+    assert [r["id"] for r in E.expired(held, "2024-02-01 00:00:00", "until", "pinned").collect()] == [1]

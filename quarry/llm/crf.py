@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 UNKNOWN = "und"
 BITS = 17
 BLOCK = 64
-CHARS = 400_000
+CHARS = 100_000
 PER_LANG = 150
 MAX_LANGS = 200
 RESULT = "doc_id long, lang_pred string, score double, words long, switches long"
@@ -297,22 +297,20 @@ def label_texts(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray,
     return names, np.clip(share[np.arange(n), best], 0, 1), count, switches
 
 
+def _pieces(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Runs of rows of about CHARS characters: what a task holds in arrays at a time."""
+    number = batch["text"].str.len().fillna(0).to_numpy().cumsum() // CHARS
+    for k in np.unique(number):
+        yield batch[number == k]
+
+
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, words, switches of every document; `keep` names columns to carry along."""
     schema = RESULT + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-            made, group, chars = [], [], 0
-            for t in texts:
-                group.append(t)
-                chars += len(t)
-                if chars > CHARS:
-                    made.append(label_texts(model, group))
-                    group, chars = [], 0
-            if group:
-                made.append(label_texts(model, group))
+            made = [label_texts(model, list(part["text"].fillna(""))) for part in _pieces(batch)]
             out = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64")})
             for k, name in enumerate(("lang_pred", "score", "words", "switches")):
                 out[name] = [x for m in made for x in m[k]]
@@ -333,9 +331,8 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for part in np.array_split(np.arange(len(batch)), max(1, len(batch) // 200)):
-                rows = batch.iloc[part]
-                names, score, _, _ = label_texts(model, [t if isinstance(t, str) else "" for t in rows["text"]])
+            for rows in _pieces(batch):
+                names, score, _, _ = label_texts(model, list(rows["text"].fillna("")))
                 names = pd.Series(names, index=rows.index, dtype=object)
                 rows = rows.assign(lang=rows["lang"].where(rows["lang"].notna(), names))
                 yield rows[(names != UNKNOWN).to_numpy() & (score >= least)][columns]

@@ -9,9 +9,9 @@ threshold. Exact, at any size of groups:
    n - ceil(t n) + 1 of each (prefix filter). Only shingles that two sets have in
    their prefixes are listed.
 3. An index list holds (set, size, position) by shingle and size class. A pair can
-   only link if both have enough shingles left from that position on, so an entry
-   is skipped by its position, and a list's block of positions as a whole when its
-   lowest fails.
+   only link if both have enough shingles left from that position on: the smaller
+   set within a shorter prefix, so a list's block of positions past that is never
+   indexed, and within it each entry is skipped by its position and both sizes.
 4. Set relations: each list has a leader, its most typical set. All other members
    are first compared with the leader alone, so a group of near copies costs one
    comparison each. From these answers the rest follow: sets in one component need
@@ -247,8 +247,13 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
     copies = stored(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
 
     # Shingles in two prefixes, then the lists of those alone.
+    # The smaller set of a pair that links has the shared shingle in a shorter prefix: only that part is indexed.
     entries = real.select("doc_id", "n", "typical", F.posexplode("prefix").alias("pos", "shingle"))
-    shared = entries.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low != high")
+    indexed = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * (2 * per_cent) / (100 + per_cent) - 1e-9)
+    shared = (
+        entries.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(indexed).alias("indexed"))
+        .where((F.col("low") != F.col("high")) & F.col("indexed"))
+    )
     marks = stored(bitmap(shared, "shingle"), "shared-shingles")
     sized = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent)).cast("int")
     listed = in_bitmap(entries, "shingle", marks).withColumn("size_class", sized)
@@ -277,28 +282,25 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
 
     # What is left: between components of a list, from its smaller ones to all.
     known = labelled(lists, labels)
-    by_list = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "component")).alias("top"))
-    spread = known.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("shingle")
-    # Blocks of positions that no set of a neighbouring size could reach are left out as a whole.
-    block = F.floor(F.col("pos") * 16 / F.col("n")).cast("int")
-    reach = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * per_cent / 100 - 1e-9)
-    blocks = known.where(reach).select(*keys, block.alias("block")).distinct()
-    near = known.join(spread, "shingle", "left_semi").withColumn("block", block).join(blocks, [*keys, "block"], "left_semi")
-    near = near.join(by_list, keys).select(
+    by_list = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = by_list.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("shingle")
+    near = known.join(by_list.join(spread, "shingle").select(*keys, "top"), keys).select(
         *keys, "doc_id", "n", "pos", "component", F.col("top.doc_id").alias("leader"), (F.col("component") == F.col("top.component")).alias("major"))
     told = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "distance").groupBy("leader", "doc_id").agg(F.min("distance").alias("distance"))
     near = near.join(sent(told), ["leader", "doc_id"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.col("distance")))
     near = stored(near, "left-lists")
-    x = near.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") + 1)))
-    x, y = x.alias("x"), near.alias("y")
+    # Each set probes its own size class and the one below; blocks of positions past the index prefix are skipped whole.
+    x = near.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
+    x, y = x.alias("x"), near.where(indexed).alias("y")
     slack = 1 - per_cent / 100 + 1e-9
     apart = (F.col("x.leader") == F.col("y.leader")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > slack)
-    # Lists meet in their own size class and the next; one of the two must be outside the list's main component.
+    # One of the two must be outside the list's main component.
+    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.doc_id") < F.col("x.doc_id")))
     met = x.join(
         y,
         (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size_class") == F.col("y.size_class"))
         & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.major") & F.col("y.major") & (F.col("x.leader") == F.col("y.leader")))
-        & _possible(per_cent, "x", "y") & ~F.coalesce(apart, F.lit(False)),
+        & smaller & _possible(per_cent, "x", "y") & ~F.coalesce(apart, F.lit(False)),
     )
     pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
     done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))

@@ -47,7 +47,7 @@ def record(page_id: int | None, url: str, html: str) -> bytes:
         f"WARC-Record-ID: <urn:uuid:{name}>\r\nWARC-Target-URI: {url}\r\n"
         f"Content-Type: text/html\r\nContent-Length: {len(body)}\r\n\r\n"
     )
-    return gzip.compress(head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n", 1, mtime=0)
+    return gzip.compress(head.encode("utf-8", "surrogatepass") + body + b"\r\n\r\n", 6, mtime=0)
 
 
 def write_archives(pages: DataFrame, folder: str, files: int) -> DataFrame:
@@ -63,7 +63,7 @@ def write_archives(pages: DataFrame, folder: str, files: int) -> DataFrame:
             return pd.DataFrame(rows, columns=[c.split()[0] for c in INDEX.split(", ")]).astype({"page_id": "Int64"})
 
         for batch in batches:
-            for file_no, page_id, url, html in zip(batch["file_no"], batch["page_id"], batch["url"], batch["html"], strict=True):
+            for file_no, page_id, url, raw in zip(batch["file_no"], batch["page_id"], batch["url"], batch["raw"], strict=True):
                 if file_no != now:
                     if out:
                         out.close()
@@ -71,7 +71,6 @@ def write_archives(pages: DataFrame, folder: str, files: int) -> DataFrame:
                     now, path, rows, at = file_no, f"pages-{file_no:06d}-{uuid.uuid4().hex}.warc.gz", [], 0
                     out = store.open_output_stream(f"{base}/{path}", compression=None)
                 page_id = None if pd.isna(page_id) else int(page_id)
-                raw = record(page_id, url, html)
                 out.write(raw)
                 rows.append((file_no, path, len(rows) + 1, page_id, url, at, len(raw)))
                 at += len(raw)
@@ -79,7 +78,16 @@ def write_archives(pages: DataFrame, folder: str, files: int) -> DataFrame:
             out.close()
             yield index()
 
-    dealt = with_files(pages, files).repartition(count, "file_no").sortWithinPartitions("file_no", "page_id", "url", "html")
+    def compress(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            ids = [None if pd.isna(x) else int(x) for x in batch["page_id"]]
+            batch["raw"] = [record(*x) for x in zip(ids, batch["url"], batch["html"], strict=True)]
+            batch["page_id"] = batch["page_id"].astype("Int64")
+            yield batch[["file_no", "page_id", "url", "raw"]]
+
+    # Records are compressed before they are dealt to files.
+    made = with_files(pages, files).mapInPandas(compress, "file_no long, page_id long, url string, raw binary")
+    dealt = made.repartition(count, "file_no").sortWithinPartitions("file_no", "page_id", "url", "raw")
     return stored(dealt.mapInPandas(write, INDEX), "warc-index")
 
 

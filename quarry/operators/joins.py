@@ -89,9 +89,18 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
 
     Candidates share one of the n - ceil(j n) + 1 rarest tokens of both (every pair of that
     similarity does), so lists stay short; equal token lists are one class before the join.
+
+    Two kinds of rows: pairs of the classes' representatives (their least ids; `copy` is false), and
+    for every other member of a class one row (representative, member; 0 bits, Jaccard 1; `copy` is
+    true). Members are near whatever their representative is near; those pairs aren't listed. Texts
+    without ASCII tokens and rows without an id have no row.
     """
-    tokens = texts.select(F.col(key).alias("id"), T.ascii_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    classes = tokens.groupBy(F.xxhash64("tokens").alias("h")).agg(F.min(F.struct("id", "tokens")).alias("r"))
+    tokens = texts.select(F.col(key).alias("id"), T.ascii_tokens(F.col(text)).alias("tokens")).where((F.size("tokens") > 0) & F.col("id").isNotNull())
+    tokens = tokens.select("id", "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
+    classes = tokens.groupBy("h", "h2").agg(F.min(F.struct("id", "tokens")).alias("r"))
+    ranges = tokens.groupBy("h", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).where("first_id < last")
+    members = tokens.select("id", "h", "h2").join(ranges.drop("last"), ["h", "h2"]).where("id > first_id")
+    members = members.select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
     sets = classes.select(F.col("r.id").alias("id"), F.array_distinct("r.tokens").alias("set"))
     words = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
     common = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
@@ -106,9 +115,10 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
     one = signed.select(F.col("id").alias("first_id"), F.col("set").alias("a"), F.col("sim").alias("sa"))
     two = signed.select(F.col("id").alias("second_id"), F.col("set").alias("b"), F.col("sim").alias("sb"))
     both = pairs.join(one, "first_id").join(two, "second_id")
-    return both.select(
+    near = both.select(
         "first_id", "second_id", T.hamming(F.col("sa"), F.col("sb")).alias("bits"), T.jaccard(F.col("a"), F.col("b")).alias("jaccard")
     ).where((F.col("bits") <= most_bits) & (F.col("jaccard") >= least_jaccard))
+    return near.withColumn("copy", F.lit(False)).unionByName(members)
 
 
 def greedy_matches(expected: DataFrame, observed: DataFrame, key: str) -> DataFrame:

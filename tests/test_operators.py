@@ -161,6 +161,14 @@ def test_simhash_pairs(spark):
     assert got == [(1, 2)]
 
 
+def test_simhash_pairs_keep_copies(spark):
+    base, alone = " ".join(f"w{k}" for k in range(400)), " ".join(f"z{k}" for k in range(400))
+    rows = [(1, base), (2, base + " extra"), (3, base.upper() + "!"), (4, base + " é"), (None, base)] + [(k, alone) for k in range(10, 60)] + [(10, alone)]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = sorted((r["first_id"], r["second_id"], r["copy"]) for r in J.simhash_pairs(df, "id", "t").collect())
+    assert got == [(1, 2, False), (1, 3, True), (1, 4, True)] + [(10, k, True) for k in range(11, 60)]
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("﻿héllo".encode())
     (tmp_path / "b.pdf").write_bytes(b"%PDF-1.7")

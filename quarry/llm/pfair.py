@@ -4,10 +4,15 @@ Each source's documents, in doc_id order, form blocks. The i-th block of a sourc
 of weight w may be placed from slot floor(i / w) on and before slot
 ceil((i + 1) / w); the block of the earliest deadline goes first. Then at every slot
 each source has been given less than one block more or less than its weight's
-share. With whole-number weights that add up to Q the schedule repeats every Q
-slots, so one period is scheduled and every block's slot follows from its number:
-nothing but a period's pattern, and one count for each source and range of ids, is
-held outside of Spark's tables.
+share. Weights are never rounded: a float is a fraction, so all of them are whole
+numbers over one denominator, and windows are computed from these.
+
+What is given at a slot depends only on how many blocks each source was given
+before. The driver runs through the schedule once (a few microseconds a block, so
+its time grows with the number of blocks) and keeps these counts at every SEGMENT-th
+slot; tasks run the segments of their own blocks again. One count for each source
+and segment, and one for each source and range of ids, is all that is held outside
+of Spark's tables.
 
 When a source has no blocks left a new phase begins in which the others share its
 weight in proportion. The mixture proper ends when the sources left hold less than
@@ -18,15 +23,19 @@ Numbering within a source goes by ranges of doc_id, so a source with a third of
 rows is numbered by as many tasks as there are ranges.
 
 Edge cases: a null source counts as the empty name; a null doc_id sorts first; equal
-doc_ids keep any order among themselves; a source without a given weight gets none
+doc_ids keep any order among themselves; a deadline past the greatest long is that
+long; a source without a given weight gets none
 and its documents no slot (null, outside the mixture); without given weights each
 source has the square root of its documents; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -36,68 +45,85 @@ from pyspark.sql import functions as F
 from .common import id_ranges, partitions
 
 BLOCK_DOCS = 8
-PERIOD = 2000
+SEGMENT = 4096
+LAST = (1 << 63) - 1
 SCHEDULE = "doc_id long, source string, block long, place int, phase int, slot long, release long, deadline long, in_mixture boolean"
 
 
-def period(shares: dict[str, int]) -> dict[str, np.ndarray]:
-    """Slots, within one period of sum(shares) slots, of each source's blocks."""
-    import heapq
-
-    total = sum(shares.values())
-    out: dict[str, list[int]] = {s: [] for s in shares}
-    waiting = [(0, s) for s in sorted(shares)]  # by release
+def dealt(shares: list[int], given: list[int], first: int, slots: int) -> np.ndarray:
+    """Which source each of the next slots goes to, after `given` blocks of each in the first ones."""
+    if len(shares) == 1:
+        return np.zeros(slots, np.int32)
+    total, n, out = sum(shares), list(given), np.empty(slots, np.int32)
+    waiting = [(n[k] * total // share, k) for k, share in enumerate(shares)]  # by release
     heapq.heapify(waiting)
-    ready: list[tuple[int, str]] = []  # by deadline
-    for slot in range(total):
+    ready: list[tuple[int, int]] = []  # by deadline
+    for slot in range(first, first + slots):
         while waiting and waiting[0][0] <= slot:
-            _, s = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(len(out[s]) + 1) * total // shares[s]), s))
-        _, s = heapq.heappop(ready)
-        out[s].append(slot)
-        if len(out[s]) < shares[s]:
-            heapq.heappush(waiting, (len(out[s]) * total // shares[s], s))
-    return {s: np.array(x, np.int64) for s, x in out.items()}
+            _, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(n[k] + 1) * total // shares[k]), k))
+        _, k = heapq.heappop(ready)
+        out[slot - first] = k
+        n[k] += 1
+        heapq.heappush(waiting, (n[k] * total // shares[k], k))
+    return out
 
 
 @dataclass
 class Phase:
     first_slot: int
-    total: int
     shares: dict[str, int]
     first_block: dict[str, int]
-    slots: dict[str, np.ndarray]
+    given: np.ndarray  # blocks of each source before each segment
     inside: bool
 
+    def segment(self, at: int) -> dict[str, tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each source: the first block of a segment, and its blocks' slots, releases and deadlines."""
+        before, first, total = self.given[at].tolist(), at * SEGMENT, sum(self.shares.values())
+        slots = int(self.given[at + 1].sum()) - first
+        order, out = dealt(list(self.shares.values()), before, first, slots), {}
+        for k, (s, share) in enumerate(self.shares.items()):
+            places = np.flatnonzero(order == k) + first
+            numbers = range(before[k], before[k] + len(places))
+            release = np.array([i * total // share for i in numbers], np.int64)
+            deadline = np.array([min(-(-(i + 1) * total // share), LAST - self.first_slot) for i in numbers], np.int64)
+            out[s] = (before[k], places + self.first_slot, release + self.first_slot, deadline + self.first_slot)
+        return out
+
 
 def phases(blocks: dict[str, int], shares: dict[str, int]) -> list[Phase]:
     """The phases of the schedule, from the number of blocks of each source."""
-    left = {s: n for s, n in blocks.items() if n > 0 and shares.get(s, 0) > 0}
+    left = {s: n for s, n in sorted(blocks.items()) if n > 0 and shares.get(s, 0) > 0}
     done, slot, whole, out = dict.fromkeys(left, 0), 0, sum(shares[s] for s in left), []
     while left:
         now = {s: shares[s] for s in left}
-        total = sum(now.values())
-        pattern = period(now)
-        full = min(left[s] // now[s] for s in left)
-        out.append(Phase(slot, total, now, {s: done[s] for s in now}, pattern, 2 * total >= whole))
-        # Whole periods, then as far as the slot in which the first source runs out.
-        rest = {s: left[s] - full * now[s] for s in now}
-        if min(rest.values()) == 0:
-            stop = 0
-        else:
-            stop = min(int(pattern[s][rest[s] - 1]) + 1 for s in now if rest[s] <= now[s])
-        for s in now:
-            given = full * now[s] + int(np.searchsorted(pattern[s], stop))
-            done[s] += given
-            left[s] -= given
-        slot += full * total + stop
+        most, ended = np.array(list(left.values()), np.int64), False
+        given = [np.zeros(len(now), np.int64)]
+        while not ended:
+            slots = min(SEGMENT, int((most - given[-1]).sum()))
+            order = dealt(list(now.values()), given[-1].tolist(), SEGMENT * (len(given) - 1), slots)
+            # As far as the slot in which the first source runs out.
+            for k, n in enumerate((most - given[-1]).tolist()):
+                places = np.flatnonzero(order == k)
+                if len(places) >= n:
+                    order, ended = order[: places[n - 1] + 1], True
+            given.append(given[-1] + np.bincount(order, minlength=len(now)))
+        out.append(Phase(slot, now, {s: done[s] for s in now}, np.stack(given), 2 * sum(now.values()) >= whole))
+        for s, n in zip(now, given[-1].tolist(), strict=True):
+            done[s] += n
+            left[s] -= n
+        slot += int(given[-1].sum())
         left = {s: n for s, n in left.items() if n}
     return out
 
 
-def whole_shares(weights: dict[str, float], about: int = PERIOD) -> dict[str, int]:
-    total = sum(weights.values())
-    return {s: max(1, round(w / total * about)) for s, w in weights.items() if w > 0}
+def whole_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    parts = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    over = math.lcm(*[x.denominator for x in parts.values()])
+    whole = {s: int(x * over) for s, x in parts.items()}
+    common = math.gcd(*whole.values()) or 1
+    return {s: x // common for s, x in whole.items()}
 
 
 def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, int]]:
@@ -131,6 +157,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
     which = {s: [k for k, p in enumerate(plan) if s in p.shares] for s in totals}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        segments: dict[tuple[int, int], dict] = {}
         for batch in batches:
             out = batch[["doc_id", "source"]].copy()
             out["doc_id"] = out["doc_id"].astype("Int64")
@@ -144,11 +171,18 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
                 k = np.searchsorted(starts[s], number[at] // block, "right") - 1
                 for j in np.unique(k):
                     some, phase = at[k == j], plan[which[s][j]]
-                    i, share = number[some] // block - phase.first_block[s], phase.shares[s]
+                    i = number[some] // block - phase.first_block[s]
+                    part = np.searchsorted(phase.given[:, list(phase.shares).index(s)], i, "right") - 1
+                    for g in np.unique(part):
+                        if (which[s][j], g) not in segments:
+                            if len(segments) >= 64:
+                                segments.clear()
+                            segments[which[s][j], g] = phase.segment(int(g))
+                        mine = part == g
+                        first, *columns = segments[which[s][j], g][s]
+                        for c, x in zip(("slot", "release", "deadline"), columns, strict=True):
+                            made[c][some[mine]] = x[i[mine] - first]
                     made["phase"][some] = which[s][j]
-                    made["slot"][some] = phase.first_slot + i // share * phase.total + phase.slots[s][i % share]
-                    made["release"][some] = phase.first_slot + i * phase.total // share
-                    made["deadline"][some] = phase.first_slot - (-(i + 1) * phase.total // share)
                     inside[some], known[some] = phase.inside, True
             for c, x in made.items():
                 out[c] = pd.array(x, dtype="Int32" if c == "phase" else "Int64")

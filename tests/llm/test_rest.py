@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -74,6 +75,24 @@ def test_schedule_keeps_windows_and_deviation(spark):
         assert (g["block"] * 4 + g["place"]).tolist() == list(range(len(g))), s
 
 
+def test_schedule_follows_the_given_weights():
+    """Over many blocks, measured against the weights themselves, also one of less than a two-thousandth."""
+    for weights in ({"a": 2.0, "b": 1.0}, {"a": 1.0, "b": 3.0**0.5, "c": 0.1, "d": 1e-4, "e": 7.0}):
+        total = sum(map(Fraction, weights.values()))
+        share = [float(Fraction(w) / total) for w in weights.values()]
+        plan = pfair.phases(dict.fromkeys(weights, 50_000), pfair.whole_shares(weights))[0]
+        placed = [[] for _ in weights]
+        for at in range(len(plan.given) - 1):
+            for k, (first, slots, release, deadline) in enumerate(plan.segment(at).values()):
+                assert first == len(placed[k]) and (release <= slots).all() and (slots < deadline).all()
+                placed[k] += slots.tolist()
+        n = sum(map(len, placed))
+        assert n > 60_000 and sorted(x for p in placed for x in p) == list(range(n))
+        for k, p in enumerate(placed):
+            given = np.cumsum(np.bincount(p, minlength=n))
+            assert np.abs(given - np.arange(1, n + 1) * share[k]).max() < 1 + 1e-9
+
+
 def test_schedule_odd_tables(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, None), (2, "b")], "doc_id long, source string")
     assert pfair.schedule(df, {"a": 1.0}).where("slot IS NULL").count() == 2

@@ -3,7 +3,9 @@
 A page is cut into flat blocks at block-level tags. Each block gets its word
 count and link density, those of the blocks before and after it, whether it is a
 heading, whether it lies in the page's article, and whether a tag around it names
-a page part such as a menu or an advert. A decision tree, grown here from the
+a page part such as a menu or an advert (the article's own tag never does). Within
+a block, the text of an inline element that names one is left out, unless the block
+has no other. A decision tree, grown here from the
 small labelled table below, keeps or drops each block.
 
 Pages are independent, so Spark maps over them with no shuffle; the work in a task
@@ -11,8 +13,9 @@ is linear in its pages.
 
 Edge cases: null or empty html gives the empty text; a page cut off in the middle
 is read as far as it goes, an unfinished tag at its end is dropped, an unfinished
-script or comment reaches to the end; tags that are never closed end with the
-element around them; repeated rows are each extracted; only page_id, url and html
+script or comment reaches to the end; a head ends where its content can't belong to
+it, as at text, <body> or a block; tags that are never closed end with the element
+around them; repeated rows are each extracted; only page_id, url and html
 are read.
 """
 
@@ -30,7 +33,11 @@ from pyspark.sql import functions as F
 RESULT = "page_id long, url string, text string, n_chars long"
 
 #: Text in these is never shown as text.
-HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "title", "head")
+HIDDEN = ("script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "title")
+#: Elements without content.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What a head may hold; anything else ends it, closed or not.
+METADATA = frozenset("base basefont bgsound link meta noframes".split())
 #: Page parts by their tag.
 PARTS = frozenset("nav footer aside form dialog menu button".split())
 #: Page parts by a word of class, id or role.
@@ -179,22 +186,34 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, heading, in the article, in a page part) of each block with text."""
     out, parts, shown, linked = [], [], 0, 0
     stack: list[tuple[str, int, int]] = []  # tag, page parts and articles around, itself included
-    part = article = heading = link = own = 0
+    part = article = heading = link = own = head = 0
+    aside, depth, hid, hid_shown, hid_linked = "", 0, [], 0, 0  # an open inline page part: tag, open ones of its name; its texts
 
     def close():
-        nonlocal shown, linked, own
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
-            if text:
-                out.append((text, text.count(" ") + 1, linked / max(shown, 1), int(heading > 0), int(article > 0), int(part > 0 or own > 0)))
-            parts.clear()
-        shown = linked = own = 0
+        nonlocal shown, linked, own, aside, depth, hid_shown, hid_linked
+        text = " ".join(unescape("".join(parts)).split())
+        if not text and hid:  # nothing but page parts
+            text, shown, linked, own = " ".join(unescape("".join(hid)).split()), hid_shown, hid_linked, 1
+        if text:
+            out.append((text, text.count(" ") + 1, linked / max(shown, 1), int(heading > 0), int(article > 0), int(part > 0 or own > 0)))
+        parts.clear()
+        hid.clear()
+        aside, depth = "", 0
+        shown = linked = own = hid_shown = hid_linked = 0
 
     for m in _TOKEN.finditer(html):
         text = m["text"]
         if text is not None:
-            parts.append(text)
+            if head and not text.strip():
+                continue
+            head = 0
             n = len(text) - text.count(" ")
+            if depth:
+                hid.append(text)
+                hid_shown += n
+                hid_linked += n * (link > 0)
+                continue
+            parts.append(text)
             shown += n
             if link:
                 linked += n
@@ -205,7 +224,15 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                 close()
             continue
         tag, rest = tag.lower(), m["rest"] or m["rest2"] or ""
+        if tag == "head":
+            head = int(not (m["end"] or m["end2"]))
+            continue
+        if tag not in METADATA and not (m["end"] or m["end2"]):
+            head = 0
         if m["end"] or m["end2"]:
+            if tag == aside:
+                depth -= 1
+                aside = aside if depth else ""
             if tag == "a":
                 link = 0
             elif tag in BLOCKS:
@@ -230,17 +257,19 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             link = 0
             heading = int(tag in HEADINGS)
             if tag in CONTAINERS:
-                inside = tag in PARTS or names or (tag == "header" and not article)
+                inside = tag in PARTS or (names and tag not in ARTICLE) or (tag == "header" and not article)
                 if tag not in ("body", "html"):
                     part, article = part + inside, article + (tag in ARTICLE)
                 if not rest.endswith("/"):
                     stack.append((tag, part, article))
             else:
-                own = int(names)
+                own = int(names and tag not in VOID)
         elif tag == "br":
-            parts.append(" ")
-        elif names:
-            own = 1
+            (hid if depth else parts).append(" ")
+        elif tag == aside:
+            depth += 1
+        elif names and not depth and tag not in VOID and not rest.endswith("/"):
+            aside, depth = tag, 1
     close()
     return out
 

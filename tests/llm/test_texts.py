@@ -245,6 +245,20 @@ def test_main_text(html, text):
     assert boilerplate.main_text(html, boilerplate.labelled_tree()) == text
 
 
+@pytest.mark.parametrize("html,text", [
+    ("<html><head><title>t</title><meta charset=utf-8><script>if (a<b) '<p>'</script><body><article><p>In.</p></article>", "In."),
+    ("<head><title>t</title><link rel=x><article><p>In.</p></article>", "In."),
+    ("<head><style>p{}</style></head><body><article><p>In.</p></article>", "In."),
+    ("<article class='post has-sidebar'><p>One.</p></article>", "One."),
+    ("<main class=with-header role=main><p>One.</p><div class=sidebar><p>no</p></div></main>", "One."),
+    ("<article><p>See <span class='notice'>a <span>b</span> c</span> the <a class='related' href=1>text</a> <img class=social>here.</p></article>", "See the text here."),
+    ("<article><p><span class=notice>open <b>x</b></p><p>Next.</p></article>", "Next."),
+    ("<article><p>One.</p><span class=ad>Buy this now</span><hr class=social>Two.</article>", "One.\nTwo."),
+])
+def test_nothing_else_is_left_out(html, text):
+    assert boilerplate.main_text(html, boilerplate.labelled_tree()) == text
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "clash"), (None, None, None, None), (1, "u", "<article><p>é</p></article>", "clash")],
                                "page_id long, url string, html string, text string")

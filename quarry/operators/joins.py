@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,19 +64,56 @@ def paired(a: DataFrame, b: DataFrame, key: str, value: str, eps: float = 1e-9)
     )
 
 
-def nearest(queries: DataFrame, table: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """Exact cosine top k of each query: a stated, bounded set of queries against all rows.
+def nearest(queries: DataFrame, table: DataFrame, k: int, query_block: int = 4096, block: int = 8192) -> DataFrame:
+    """Exact cosine top k of each query, any number of queries against all rows.
 
-    queries(query_id, vector), table(id, vector). At most `most_queries` queries are sent to every
-    task (their number is checked); every task keeps k rows of each.
+    queries(query_id, vector), table(id, vector). Both are dealt into blocks by a hash of their ids;
+    every block of queries meets every block of rows, which keeps k rows of each query. As in
+    `vectors.cosine`, unequal lengths and zero vectors score 0; a missing vector or element makes the
+    score null, which comes last.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: search them in parts")
-    left = queries.select("query_id", F.col("vector").alias("__q"))
-    scored = table.crossJoin(F.broadcast(left)).where(F.col("query_id") != F.col("id"))
-    scored = scored.select("query_id", "id", F.round(V.cosine(F.col("__q"), F.col("vector")), 6).alias("score"))
-    return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+    # Two numbers.
+    asks, blocks = max(1, -(-queries.count() // query_block)), max(1, -(-table.count() // block))
+    kinds = queries.schema["query_id"].dataType.simpleString(), table.schema["id"].dataType.simpleString()
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.where("query_id IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    left = left.withColumn("ask", F.pmod(F.xxhash64("query_id"), F.lit(asks)).cast("int")).withColumn("block", every(blocks))
+    right = table.where("id IS NOT NULL").select("id", F.col("vector").cast("array<double>").alias("vector"))
+    right = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("ask", every(asks))
+    found = left.groupBy("ask", "block").cogroup(right.groupBy("ask", "block")).applyInPandas(
+        lambda a, b: _nearest_in_block(a, b, k), f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    )
+    return top_k(found.withColumn("score", F.round("score", 6)), "query_id", [F.desc("score"), F.asc("id")], k)
+
+
+def _nearest_in_block(queries: pd.DataFrame, rows: pd.DataFrame, k: int, chunk: int = 256) -> pd.DataFrame:
+    """The k best rows of a block for each query of a block, by score rounded to 6 digits, then id."""
+    if not len(queries) or not len(rows):
+        return pd.DataFrame({"query_id": queries["query_id"][:0], "id": rows["id"][:0], "score": pd.Series(dtype="float64")})
+    size = lambda vectors: np.array([-1 if v is None else len(v) for v in vectors])
+    rows = rows.sort_values("id", kind="stable")
+    ids, lengths, out = rows["id"].to_numpy(), size(rows["vector"]), []
+    missing = np.flatnonzero(lengths < 0)
+    for length, asked in queries.groupby(size(queries["vector"])):
+        same = np.flatnonzero(lengths == length)
+        x = np.stack(rows["vector"].to_numpy()[same]) if length > 0 and len(same) else None
+        for at in range(0, len(asked), chunk):
+            some = asked.iloc[at : at + chunk]
+            scores = np.full((len(some), len(ids)), np.nan if length < 0 else 0.0)
+            if x is not None:
+                q = np.stack(some["vector"])
+                n = np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    scores[:, same] = np.where(n == 0, 0.0, (q @ x.T) / n)
+            scores[:, missing] = np.nan
+            for query, score in zip(some["query_id"], scores, strict=True):
+                order = np.where(np.isnan(score), np.inf, -np.round(score, 6))
+                mine = np.flatnonzero(ids != query)
+                if len(mine) > k:  # with all that tie with the last, then the smaller ids
+                    mine = mine[order[mine] <= np.partition(order[mine], k - 1)[k - 1]]
+                mine = mine[np.argsort(order[mine], kind="stable")][:k]
+                out.append((np.full(len(mine), query), ids[mine], score[mine]))
+    return pd.DataFrame(dict(zip(("query_id", "id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
 def top_k(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:

@@ -161,6 +161,25 @@ def test_simhash_pairs(spark):
     assert got == [(1, 2)]
 
 
+def test_nearest_of_many_queries(spark):
+    """More queries than one block or the earlier limit of 10,000, ties, and vectors without a cosine."""
+    point = F.pmod(F.col("id") * 37, F.lit(360)).cast("double") * 0.0174532925
+    rows = spark.range(30).select("id", F.array(F.cos(point), F.sin(point)).alias("vector"))
+    odd = spark.createDataFrame([(100, None), (101, [0.0, 0.0]), (102, [1.0]), (103, [1.0, None])], "id long, vector array<double>")
+    table = rows.unionByName(odd).unionByName(rows.where("id = 3").withColumn("id", F.lit(50).cast("long")))
+    many = spark.range(400).withColumnRenamed("id", "n")
+    queries = table.crossJoin(F.broadcast(many)).select((F.col("id") + 1000 * F.col("n")).alias("query_id"), "vector")
+    assert queries.count() > 10_000
+    q = queries.select("query_id", F.col("vector").alias("v"))
+    want = table.crossJoin(q).where("query_id <> id").select("query_id", "id", F.round(V.cosine(F.col("v"), F.col("vector")), 6).alias("score"))
+    want = J.top_k(want, "query_id", [F.desc("score"), F.asc("id")], 3)
+    rows_of = lambda df: sorted(((r["query_id"], r["rank"], r["id"], r["score"]) for r in df.collect()), key=lambda r: r[:2])
+    assert rows_of(J.nearest(queries, table, 3)) == rows_of(want)
+    small = queries.where("query_id < 1000")
+    assert rows_of(J.nearest(small, table, 34, 7, 5)) == rows_of(J.nearest(small, table, 34))
+    assert J.nearest(queries.limit(0), table, 3).count() == 0 and J.nearest(small, table.limit(0), 3).count() == 0
+
+
 def test_simhash_pairs_keep_copies(spark):
     base, alone = " ".join(f"w{k}" for k in range(400)), " ".join(f"z{k}" for k in range(400))
     rows = [(1, base), (2, base + " extra"), (3, base.upper() + "!"), (4, base + " é"), (None, base)] + [(k, alone) for k in range(10, 60)] + [(10, alone)]

@@ -40,11 +40,29 @@ def diverse(df: DataFrame, query: str, group: str, order: list[Column], cap: int
 def two_pass(df: DataFrame, query: str, company: str, item: str, score: str, top: int = 10, item_cap: int = 2) -> DataFrame:
     """Greedy choice: one of a company in the first pass, two in the second, `item_cap` of an item.
 
-    Order-dependent, so each query's candidates (bounded by the search's limit) go to one function.
+    Order-dependent, so each query's candidates go to one function, but only rows that can be chosen:
+    four cuts by Spark each take out rows that the choice always passes over (what is passed over
+    changes nothing else), and leave a number that depends on `top` and `item_cap` alone.
+
+    1. `item_cap` rows of an item and company, and no more than two, can be chosen.
+    2. At most top / item_cap items are used up, so what they close in a company is bounded.
+    3. Before an item is used up, its rows are passed over only for companies that have been chosen.
+    4. A pass ends after `top` choices; what it passes over until then is bounded by 2 and 3.
     """
+    each = min(2, item_cap)
+    per_company = 2 + each * (top // item_cap)
+    per_item = item_cap + each * top + top
+    most = top * per_company + (top // item_cap) * per_item + top
+    order = [F.desc(score), F.asc(item), F.asc(company)]
+
+    def first(rows: DataFrame, n: int, *by: str) -> DataFrame:
+        return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= n).drop("__n")
+
+    df = first(first(df, each, query, company, item), per_company, query, company)
+    df = first(first(df, per_item, query, item), most, query)
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([score, item], ascending=[False, True])
+        rows = rows.sort_values([score, item, company], ascending=[False, True, True]).reset_index(drop=True)
         chosen, per_company, per_item = [], {}, {}
         for cap in (1, 2):
             for at, r in rows.iterrows():

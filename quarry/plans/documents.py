@@ -88,8 +88,7 @@ def job_diverse_select(t: Tables) -> DataFrame:
 
 @query()
 def two_pass_diversity(t: Tables) -> DataFrame:
-    top = J.top_k(t.documents.select("lang", "source", "doc_id", "n_chars"), "lang", [F.desc("n_chars"), F.asc("doc_id")], 300).drop("rank")
-    return W.two_pass(top, "lang", "source", "doc_id", "n_chars")
+    return W.two_pass(t.documents.select("lang", "source", "doc_id", "n_chars"), "lang", "source", "doc_id", "n_chars")
 
 
 @query("""

@@ -1,5 +1,8 @@
 """Operators whose rules the tables' texts don't reach."""
 
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from quarry.functions import parse as P
@@ -15,6 +18,7 @@ from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.operators import scoring as S
 from quarry.operators import windows as W
+from quarry.plans import registry
 from quarry.sources import records
 from quarry.streaming import events as E
 
@@ -119,6 +123,27 @@ def test_windows(spark):
     assert split.groupBy("g").agg(F.countDistinct("split").alias("n")).where("n > 1").count() == 0
 
 
+def test_two_pass_sees_every_company(spark, tmp_path):
+    rows = [("en", "hot", k, 10_000 - k) for k in range(400)] + [("en", f"s{k % 12}", 1000 + k, 500 - k) for k in range(60)]
+    spark.createDataFrame(rows, "lang string, source string, doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["two_pass_diversity"](spark, str(tmp_path)).orderBy("rank").collect()
+    assert [r["source"] for r in got] == ["hot", *[f"s{k}" for k in range(9)]]
+    # Items that many companies share, against the greedy choice over all rows.
+    rng = random.Random(4)
+    for companies, items in ((4, 3), (6, 40), (60, 4), (3, 500)):
+        rows = [(rng.randrange(companies), rng.randrange(items), rng.randrange(50)) for _ in range(600)]
+        want, used, times = [], Counter(), Counter()
+        for cap in (1, 2):
+            for at, (c, i, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1], r[0]))):
+                if len(want) < 10 and at not in {x[0] for x in want} and used[c] < cap and times[i] < 2:
+                    want.append((at, c, i))
+                    used[c] += 1
+                    times[i] += 1
+        df = spark.createDataFrame([("q", *r) for r in rows], "q string, co long, id long, s long")
+        got = [(r["co"], r["id"]) for r in W.two_pass(df, "q", "co", "id", "s").orderBy("rank").collect()]
+        assert got == [x[1:] for x in want]
+
+
 def test_metrics(spark):
     ranks = spark.createDataFrame([("c", "x", 1), ("c", "y", 2), ("c", "x", 3), ("d", "z", 1)], "case_id string, id string, rank int")
     judged = spark.createDataFrame([("c", "y", 2), ("c", "w", 1), ("d", "z", 0)], "case_id string, id string, grade int")

@@ -257,7 +257,11 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
     marks = stored(bitmap(shared, "shingle"), "shared-shingles")
     sized = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent)).cast("int")
     listed = in_bitmap(entries, "shingle", marks).withColumn("size_class", sized)
-    listed = listed.join(copies.select(F.col("a").alias("doc_id")).distinct(), "doc_id", "left_anti")
+    # An id that has other texts as well stays in the lists for these.
+    text = F.struct("key1", "key2", "n")
+    several = real.groupBy("doc_id").agg(F.min(text).alias("least"), F.max(text).alias("most")).where(F.col("least") != F.col("most"))
+    gone = copies.select(F.col("a").alias("doc_id")).distinct().join(several.select("doc_id"), "doc_id", "left_anti")
+    listed = listed.join(gone, "doc_id", "left_anti")
     lists = stored(listed, "lists")
     keys = ["shingle", "size_class"]
     labels, links, compared = components(copies), copies, None

@@ -228,6 +228,13 @@ def test_shingle_sets_odd_tables(spark):
     assert set_join.near_components(df.limit(0)).count() == 0
 
 
+def test_shingle_sets_of_an_id_with_two_texts(spark):
+    a, b = " ".join(f"a{k}" for k in range(200)), " ".join(f"b{k}" for k in range(200))
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " end"), (9, "x y z x y z")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in set_join.near_components(df).collect()}
+    assert got == {(1, 1), (5, 1), (7, 1), (9, 9)}
+
+
 # Pages
 
 

@@ -9,6 +9,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+MAX_BITS = 1 << 27
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,3 +62,34 @@ def id_ranges(df: DataFrame, column: str, count: int, out: str = "bucket") -> Da
 
 def code_points(column):
     return F.length(F.coalesce(column, F.lit("")))
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """Bitmap of hashed keys: at most bits / 32768 rows of 4 KB."""
+    at = F.pmod(F.col(key), F.lit(bits))
+    return (
+        keys.select(at.alias("at"))
+        .groupBy(F.bitmap_bucket_number("at").alias("map_no"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
+    )
+
+
+def in_bitmap(rows: DataFrame, key: str, marks: DataFrame, bits: int) -> DataFrame:
+    """Rows whose key's bit is set. The bitmap's size is bounded, so it is sent to every task."""
+    at = F.pmod(F.col(key), F.lit(bits))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("map_no"))
+    return joined.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("map", "map_no")
+
+
+def having(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """The rows whose hashed key is among the stored keys, and up to one in 16 of the others.
+
+    As a bitmap of 16 bits a key that every task holds (16 MB at most), or as a join when the keys are more.
+    """
+    count = keys.count()
+    if 16 * count > MAX_BITS:
+        return rows.join(keys.distinct().hint("merge"), key, "left_semi")
+    bits = 1 << max(20, (16 * count - 1).bit_length())
+    return in_bitmap(rows, key, stored(bitmap(keys, key, bits), "bitmap"), bits)

@@ -9,8 +9,9 @@ Method, in DataFrame functions only:
    grouped minimum, so a line with any number of copies is one row a task.
 2. Two lines within the bound share their first or their last floor((L - 1) / 2)
    words, L being the longer one's length. Lines that share neither with another
-   line can't have a neighbour. What is shared is kept as a bitmap of a fixed size
-   (hash collisions only add candidates), which every task tests its lines against.
+   line can't have a neighbour. What is shared is kept as a bitmap, sized by its count
+   (hash collisions only add candidates), which every task tests its lines against;
+   past the largest bitmap it is a join.
 3. Each candidate emits its variants within the bound as hashed keys: the line
    without its i-th word, once with i (two such lines differ by a substitution) and
    once as a plain line (to meet a line that is one word shorter). All members of a
@@ -34,10 +35,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import having, stored
 
 MIN_WORDS = 8
-BITS = 1 << 26
 _FIRST = -(1 << 63)
 _MASK = (1 << 40) - 1
 _RUN = 256
@@ -61,25 +61,6 @@ def halves(w: Column) -> Column:
     return F.array(*out)
 
 
-def bitmap(keys: DataFrame, key: str) -> DataFrame:
-    """Fixed-size bitmap of hashed keys: at most BITS / 32768 rows of 4 KB."""
-    at = F.pmod(F.col(key), F.lit(BITS))
-    return (
-        keys.select(at.alias("at"))
-        .groupBy(F.bitmap_bucket_number("at").alias("map_no"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
-    )
-
-
-def in_bitmap(rows: DataFrame, key: str, marks: DataFrame) -> DataFrame:
-    """Rows whose key's bit is set. The bitmap's size is fixed, so it is sent to every task."""
-    at = F.pmod(F.col(key), F.lit(BITS))
-    place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    joined = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("map_no"))
-    return joined.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("map", "map_no")
-
-
 def running(values: Column) -> Column:
     """Sums of all values before each place, and after the last; runs of _RUN keep it linear."""
     runs = F.transform(
@@ -172,13 +153,12 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         listed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where(F.col("low") != F.col("high"))
     )
-    marks = stored(bitmap(shared, "half"), "shared-halves")
+    shared = stored(shared.select("half"), "shared-halves")
     place = F.xxhash64("id", "line_no")
-    wanted = in_bitmap(listed, "half", marks).select("at", "h1").distinct().select("at.id", "at.line_no", "at", "h1")
+    wanted = having(listed, "half", shared).select("at", "h1").distinct().select("at.id", "at.line_no", "at", "h1")
     wanted = stored(wanted.withColumn("place", place), "wanted-places")
     # The words of these lines: other lines are passed over before they are split.
-    places = stored(bitmap(wanted, "place"), "wanted-bitmap")
-    met_lines = in_bitmap(lines_of(docs).withColumn("place", place), "place", places).select("id", "line_no", "line")
+    met_lines = having(lines_of(docs).withColumn("place", place), "place", wanted.select("place")).select("id", "line_no", "line")
     candidates = met_lines.join(wanted, ["id", "line_no"]).select("at", "h1", words_in(F.col("line")).alias("words"))
     candidates = stored(candidates.where(F.xxhash64("words") == F.col("h1")).dropDuplicates(["at", "h1"]), "near-candidates")
 
@@ -187,8 +167,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         keyed.select("key", "h1").groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
         .where(F.col("low") != F.col("high"))
     )
-    met_marks = stored(bitmap(met, "key"), "met-keys")
-    meeting = stored(in_bitmap(keyed.select("key", "role", "at"), "key", met_marks), "meeting-variants")
+    met = stored(met.select("key"), "met-keys")
+    meeting = stored(having(keyed.select("key", "role", "at"), "key", met), "meeting-variants")
     first = meeting.groupBy("key").agg(
         *[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first_{r}") for r in ("s", "p", "d")]
     )
@@ -227,25 +207,26 @@ def repeated_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.where(F.struct("id", "line_no") > F.col("at")).select("id", "line_no")
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """The documents without their near-duplicate lines, with n_lines and n_dropped added."""
+def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
+    """The documents without their near-duplicate lines, all columns; `counts` adds n_lines and n_dropped
+    (in place of columns of these names)."""
     lines = hashed_lines(docs)
     firsts = first_places(lines)
     gone = repeated_lines(lines, firsts).unionByName(near_lines(docs, firsts))
-    drops = gone.groupBy(F.col("id").alias("__id")).agg(F.collect_set("line_no").alias("__drops"))
-    joined = docs.withColumn("__key", place_id(docs)).join(drops, F.col("__key") == F.col("__id"), "left")
-    lines = F.split("text", "\n", -1)
+    drops = gone.groupBy("id").agg(F.collect_set("line_no").alias("drops"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = docs.select(place_id(docs).alias("key"), row.alias("row")).join(drops, F.col("key") == F.col("id"), "left")
+    lines = F.split("row.text", "\n", -1)
     none = F.array().cast("array<int>")
     kept = F.transform(
-        F.array(F.struct(lines.alias("l"), F.coalesce("__drops", none).alias("d"))),
+        F.array(F.struct(lines.alias("l"), F.coalesce("drops", none).alias("d"))),
         lambda x: F.array_join(
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["d"]), lambda i: F.get(x["l"], i)), "\n"),
     )[0]
-    out = joined.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn(
-        "n_dropped", F.coalesce(F.size("__drops"), F.lit(0)).cast("long")
-    )
-    text = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(kept)
-    return out.withColumn("text", text).drop("__key", "__id", "__drops")
+    text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(kept)
+    made = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long")} if counts else {}
+    carried = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in made]
+    return joined.select(*carried, *[c.alias(name) for name, c in made.items()])
 
 
 #: The same rows from SQL: the words of lines joined as they are, no hashes.

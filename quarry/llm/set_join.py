@@ -4,29 +4,30 @@ Two documents link when the Jaccard similarity of their shingle sets reaches a
 threshold. Exact, at any size of groups:
 
 1. Copies (equal sets) are one class; only one document of each is joined.
-2. Shingles are ordered rare first, by a fixed-size table of counts over all
-   documents, then by hash. Two sets that link share a shingle among the first
-   n - ceil(t n) + 1 of each (prefix filter). Only shingles that two sets have in
-   their prefixes are listed.
-3. An index list holds (set, size, position) by shingle and size class. A pair can
-   only link if both have enough shingles left from that position on: the smaller
-   set within a shorter prefix, so a list's block of positions past that is never
-   indexed, and within it each entry is skipped by its position and both sizes.
-4. Set relations: each list has a leader, its most typical set. All other members
-   are first compared with the leader alone, so a group of near copies costs one
-   comparison each. From these answers the rest follow: sets in one component need
-   no comparison, and as 1 - Jaccard is a metric, members whose distances to the
-   leader differ by more than 1 - t can't link. What remains between components is
-   compared exactly. Lists whose sets are all in one component are skipped.
+2. Answers by set relations: sets that share two of their four least shingle hashes
+   are likely alike, so each first meets the most typical set of such a group, its
+   leader, alone. A group of near copies costs one comparison each. From these answers
+   others follow: sets in one component need no comparison, and as 1 - Jaccard is a
+   metric, sets whose distances to one leader differ by more than 1 - t can't link.
+3. Shingles are ordered rare first, by a table of counts over all documents, then by
+   hash. Two sets that link share a shingle among the first n - ceil(t n) + 1 of each
+   (prefix filter). Index lists hold (set, size, position) by shingle, for shingles in
+   the prefixes of two components; others can't tell anything new.
+4. A set at a position reaches partners of a bounded size only (what is left of it
+   must hold the overlap). Lists are blocks by size; a set visits the blocks between
+   its least possible partner and its reach there, and skips the others whole; only
+   positions that reach the set's own size are indexed. What meets is compared exactly.
 5. Components come from repeated minimum labels with pointer jumping.
 
-Nothing grows with the square of a group, and nothing but the table of counts and
-bitmaps of fixed sizes is sent to all tasks.
+Nothing grows with the square of a group of copies or near copies. Tables that grow
+with the input are never broadcast; bitmaps, labels and the table of counts are only
+up to a fixed size, and shuffled or made coarser beyond it.
 
 Edge cases: null or empty text has no shingles and links with nothing; with fewer
 words than a shingle has, the whole sequence is one; rows that share a doc_id share
-a component; a null doc_id has no component (null); very long texts are hashed
-whole; an empty table gives an empty result; other columns are ignored.
+a component, each with its own links; a null doc_id has no component (null); very
+long texts are hashed whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -37,16 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-from .line_dedup import bitmap, in_bitmap
+from .common import having, stored
 
-SLOTS = 1 << 22
+MAX_SLOTS = 1 << 23
 CHUNK = 1 << 14
-GROUPS = 64
+FAN_IN = 64
 STARS = 2
+MARKS = 4
+SIZES = 2
 BYTES = 1_000_000
 SENT_LABELS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -107,8 +109,8 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[size == k].reset_index(drop=True)
 
 
-def shingle_counts(docs: DataFrame, width: int, slots: int = SLOTS) -> np.ndarray:
-    """How many of all documents' shingles fall in each slot of a table of fixed size."""
+def shingle_counts(docs: DataFrame, width: int, slots: int) -> np.ndarray:
+    """How many of all documents' shingles fall in each slot of a table."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(slots, np.uint32)
@@ -116,19 +118,22 @@ def shingle_counts(docs: DataFrame, width: int, slots: int = SLOTS) -> np.ndarra
             hashed, _ = shingle_sets(list(batch["text"]), width)
             np.add.at(table, (hashed % np.uint64(slots)).astype(np.int64), 1)
         if table.any():
-            group = TaskContext.get().partitionId() % GROUPS
-            yield pd.DataFrame([(group, at, _packed(table[at : at + CHUNK])) for at in range(0, slots, CHUNK)], columns=["grp", "chunk", "counts"])
+            task = TaskContext.get().partitionId()
+            yield pd.DataFrame([(task, at, _packed(table[at : at + CHUNK])) for at in range(0, slots, CHUNK)], columns=["grp", "chunk", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(_unpacked(x) for x in pdf["counts"])
-        return pd.DataFrame({"grp": [-1], "chunk": [pdf["chunk"][0]], "counts": [_packed(total)]})
-
-    shape = "grp int, chunk int, counts binary"
-    # Two levels of sums: a group holds one task of each GROUPS, then one row of each group.
-    parts = docs.select("text").mapInPandas(count, shape)
-    rows = parts.groupBy("grp", "chunk").applyInPandas(add, shape).groupBy("chunk").applyInPandas(add, shape).collect()
+        return pd.DataFrame({"grp": [pdf["grp"][0] // FAN_IN], "chunk": [pdf["chunk"][0]], "counts": [_packed(total)]})
+
+    shape = "grp long, chunk int, counts binary"
+    # A group holds FAN_IN arrays of CHUNK slots at most; the groups are added again until one is left.
+    parts, more = docs.select("text").mapInPandas(count, shape), True
+    while more:
+        up = F.floor(F.col("grp") / FAN_IN).alias("up")
+        parts = stored(parts.groupBy(up, "chunk").applyInPandas(add, shape), "slot-counts")
+        more = parts.where("grp > 0").limit(1).count()
     out = np.zeros(slots, np.int64)
-    for r in rows:
+    for r in parts.collect():
         out[r["chunk"] : r["chunk"] + CHUNK] = _unpacked(r["counts"])
     return out
 
@@ -146,8 +151,8 @@ def _unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[2:]), "<" + raw[:2].decode()).astype(np.int64)
 
 
-def profiles(docs: DataFrame, width: int, per_cent: int, rarity: np.ndarray) -> DataFrame:
-    """Per document: n_shingles, a key that equal sets share, how typical its shingles are, its prefix."""
+def profiles(docs: DataFrame, width: int, per_cent: int, rarity: np.ndarray, *carried: str) -> DataFrame:
+    """Per document: n_shingles, a key that equal sets share, how typical its shingles are, its least hashes, its prefix."""
     slots = len(rarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -164,12 +169,13 @@ def profiles(docs: DataFrame, width: int, per_cent: int, rarity: np.ndarray) ->
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].astype("Int64"), "n": sizes,
                 "key1": (cum1[ends[1:]] - cum1[ends[:-1]]).view(np.int64), "key2": (cum2[ends[1:]] - cum2[ends[:-1]]).view(np.int64),
-                "typical": typical,
+                "typical": typical, "marks": [hashed[b : min(b + MARKS, e)].view(np.int64) for b, e in zip(ends[:-1], ends[1:], strict=True)],
                 "prefix": [ordered[b : b + p if e > b else b].view(np.int64) for b, e, p in zip(ends[:-1], ends[1:], prefix, strict=True)],
+                **{c: batch[c] for c in carried},
             })
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(
-        run, "doc_id long, n long, key1 long, key2 long, typical double, prefix array<long>"
+    return docs.select(F.col("doc_id").cast("long"), "text", *carried).mapInPandas(
+        run, "doc_id long, n long, key1 long, key2 long, typical double, marks array<long>, prefix array<long>" + "".join(f", {c} long" for c in carried)
     )
 
 
@@ -199,117 +205,131 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _possible(per_cent: int, a: str, b: str):
-    """Whether sets a and b can link, by sizes and by the shingles left from a shared one on."""
-    total = F.col(f"{a}.n") + F.col(f"{b}.n")
-    need = F.ceil(total * per_cent / (100 + per_cent) - 1e-9)
-    return (
-        (F.col(f"{a}.n") * 100 >= F.col(f"{b}.n") * per_cent) & (F.col(f"{b}.n") * 100 >= F.col(f"{a}.n") * per_cent)
-        & (F.col(f"{a}.n") - F.col(f"{a}.pos") >= need) & (F.col(f"{b}.n") - F.col(f"{b}.pos") >= need)
-    )
+def size_class(n: Column, per_cent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) * (SIZES / math.log(100 / per_cent))).cast("int")
+
+
+def reach(n: str, pos: str, per_cent: int) -> Column:
+    """The largest set that one of n shingles can link with if they share none before `pos`."""
+    return F.expr(f"(({n} - {pos}) * {100 + per_cent}) div {per_cent} - {n}")
 
 
 def sent(rows: DataFrame) -> DataFrame:
     """The rows for a broadcast join if there are few enough, else for a shuffled one."""
-    return F.broadcast(rows) if rows.limit(SENT_LABELS + 1).count() <= SENT_LABELS else rows
+    return F.broadcast(rows) if rows.limit(SENT_LABELS + 1).count() <= SENT_LABELS else rows.hint("merge")
 
 
-def labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists with each set's component so far (its own id where it has no link)."""
-    named = lists.join(sent(labels), lists["doc_id"] == labels["id"], "left").drop("id")
+def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows with each set's component so far (its own id where it has no link)."""
+    named = rows.join(sent(labels), rows["doc_id"] == labels["id"], "left").drop("id")
     return named.withColumn("component", F.coalesce("component", "doc_id"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, per_cent: int) -> DataFrame:
     """a, b, distance (1 - Jaccard), linked of pairs (a, b). Only the documents in some pair are shingled again."""
     pairs = stored(pairs, "pairs")
-    ids = stored(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), "doc_id"), "paired-ids")
-    sets = stored(sets_of(in_bitmap(docs.where(F.col("doc_id").isNotNull()), "doc_id", ids), width), "sets")
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b").select(
+    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "paired-ids")
+    sets = stored(sets_of(having(docs, "doc_id", ids), width), "sets")
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).hint("merge")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).hint("merge")
+    both = pairs.join(right, "b").join(left, "a").select(
         "a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("shared")
     )
     union = F.col("na") + F.col("nb") - F.col("shared")
     return both.select("a", "b", (1 - F.col("shared") / union).alias("distance"), (F.col("shared") * 100 >= union * per_cent).alias("linked"))
 
 
+def star_pairs(marked: DataFrame, labels: DataFrame, again: bool) -> DataFrame:
+    """(a, b): each set b and the leader a of sets that share two marks with it, where their components differ."""
+    keys = ["mark", "size_class"]
+    known = labelled(marked, labels)
+    top = F.max(F.struct("typical", "doc_id", "component")).alias("top")
+    groups = known.groupBy(*keys).agg(top, F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    if again:  # the most typical set that the group's leader has not drawn in
+        minor = known.join(groups.select(*keys, F.col("top.component").alias("major")).hint("merge"), keys)
+        groups = minor.where(F.col("component") != F.col("major")).groupBy(*keys).agg(top)
+    met = known.join(groups.select(*keys, "top").hint("merge"), keys).where(F.col("component") != F.col("top.component"))
+    both = met.groupBy(F.col("top.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("times"), F.max("few").alias("few"))
+    return both.where(F.col("few") | (F.col("times") >= 2)).select("a", "b")
+
+
+def list_pairs(lists: DataFrame, compared: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b) of sets in different components that may link, by the index lists and what is known of them."""
+    own = compared.select(F.col("a").alias("doc_id"), F.struct(F.lit(0.0).alias("distance"), F.col("a").alias("leader")).alias("told"))
+    told = compared.select(F.col("b").alias("doc_id"), F.struct("distance", F.col("a").alias("leader")).alias("told")).unionByName(own)
+    told = told.groupBy("doc_id").agg(F.min("told").alias("told")).select("doc_id", "told.distance", "told.leader")
+    near = lists.join(sent(told), "doc_id", "left").withColumn("reach", reach("n", "pos", per_cent))
+    least = F.ceil(F.col("n") * per_cent / 100 - 1e-9)
+    blocks = F.sequence(size_class(least, per_cent), size_class(F.least("n", "reach"), per_cent))
+    x = near.where(F.col("reach") >= least).withColumn("size_class", F.explode(blocks)).alias("x")
+    y = near.where("reach >= n").withColumn("size_class", size_class(F.col("n"), per_cent)).hint("merge").alias("y")
+    apart = (F.col("x.leader") == F.col("y.leader")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > 1 - per_cent / 100 + 1e-9)
+    met = x.join(
+        y,
+        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size_class") == F.col("y.size_class"))
+        & (F.col("x.component") != F.col("y.component")) & ~F.coalesce(apart, F.lit(False))
+        & ((F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.doc_id") < F.col("x.doc_id"))))
+        & (F.col("x.n") * per_cent <= F.col("y.n") * 100) & (F.col("y.n") <= F.col("x.reach")) & (F.col("x.n") <= F.col("y.reach")),
+    )
+    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(sent(done), ["a", "b"], "left_anti")
+
+
 def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, linked_to_other_text of every document."""
+    """doc_id, n_shingles, component_id of every document."""
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = shingle_counts(docs, width)
+    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        return _near(docs, width, per_cent)
+    # Ids with several rows: rows are joined by a number of their own, and rows of an id are linked.
+    rows = stored(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    known = rows.where("doc_id IS NOT NULL")
+    found = stored(_near(rows.select(F.when(F.col("doc_id").isNotNull(), F.col("row")).alias("doc_id"), "text", F.col("row")), width, per_cent, "row"), "row-components")
+    first = known.groupBy("doc_id").agg(F.min("row").alias("first"))
+    same = known.join(first, "doc_id").select(F.col("row").alias("a"), F.col("first").alias("b"))
+    links = found.where("component_id IS NOT NULL").select(F.col("row").alias("a"), F.col("component_id").alias("b"))
+    labels = components(links.unionByName(same))
+    least = labels.join(known.select("row", "doc_id"), F.col("id") == F.col("row")).groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = labels.join(least, "component").select(F.col("id").alias("row"), "component_id")
+    out = rows.select("row", "doc_id").join(found.select("row", "n_shingles"), "row").join(named, "row", "left")
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def _near(docs: DataFrame, width: int, per_cent: int, *carried: str) -> DataFrame:
+    """near_components of documents whose doc_ids differ (or are null); `carried` names a long column to keep."""
+    slots = min(MAX_SLOTS, 1 << max(16, (16 * docs.count()).bit_length()))
+    counts = shingle_counts(docs, width, slots)
     # Coarse classes: twice as many occurrences, one class later.
     rarity = np.floor(np.log2(counts + 1.0) * 2).astype(np.uint8)
-    base = stored(profiles(docs, width, per_cent, rarity), "profiles")
+    base = stored(profiles(docs, width, per_cent, rarity, *carried), "profiles")
     real = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = real.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    copies = real.join(classes.where("copies > 1"), ["key1", "key2", "n"]).where(F.col("doc_id") != F.col("rep"))
+    copies = real.select("doc_id", "key1", "key2", "n").join(classes.where("copies > 1"), ["key1", "key2", "n"]).where(F.col("doc_id") != F.col("rep"))
     copies = stored(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")), "copies")
+    gone = copies.select(F.col("a").alias("doc_id"))
 
-    # Shingles in two prefixes, then the lists of those alone.
-    # The smaller set of a pair that links has the shared shingle in a shorter prefix: only that part is indexed.
-    entries = real.select("doc_id", "n", "typical", F.posexplode("prefix").alias("pos", "shingle"))
-    indexed = F.col("n") - F.col("pos") >= F.ceil(F.col("n") * (2 * per_cent) / (100 + per_cent) - 1e-9)
-    shared = (
-        entries.groupBy("shingle").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max(indexed).alias("indexed"))
-        .where((F.col("low") != F.col("high")) & F.col("indexed"))
+    marked = real.select(
+        "doc_id", "typical", size_class(F.col("n"), per_cent).alias("size_class"), (F.size("marks") < MARKS).alias("few"), F.explode("marks").alias("mark")
     )
-    marks = stored(bitmap(shared, "shingle"), "shared-shingles")
-    sized = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / per_cent)).cast("int")
-    listed = in_bitmap(entries, "shingle", marks).withColumn("size_class", sized)
-    # An id that has other texts as well stays in the lists for these.
-    text = F.struct("key1", "key2", "n")
-    several = real.groupBy("doc_id").agg(F.min(text).alias("least"), F.max(text).alias("most")).where(F.col("least") != F.col("most"))
-    gone = copies.select(F.col("a").alias("doc_id")).distinct().join(several.select("doc_id"), "doc_id", "left_anti")
-    listed = listed.join(gone, "doc_id", "left_anti")
-    lists = stored(listed, "lists")
-    keys = ["shingle", "size_class"]
+    marked = stored(marked.join(sent(gone), "doc_id", "left_anti"), "marked")
     labels, links, compared = components(copies), copies, None
-    for _ in range(STARS):
-        known = labelled(lists, labels)
-        first = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "n", "pos", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-        if compared is None:
-            leaders = first.where("low != high")
-        else:  # the most typical set that the list's leader has not drawn in
-            major = first.where("low != high").select(*keys, F.col("top.component").alias("major"))
-            minor = known.join(major, keys).where(F.col("component") != F.col("major"))
-            leaders = minor.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "n", "pos", "component")).alias("top"))
-        met = known.join(leaders.select(*keys, "top"), keys).where(F.col("component") != F.col("top.component"))
-        met = met.select(F.struct("n", "pos").alias("x"), F.col("top").alias("l"), "doc_id").where(_possible(per_cent, "x", "l"))
-        pairs = met.select(F.col("l.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
-        new = stored(verified(pairs, docs, width, per_cent), "stars")
+    for k in range(STARS):
+        new = stored(verified(star_pairs(marked, labels, k > 0), docs, width, per_cent), "stars")
         compared = new if compared is None else compared.unionByName(new)
         linked = new.where("linked").select("a", "b")
         if linked.limit(1).count():
             links = links.unionByName(linked)
             labels = components(links)
 
-    # What is left: between components of a list, from its smaller ones to all.
-    known = labelled(lists, labels)
-    by_list = known.groupBy(*keys).agg(F.max(F.struct("typical", "doc_id", "component")).alias("top"), F.min("component").alias("low"), F.max("component").alias("high"))
-    spread = by_list.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low != high").select("shingle")
-    near = known.join(by_list.join(spread, "shingle").select(*keys, "top"), keys).select(
-        *keys, "doc_id", "n", "pos", "component", F.col("top.doc_id").alias("leader"), (F.col("component") == F.col("top.component")).alias("major"))
-    told = compared.select(F.col("a").alias("leader"), F.col("b").alias("doc_id"), "distance").groupBy("leader", "doc_id").agg(F.min("distance").alias("distance"))
-    near = near.join(sent(told), ["leader", "doc_id"], "left").withColumn("distance", F.when(F.col("doc_id") == F.col("leader"), 0.0).otherwise(F.col("distance")))
-    near = stored(near, "left-lists")
-    # Each set probes its own size class and the one below; blocks of positions past the index prefix are skipped whole.
-    x = near.withColumn("size_class", F.explode(F.array(F.col("size_class"), F.col("size_class") - 1)))
-    x, y = x.alias("x"), near.where(indexed).alias("y")
-    slack = 1 - per_cent / 100 + 1e-9
-    apart = (F.col("x.leader") == F.col("y.leader")) & (F.abs(F.col("x.distance") - F.col("y.distance")) > slack)
-    # One of the two must be outside the list's main component.
-    smaller = (F.col("y.n") < F.col("x.n")) | ((F.col("y.n") == F.col("x.n")) & (F.col("y.doc_id") < F.col("x.doc_id")))
-    met = x.join(
-        y,
-        (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.size_class") == F.col("y.size_class"))
-        & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.major") & F.col("y.major") & (F.col("x.leader") == F.col("y.leader")))
-        & smaller & _possible(per_cent, "x", "y") & ~F.coalesce(apart, F.lit(False)),
+    # Shingles in the prefixes of two components, and the lists of those alone.
+    entries = labelled(real.select("doc_id", "n", "prefix"), labels).select("doc_id", "n", "component", F.posexplode("prefix").alias("pos", "shingle"))
+    spread = entries.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.max(reach("n", "pos", per_cent) >= F.col("n")).alias("indexed")
     )
-    pairs = met.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    new = stored(verified(pairs.join(sent(done), ["a", "b"], "left_anti"), docs, width, per_cent), "rest")
+    shared = stored(spread.where("low != high AND indexed").select("shingle"), "shared-shingles")
+    lists = stored(having(entries, "shingle", shared).join(sent(gone), "doc_id", "left_anti"), "lists")
+    new = stored(verified(list_pairs(lists, compared, per_cent), docs, width, per_cent), "rest")
     fresh = new.where("linked").select("a", "b")
     labels = components(links.unionByName(fresh)) if fresh.limit(1).count() else labels
-    out = base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("id"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = base.select("doc_id", F.col("n").alias("n_shingles"), *carried).join(labels, F.col("doc_id") == F.col("id"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), *carried)

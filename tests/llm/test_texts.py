@@ -169,7 +169,9 @@ def test_lines(spark):
         rng.shuffle(lines)
         rows.append((k * 2, "\n".join(lines)))
     rows += [(1000 + k, t) for k, t in enumerate(ODD)]
-    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, key string, n_lines int").drop("n_lines")
+    df = spark.createDataFrame([(*r, "x", -7, [1]) for r in rows], "doc_id long, text string, key string, n_lines int, __drops array<int>")
+    same = line_dedup.dedup(df, counts=False)
+    assert same.columns == df.columns and same.where("n_lines <> -7 OR key <> 'x'").count() == 0
     got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.dedup(df).collect())
     assert got == sorted(deduped(rows))
     assert line_dedup.dedup(df.limit(0)).count() == 0
@@ -233,6 +235,10 @@ def test_shingle_sets_of_an_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b + " end"), (9, "x y z x y z")], "doc_id long, text string")
     got = {(r["doc_id"], r["component_id"]) for r in set_join.near_components(df).collect()}
     assert got == {(1, 1), (5, 1), (7, 1), (9, 9)}
+    near = b.replace("b3 ", "c3 ")
+    df = spark.createDataFrame([(3, a), (5, a), (5, b), (9, near), (12, a + " more"), (12, None), (None, a)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["component_id"]) for r in set_join.near_components(df).collect()]
+    assert len(rows) == 7 and set(rows) == {(3, 3), (5, 3), (9, 3), (12, 3), (None, None)}
 
 
 # Pages

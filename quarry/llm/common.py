@@ -6,10 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_BITS = 1 << 27
+MAX_BITS = 1 << 28
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,32 +64,38 @@ def code_points(column):
     return F.length(F.coalesce(column, F.lit("")))
 
 
-def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
-    """Bitmap of hashed keys: at most bits / 32768 rows of 4 KB."""
-    at = F.pmod(F.col(key), F.lit(bits))
-    return (
+def bitmap(keys: DataFrame, key: Column, bits: int) -> DataFrame:
+    """Bitmap of hashed keys: at most bits / 32768 rows of 1024 words."""
+    at = F.pmod(key, F.lit(bits))
+    maps = (
         keys.select(at.alias("at"))
         .groupBy(F.bitmap_bucket_number("at").alias("map_no"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("map"))
     )
+    word = lambda i: F.conv(F.hex(F.substring(F.col("map"), i * 4 + 1, F.lit(4))), 16, 10).cast("long")
+    signed = lambda i: F.pmod(word(i) + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    return maps.select("map_no", F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: signed(i).cast("int")).alias("words"))
 
 
-def in_bitmap(rows: DataFrame, key: str, marks: DataFrame, bits: int) -> DataFrame:
+def in_bitmap(rows: DataFrame, key: Column, marks: DataFrame, bits: int) -> DataFrame:
     """Rows whose key's bit is set. The bitmap's size is bounded, so it is sent to every task."""
-    at = F.pmod(F.col(key), F.lit(bits))
+    at = F.pmod(key, F.lit(bits))
     place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("map", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    bit = (F.lit(24) - (F.shiftright(place, 3) % 4) * 8 + place % 8).cast("int")
     joined = rows.join(F.broadcast(marks), F.bitmap_bucket_number(at) == F.col("map_no"))
-    return joined.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("map", "map_no")
+    return joined.where(F.getbit(F.get("words", F.shiftright(place, 5).cast("int")), bit) == 1).drop("words", "map_no")
 
 
 def having(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose hashed key is among the stored keys, and up to one in 16 of the others.
+    """The rows whose hashed key is among the stored keys, and up to one in 64 of the others.
 
-    As a bitmap of 16 bits a key that every task holds (16 MB at most), or as a join when the keys are more.
+    By two bitmaps of at least eight bits a key that every task holds (32 MB each at most), or as a join
+    when the keys are more.
     """
     count = keys.count()
-    if 16 * count > MAX_BITS:
+    if 8 * count > MAX_BITS:
         return rows.join(keys.distinct().hint("merge"), key, "left_semi")
-    bits = 1 << max(20, (16 * count - 1).bit_length())
-    return in_bitmap(rows, key, stored(bitmap(keys, key, bits), "bitmap"), bits)
+    bits = 1 << max(20, (8 * count - 1).bit_length())
+    for k in (F.col(key), F.xxhash64(key)):
+        rows = in_bitmap(rows, k, stored(bitmap(keys, k, bits), "bitmap"), bits)
+    return rows

@@ -48,7 +48,7 @@ CHUNK = 1 << 14
 FAN_IN = 64
 STARS = 2
 MARKS = 4
-SIZES = 2
+SIZES = 1
 BYTES = 1_000_000
 SENT_LABELS = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -258,7 +258,7 @@ def list_pairs(lists: DataFrame, compared: DataFrame, per_cent: int) -> DataFram
     own = compared.select(F.col("a").alias("doc_id"), F.struct(F.lit(0.0).alias("distance"), F.col("a").alias("leader")).alias("told"))
     told = compared.select(F.col("b").alias("doc_id"), F.struct("distance", F.col("a").alias("leader")).alias("told")).unionByName(own)
     told = told.groupBy("doc_id").agg(F.min("told").alias("told")).select("doc_id", "told.distance", "told.leader")
-    near = lists.join(sent(told), "doc_id", "left").withColumn("reach", reach("n", "pos", per_cent))
+    near = lists.join(sent(told), "doc_id", "left").withColumn("reach", reach("n", "pos", per_cent)).drop("pos")
     least = F.ceil(F.col("n") * per_cent / 100 - 1e-9)
     blocks = F.sequence(size_class(least, per_cent), size_class(F.least("n", "reach"), per_cent))
     x = near.where(F.col("reach") >= least).withColumn("size_class", F.explode(blocks)).alias("x")

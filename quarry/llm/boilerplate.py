@@ -2,11 +2,14 @@
 
 A page is cut into flat blocks at block-level tags. Each block gets its word
 count and link density, those of the blocks before and after it, whether it is a
-heading, whether it lies in the page's article, and whether a tag around it names
-a page part such as a menu or an advert (the article's own tag never does). Within
-a block, the text of an inline element that names one is left out, unless the block
-has no other. A decision tree, grown here from the
-small labelled table below, keeps or drops each block.
+heading, whether it lies in an element that the page marks as its article, and
+whether its own tag (1) or an element around it (2) is named like a page part such as
+a menu or an advert (the article's own tag never is). Within a block, the text of an
+inline element that is named so is left out, unless the block has no other. A decision
+tree, grown here from the small labelled table below, keeps or drops each block: a
+link between prose is part of the text, one beside other links is not; a paragraph
+named like a page part is prose if it is long among prose; pages that mark no article
+are decided by words and links alone.
 
 Pages are independent, so Spark maps over them with no shuffle; the work in a task
 is linear in its pages.
@@ -48,6 +51,8 @@ PART_WORDS = frozenset(
 )
 ARTICLE = frozenset(("article", "main"))
 CONTAINERS = PARTS | ARTICLE | frozenset("header section div table ul ol dl details figure blockquote body html".split())
+#: Those of them by which readers' comments go, however long.
+COMMENT_WORDS = frozenset("comment comments disqus replies reply respond".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | HEADINGS | frozenset("p li dt dd tr td th caption figcaption pre address hr fieldset legend option summary center thead tbody tfoot".split())
 
@@ -65,17 +70,17 @@ _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "part")
 
 #: Labelled blocks: the features above (article: 1 in it, 0 the page marks none, -1 outside the one it marks;
-#: part: 1 in a named page part), then 1 for main text.
+#: part: 1 own tag named like a page part, 2 in one), then 1 for main text.
 LABELLED = """
-1 1.0 0 0 1 1.0 0 -1 1 0
-2 1.0 1 1.0 3 1.0 0 -1 1 0
-1 1.0 2 1.0 8 0.0 0 -1 1 0
-9 0.0 1 1.0 12 0.0 0 -1 1 0
-4 0.0 9 0.0 60 0.0 0 -1 1 0
-12 0.0 40 0.0 0 0 0 -1 1 0
-25 0.1 80 0.0 0 0 0 -1 1 0
-60 0.0 30 0.0 5 0.0 0 -1 1 0
-3 0.0 50 0.0 70 0.0 1 -1 1 0
+1 1.0 0 0 1 1.0 0 -1 2 0
+2 1.0 1 1.0 3 1.0 0 -1 2 0
+1 1.0 2 1.0 8 0.0 0 -1 2 0
+9 0.0 1 1.0 12 0.0 0 -1 2 0
+4 0.0 9 0.0 60 0.0 0 -1 2 0
+12 0.0 40 0.0 0 0 0 -1 2 0
+25 0.1 80 0.0 0 0 0 -1 2 0
+60 0.0 30 0.0 5 0.0 0 -1 2 0
+3 0.0 50 0.0 70 0.0 1 -1 2 0
 14 0.0 6 0.0 0 0 0 -1 0 0
 6 0.3 0 0 10 0.0 0 -1 0 0
 45 0.0 3 0.0 8 0.0 0 -1 0 0
@@ -110,21 +115,16 @@ LABELLED = """
 35 0.3 4 0.0 1 1.0 0 1 0 1
 50 0.4 2 0.0 9 0.0 0 1 0 1
 6 0.0 2 1.0 2 1.0 1 1 0 1
-2 1.0 40 0.0 2 1.0 0 1 0 0
-3 1.0 2 1.0 4 1.0 0 1 0 0
-4 1.0 60 0.0 30 0.0 0 1 0 0
-6 0.9 80 0.0 5 0.9 0 1 0 0
-5 1.0 3 1.0 10 0.0 0 1 0 0
-6 0.0 60 0.0 20 0.1 0 1 1 0
-40 0.0 9 0.0 30 0.0 0 1 1 0
-2 0.0 70 0.0 90 0.0 0 1 1 0
-15 0.3 5 0.0 8 0.0 0 1 1 0
-4 0.0 100 0.0 6 0.0 1 1 1 0
-1 1.0 0 0 1 1.0 0 0 1 0
-11 0.0 3 1.0 60 0.0 0 0 1 0
-30 0.0 60 0.0 12 0.0 0 0 1 0
-5 0.0 80 0.0 50 0.0 1 0 1 0
-70 0.1 12 0.0 3 0.0 0 0 1 0
+6 0.0 60 0.0 20 0.1 0 1 2 0
+40 0.0 9 0.0 30 0.0 0 1 2 0
+2 0.0 70 0.0 90 0.0 0 1 2 0
+15 0.3 5 0.0 8 0.0 0 1 2 0
+4 0.0 100 0.0 6 0.0 1 1 2 0
+1 1.0 0 0 1 1.0 0 0 2 0
+11 0.0 3 1.0 60 0.0 0 0 2 0
+30 0.0 60 0.0 12 0.0 0 0 2 0
+5 0.0 80 0.0 50 0.0 1 0 2 0
+70 0.1 12 0.0 3 0.0 0 0 2 0
 1 1.0 1 1.0 2 1.0 0 0 0 0
 3 0.8 2 1.0 40 0.0 0 0 0 0
 6 0.7 50 0.0 2 1.0 0 0 0 0
@@ -147,6 +147,112 @@ LABELLED = """
 11 0.0 6 0.2 30 0.0 1 0 0 1
 18 0.0 12 0.0 40 0.0 0 0 0 1
 16 0.0 90 0.0 3 1.0 0 0 0 1
+1 1.0 3 1.0 2 1.0 0 1 0 0
+2 1.0 2 1.0 3 1.0 0 1 0 0
+3 1.0 2 1.0 40 0.0 0 1 0 0
+4 1.0 50 0.0 3 1.0 0 1 0 0
+5 1.0 60 0.0 4 1.0 0 1 0 0
+12 1.0 9 1.0 11 1.0 0 1 0 0
+9 0.9 70 0.0 10 1.0 0 1 0 0
+10 1.0 8 1.0 50 0.0 0 1 0 0
+2 1.0 3 1.0 0 0 0 1 0 0
+7 1.0 6 1.0 0 0 0 1 0 0
+3 1.0 60 0.0 50 0.0 0 1 0 1
+6 1.0 40 0.1 30 0.0 0 1 0 1
+15 1.0 20 0.0 90 0.1 0 1 0 1
+9 0.9 30 0.0 12 0.2 0 1 0 1
+25 0.8 12 0.0 60 0.0 0 1 0 1
+4 1.0 9 0.0 8 0.0 0 1 0 1
+5 1.0 10 0.0 0 0 0 1 0 1
+8 1.0 70 0.1 0 0 0 1 0 1
+5 1.0 80 0.0 60 0.0 1 1 0 1
+3 1.0 0 0 40 0.0 1 1 0 1
+8 1.0 30 0.1 25 0.2 1 1 0 1
+6 1.0 3 1.0 70 0.0 1 1 0 1
+2 1.0 5 1.0 30 0.1 1 1 0 1
+60 0.0 40 0.0 50 0.0 0 1 1 1
+45 0.1 30 0.0 20 0.1 0 1 1 1
+80 0.0 10 0.0 90 0.0 0 1 1 1
+35 0.0 60 0.0 0 0 0 1 1 1
+120 0.1 8 0.0 15 0.0 0 1 1 1
+6 0.0 40 0.0 60 0.0 0 1 1 0
+3 0.9 50 0.0 20 0.0 0 1 1 0
+12 0.2 70 0.0 30 0.0 0 1 1 0
+18 0.0 25 0.0 9 0.0 0 1 1 0
+22 0.8 30 0.0 40 0.0 0 1 1 0
+40 0.9 60 0.0 50 0.0 0 1 1 0
+2 1.0 3 1.0 3 1.0 0 1 1 0
+4 0.0 60 0.0 50 0.0 1 1 2 0
+80 0.0 60 0.0 70 0.0 0 1 2 0
+50 0.1 80 0.0 40 0.0 0 1 2 0
+9 0.0 30 0.0 30 0.0 0 0 1 0
+50 0.0 30 0.0 60 0.0 0 0 1 1
+70 0.1 50 0.0 40 0.0 0 0 1 1
+60 0.0 50 0.0 45 0.0 0 -1 1 0
+3 1.0 60 0.0 50 0.0 0 0 0 1
+5 1.0 45 0.0 80 0.1 0 0 0 1
+4 1.0 70 0.0 55 0.0 1 0 0 1
+4 1.0 2 1.0 60 0.0 0 0 0 0
+3 1.0 60 0.0 3 1.0 0 0 0 0
+12 0.9 10 1.0 9 1.0 0 0 0 0
+2 0.0 60 0.0 70 0.0 0 0 0 1
+5 0.0 30 0.0 25 0.0 0 0 0 1
+8 0.0 40 0.0 4 1.0 0 0 0 0
+9 0.0 5 0.5 6 0.0 0 0 0 0
+12 0.0 3 1.0 0 0 0 0 0 0
+7 0.0 0 0 3 1.0 0 0 0 0
+6 0.0 3 1.0 30 0.0 0 0 0 0
+13 0.0 2 1.0 55 0.0 0 0 0 0
+3 0.0 7 1.0 0 0 0 1 0 1
+3 0.0 5 1.0 2 0.0 0 1 0 1
+1 0.0 2 1.0 1 0.0 0 1 0 1
+6 0.0 1 1.0 4 0.0 0 1 0 1
+8 0.0 12 1.0 15 0.0 0 1 0 1
+14 0.0 4 1.0 40 0.0 0 1 0 1
+20 0.1 6 0.8 0 0 0 1 0 1
+30 0.0 3 1.0 2 0.0 0 1 0 1
+40 0.1 2 1.0 6 0.0 0 1 0 1
+64 0.0 9 1.0 3 0.0 0 1 0 1
+5 0.2 8 0.7 9 0.1 0 1 0 1
+2 0.0 20 0.6 1 0.0 0 1 0 1
+10 0.0 15 1.0 80 0.0 0 1 0 1
+4 0.3 30 0.5 7 0.2 0 1 0 1
+6 1.0 4 1.0 5 0.0 0 1 0 0
+4 0.0 2 1.0 3 0.0 0 0 0 0
+5 0.0 3 1.0 5 0.0 0 0 0 0
+2 0.0 1 1.0 2 0.0 0 0 0 0
+3 0.0 4 0.0 60 0.0 0 0 0 1
+2 0.0 5 0.0 40 0.0 0 0 0 1
+6 0.0 3 0.0 25 0.0 0 0 0 1
+3 0.0 44 0.0 22 0.0 0 0 0 1
+3 0.0 66 0.0 44 0.1 0 0 0 1
+2 1.0 28 0.0 0 0 0 0 0 0
+3 1.0 60 0.0 0 0 0 0 0 0
+7 1.0 90 0.1 0 0 0 0 0 0
+2 1.0 40 0.0 2 1.0 0 0 0 0
+4 1.0 70 0.0 5 1.0 0 0 0 0
+5 1.0 44 0.0 4 1.0 0 0 0 0
+3 1.0 22 0.0 60 0.0 0 0 0 1
+4 0.0 90 0.0 3 1.0 0 1 1 0
+6 0.1 40 0.0 5 1.0 0 1 1 0
+3 0.0 5 1.0 4 1.0 0 1 1 0
+9 0.0 12 0.0 7 1.0 0 1 1 0
+60 0.0 30 0.0 4 1.0 0 1 1 1
+45 0.0 60 0.0 6 1.0 0 1 1 1
+60 0.0 80 0.0 0 0 0 0 0 1
+35 0.0 50 0.0 0 0 0 0 0 1
+90 0.1 30 0.0 0 0 0 0 0 1
+50 0.0 0 0 0 0 0 0 0 1
+40 0.0 2 1.0 50 0.0 0 0 0 1
+30 0.0 3 1.0 70 0.0 0 0 0 1
+45 0.0 4 1.0 0 0 0 0 0 1
+5 0.0 30 0.0 3 1.0 0 1 0 1
+8 0.0 50 0.0 6 1.0 0 1 0 1
+12 0.0 20 0.1 9 1.0 0 1 0 1
+14 0.1 5 0.0 4 1.0 0 1 0 1
+7 0.0 4 1.0 4 1.0 0 1 0 1
+2 0.0 6 0.9 8 1.0 0 1 0 1
+10 0.2 9 0.0 2 0.8 0 1 0 1
 """
 
 
@@ -183,7 +289,7 @@ def judge(tree: tuple, features: tuple) -> bool:
 
 
 def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
-    """(text, words, link density, heading, in the article, in a page part) of each block with text."""
+    """(text, words, link density, heading, in the article, page part) of each block with text."""
     out, parts, shown, linked = [], [], 0, 0
     stack: list[tuple[str, int, int]] = []  # tag, page parts and articles around, itself included
     part = article = heading = link = own = head = 0
@@ -193,9 +299,9 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         nonlocal shown, linked, own, aside, depth, hid_shown, hid_linked
         text = " ".join(unescape("".join(parts)).split())
         if not text and hid:  # nothing but page parts
-            text, shown, linked, own = " ".join(unescape("".join(hid)).split()), hid_shown, hid_linked, 1
+            text, shown, linked, own = " ".join(unescape("".join(hid)).split()), hid_shown, hid_linked, 2
         if text:
-            out.append((text, text.count(" ") + 1, linked / max(shown, 1), int(heading > 0), int(article > 0), int(part > 0 or own > 0)))
+            out.append((text, text.count(" ") + 1, linked / max(shown, 1), int(heading > 0), int(article > 0), 2 if part else own))
         parts.clear()
         hid.clear()
         aside, depth = "", 0
@@ -247,9 +353,8 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                             link = heading = 0
                             break
             continue
-        names = bool(rest) and any(
-            w in PART_WORDS for found in _NAMED.findall(rest) for w in re.split(r"[\s_-]+", "".join(found).lower())
-        )
+        named = {w for found in _NAMED.findall(rest) for w in re.split(r"[\s_-]+", "".join(found).lower())} if rest else set()
+        names = not named.isdisjoint(PART_WORDS)
         if tag == "a":
             link = 1
         elif tag in BLOCKS:
@@ -263,7 +368,7 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                 if not rest.endswith("/"):
                     stack.append((tag, part, article))
             else:
-                own = int(names and tag not in VOID)
+                own = 0 if not names or tag in VOID else 2 - named.isdisjoint(COMMENT_WORDS)
         elif tag == "br":
             (hid if depth else parts).append(" ")
         elif tag == aside:

@@ -279,3 +279,45 @@ def test_pages(spark):
     assert got == [(0, "", 0), (1, "é", 1), (1, "é", 1)]
     assert boilerplate.extract(df.limit(0)).count() == 0
     assert boilerplate.main_text("<" * 5000 + "p '" * 2000, boilerplate.labelled_tree()) is not None
+
+
+P = "plain prose of an article that goes on for a good number of words and has no link in it at all, as prose does. "
+BARE = [  # blocks in plain divs, without any telling tag, and whether they are main text
+    ("<a href=1>Start</a>", 0), ("<a href=1>About us</a>", 0), ("<a href=1>All products</a>", 0), ("<a href=1>Sign in</a>", 0), ("Find it all here", 0),
+    ("A short head", 1), (P * 3, 1), (P * 2, 1), (P + "<a href=1>one link</a> " + P, 1), (P * 4, 1), ("Another head", 1), (P, 1), (P * 2, 1),
+    ("<a href=2>a linked line</a>", 1), (P * 3, 1), (P, 1), ("It ends so.", 1), (P * 2, 1),
+    ("<a href=1>Next story about things</a>", 0), ("<a href=1>Most read today</a>", 0), ("<a href=1>A third one to read</a>", 0),
+    ("<a href=1>Terms</a>", 0), ("<a href=1>Imprint</a>", 0), ("Made with care", 0),
+]
+MARKED = [  # blocks of an article, and whether they are main text
+    ("<h1>Title</h1>", 1), ("<p>Short.</p>", 1), (f"<p>{P}</p>", 1), (f"<p class=share>{P * 3}</p>", 1), ("<p class=share>Send this to friends</p>", 0),
+    ("<h2><a href=1>A linked head</a></h2>", 1), (f"<p>{P * 2}</p>", 1), ("<p><a href=3>A whole paragraph that is one link to the source</a></p>", 1), (f"<p>{P}</p>", 1),
+    ("<ul><li><a href=1>Story one</a></li>", 0), ("<li><a href=1>Story two</a></li>", 0), ("<li><a href=1>Story three</a></li></ul>", 0),
+    ("<p>A word.</p>", 1), ("<p>Eight words stand here before a link comes.</p>", 1), ("<p><a href=3>The link itself is here</a></p>", 1),
+    ("<p>Some more words.</p>", 1), (f"<p>{P * 5}</p>", 1), (f"<div class=comments><p>{P * 3}</p>", 0), ("<p>Me too</p></div>", 0), (f"<p class=comment>{P * 3}</p>", 0),
+    ("<p>And so it ends.</p>", 1), (f"<p>{P}</p>", 1), ("<h3>Part</h3>", 1), ("<p>1</p>", 1), ("<p>Two words</p>", 1), (f"<p><b>{P}</b></p>", 1),
+    (f"<aside><p>{P * 2}</p></aside>", 0), (f"<p>{P}</p>", 1), ("<p>Last.</p>", 1),
+]
+
+
+def test_blocks_by_words_and_links():
+    """Labelled by hand: tags alone don't tell these."""
+    tree = boilerplate.labelled_tree()
+    for blocks, page in ((BARE, "".join(f"<div>{x}</div>" for x, _ in BARE)), (MARKED, "<article>" + "".join(x for x, _ in MARKED) + "</article>")):
+        want = [" ".join(re.sub("<[^>]*>", "", x).split()) for x, main in blocks if main]
+        assert boilerplate.main_text(page, tree).split("\n") == want
+    used = set()
+
+    def walk(node):
+        if len(node) > 1:
+            used.add(boilerplate.FEATURES[node[0]])
+            walk(node[2])
+            walk(node[3])
+
+    walk(tree)
+    assert {"words", "links", "links_before", "links_after"} <= used
+
+
+def test_very_long_page():
+    page = "<article>" + f"<p>{P}</p>" * 20_000 + "</article>"
+    assert len(boilerplate.main_text(page, boilerplate.labelled_tree()).split("\n")) == 20_000

@@ -201,7 +201,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str | None = None, kind:
 
     dealt = (
         id_ranges(docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")), "doc_id", count)
-        .repartition(count, "bucket")
+        .repartitionById(count, "bucket")
         .sortWithinPartitions("bucket", "doc_id", "text")
     )
     # The manifest is committed by Spark: it names one attempt's file per range.
@@ -231,7 +231,7 @@ def read_documents(spark: SparkSession, manifest: DataFrame, folder: str) -> Dat
                             rows = []
                     yield _frame(rows)
 
-    named = with_starts(manifest).repartition(partitions(spark), "range")
+    named = with_starts(manifest).repartitionById(partitions(spark), F.col("range").cast("int"))
     return named.mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one that spark.checkpoint.dir names.
 
-    Where the setting is missing (tests on one machine) a temporary folder is
-    made and set, so that later calls share it.
+    Where the setting is missing on one machine (tests) a temporary folder is
+    made and set, so that later calls share it; on a cluster it must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -133,11 +133,14 @@ class Model:
         return forward_backward(self.emissions(words), words.owner, self.moves)
 
 
-def forward_backward(scores: np.ndarray, owner: np.ndarray, moves: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Posterior of each word's label; chains are runs of equal owners, starting from equal odds."""
+def forward_backward(scores: np.ndarray, owner: np.ndarray, moves: np.ndarray, block: int = BLOCK, pairs: bool = False):
+    """Posterior of each word's label; chains are runs of equal owners, starting from equal odds.
+
+    pairs: also the expected number of moves from each label to each, over all chains.
+    """
     n, k = scores.shape
     if not n:
-        return np.zeros((0, k))
+        return (np.zeros((0, k)), np.zeros((k, k))) if pairs else np.zeros((0, k))
     e = np.exp(scores - scores.max(axis=1, keepdims=True)).astype(np.float64) + 1e-30
     a = np.exp(moves - moves.max())
     starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -187,13 +190,20 @@ def forward_backward(scores: np.ndarray, owner: np.ndarray, moves: np.ndarray, b
         x[:m] = unit((x[:m] @ a) * e[begin[:m] + t])
         fwd[begin[:m] + t] = x[:m]
     out, y = np.empty((n, k)), tail.copy()
+    ahead = np.empty((n, k)) if pairs else None  # what a word and those after it make of its label
     for t in range(block - 1, -1, -1):
         m = active[t]
         if m:
             at = begin[:m] + t
             out[at] = fwd[at] * y[:m]
+            if pairs:
+                ahead[at] = e[at] * y[:m]
             y[:m] = unit((e[at] * y[:m]) @ a.T)
-    return unit(out)
+    if not pairs:
+        return unit(out)
+    left = np.flatnonzero(owner[1:] == owner[:-1])
+    both = fwd[left][:, :, None] * a[None] * ahead[left + 1][:, None, :]
+    return unit(out), (both / both.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
 def train(texts: list[str], labels: list[str], epochs: int = 3, length: int = 32, seed: int = 5, rate: float = 0.3) -> Model:
@@ -233,20 +243,18 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, length: int = 32
             scores = np.zeros((len(rows), k))
             for c in range(k):
                 scores[:, c] = np.bincount(whose, weights[index, c], len(rows))
-            odds = forward_backward(scores, chain, moves)
+            odds, expected = forward_backward(scores, chain, moves, pairs=True)
             error = -odds
             error[np.arange(len(rows)), truth[rows]] += 1
             touched, back = np.unique(index, return_inverse=True)
             gradient = np.stack([np.bincount(back, error[whose, c], len(touched)) for c in range(k)], axis=1) - 1e-3 * weights[touched]
             squares[touched] += (gradient**2).mean(axis=1)
             weights[touched] += rate * gradient / np.sqrt(squares[touched])[:, None]
-            # Transitions: observed less expected moves between neighbours, by their posteriors.
+            # Transitions: observed moves between neighbours less those expected.
             same = chain[1:] == chain[:-1]
             seen = np.zeros((k, k))
             np.add.at(seen, (truth[rows][:-1][same], truth[rows][1:][same]), 1)
-            pair = odds[:-1][same][:, :, None] * np.exp(moves - moves.max())[None] * odds[1:][same][:, None, :]
-            pair /= pair.sum(axis=(1, 2), keepdims=True)
-            step = (seen - pair.sum(axis=0)) / max(same.sum(), 1) - 1e-4 * moves
+            step = (seen - expected) / max(same.sum(), 1) - 1e-4 * moves
             moves_sq += step**2
             moves += 0.2 * step / np.sqrt(moves_sq)
     return model

@@ -3,10 +3,10 @@
 Archives are .warc.gz files, one gzip member per record, with an index of each
 record's offset and length. For every replica, each record's stored bytes are
 hashed; the hashes of up to FANOUT ordered offset ranges give the hash of the range
-that spans them, up to one root per file and on to one root of all files. Two
-replicas are compared from the root down: only the children of nodes that differ
-are looked at, so sound parts cost nothing beyond their top node, and what is left
-at the leaves are the records that are changed, cut off or missing.
+that spans them, up to one root per file and on to one root of all files. Each level
+is a table. Two replicas are compared from the root down: of the next level only the
+children of nodes that differ are joined, and with equal roots no other level is read.
+What is left at the leaves are the records that are changed, cut off or missing.
 
 Files are written and read by tasks of their own through the file system that their
 path names; a record is held in memory, never a file. The levels of the trees are
@@ -24,6 +24,7 @@ import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,7 +88,7 @@ def write_archives(pages: DataFrame, folder: str, files: int) -> DataFrame:
 
     # Records are compressed before they are dealt to files.
     made = with_files(pages, files).mapInPandas(compress, "file_no long, page_id long, url string, raw binary")
-    dealt = made.repartition(count, "file_no").sortWithinPartitions("file_no", "page_id", "url", "raw")
+    dealt = made.repartitionById(count, (F.col("file_no") % count).cast("int")).sortWithinPartitions("file_no", "page_id", "url", "raw")
     return stored(dealt.mapInPandas(write, INDEX), "warc-index")
 
 
@@ -132,7 +133,7 @@ def leaves(index: DataFrame, folder: str) -> DataFrame:
             if stream:
                 stream.close()
 
-    dealt = index.select("file_no", "path", "record_no", "offset", "length").repartition(count, "file_no").sortWithinPartitions("file_no", "offset")
+    dealt = index.select("file_no", "path", "record_no", "offset", "length").repartitionById(count, (F.col("file_no") % count).cast("int")).sortWithinPartitions("file_no", "offset")
     return dealt.mapInPandas(read, LEAVES)
 
 
@@ -141,52 +142,57 @@ def _tail(file_no: int, size: int, end: int) -> tuple:
     return (file_no, 0, "" if size <= end else str(size - end), "tail")
 
 
-def tree(leaf_rows: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """level, file_no, number, digest of all nodes; level 0 are the leaves, number is the place in the level."""
+@dataclass
+class Tree:
+    """The levels of a tree, the leaves first, the root last: file_no, number, digest of each node.
+
+    A node's number is its place in its level: within its file below `roots`, the level of the files'
+    roots, and among all nodes (file_no -1) from there on.
+    """
+
+    levels: list[DataFrame]
+    roots: int
 
-    def parents(nodes: DataFrame, level: int, *by: Column) -> DataFrame:
-        kids = F.transform(F.sort_array(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"])
-        up = nodes.groupBy(*by).agg(F.sha2(F.concat_ws("|", kids), 256).alias("digest"))
-        return stored(up.select(F.lit(level).alias("level"), "file_no", "number", "digest"), "nodes")
 
-    nodes = stored(leaf_rows.select(F.lit(0).alias("level"), "file_no", F.col("record_no").alias("number"), "digest"), "nodes")
-    out, level, deep = nodes, 0, True
+def tree(leaf_rows: DataFrame, fanout: int = FANOUT) -> Tree:
+    levels, roots = [stored(leaf_rows.select("file_no", F.col("record_no").alias("number"), "digest"), "nodes")], None
     while True:
+        nodes = levels[-1]
         most = nodes.agg(F.max("number")).first()[0] or 0
-        if deep and most == 0:  # one node per file: on to groups of files
-            deep, nodes = False, nodes.select("level", F.lit(-1).cast("long").alias("file_no"), F.col("file_no").alias("number"), "digest")
-            out = out.unionByName(nodes.withColumn("level", F.lit(level + 1)))
-            level += 1
+        if not most and roots is not None:
+            return Tree(levels, roots)
+        if not most:  # one node per file: on to groups of files
+            roots = len(levels)
+            levels.append(nodes.select(F.lit(-1).cast("long").alias("file_no"), F.col("file_no").alias("number"), "digest"))
             continue
-        if most == 0:
-            return out
-        level += 1
-        nodes = parents(nodes, level, F.col("file_no"), F.floor(F.col("number") / fanout).cast("long").alias("number"))
-        out = out.unionByName(nodes)
+        kids = F.transform(F.sort_array(F.collect_list(F.struct("number", "digest"))), lambda x: x["digest"])
+        up = nodes.groupBy("file_no", F.floor(F.col("number") / fanout).cast("long").alias("number"))
+        levels.append(stored(up.agg(F.sha2(F.concat_ws("|", kids), 256).alias("digest")), "nodes"))
 
 
 def audit(index: DataFrame, folder: str, replica: str, fanout: int = FANOUT) -> DataFrame:
     """Indexed records whose bytes differ between two replicas of the archives."""
-    one, two = tree(leaves(index, folder), fanout), tree(leaves(index, replica), fanout)
-    both = one.alias("a").join(
-        two.alias("b"), (F.col("a.level") == F.col("b.level")) & (F.col("a.file_no") == F.col("b.file_no")) & (F.col("a.number") == F.col("b.number"))
-    )
-    pairs = stored(both.select("a.level", "a.file_no", "a.number", F.col("a.digest").alias("first"), F.col("b.digest").alias("second")), "pairs")
-    top = pairs.agg(F.max("level")).first()[0]
-    if top is None:
-        return index.where(F.lit(False)).select("file_no", "record_no", "page_id", "url", "offset", "length", F.lit("").alias("kind"))
-    differ = pairs.where((F.col("level") == top) & (F.col("first") != F.col("second")))
-    over_files = pairs.where("file_no = -1").agg(F.min("level")).first()[0]
-    for level in range(top - 1, -1, -1):
-        below = pairs.where(F.col("level") == level)
-        if level == over_files - 1:  # a file's root has the file's number above
-            kin = differ.select(F.col("number").alias("file_no"))
-            differ = below.join(kin, "file_no", "left_semi")
-        else:
-            kin = differ.select("file_no", F.col("number").alias("up"))
-            differ = below.withColumn("up", F.floor(F.col("number") / fanout).cast("long")).join(kin, ["file_no", "up"], "left_semi").drop("up")
-        differ = differ.where(F.col("first") != F.col("second"))
-    kind = F.when(F.col("number") == 0, "extra").when(F.col("second") == "", "missing").when(F.col("first") == "", "restored").otherwise("changed")
+    return differing(index, tree(leaves(index, folder), fanout), tree(leaves(index, replica), fanout), fanout)
+
+
+def differing(index: DataFrame, one: Tree, two: Tree, fanout: int = FANOUT) -> DataFrame:
+    """The records below the nodes that differ between two trees of an index, found from the roots down."""
+    kin = None
+    for level in range(len(one.levels) - 1, -1, -1):
+        sides = [one.levels[level], two.levels[level]]
+        if kin is not None:  # children of nodes that differ
+            if level == one.roots - 1:
+                parent = [F.lit(-1).cast("long").alias("home"), F.col("file_no").alias("up")]
+            else:
+                parent = [F.col("file_no").alias("home"), F.floor(F.col("number") / fanout).cast("long").alias("up")]
+            sides = [nodes.select("*", *parent).join(kin, ["home", "up"], "left_semi").drop("home", "up") for nodes in sides]
+        a, b = (x.withColumnRenamed("digest", name) for x, name in zip(sides, ("first", "second"), strict=True))
+        differ = stored(a.join(b, ["file_no", "number"], "full").where(~F.col("first").eqNullSafe(F.col("second"))), "differing")
+        if not differ.limit(1).count():
+            return index.where(F.lit(False)).select("file_no", "record_no", "page_id", "url", "offset", "length", F.lit("").alias("kind"))
+        kin = differ.select(F.col("file_no").alias("home"), F.col("number").alias("up"))
+    second, first = F.coalesce("second", F.lit("")), F.coalesce("first", F.lit(""))
+    kind = F.when(F.col("number") == 0, "extra").when(second == "", "missing").when(first == "", "restored").otherwise("changed")
     found = differ.select("file_no", F.col("number").alias("record_no"), kind.alias("kind"))
     return found.join(index.drop("path"), ["file_no", "record_no"], "left").select(
         "file_no", "record_no", "page_id", "url", "offset", "length", "kind"
@@ -228,7 +234,7 @@ def rotted_copy(index: DataFrame, folder: str, replica: str, flips: Column, cuts
         finish(cut)
 
     rows = index.select("file_no", "path", "offset", "length", flips.alias("flip"), cuts.alias("cut"))
-    dealt = rows.repartition(count, "file_no").sortWithinPartitions("file_no", "offset")
+    dealt = rows.repartitionById(count, (F.col("file_no") % count).cast("int")).sortWithinPartitions("file_no", "offset")
     stored(dealt.mapInPandas(copy, "copied long"), "copied")
 
 

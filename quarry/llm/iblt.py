@@ -1,7 +1,7 @@
 """Document fingerprints as invertible Bloom lookup sketches.
 
-A text is a multiset of paragraph pieces: its lines, long lines cut at sentence
-ends. Each piece has a 64-bit digest (the n-th repeat of a piece has one of its
+A text is a multiset of paragraph pieces: its lines with what ends them, long lines
+cut at sentence ends and at 160 characters; every character is in a piece. Each piece has a 64-bit digest (the n-th repeat of a piece has one of its
 own). The sketch has a few cells; a digest is added to three of them, each
 holding a count, the xor of digests and the xor of their check hashes. The cells
 of two versions subtract; a cell that then holds one digest gives it up, which
@@ -39,7 +39,7 @@ from .common import id_ranges, partitions
 CELLS = 24
 GROWTH = 4
 ROUNDS = 16
-PIECE = re.compile(r"[^\n.!?]{1,160}[.!?]*")
+PIECE = re.compile(r"[^\n.!?]{1,160}[\n.!?]*|[\n.!?]+")
 RESULT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
     " near_edited double, near_next double, differing_edited long, differing_next long"
@@ -227,5 +227,5 @@ def fingerprint(docs: DataFrame, cells: int = CELLS, rows: int = 512) -> DataFra
                     ids.append(None if pd.isna(doc_id) else doc_id)
                     chars += len(text)
 
-    dealt = with_neighbours(docs).repartition(count, "bucket").sortWithinPartitions("bucket", "follows", "doc_id", "text")
+    dealt = with_neighbours(docs).repartitionById(count, "bucket").sortWithinPartitions("bucket", "follows", "doc_id", "text")
     return dealt.mapInPandas(run, RESULT)

@@ -207,9 +207,9 @@ def repeated_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     return met.where(F.struct("id", "line_no") > F.col("at")).select("id", "line_no")
 
 
-def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
-    """The documents without their near-duplicate lines, all columns; `counts` adds n_lines and n_dropped
-    (in place of columns of these names)."""
+def dedup(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+    """The documents without their near-duplicate lines, all columns, and the numbers of all and of dropped lines
+    under the names given (in place of columns of these names)."""
     lines = hashed_lines(docs)
     firsts = first_places(lines)
     gone = repeated_lines(lines, firsts).unionByName(near_lines(docs, firsts))
@@ -224,7 +224,7 @@ def dedup(docs: DataFrame, counts: bool = True) -> DataFrame:
             F.transform(F.array_except(F.sequence(F.lit(0), F.size(x["l"]) - 1), x["d"]), lambda i: F.get(x["l"], i)), "\n"),
     )[0]
     text = F.when(F.col("drops").isNull(), F.col("row.text")).otherwise(kept)
-    made = {"n_lines": F.coalesce(F.size(lines), F.lit(0)).cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long")} if counts else {}
+    made = {n_lines: F.coalesce(F.size(lines), F.lit(0)).cast("long"), n_dropped: F.coalesce(F.size("drops"), F.lit(0)).cast("long")}
     carried = [text.alias(c) if c.lower() == "text" else F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in made]
     return joined.select(*carried, *[c.alias(name) for name, c in made.items()])
 

@@ -196,6 +196,8 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, block: in
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK_DOCS) -> DataFrame:
     """The documents of the mixture, all columns; rows that share a doc_id and source go together."""
     chosen = schedule(docs, weights, block).where("in_mixture")
-    chosen = chosen.select(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.coalesce("source", F.lit("")) == F.col("__source"))
-    return docs.join(chosen, same, "left_semi")
+    chosen = chosen.select("doc_id", F.col("source").alias("from")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("id"), F.coalesce("source", F.lit("")).alias("source"))
+    kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("source") == F.col("from")), "left_semi")
+    return kept.select("row.*")

@@ -111,6 +111,19 @@ def test_audit_finds_what_was_damaged(spark):
     last = index.where("file_no = 2").orderBy(F.desc("record_no")).first()["page_id"]
     assert got == {(k, "changed") for k in (3, 77, 250) if k != last} | {(last, "missing")}
     assert fixity.audit(index, one, one).count() == 0
+    # Only what lies below nodes that differ is read: sound levels under a sound root are never opened.
+    sound, same = fixity.tree(fixity.leaves(index, one), 4), fixity.tree(fixity.leaves(index, one), 4)
+    same.levels[0] = None
+    assert len(sound.levels) > 3
+    sound.levels[:-1] = [None] * (len(sound.levels) - 1)
+    assert fixity.differing(index, sound, same, 4).count() == 0
+    # A leaf that one tree lacks is found too.
+    whole, short = fixity.tree(fixity.leaves(index, one), 4), fixity.tree(fixity.leaves(index, one).where("NOT (file_no = 1 AND record_no = 3)"), 4)
+    assert [(r["file_no"], r["record_no"], r["kind"]) for r in fixity.differing(index, whole, short, 4).collect()] == [(1, 3, "missing")]
+    odd = [(1, "u", "x" * 300_000, "clash"), (1, "u", "x" * 300_000, "clash"), (None, None, None, None)]
+    odd = spark.createDataFrame(odd, "page_id long, url string, html string, digest string")
+    twice = fixity.write_archives(odd, scratch(spark, "d"), 2)
+    assert twice.count() == 3
     none = fixity.write_archives(pages.limit(0), scratch(spark, "c"), 1)
     assert fixity.audit(none, one, two).count() == 0
 
@@ -123,6 +136,20 @@ def test_ranges(spark):
     assert all(x["b"] < y["a"] for x, y in zip(spans[1:], spans[2:]))
 
 
+def test_stages_carry_columns_of_any_name(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    names = ["gone", "__id", "__drops", "id", "row", "n_lines", "component_id", "from", "drops", "key"]
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    wide = wide.unionByName(wide.where("doc_id = 3")).unionByName(wide.where("doc_id = 4").withColumn("doc_id", F.lit(None).cast("long")))
+    plain = wide.select(*docs.columns)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, str(tmp_path))
+        assert out.columns == wide.columns, name
+        assert out.where(" OR ".join(f"`{n}` <> {k}" for k, n in enumerate(names))).count() == 0, name
+        assert sorted(out.select(*docs.columns).collect(), key=str) == sorted(stage(spark, plain, str(tmp_path)).collect(), key=str), name
+        assert stage(spark, wide.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     odd = spark.createDataFrame([(10_001, None, "en", "a", 0), (10_002, "", None, None, 0), (10_003, "!!! 123", "en", "a", 7)], docs.schema)

@@ -44,6 +44,13 @@ def test_fingerprints(spark):
     assert alone["near_next"] == 1.0
 
 
+def test_every_character_counts(spark):
+    pairs = ["???", "", "a\nb", "a\n\n\nb", "x", "x.", "\n", "y" * 500 + "!", "y" * 500]
+    assert ["".join(iblt.PIECE.findall(t)) for t in pairs] == pairs
+    df = spark.createDataFrame(list(enumerate(pairs)), "doc_id long, text string")
+    assert all(r["near_next"] < 1 for r in iblt.fingerprint(df).collect() if r["doc_id"] % 2 == 0 and r["doc_id"] < 8)
+
+
 def test_peeling_recovers_both_sides():
     a, b = ["x. y. z.", "x. q. z. r."], None
     made, ends = iblt.digests(a)
@@ -82,6 +89,36 @@ def test_forward_backward_in_blocks():
         assert np.allclose(got[owner == k], naive(scores[owner == k], moves))
 
 
+def test_expected_moves():
+    """Against all label sequences, and the gradient they give against differences."""
+    rng = np.random.default_rng(3)
+    scores, moves = rng.normal(0, 1, (5, 2)), rng.normal(0, 1, (2, 2))
+
+    def weigh(path, m):
+        return np.exp(sum(scores[t, y] for t, y in enumerate(path)) + sum(m[a, b] for a, b in itertools.pairwise(path)))
+
+    # The chain starts from equal odds and one move, which only scales the first word.
+    first = np.log(np.exp(moves).mean(axis=0))
+
+    def total(m):
+        return sum(weigh(p, m) * np.exp(first[p[0]]) for p in itertools.product(range(2), repeat=5))
+
+    _, got = crf.forward_backward(np.r_[scores, scores], np.repeat([0, 1], 5), moves, pairs=True)
+    want = np.zeros((2, 2))
+    for p in itertools.product(range(2), repeat=5):
+        for a, b in itertools.pairwise(p):
+            want[a, b] += weigh(p, moves) * np.exp(first[p[0]]) / total(moves)
+    assert np.allclose(got, 2 * want)
+    for a, b in itertools.product(range(2), repeat=2):
+        step = np.zeros((2, 2))
+        step[a, b] = 1e-5
+        assert np.isclose((np.log(total(moves + step)) - np.log(total(moves - step))) / 2e-5, want[a, b], atol=1e-6)
+    long_scores = rng.normal(0, 1, (200, 3))
+    _, one = crf.forward_backward(long_scores, np.zeros(200, int), np.eye(3), pairs=True)
+    _, other = crf.forward_backward(long_scores, np.zeros(200, int), np.eye(3), block=7, pairs=True)
+    assert np.allclose(one, other) and np.isclose(one.sum(), 199)
+
+
 SYLLABLES = {"aa": ["ka", "ti", "mo", "ke"], "bb": ["str", "ung", "ach", "ber"], "cc": ["eau", "oi", "ment", "que"]}
 
 
@@ -170,8 +207,8 @@ def test_lines(spark):
         rows.append((k * 2, "\n".join(lines)))
     rows += [(1000 + k, t) for k, t in enumerate(ODD)]
     df = spark.createDataFrame([(*r, "x", -7, [1]) for r in rows], "doc_id long, text string, key string, n_lines int, __drops array<int>")
-    same = line_dedup.dedup(df, counts=False)
-    assert same.columns == df.columns and same.where("n_lines <> -7 OR key <> 'x'").count() == 0
+    same = line_dedup.dedup(df, "a", "b")
+    assert same.columns == [*df.columns, "a", "b"] and same.where("n_lines <> -7 OR key <> 'x'").count() == 0
     got = sorted((r["doc_id"], r["text"], r["n_dropped"]) for r in line_dedup.dedup(df).collect())
     assert got == sorted(deduped(rows))
     assert line_dedup.dedup(df.limit(0)).count() == 0

@@ -27,26 +27,46 @@ from quarry.llm.common import scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told, a null lang filled in.
+
+    Null and empty texts and texts without letters go; very long texts are labelled whole; repeated rows are judged
+    alike; a null doc_id is kept; an empty table stays empty; columns of any name are carried through.
+    """
     return crf.accept(docs, crf.fit(docs.select("doc_id", "text", "lang")))
 
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(docs)
-    kept = out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\s]"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines that repeat an earlier one; n_chars is counted again.
+
+    Documents that lose all their text go, those that had none stay; rows of one doc_id don't take each other's lines;
+    a null doc_id comes first; columns of any name are carried through.
+    """
+    dropped = "n_dropped" + "_" * sum(map(len, docs.columns))  # no column has this name
+    out = line_dedup.dedup(docs, n_lines=dropped + "_", n_dropped=dropped)
+    kept = out.where((F.col(dropped) == 0) | F.col("text").rlike(r"[^\s]"))
+    return kept.select(*[F.length("text").cast("long").alias(c) if c.lower() == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones: all rows of the smallest doc_id.
+
+    Null and empty texts and null doc_ids are linked with nothing and stay; rows that repeat a doc_id stay or go
+    together; an empty table stays empty; columns of any name are carried through.
+    """
     groups = set_join.near_components(docs.select("doc_id", "text"), width=5, per_cent=80)
-    gone = groups.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("gone"), "left_anti")
+    gone = groups.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), row).join(gone, "doc_id", "left_anti").select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mixture; a null source counts as one named by the empty string, a null doc_id comes first,
+    rows of one doc_id and source stay or go together; an empty table stays empty; columns of any name are carried through."""
     return pfair.mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places; null and empty texts are the end id alone, long ones several pieces."""
     return packing.pack(docs.select("doc_id", "text"))
 
 

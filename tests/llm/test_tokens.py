@@ -3,6 +3,7 @@
 import io
 import itertools
 import random
+import time
 import zlib
 
 import numpy as np
@@ -100,9 +101,9 @@ def test_bin_completion_is_optimal_on_small_cases():
         lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 7))]
         counts = np.bincount(lengths, minlength=capacity + 1)
         made = packing.complete(counts, capacity)
-        assert sum(m for _, m in made) == fewest(lengths, capacity)
+        assert made.sequences == fewest(lengths, capacity) and made.optimal and made.bound <= made.sequences
         held = np.zeros(capacity + 1, int)
-        for pattern, m in made:
+        for pattern, m in made.patterns:
             assert sum(pattern) <= capacity
             np.add.at(held, list(pattern), m)
         assert (held == counts).all()
@@ -111,11 +112,32 @@ def test_bin_completion_is_optimal_on_small_cases():
 def test_bin_completion_beats_best_fit_and_meets_the_bound():
     rng = np.random.default_rng(5)
     counts = np.bincount(np.minimum(rng.lognormal(6, 1, 3000).astype(int) + 1, 4096), minlength=4097)
-    made = sum(m for _, m in packing.complete(counts))
+    made = packing.complete(counts).sequences
     assert made <= sum(m for _, m in packing.best_fit(counts, 4096))
     assert made <= -(-int((counts * np.arange(4097)).sum()) // 4096) + 1
 
 
+def test_search_around_thirds_is_bounded():
+    """Best-fit is not enough here: (6, 5, 5) and (7, 4, 5) fill 16, best-fit decreasing starts with (7, 7)."""
+    counts = np.zeros(17, int)
+    counts[[7, 6, 5, 4]] = 10, 10, 30, 10
+    assert packing.complete(counts, 16).sequences == 20 < sum(m for _, m in packing.best_fit(counts, 16))
+    lengths = np.random.default_rng(1).integers(1400, 2600, 30_000)
+    began, made = time.time(), packing.complete(np.bincount(lengths, minlength=4097), steps=2_000_000)
+    assert time.time() - began < 30 and not made.optimal
+    assert sum(m * len(x) for x, m in made.patterns) == 30_000 and made.bound <= made.sequences <= 15_000
+
+
+def test_dominance():
+    there = np.zeros(11, int)
+    there[[2, 3, 5, 6]] = 1
+    say = lambda some, waste: packing.dominated(some, there, packing.bits_of(there > 0), waste)
+    assert say((3,), 2)  # 5 could stand in place of 3, or 2 in the waste
+    assert say((2, 3), 0)  # 5 in place of both
+    assert not say((6,), 0) and not say((5,), 0)
+    assert say((5,), 1)  # 6
+
+
 def test_packing(spark):
     got = packing.pack(docs(spark), capacity=64).collect()
     library = WordIds(default_vocabulary()).library

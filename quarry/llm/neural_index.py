@@ -15,7 +15,8 @@ state (a few thousand numbers a part) is all that is sent to the tasks.
 Edge cases: vectors that are null, zero, of another length than most, or that hold
 null or non-finite components take no part; copies are all found, ties going to
 the smaller vec_id; fewer candidates than k give fewer rows; a row is no candidate
-of its own query (rows are told apart by vec_id); an empty table gives an empty
+of its own query (rows are told apart by vec_id); query rows that repeat an id ask
+once, those of another length than the table's vectors not at all; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -150,15 +151,17 @@ def fit(sample: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, se
     return train(x, target / target.sum(axis=1, keepdims=True), rng)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding (array of doubles) of the rows that take part."""
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """vec_id and embedding (array of doubles) of the rows that take part; length: that of most rows unless given."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(
         F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()
         & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("embedding", lambda x: x != 0)
     )
-    most = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("embedding") == (most["n"] if most else 0))
+    if length is None:
+        most = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
+        length = most["n"] if most else 0
+    return rows.where(F.size("embedding") == length)
 
 
 def nearest_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -184,14 +187,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PAR
            sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
-    vectors: vec_id, embedding; queries: the same columns. sample: most vectors to fit on.
+    vectors: vec_id, embedding; queries: the same columns. sample: at most as many vectors to fit on.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
     total = rows.count()
-    share = min(1.0, sample / max(total, 1))
+    # The least hashes: out of twice as many as are wanted, so that few rows are sorted.
+    share = min(1.0, 2 * sample / max(total, 1))
     key = F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 30) - 1))
-    picked = rows.where(key < F.lit(int(share * (1 << 30)))).limit(2 * sample).select("embedding").toPandas()
+    picked = rows.where(key < F.lit(int(share * (1 << 30)))).orderBy(key, "vec_id", "embedding").limit(sample).select("embedding").toPandas()
     if not len(picked):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     router = fit(np.stack(picked["embedding"]), parts)
@@ -208,7 +212,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PAR
         return run
 
     placed = stored(rows.mapInPandas(route(1), shape), "placed")
-    asked = usable(queries).mapInPandas(route(probes), shape)
+    # Rows that repeat a query's id ask once.
+    asked = usable(queries, len(picked["embedding"][0])).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    asked = asked.mapInPandas(route(probes), shape)
     # One row per part.
     sizes = {r["part"]: r["count"] for r in placed.groupBy("part").count().collect()}
     blocks = {p: -(-n // block) for p, n in sizes.items()}

@@ -43,11 +43,23 @@ def test_search_recall_ties_and_odd_vectors(spark):
             assert math.isclose(score, float(np.sqrt(((np.array(rows[i], float) - np.array(rows[q], float)) ** 2).sum())), abs_tol=1e-12)
     assert hit >= 0.9 * 10 * len(queries)
     assert [i for _, i, _ in sorted(found[0])] == list(range(1500, 1510))
+    asked = df.where("vec_id IN (0, 100, 5004)")
+    twice = neural_index.search(df, asked.unionByName(asked), parts=8, probes=5, sample=600, block=100)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in twice.collect()) == sorted((q, r, i) for q in (0, 100) for r, i, _ in found[q])
     few = df.where("vec_id < 4")
     assert neural_index.search(few, few.where("vec_id = 0")).count() == 3
     assert neural_index.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_search_recall_at_production_settings(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    rows = {r["vec_id"]: list(r["embedding"]) for r in df.collect() if r["embedding"] is not None}
+    got = neural_index.search(df, df.where(F.col("vec_id") % 100 == 0)).collect()
+    queries = {r["query_id"] for r in got}
+    hit = sum(len({i for i, _ in brute(rows, q, 10)} & {r["vec_id"] for r in got if r["query_id"] == q}) for q in queries)
+    assert len(queries) >= 15 and hit >= 9 * len(queries)
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (800, 8))

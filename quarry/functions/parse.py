@@ -7,42 +7,37 @@ from pyspark.sql import functions as F
 
 
 def _amount(digits: Column, scale: Column) -> Column:
-    factor = F.when(F.lower(scale).isin("k", "千"), 1000).when(F.lower(scale).isin("w", "万"), 10000).otherwise(1)
-    return F.when(digits != "", F.round(digits.cast("double") * factor).cast("int"))
+    factor = F.when(F.lower(scale).isin("k", "千"), 1000).when(scale.isin("万", "萬"), 10000).otherwise(1)
+    return F.when(digits != "", F.bround(digits.cast("double") * factor).cast("int"))
 
 
 def pay_unit(text: Column) -> Column:
-    """cny_hour, cny_day, cny_year or cny_month."""
-    low = F.lower(text)
+    """cny_hour, cny_day, cny_year or cny_month, by the first word for a span of time."""
+    word = F.lower(F.regexp_extract(text, r"(?i)(小时|时薪|hour|hr|天|日薪|day|月|月薪|年|year|hourly|daily)", 1))
     return (
-        F.when(low.rlike(r"/?\s*(小时|时|hour|hr)\b|/(小时|时)"), "cny_hour")
-        .when(low.rlike(r"(/|每)\s*(天|日)|/\s*day"), "cny_day")
-        .when(low.rlike(r"(/|每)?\s*年(?!以)|/\s*year|年薪"), "cny_year")
-        .otherwise("cny_month")
+        F.when(word.isin("小时", "时薪", "hour", "hr", "hourly"), "cny_hour").when(word.isin("天", "日薪", "day", "daily"), "cny_day")
+        .when(word.isin("年", "year") | text.rlike(r"万/年|万每年"), "cny_year").otherwise("cny_month")
     )
 
 
 def pay(text: Column) -> Column:
     """struct(raw, minimum, maximum, unit, currency, months, confidence, status) of a pay text."""
-    body = F.regexp_replace(text, r"[·\s]*\d+\s*薪", "")
-    pattern = r"(?i)(\d+(?:\.\d+)?)\s*(k|w|万|千)?\s*(?:-|~|至|到|–)\s*(\d+(?:\.\d+)?)\s*(k|w|万|千)?"
-    single = r"(?i)(\d+(?:\.\d+)?)\s*(k|w|万|千)?"
-    low, low_scale, high, high_scale = [F.regexp_extract(body, pattern, k) for k in (1, 2, 3, 4)]
-    one, one_scale = F.regexp_extract(body, single, 1), F.regexp_extract(body, single, 2)
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    number, scale = r"(\d{1,3}(?:\.\d+)?)", r"\s*([kK千萬万])?"
+    pattern = number + scale + r"\s*[-–—~～至到]\s*" + number + scale
+    low, low_scale, high, high_scale = [F.regexp_extract(raw, pattern, k) for k in (1, 2, 3, 4)]
+    one, one_scale = F.regexp_extract(raw, number + scale, 1), F.regexp_extract(raw, number + scale, 2)
     ranged = low != ""
     # The lower bound takes over the scale of the upper one.
     minimum = F.when(ranged, _amount(low, F.when(low_scale == "", high_scale).otherwise(low_scale))).otherwise(_amount(one, one_scale))
     maximum = F.when(ranged, _amount(high, high_scale)).otherwise(_amount(one, one_scale))
-    months = F.regexp_extract(text, r"(\d+)\s*薪", 1)
-    open_ = text.rlike("(?i)面议|negotiable")
-    missing = text.isNull() | (F.trim(text) == "")
-    status = F.when(missing, "missing").when(open_, "negotiable").when(minimum.isNotNull(), "parsed").otherwise("unparsed")
+    months = F.regexp_extract(raw, r"(?:·|\s)(\d{1,2})\s*薪", 1)
+    status = F.when(raw == "", "unknown").when(raw.rlike("(?i)面议|negotiable|面谈"), "negotiable").when(minimum.isNotNull(), "parsed").otherwise("unparsed")
     good = status == "parsed"
     return F.struct(
-        text.alias("raw"), F.when(good, minimum).alias("minimum"), F.when(good, maximum).alias("maximum"),
-        F.when(good, pay_unit(text)).alias("unit"), F.when(good, "CNY").alias("currency"),
-        F.when(good & (months != ""), months.cast("int")).otherwise(F.when(good & (pay_unit(text) == "cny_month"), 12)).alias("months"),
-        F.when(good & ranged, 0.95).when(good, 0.7).when(status == "negotiable", 0.9).otherwise(0.0).alias("confidence"), status.alias("status"),
+        raw.alias("raw"), F.when(good, minimum).alias("minimum"), F.when(good, maximum).alias("maximum"), F.when(good, pay_unit(raw)).otherwise("").alias("unit"),
+        F.lit("CNY").alias("currency"), F.when(status.isin("parsed", "unparsed") & (months != ""), months.cast("int")).alias("months"),
+        F.when(good, 0.95).when(status == "negotiable", 1.0).otherwise(0.0).alias("confidence"), status.alias("status"),
     )
 
 

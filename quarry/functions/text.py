@@ -49,14 +49,24 @@ def canonical_url(url: Column) -> Column:
 
 
 def approx_tokens(text: Column) -> Column:
-    """One per CJK character, a quarter of the letters (rounded up) per ASCII word, one per other mark."""
-    cjk = F.size(F.regexp_extract_all(text, F.lit(r"([一-鿿])"), 1))
-    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+)"), 1)
+    """One per CJK character, a quarter of the characters (rounded up) per ASCII word, one per other mark."""
+    cjk = F.size(F.regexp_extract_all(text, F.lit(r"([\x{3400}-\x{9fff}])"), 1))
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9_+#.\-/]+)"), 1)
     latin = F.aggregate(words, F.lit(0), lambda s, w: s + F.ceil(F.length(w) / 4).cast("int"))
-    marks = F.size(F.regexp_extract_all(text, F.lit(r"([^A-Za-z0-9\s一-鿿])"), 1))
+    marks = F.size(F.regexp_extract_all(text, F.lit(r"([^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x{85}])"), 1))
     return (cjk + latin + marks).cast("long")
 
 
+def plain_digits(text: Column, first: int = 0xE031) -> Column:
+    """Digits that a private-use font shows, as digits."""
+    return F.translate(text, "".join(chr(first + k) for k in range(10)), "0123456789")
+
+
+def skill_name(text: Column) -> Column:
+    """A skill's name in lower case, runs of white space, - and _ as one space, marks at the ends off."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\s_\-]+", " "), r"^[\s.,;:!?·、，。；：]+|[\s.,;:!?·、，。；：]+$", "")
+
+
 def bounded_contains(text: Column, term: str) -> Column:
     """Whether an ASCII term stands alone (no letter or digit beside it), or another term occurs at all."""
     if term.isascii():
@@ -128,5 +138,5 @@ def half_even(value: Column, digits: int = 0) -> Column:
 
 
 def content_hash(*values: Column) -> Column:
-    """SHA-256 over the JSON of named values in name order."""
+    """SHA-256 over the JSON of the values in the order given; name them to have the names in it."""
     return F.sha2(F.to_json(F.struct(*values)), 256)

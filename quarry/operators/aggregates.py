@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,30 +23,53 @@ def distribution(df: DataFrame, label: Column, blank: str = "unspecified") -> Da
     return counts.crossJoin(F.broadcast(total)).select("label", "n", F.bround(100.0 * F.col("n") / F.col("__total"), 1).alias("pct"))
 
 
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """n and the values at places (from 0) of each group's ascending order; the places are expressions of n.
+
+    Values are counted, dealt into ranges and looked up in the range that holds a place: no task orders more than
+    one range of a group, whatever the size of the group.
+    """
+    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    counts = known.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    edges = known.agg(F.percentile_approx("__v", [k / 64 for k in range(1, 64)], 10_000).alias("e")).first()["e"] or []
+    inside = F.array(*[F.lit(float(e)) for e in sorted(set(edges))]).cast("array<double>")
+    dealt = counts.withColumn("__range", F.size(F.filter(inside, lambda e: e < F.col("__v"))))
+    parts = dealt.groupBy(*by, "__range").agg(F.sum("__c").alias("__m"))  # at most 64 rows a group
+    upto = F.sum("__m").over(Window.partitionBy(*by).orderBy("__range"))
+    parts = parts.withColumn("n", F.sum("__m").over(Window.partitionBy(*by))).withColumn("__before", upto - F.col("__m"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), at.cast("long").alias("at")) for name, at in ranks.items()]))
+    wanted = parts.withColumn("__a", asked).where((F.col("__a.at") >= F.col("__before")) & (F.col("__a.at") < F.col("__before") + F.col("__m")))
+    wanted = wanted.select(*by, "__range", "n", F.col("__a.name").alias("__name"), (F.col("__a.at") - F.col("__before")).alias("__at"))
+    keys = [*by, "__range"]
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+    within = dealt.alias("d").join(wanted.alias("w"), same("d", "w")).select(*[F.col(f"d.{k}").alias(k) for k in keys], "__v", "__c", "n", "__name", "__at")
+    seen = F.sum("__c").over(Window.partitionBy(*keys, "__name").orderBy("__v"))
+    hit = within.withColumn("__seen", seen).where((F.col("__seen") > F.col("__at")) & (F.col("__seen") - F.col("__c") <= F.col("__at")))
+    return hit.groupBy(*by).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("__name") == name, F.col("__v"))).alias(name) for name in ranks])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """n and quantiles, interpolated between neighbours, of each group's values."""
+    place = lambda p: (F.col("n") - 1) * F.lit(p)
+    ranks = {}
+    for name, p in shares.items():
+        ranks |= {f"__lo_{name}": F.floor(place(p)), f"__hi_{name}": F.ceil(place(p))}
+    got = at_ranks(df, by, value, ranks)
+    low, high = (lambda n: F.col(f"__lo_{n}")), (lambda n: F.col(f"__hi_{n}"))
+    return got.select(*by, "n", *[(low(n) + (place(p) - F.floor(place(p))) * (high(n) - low(n))).alias(n) for n, p in shares.items()])
+
+
 def bands(df: DataFrame, unit: str, low: str, high: str) -> DataFrame:
     """Percentile bands by unit of the midpoints (or the one bound that is known)."""
     value = F.coalesce((F.col(low) + F.col(high)) / 2, F.col(low), F.col(high))
     known = df.select(F.col(unit).alias("unit"), value.alias("v")).where(F.col("v").isNotNull())
-    p = F.percentile("v", [0.25, 0.5, 0.75]).alias("p")
-    out = known.groupBy("unit").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), p, F.max("v").alias("high"))
-    return out.select("unit", "n", "low", *[F.col("p")[k].alias(c) for k, c in enumerate(("p25", "median", "p75"))], "high")
+    return quantiles(known, ["unit"], "v", {"low": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "high": 1.0})
 
 
 def discrete_percentile(df: DataFrame, by: str, value: str, share: float = 0.95) -> DataFrame:
-    """The values at places max(0, int(n p) - 1) and ceil(n p) - 1 of the ascending order, from value counts.
-
-    Cumulative counts of the distinct values stand for the sorted list, so copies of a value are one row.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(by).orderBy(value)
-    seen = counts.withColumn("upto", F.sum("c").over(w)).join(counts.groupBy(by).agg(F.sum("c").alias("n")), by)
+    """The values at places max(0, int(n p) - 1) and ceil(n p) - 1 of the ascending order."""
     floor_at = F.greatest(F.lit(0), F.floor(F.col("n") * share).cast("long") - 1)
-    ceil_at = F.ceil(F.col("n") * share).cast("long") - 1
-    return seen.groupBy(by).agg(
-        F.max("n").alias("n"),
-        F.min(F.when(F.col("upto") > floor_at, F.col(value))).alias("p_floor"),
-        F.min(F.when(F.col("upto") > ceil_at, F.col(value))).alias("p_ceil"),
-    )
+    return at_ranks(df, [by], value, {"p_floor": floor_at, "p_ceil": F.ceil(F.col("n") * share).cast("long") - 1})
 
 
 def total_or_null(value: str) -> Column:
@@ -121,16 +148,45 @@ def binary_scores(df: DataFrame, truth: Column, said: Column) -> DataFrame:
     )
 
 
-def frontier(df: DataFrame, key: str, most: list[str], least: list[str]) -> DataFrame:
-    """Rows that no other row dominates (as good in all, better in one). For small tables of configurations."""
-    b = df.select(*[F.col(c).alias(f"__{c}") for c in (key, *most, *least)])
-    as_good = F.lit(True)
-    better = F.lit(False)
-    for c in most:
-        as_good, better = as_good & (F.col(f"__{c}") >= F.col(c)), better | (F.col(f"__{c}") > F.col(c))
-    for c in least:
-        as_good, better = as_good & (F.col(f"__{c}") <= F.col(c)), better | (F.col(f"__{c}") < F.col(c))
-    return df.join(F.broadcast(b), as_good & better, "left_anti")
+def frontier(df: DataFrame, key: str, most: list[str], least: list[str], block: int = 4096) -> DataFrame:
+    """Rows that no other row dominates (as good in all, better in one); rows with a null among the values are none.
+
+    Each task first drops what its own rows dominate. What is left meets in blocks: every block's rows against every
+    block's, so no task holds more than two blocks, however many rows stay. A row is dominated by a row that was
+    dropped only if it is also by one that was kept.
+    """
+    names = [*most, *least]
+    spark, values = df.sparkSession, df.select(key, *[F.col(c).cast("double").alias(c) for c in names]).na.drop(subset=names)
+
+    def better(x: np.ndarray) -> np.ndarray:
+        """Larger is better in all columns; best sums first, so that dominated rows fall early."""
+        return np.concatenate([x[:, : len(most)], -x[:, len(most) :]], axis=1)
+
+    def beaten(x: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return np.array([bool(((by >= r).all(axis=1) & (by > r).any(axis=1)).any()) for r in x], bool)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                x = better(b[names].to_numpy(float))
+                best = x[np.argsort(-x.sum(axis=1), kind="stable")[:256]]
+                yield b[~beaten(x, best)]
+
+    kept = values.mapInPandas(local, values.schema)
+    blocks = max(1, -(-kept.count() // block))
+    number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = kept.select(key, *names, number.alias("__a"), every.alias("__b"))
+    right = kept.select(*[F.col(c).alias(f"__{c}") for c in names], number.alias("__b"), every.alias("__a"))
+
+    def against(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        lost = beaten(better(a[names].to_numpy(float)), better(b[[f"__{c}" for c in names]].to_numpy(float))) if len(a) and len(b) else np.zeros(len(a), bool)
+        return a.loc[lost, [key]]
+
+    kind = spark.createDataFrame([], df.select(key).schema).schema
+    lost = left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(against, kind)
+    whole = kept.select(F.col(key).alias("__k")).join(lost.select(F.col(key).alias("__k")).distinct(), "__k", "left_anti")
+    return df.join(whole.distinct(), F.col(key) == F.col("__k"), "left_semi")
 
 
 def duplicate_groups(df: DataFrame, key: Column, id_: str) -> DataFrame:
@@ -182,3 +238,30 @@ def progress(df: DataFrame, by: str, status: str, done: tuple[str, ...]) -> Data
 def watermark(df: DataFrame, id_: str, *columns: str) -> DataFrame:
     """What a cache of this table is valid for: distinct ids and the greatest values."""
     return df.agg(F.countDistinct(id_).alias("ids"), *[F.max(c).cast("string").alias(f"max_{c}") for c in columns])
+
+
+def possible_duplicates(df: DataFrame, key: Column) -> DataFrame:
+    """One row: how many rows could go, the sum of n - 1 over the groups of one fingerprint."""
+    groups = df.where(key.isNotNull()).groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("possible_duplicates"), F.count_if(F.col("n") > 1).alias("groups"))
+
+
+def newest_groups(df: DataFrame, parent: str, child: str, updated: str, most: int = 20) -> DataFrame:
+    """parent, n, last_updated and the ids of its newest children (at most `most`), for parents by their newest child."""
+    w = Window.partitionBy(parent).orderBy(F.desc(updated), child)
+    top = df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= most)
+    ids = top.groupBy(parent).agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(child).alias("id")))), lambda x: x["id"]).alias("newest"))
+    return df.groupBy(parent).agg(F.count(F.lit(1)).alias("n"), F.max(updated).alias("last_updated")).join(ids, parent)
+
+
+#: How much evidence an answer needs by intent.
+FLOORS = {"chat": 0, "lookup": 1, "comparison": 3, "market": 5}
+
+
+def evidence_floor(df: DataFrame, intent: str, fresh: Column) -> DataFrame:
+    """Per intent: fresh samples, stale ones that are left out, the floor and whether it is reached."""
+    floor = F.lit(0)
+    for name, n in FLOORS.items():
+        floor = F.when(F.col(intent) == name, n).otherwise(floor)
+    good = F.count_if(fresh)
+    return df.groupBy(intent).agg(good.alias("samples"), F.count_if(~F.coalesce(fresh, F.lit(False))).alias("stale"), F.max(floor).alias("floor"), (good >= F.max(floor)).alias("enough"))

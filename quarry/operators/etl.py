@@ -180,6 +180,25 @@ def evidence(text: Column, term: Column, around: int = 20) -> Column:
     )
 
 
+#: Weights of the checks of a record's quality.
+QUALITY = {"title": 0.08, "description": 0.18, "company": 0.08, "location": 0.08, "salary": 0.10, "education": 0.08, "experience": 0.08,
+           "responsibilities": 0.12, "requirements": 0.12, "skills": 0.05, "evidence": 0.03}
+
+
+def record_quality(checks: dict[str, Column]) -> Column:
+    """struct(score, level, failed) of the checks of a record; all eleven are asked for."""
+    missing = QUALITY.keys() - checks.keys()
+    if missing:
+        raise ValueError(f"no check given for {sorted(missing)}")
+    score = F.lit(0.0)
+    for name, weight in QUALITY.items():
+        score = score + F.when(checks[name], weight).otherwise(0.0)
+    score = F.round(score, 3)
+    failed = F.array_compact(F.array(*[F.when(~F.coalesce(checks[n], F.lit(False)), n) for n in QUALITY]))
+    level = F.when(score >= 0.8, "high").when(score >= 0.55, "medium").otherwise("low")
+    return F.struct(score.alias("score"), level.alias("level"), failed.alias("failed"))
+
+
 def quality(checks: dict[str, tuple[Column, float]]) -> Column:
     """struct(score, level) of weighted checks."""
     total = sum(w for _, w in checks.values())

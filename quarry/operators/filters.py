@@ -75,10 +75,12 @@ def synonyms(values: list[str], table: dict[str, list[str]]) -> list[str]:
 
 
 #: What must never be stored.
-SENSITIVE = r"(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|\b(?:api[_-]?key|secret|token|password)\b\s*[:=]\s*\S{6,}|\b\d{17}[\dXx]\b)"
+SENSITIVE = (
+    r"(?i)(?:sk-[a-z0-9_-]{12,}|(?:api[_-]?key|password)\s*[:=]\s*[^\s,}\"]+|身份证(?:号|号码)?\s*[:：=]\s*\d{6,})"
+)
 
 
-def sensitive(column: str, most_bytes: int = 4 * 1024 * 1024) -> Column:
+def sensitive(column: str, most_bytes: int = 4_000_000) -> Column:
     return F.col(column).rlike(SENSITIVE) | (F.octet_length(F.col(column)) > most_bytes)
 
 

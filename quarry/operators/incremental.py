@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,3 +69,49 @@ def health(parents: DataFrame, documents: DataFrame, key: str, active: Column, c
     out = parents.join(docs, key, "left").na.fill(0, ["documents", "compatible"])
     status = F.when(F.col("documents") == 0, "not_built").when(F.col("compatible") == F.col("documents"), "ready").when(F.col("compatible") > 0, "partial").otherwise("needs_update")
     return out.withColumn("status", status)
+
+
+def refreshed(df: DataFrame, fresh: dict[str, Column]) -> DataFrame:
+    """Rows for which some new value (as fresh_<name>) differs from the old one; running it again changes nothing."""
+    made = df.withColumns({f"fresh_{c}": value for c, value in fresh.items()})
+    same = F.lit(True)
+    for c in fresh:
+        same = same & F.col(c).eqNullSafe(F.col(f"fresh_{c}"))
+    return made.where(~same)
+
+
+def with_error(df: DataFrame, into: str, value: Column, message: str) -> DataFrame:
+    """A column and an error: rows whose value can't be made keep a null and say so."""
+    return df.withColumn(into, value).withColumn("error", F.when(F.col(into).isNull(), message))
+
+
+def soft_deleted(df: DataFrame, which: Column, status: str = "status", previous: str = "previous") -> DataFrame:
+    """The named rows marked deleted, what they were before kept; rows that are deleted already stay as they are."""
+    hit = F.coalesce(which, F.lit(False)) & (F.coalesce(status, F.lit("")) != "deleted")
+    return df.withColumns({previous: F.when(hit, F.col(status)).otherwise(F.col(previous)), status: F.when(hit, "deleted").otherwise(F.col(status))})
+
+
+def restored(df: DataFrame, which: Column, status: str = "status", previous: str = "previous") -> DataFrame:
+    """The named deleted rows as they were before."""
+    hit = F.coalesce(which, F.lit(False)) & (F.coalesce(status, F.lit("")) == "deleted")
+    return df.withColumns({status: F.when(hit, F.col(previous)).otherwise(F.col(status)), previous: F.when(hit, F.lit(None)).otherwise(F.col(previous))})
+
+
+def decoded_strings(json: Column, decode) -> Column:
+    """JSON text with every string value decoded; keys, numbers and structure stay. decode: of a string column without its quotes."""
+    # Strings, then what stands between them; a string that a colon follows is a key.
+    strings = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*"\s*:?)'), 1)
+    rest = F.split(json, r'"(?:[^"\\]|\\.)*"\s*:?', -1)
+    told = F.transform(strings, lambda s: F.when(s.endswith(":"), s).otherwise(F.concat(F.lit('"'), decode(F.substring(s, F.lit(2), F.length(F.rtrim(s)) - 2)), F.lit('"'))))
+    return F.concat(F.array_join(F.zip_with(F.slice(rest, 1, F.size(told)), told, lambda a, b: F.concat(a, b)), ""), F.element_at(rest, -1))
+
+
+def debounced(events: DataFrame, key: str, at: str, id_: str, gap: int, wait: int, most: int) -> DataFrame:
+    """Runs of each key's events with gaps of at most `gap` seconds: run, items and when it is due (`wait` seconds after its
+    last event, but at most `most` seconds after its first, and never before its last)."""
+    order = Window.partitionBy(key).orderBy(at, id_)
+    new = F.when(F.lag(at).over(order).isNull() | (F.unix_timestamp(F.col(at).cast("timestamp")) - F.unix_timestamp(F.lag(at).over(order).cast("timestamp")) > gap), 1).otherwise(0)
+    runs = events.withColumn("run", F.sum(new).over(order))
+    later = lambda c, s: c + F.expr(f"INTERVAL {s} SECONDS")
+    return runs.groupBy(key, "run").agg(
+        F.count(F.lit(1)).alias("items"), F.least(later(F.max(at), wait), F.greatest(later(F.min(at), most), F.max(at))).alias("due"))

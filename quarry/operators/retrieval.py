@@ -9,23 +9,96 @@ from ..functions import text as T
 from .joins import top_k
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Top k documents of each query by BM25.
+def term_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """item_id, doc_id, bm25, shared, terms of every document that has a term of a query.
 
-    docs(doc_id, text), queries(item_id, text). Documents shrink to counts of the terms that some
-    query has before anything is shuffled; copies of a hot term are summed on the map side.
+    docs(doc_id, text), queries(item_id, text). One pass over the texts: documents shrink to counts of the terms that some
+    query has before anything is shuffled; the empty term stands for the document itself and carries its length.
     """
     words = docs.select("doc_id", T.ascii_tokens(F.col("text")).alias("w"))
-    asked = queries.select("item_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("term"))
-    sizes = words.agg(F.count(F.lit(1)).alias("docs"), F.avg(F.size("w")).alias("mean_len"))  # one row
-    counted = words.select("doc_id", F.size("w").alias("len"), F.explode("w").alias("term"))
-    tf = counted.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    asked = queries.select("item_id", F.array_distinct(T.ascii_tokens(F.col("text"))).alias("w"))
+    asked = asked.select("item_id", F.size("w").alias("terms"), F.explode("w").alias("term"))
+    known = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counted = words.select("doc_id", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
+    tf = counted.join(known, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
+    sizes = tf.where("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean_len"))  # one row
+    df = tf.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    scored = tf.join(idf, "term").select("doc_id", "term", weight.alias("s")).join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("s").alias("score"))
-    rounded = scored.withColumn("score", F.round("score", 6))
-    return top_k(rounded, "item_id", [F.desc("score"), F.asc("doc_id")], k)
+    # The few rows of the queries' terms, each with its idf, meet the counts once.
+    wanted = asked.join(idf, "term")
+    scored = tf.join(wanted, "term").select("item_id", "doc_id", "terms", weight.alias("s"))
+    return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("bm25"), F.count(F.lit(1)).alias("shared"), F.max("terms").alias("terms"))
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Top k documents of each query by BM25."""
+    scored = term_scores(docs, queries).select("item_id", "doc_id", F.col("bm25").alias("score"))
+    return top_k(scored, "item_id", [F.desc("score"), F.asc("doc_id")], k)
+
+
+def reranked(hits: DataFrame, query: str, id_: str, mode: str, k: int, sparse: float = 0.55, dense: float = 0.45, rrf_k: int = 60) -> DataFrame:
+    """Hits of two channels fused by mode and ranked by the final score, k of each query.
+
+    hits(query, id, full_rank, vector_rank, lexical, semantic, title, section); what a channel doesn't have is null.
+    """
+    none = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    part = lambda rank, w: F.coalesce(F.lit(w / (sparse + dense)) / (rrf_k + F.col(rank)), F.lit(0.0))
+    scored = hits.withColumn("rrf", part("full_rank", sparse) + part("vector_rank", dense))
+    best = scored.groupBy(query).agg(F.max("rrf").alias("best"))
+    scored = scored.join(best, query).withColumn("fused", F.least(F.lit(1.0), fuse(mode, F.col("rrf") / F.col("best"), none("lexical"), none("semantic"))))
+    scored = scored.withColumn("final", F.round(F.least(F.lit(1.0), final_score(F.col("fused"), none("title"), F.coalesce("section", F.lit(0.5)))), 6)).withColumn("fused", F.round("fused", 6))
+    return top_k(scored.drop("best"), query, [F.desc("final"), F.desc("fused"), F.asc(id_)], k)
+
+
+def section_weights(query: Column, weights: dict[str, float], intents: list[tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, Column]:
+    """A weight for each section: raised for those that the query's cues ask for, lowered for others, as given without a cue.
+
+    intents: (cues, sections).
+    """
+    low = F.lower(query)
+    said = {k: F.lit(False) for k in range(len(intents))}
+    for k, (cues, _) in enumerate(intents):
+        for c in cues:
+            said[k] = said[k] | low.contains(c)
+    some, out = F.lit(False), {}
+    for k in said:
+        some = some | said[k]
+    for name, w in weights.items():
+        asked = F.lit(False)
+        for k, (_, sections) in enumerate(intents):
+            if name in sections:
+                asked = asked | said[k]
+        lowered = 0.48 if name == "source_context" else max(0.3, w * 0.68)
+        out[name] = F.when(~some, w).when(asked, max(0.92, min(1.0, w + 0.16))).otherwise(lowered)
+    return out
+
+
+def expanded_terms(query: Column, aliases: dict[str, str], concepts: list[tuple[str, tuple[str, ...]]], stop: tuple[str, ...] = (), most: int = 20) -> Column:
+    """A query's search terms: aliases (longest first) with their canonical names, else its own tokens; then what concepts add.
+
+    concepts: (pattern of the cue, further terms).
+    """
+    low = F.lower(F.regexp_replace(F.trim(query), r"\s+", " "))
+    empty = F.array().cast("array<string>")
+    found = [F.when(T.bounded_contains(low, a), F.array(F.lit(a), F.lit(aliases[a].lower()))).otherwise(empty) for a in sorted(aliases, key=lambda x: (-len(x), x))]
+    named = F.concat(*found) if found else empty
+    tokens = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9][a-z0-9+#._/-]*)"), 1), lambda x: F.length(x) > 1)
+    more = [F.when(low.rlike(cue), F.array(*[F.lit(x) for x in terms])).otherwise(empty) for cue, terms in concepts]
+    all_ = F.concat(F.when(F.size(named) > 0, named).otherwise(tokens), *more)
+    kept = F.filter(F.transform(all_, F.trim), lambda x: (F.length(x) >= 2) & ~x.isin(*stop) if stop else F.length(x) >= 2)
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
+def multi_query(hits: DataFrame, query: str, id_: str, sub: str, k: int = 60) -> DataFrame:
+    """Hits of several sub-queries summed by reciprocal rank: fused (of the query's best) and how many sub-queries found it."""
+    summed = hits.groupBy(query, id_).agg(F.sum(1.0 / (k + F.col("rank"))).alias("rrf"), F.countDistinct(sub).alias("matched"))
+    best = summed.groupBy(query).agg(F.max("rrf").alias("best"))
+    return summed.join(best, query).select(query, id_, (F.col("rrf") / F.col("best")).alias("fused"), "matched")
+
+
+def local_rerank(fused: Column, score: Column, lexical: Column, section: Column, matched: Column) -> Column:
+    return F.least(F.lit(1.0), 0.44 * fused + 0.22 * score + 0.2 * lexical + 0.09 * section + 0.05 * F.least(F.lit(1.0), matched / 2))
 
 
 def lexical_score(query: Column, title: Column, content: Column, company: Column) -> Column:

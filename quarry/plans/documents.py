@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import etl as X
+from ..operators import evaluation as E
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import retrieval as R
@@ -36,24 +37,20 @@ o AS (SELECT q.item_id, x.doc_id, round(count(DISTINCT x.term) / max(z.n)::DOUBL
 otop AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM o)"""
 
 
-def _shared_terms(t: Tables) -> DataFrame:
-    """item_id, doc_id, shared: terms of the item in the document, n: terms of the item."""
-    words = t.documents.select("doc_id", F.explode(F.array_distinct(T.ascii_tokens(F.col("text")))).alias("term"))
-    asked = t.benchmark.select("item_id", F.array_distinct(T.ascii_tokens(F.col("text"))).alias("w"))
-    terms = asked.select("item_id", F.size("w").alias("n"), F.explode("w").alias("term"))
-    return words.join(terms, "term").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
-
-
-def _overlap(t: Tables, k: int) -> DataFrame:
-    shared = _shared_terms(t).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("score"))
-    return J.top_k(shared, "item_id", [F.desc("score"), F.asc("doc_id")], k)
+def _channels(t: Tables, k: int) -> dict[str, DataFrame]:
+    """Top k of each item by BM25 and by the share of its terms, from the same counts."""
+    hits = R.term_scores(t.documents, t.benchmark)
+    bm25 = hits.select("item_id", "doc_id", F.col("bm25").alias("score"))
+    overlap = hits.select("item_id", "doc_id", F.round(F.col("shared") / F.col("terms"), 6).alias("score"))
+    return {name: J.top_k(d, "item_id", [F.desc("score"), F.asc("doc_id")], k) for name, d in (("bm25", bm25), ("overlap", overlap))}
 
 
 @query(_BM25 + _OVERLAP + """,
 f AS (SELECT item_id, doc_id, sum(s) AS rrf FROM (SELECT item_id, doc_id, 0.55 / (60 + rank) AS s FROM top WHERE rank <= 20 UNION ALL SELECT item_id, doc_id, 0.45 / (60 + rank) FROM otop WHERE rank <= 20) GROUP BY 1, 2)
 SELECT item_id, doc_id, round(rrf::DOUBLE, 8) AS rrf, round((rrf / max(rrf) OVER (PARTITION BY item_id))::DOUBLE, 6) AS fused FROM f""".replace("0.55 /", "0.55::DOUBLE /").replace("0.45 /", "0.45::DOUBLE /"))
 def weighted_rrf(t: Tables) -> DataFrame:
-    out = W.weighted_rrf({"sparse": (R.bm25(t.documents, t.benchmark, 20), 0.55), "overlap": (_overlap(t, 20), 0.45)}, "item_id", "doc_id")
+    found = _channels(t, 20)
+    out = W.weighted_rrf({"sparse": (found["bm25"], 0.55), "overlap": (found["overlap"], 0.45)}, "item_id", "doc_id")
     return out.withColumns({"rrf": F.round("rrf", 8), "fused": F.round("fused", 6)})
 
 
@@ -62,7 +59,7 @@ u AS (SELECT item_id, doc_id, rank, 'bm25' AS c FROM top WHERE rank <= 20 UNION
 p AS (SELECT item_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS rrf, array_to_string(list_sort(list(c || ':' || rank)), ',') AS ranks FROM u GROUP BY 1, 2)
 SELECT item_id, doc_id, rrf, ranks, r::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rrf DESC, doc_id) AS r FROM p) WHERE r <= 10""")
 def candidate_pool(t: Tables) -> DataFrame:
-    return R.candidate_pool({"bm25": R.bm25(t.documents, t.benchmark, 20), "overlap": _overlap(t, 20)}, "item_id", "doc_id", 10)
+    return R.candidate_pool(_channels(t, 20), "item_id", "doc_id", 10)
 
 
 @query("""
@@ -97,9 +94,9 @@ def canonical_url(t: Tables) -> DataFrame:
     return t.pages.select("page_id", T.canonical_url(F.col("url")).alias("url"))
 
 
-@query("""
-WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') AS w, len(regexp_extract_all(text, '[^A-Za-z0-9\\s]')) AS marks FROM documents)
-SELECT doc_id, CAST(list_sum(list_transform(w, lambda x: ceil(strlen(x) / 4.0)::BIGINT)) AS BIGINT) + marks AS tokens FROM w""".replace("list_sum(list_transform(w, lambda x: ceil(strlen(x) / 4.0)::BIGINT))", "coalesce(list_sum(list_transform(w, lambda x: ceil(strlen(x) / 4.0)::BIGINT)), 0)"))
+@query(r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9_+#.\-/]+') AS w, len(regexp_extract_all(text, '[\x{3400}-\x{9fff}]')) + len(regexp_extract_all(text, '[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x{85}]')) AS marks FROM documents)
+SELECT doc_id, coalesce(CAST(list_sum(list_transform(w, lambda x: ceil(strlen(x) / 4.0)::BIGINT)) AS BIGINT), 0) + marks AS tokens FROM w""")
 def token_stats(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
@@ -121,13 +118,16 @@ def page_cards(t: Tables) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT doc_id, [(len(text) >= 40, 3.0), (lang IS NOT NULL, 1.0), (regexp_matches(text, '[.]'), 1.0), (NOT contains(text, '$$$'), 2.0), (n_chars <= 20000, 1.0)] AS k FROM documents),
-s AS (SELECT doc_id, round(list_sum(list_transform(k, lambda x: CASE WHEN x[1] THEN x[2]::DOUBLE / 8.0 ELSE 0.0::DOUBLE END)), 6) AS score FROM c)
+WITH c AS (SELECT doc_id, [(0.08, lang IS NOT NULL), (0.18, len(text) >= 80), (0.08, source IS NOT NULL), (0.08, contains(text, ' ')), (0.10, regexp_matches(text, '[0-9]')),
+  (0.08, contains(text, '.')), (0.08, NOT contains(text, '$$$')), (0.12, n_chars > 500), (0.12, n_chars <= 20000), (0.05, contains(text, ',')), (0.03, contains(text, chr(10)))] AS k FROM documents),
+s AS (SELECT doc_id, round(list_sum(list_transform(k, lambda x: CASE WHEN x[2] THEN x[1]::DOUBLE ELSE 0.0::DOUBLE END)), 3) AS score FROM c)
 SELECT doc_id, score, CASE WHEN score >= 0.8 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS level FROM s""")
 def quality_score(t: Tables) -> DataFrame:
-    text = F.col("text")
-    q = X.quality({"length": (F.length(text) >= 40, 3.0), "lang": (F.col("lang").isNotNull(), 1.0), "sentences": (text.contains("."), 1.0),
-                   "clean": (~text.contains("$$$"), 2.0), "size": (F.col("n_chars") <= 20000, 1.0)})
+    text, n = F.col("text"), F.col("n_chars")
+    q = X.record_quality({
+        "title": F.col("lang").isNotNull(), "description": F.length(text) >= 80, "company": F.col("source").isNotNull(), "location": text.contains(" "),
+        "salary": text.rlike("[0-9]"), "education": text.contains("."), "experience": ~text.contains("$$$"), "responsibilities": n > 500,
+        "requirements": n <= 20000, "skills": text.contains(","), "evidence": text.contains("\n")})
     return t.documents.select("doc_id", q.alias("q")).select("doc_id", "q.score", "q.level")
 
 
@@ -147,9 +147,10 @@ FROM rel LEFT JOIN got USING (item_id) LEFT JOIN i USING (item_id)"""
 @query(_METRICS)
 def ir_metrics(t: Tables) -> DataFrame:
     """Ranking metrics of BM25 against silver grades: 2 for documents with nine tenths of an item's terms, 1 for six."""
-    shared = _shared_terms(t)
-    judgments = shared.where(F.col("shared") >= 0.6 * F.col("n")).select("item_id", "doc_id", F.when(F.col("shared") >= 0.9 * F.col("n"), 2).otherwise(1).alias("grade"))
-    out = M.ranking_metrics(R.bm25(t.documents, t.benchmark), judgments, "item_id", "doc_id")
+    hits = R.term_scores(t.documents, t.benchmark)
+    judgments = hits.where(F.col("shared") >= 0.6 * F.col("terms")).select("item_id", "doc_id", F.when(F.col("shared") >= 0.9 * F.col("terms"), 2).otherwise(1).alias("grade"))
+    ranked = J.top_k(hits.select("item_id", "doc_id", F.col("bm25").alias("score")), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
+    out = M.ranking_metrics(ranked, judgments, "item_id", "doc_id")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "mrr", "ndcg", "map")})
 
 
@@ -223,3 +224,90 @@ def number_grounding(t: Tables) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     return t.conversations.withColumn("before", F.coalesce(before, F.lit(""))).select(
         "conv_id", "turn", F.size(R.numbers_grounded(F.col("text"), F.col("before"))).cast("long").alias("ungrounded"))
+
+
+_FUSED = _BM25 + _OVERLAP + """,
+l AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY s.score DESC, doc_id) AS r, least(1.0::DOUBLE, s.score / 20.0) AS semantic FROM s),
+f AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r, score AS lexical FROM o),
+h AS (SELECT coalesce(l.item_id, f.item_id) AS item_id, coalesce(l.doc_id, f.doc_id) AS doc_id, coalesce(lexical, 0) AS lexical, coalesce(semantic, 0) AS semantic,
+  CASE WHEN f.r IS NOT NULL THEN 0.55::DOUBLE / (60 + f.r) ELSE 0 END + CASE WHEN l.r IS NOT NULL THEN 0.45::DOUBLE / (60 + l.r) ELSE 0 END AS rrf
+  FROM (SELECT * FROM l WHERE r <= 20) l FULL JOIN (SELECT * FROM f WHERE r <= 20) f ON l.item_id = f.item_id AND l.doc_id = f.doc_id),
+g AS (SELECT h.*, 0.48 * rrf / max(rrf) OVER (PARTITION BY item_id) + 0.27 * lexical + 0.25 * semantic AS fused FROM h),
+z2 AS (SELECT g.item_id, g.doc_id, round(least(1.0::DOUBLE, fused), 6) AS fused, round(least(1.0::DOUBLE, 0.78 * least(1.0::DOUBLE, fused) + 0.14 * lexical + 0.08 * CASE d.lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 0.94 ELSE 0.45 END), 6) AS final
+  FROM g JOIN documents d USING (doc_id))
+SELECT item_id, doc_id, fused, final, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY final DESC, fused DESC, doc_id) AS rank FROM z2) WHERE rank <= 10"""
+
+
+@query(_FUSED)
+def fuse_rerank(t: Tables) -> DataFrame:
+    """Two channels fused and ranked again: a full-text one (share of terms) and one of scores up to 1, 20 of each."""
+    found = _channels(t, 20)
+    hits = found["overlap"].select("item_id", "doc_id", F.col("rank").alias("full_rank"), F.col("score").alias("lexical")).join(
+        found["bm25"].select("item_id", "doc_id", F.col("rank").alias("vector_rank"), F.least(F.lit(1.0), F.col("score") / 20.0).alias("semantic")), ["item_id", "doc_id"], "full")
+    weight = F.when(F.col("lang") == "en", 1.0).when(F.col("lang") == "de", 0.94).otherwise(0.45)
+    sections = t.documents.select("doc_id", weight.alias("section"))
+    out = R.reranked(hits.join(sections, "doc_id").withColumn("title", F.coalesce("lexical", F.lit(0.0))), "item_id", "doc_id", "hybrid", 10)
+    return out.select("item_id", "doc_id", "fused", "final", "rank")
+
+
+@query("""
+WITH b AS (SELECT item_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS terms, CASE WHEN contains(lower(text), 'salary') OR contains(lower(text), 'price') THEN ['pay'] ELSE [] END AS hit FROM benchmark)
+SELECT item_id, CASE WHEN len(hit) = 0 THEN 0.7 ELSE 0.92 END::DOUBLE AS pay, CASE WHEN len(hit) = 0 THEN 0.45 ELSE 0.306 END::DOUBLE AS other FROM b""")
+def section_weights(t: Tables) -> DataFrame:
+    weights = R.section_weights(F.col("text"), {"pay": 0.7, "other": 0.45}, [(("salary", "price"), ("pay",))])
+    return t.benchmark.select("item_id", *[F.round(c, 6).alias(name) for name, c in weights.items()])
+
+
+@query("""
+WITH q AS (SELECT item_id, regexp_matches(lower(text), '(^|[^a-z0-9])of([^a-z0-9]|$)') AS of, regexp_matches(lower(text), '(^|[^a-z0-9])the([^a-z0-9]|$)') AS the, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9+#._/-]*')) AS w FROM benchmark),
+e AS (SELECT item_id, list_filter(w, lambda x: len(x) > 1) AS w, of, the FROM q)
+SELECT item_id, len(list_distinct(list_concat(CASE WHEN of OR the THEN list_concat(CASE WHEN the THEN ['the', 'article'] ELSE [] END, CASE WHEN of THEN ['of', 'preposition'] ELSE [] END) ELSE w END, CASE WHEN list_contains(w, 'and') THEN ['with', 'also'] ELSE [] END)))::INTEGER AS terms FROM e""")
+def query_expansion(t: Tables) -> DataFrame:
+    terms = R.expanded_terms(F.col("text"), {"the": "article", "of": "preposition"}, [(r"(?<![a-z0-9+#._/-])and(?![a-z0-9+#._/-])", ("with", "also"))], most=10_000)
+    return t.benchmark.select("item_id", F.size(terms).alias("terms"))
+
+
+@query(_BM25 + """,
+h AS (SELECT item_id, doc_id, rank, score, rank <= 3 AS reranked, score >= 8 AS evidence FROM top WHERE rank <= 10),
+a AS (SELECT item_id, count(*) AS hits, count(*) FILTER (evidence) AS used, min(rank) FILTER (evidence) AS first, count(*) FILTER (reranked) AS reranked, count(*) FILTER (reranked AND evidence) AS both_, avg(least(1.0::DOUBLE, score / 20.0)) AS quality FROM h GROUP BY 1)
+SELECT item_id, hits, round(used / hits::DOUBLE, 6) AS evidence_yield, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, round(both_ / reranked::DOUBLE, 6) AS rerank_hit_rate,
+  CASE WHEN used >= 3 AND quality >= 0.5 THEN 'high' WHEN used >= 1 THEN 'medium' ELSE 'low' END AS confidence FROM a""")
+def retrieval_trace(t: Tables) -> DataFrame:
+    top = R.bm25(t.documents, t.benchmark, 10)
+    hits = top.select("item_id", "rank", (F.col("rank") <= 3).alias("reranked"), (F.col("score") >= 8).alias("evidence"), F.least(F.lit(1.0), F.col("score") / 20.0).alias("score"))
+    return E.retrieval_trace(hits, "item_id").withColumns({c: F.round(c, 6) for c in ("evidence_yield", "mrr", "rerank_hit_rate")})
+
+
+@query(_BM25 + _OVERLAP + """,
+j AS (SELECT item_id, doc_id FROM o WHERE score >= 0.6),
+n2 AS (SELECT item_id, count(*) AS relevant FROM j GROUP BY 1),
+c2 AS (SELECT item_id, count(*) AS found FROM (SELECT * FROM top WHERE rank <= 20) JOIN j USING (item_id, doc_id) GROUP BY 1),
+s2 AS (SELECT item_id, count(*) AS said FROM (SELECT * FROM top WHERE rank <= 5) JOIN j USING (item_id, doc_id) GROUP BY 1)
+SELECT item_id, relevant, round(coalesce(found, 0) / relevant::DOUBLE, 6) AS candidate_recall, (coalesce(found, 0) > 0)::INT AS candidate_hit, round(least(1.0::DOUBLE, 20 / relevant::DOUBLE), 6) AS recall_ceiling,
+  round(coalesce(found, 0) / relevant::DOUBLE / least(1.0::DOUBLE, 20 / relevant::DOUBLE), 6) AS normalized_recall, round(coalesce(said, 0) / relevant::DOUBLE, 6) AS citation_coverage
+FROM n2 LEFT JOIN c2 USING (item_id) LEFT JOIN s2 USING (item_id)""")
+def candidate_recall(t: Tables) -> DataFrame:
+    hits = R.term_scores(t.documents, t.benchmark)
+    relevant = hits.where(F.round(F.col("shared") / F.col("terms"), 6) >= 0.6).select("item_id", "doc_id")
+    top = J.top_k(hits.select("item_id", "doc_id", F.col("bm25").alias("score")), "item_id", [F.desc("score"), F.asc("doc_id")], 20)
+    out = E.candidate_metrics(top, relevant, top.where("rank <= 5"), "item_id", "doc_id", 20)
+    return out.withColumns({c: F.round(c, 6) for c in ("candidate_recall", "recall_ceiling", "normalized_recall", "citation_coverage")})
+
+
+@query(_BM25 + _OVERLAP + """,
+j AS (SELECT item_id, doc_id, CASE WHEN score >= 0.9 THEN 2 WHEN score >= 0.6 THEN 1 ELSE 0 END AS grade FROM o WHERE doc_id % 3 <> 0),
+k AS (SELECT item_id, doc_id FROM o WHERE score < 0.3 AND doc_id % 2 = 0),
+m AS (SELECT t.item_id, coalesce(j.grade > 0, false) AS good, k.doc_id IS NOT NULL AS bad FROM (SELECT * FROM top WHERE rank <= 10) t LEFT JOIN j USING (item_id, doc_id) LEFT JOIN k USING (item_id, doc_id)),
+a AS (SELECT item_id, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (bad) AS bad, count(*) FILTER (bad OR NOT good) AS wrong FROM m GROUP BY 1),
+r AS (SELECT item_id, count(*) FILTER (grade > 0) AS relevant FROM j GROUP BY 1), g AS (SELECT item_id, count(*) AS negatives FROM k GROUP BY 1)
+SELECT item_id, round(good / n::DOUBLE, 6) AS context_precision, CASE WHEN coalesce(relevant, 0) > 0 THEN round(good / relevant::DOUBLE, 6) END AS context_recall,
+  round(1 - CASE WHEN coalesce(negatives, 0) = 0 THEN 0 ELSE bad / negatives::DOUBLE END, 6) AS hard_negative_rejection, round(wrong / n::DOUBLE, 6) AS false_evidence
+FROM a LEFT JOIN r USING (item_id) LEFT JOIN g USING (item_id)""")
+def graded_signals(t: Tables) -> DataFrame:
+    hits = R.term_scores(t.documents, t.benchmark)
+    share = F.round(F.col("shared") / F.col("terms"), 6)
+    judged = hits.where("doc_id % 3 <> 0").select("item_id", "doc_id", F.when(share >= 0.9, 2).when(share >= 0.6, 1).otherwise(0).alias("grade"))
+    hard = hits.where((share < 0.3) & (F.col("doc_id") % 2 == 0)).select("item_id", "doc_id")
+    top = J.top_k(hits.select("item_id", "doc_id", F.col("bm25").alias("score")), "item_id", [F.desc("score"), F.asc("doc_id")], 10)
+    out = E.graded_signals(top, judged, hard, "item_id", "doc_id", 10)
+    return out.withColumns({c: F.round(c, 6) for c in out.columns if c != "item_id"})

@@ -82,7 +82,7 @@ def freshness_lifecycle(t: Tables) -> DataFrame:
     return last.select("user_id", days.alias("days"), lifecycle(days).alias("lifecycle"), P.fresh("seen", NOW).alias("fresh"))
 
 
-@query("SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(-----BEGIN [A-Z ]*PRIVATE KEY-----|\\b(?:api[_-]?key|secret|token|password)\\b\\s*[:=]\\s*\\S{6,}|\\b\\d{17}[\\dXx]\\b)') OR strlen(text) > 4194304")
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(?:sk-[a-z0-9_-]{12,}|(?:api[_-]?key|password)\s*[:=]\s*[^\s,}"]+|身份证(?:号|号码)?\s*[:：=]\s*\d{6,})') OR strlen(text) > 4000000""")
 def sensitive_rows(t: Tables) -> DataFrame:
     return t.documents.where(P.sensitive("text")).select("doc_id")
 

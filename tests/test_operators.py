@@ -17,6 +17,7 @@ from quarry.operators import joins as J
 from quarry.operators import metrics as M
 from quarry.operators import retrieval as R
 from quarry.operators import scoring as S
+from quarry.operators import matching as Q
 from quarry.operators import windows as W
 from quarry.plans import registry
 from quarry.sources import records
@@ -34,8 +35,19 @@ def test_pay(spark):
     r = pay("150-200元/天")
     assert (r["minimum"], r["maximum"], r["unit"]) == (150, 200, "cny_day")
     assert pay("50-80元/小时")["unit"] == "cny_hour"
-    assert pay("面议")["status"] == "negotiable" and pay("")["status"] == "missing"
-    assert pay("1-2万")["minimum"] == 10000
+    assert pay("面议")["status"] == "negotiable" and pay("")["status"] == "unknown"
+    assert pay("1-2万")["minimum"] == 10000 and pay("1-2萬")["maximum"] == 20000
+    r = pay("20-40K")
+    assert (r["months"], r["confidence"], r["status"], r["currency"]) == (None, 0.95, "parsed", "CNY")
+    assert pay("薪资面谈")["confidence"] == 1.0 and pay("看能力")["status"] == "unparsed" and pay("看能力")["unit"] == ""
+    assert (pay("30万/年")["unit"], pay("30万/年")["minimum"], pay("200/day")["unit"]) == ("cny_year", 300000, "cny_day")
+
+
+def test_approximate_tokens(spark):
+    count = lambda s: one(spark, T.approx_tokens(F.lit(s)))
+    assert [count(s) for s in ("", "数据库 SQL", "c++/node.js", "né!", "a_b-c d")] == [0, 4, 7, 2, 4]
+    assert one(spark, T.plain_digits(F.lit("\ue032\ue035-\ue031K"))) == "14-0K"
+    assert one(spark, T.skill_name(F.lit("  Spring_Boot -- 3. "))) == "spring boot 3"
 
 
 def test_places_levels_years(spark):
@@ -253,3 +265,33 @@ def test_queue_and_expiry(spark):
     assert [r["run_id"] for r in E.due(spark.createDataFrame(rows, shape), "2024-02-01 00:00:00").collect()] == [5, 1]
     held = spark.createDataFrame([(1, t("2024-01-01"), False), (2, t("2024-01-01"), True), (3, None, None)], "id int, until timestamp, pinned boolean")
     assert [r["id"] for r in E.expired(held, "2024-02-01 00:00:00", "until", "pinned").collect()] == [1]
+
+
+def test_deficit_split(spark):
+    sizes = {"a": 50, "b": 20, "c": 10, "d": 10, "e": 5, "f": 5}
+    df = spark.createDataFrame([(g, k) for g, n in sizes.items() for k in range(n)], "g string, k int")
+    got = {r["g"]: r["split"] for r in W.deficit_split(df, "g").distinct().select("g", "split").distinct().collect()}
+    assert got == {"a": "train", "b": "dev", "c": "test", "d": "test", "e": "train", "f": "train"}
+
+
+def test_fuzzy_pairs(spark):
+    rows = [(1, "Acme", "Senior Data Engineer", "Berlin"), (2, "acme", "Senior Data Engineers", "Berlin"), (3, "Acme", "Cook", "Berlin"),
+            (4, "Other", "Senior Data Engineer", "Berlin"), (5, "Acme", "Senior Data Engineer", "Berlin"), (6, None, "Senior Data Engineer", "Berlin")]
+    df = spark.createDataFrame(rows, "id int, company string, title string, place string")
+    got = sorted((r["first_id"], r["second_id"]) for r in Q.fuzzy_pairs(df, "id", "company", ["title", "place"]).collect())
+    assert got == [(1, 2), (1, 5)]
+
+
+def test_ranks_and_frontier(spark):
+    rng = random.Random(3)
+    values = [(g, rng.choice([1.0, 2.5, rng.random() * 100])) for g in "ab" for _ in range(501)]
+    df = spark.createDataFrame([*values, ("c", 7.0), ("a", None)], "g string, v double")
+    got = {r["g"]: r for r in A.quantiles(df, ["g"], "v", {"q1": 0.25, "q2": 0.5, "top": 1.0}).collect()}
+    for g in "ab":
+        mine = sorted(v for x, v in values if x == g)
+        assert got[g]["n"] == 501 and got[g]["q1"] == mine[125] and got[g]["q2"] == mine[250] and got[g]["top"] == mine[-1]
+    assert (got["c"]["q1"], got["c"]["n"]) == (7.0, 1)
+    points = [(k, float(rng.randrange(30)), float(rng.randrange(30))) for k in range(400)]
+    want = {k for k, x, y in points if not any(a >= x and b <= y and (a > x or b < y) for _, a, b in points)}
+    df = spark.createDataFrame([*points, (1000, None, 0.0)], "k int, x double, y double")
+    assert {r["k"] for r in A.frontier(df, "k", ["x"], ["y"], block=7).collect()} == want

@@ -29,6 +29,7 @@ import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -41,6 +42,7 @@ from .wordids import END_ID, default_vocabulary, word_ids
 CAPACITY = 4096
 SHARDS = 64
 STEPS = 20_000_000
+KEPT = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 Pattern = tuple[tuple[int, ...], int]
 
@@ -199,28 +201,34 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -
                 used, times = np.unique(pattern, return_counts=True)
                 m = int((there[used] // times).min())
                 while m:
-                    if wasted + m * waste <= (best - 1) * capacity - total:
-                        yield pattern, m
+                    yield pattern, m
                     m //= 2
             if effort.left < 0:
                 return
 
-    stack = [options()]
+    # Far above the end of the path only the number of options tried is kept; they are made again if it comes to that.
+    stack: list[tuple[Iterator[Pattern] | None, int]] = [(options(), 0)]
     while stack and effort.left >= 0 and best > bound:
-        found = next(stack[-1], None)
+        source, tried = stack.pop()
+        if source is None:
+            source = islice(options(), tried, None)
+        found = next(source, None)
         if found is not None:
+            stack.append((source, tried + 1))
             pattern, m = found
+            if wasted + m * (capacity - sum(pattern)) > (best - 1) * capacity - total:
+                continue
             used, times = np.unique(pattern, return_counts=True)
             there[used] -= m * times
             path.append(found)
             wasted, bins = wasted + m * (capacity - sum(pattern)), bins + m
             if there.any():
-                stack.append(options())
+                stack.append((options(), 0))
+                if len(stack) > KEPT:
+                    stack[-KEPT] = (None, stack[-KEPT][1])
                 continue
             # All is placed in fewer sequences; go on from here.
             best, incumbent = bins, list(path)
-        else:
-            stack.pop()
         if path:
             pattern, m = path.pop()
             used, times = np.unique(pattern, return_counts=True)

@@ -109,8 +109,8 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield batch[size == k].reset_index(drop=True)
 
 
-def shingle_counts(docs: DataFrame, width: int, slots: int) -> np.ndarray:
-    """How many of all documents' shingles fall in each slot of a table."""
+def shingle_rarity(docs: DataFrame, width: int, slots: int) -> np.ndarray:
+    """A class for each slot of a table by how many of all documents' shingles fall in it: one later for every factor of the root of two."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = np.zeros(slots, np.uint32)
@@ -132,9 +132,9 @@ def shingle_counts(docs: DataFrame, width: int, slots: int) -> np.ndarray:
         up = F.floor(F.col("grp") / FAN_IN).alias("up")
         parts = stored(parts.groupBy(up, "chunk").applyInPandas(add, shape), "slot-counts")
         more = parts.where("grp > 0").limit(1).count()
-    out = np.zeros(slots, np.int64)
+    out = np.zeros(slots, np.uint8)
     for r in parts.collect():
-        out[r["chunk"] : r["chunk"] + CHUNK] = _unpacked(r["counts"])
+        out[r["chunk"] : r["chunk"] + CHUNK] = np.log2(_unpacked(r["counts"]) + 1.0) * 2
     return out
 
 
@@ -298,10 +298,7 @@ def near_components(docs: DataFrame, width: int = 4, per_cent: int = 85) -> Data
 def _near(docs: DataFrame, width: int, per_cent: int, *carried: str) -> DataFrame:
     """near_components of documents whose doc_ids differ (or are null); `carried` names a long column to keep."""
     slots = min(MAX_SLOTS, 1 << max(16, (16 * docs.count()).bit_length()))
-    counts = shingle_counts(docs, width, slots)
-    # Coarse classes: twice as many occurrences, one class later.
-    rarity = np.floor(np.log2(counts + 1.0) * 2).astype(np.uint8)
-    base = stored(profiles(docs, width, per_cent, rarity, *carried), "profiles")
+    base = stored(profiles(docs, width, per_cent, shingle_rarity(docs, width, slots), *carried), "profiles")
     real = base.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = real.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     copies = real.select("doc_id", "key1", "key2", "n").join(classes.where("copies > 1"), ["key1", "key2", "n"]).where(F.col("doc_id") != F.col("rep"))

@@ -89,15 +89,15 @@ def in_bitmap(rows: DataFrame, key: Column, marks: DataFrame, bits: int) -> Data
 
 
 def having(rows: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """The rows whose hashed key is among the stored keys, and up to one in 64 of the others.
+    """The rows whose hashed key is among the stored keys, and some of the others.
 
-    By two bitmaps of at least eight bits a key that every task holds (32 MB each at most), or as a join
-    when the keys are more.
+    By two bitmaps that every task holds: 32 bits a key (one in 1,000 of the others passes), fewer where they would
+    take more than 32 MB each, eight at least (one in 64 passes); or as a join when the keys are more.
     """
     count = keys.count()
     if 8 * count > MAX_BITS:
         return rows.join(keys.distinct().hint("merge"), key, "left_semi")
-    bits = 1 << max(20, (8 * count - 1).bit_length())
+    bits = min(MAX_BITS, 1 << max(20, (32 * count - 1).bit_length()))
     for k in (F.col(key), F.xxhash64(key)):
         rows = in_bitmap(rows, k, stored(bitmap(keys, k, bits), "bitmap"), bits)
     return rows

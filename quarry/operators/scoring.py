@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bounded_contains
+
 
 def skill_score(have: Column, required: Column, preferred: Column) -> Column:
     """80 for required and 20 for preferred skills by coverage; 50 where none is asked for."""
@@ -80,12 +84,23 @@ def cascade(df: DataFrame, key: str, stages: list[tuple[str, str, int]]) -> tupl
     return now, trace
 
 
-def market_relevance(title: Column, skills: Column, text: Column, terms: list[str]) -> Column:
-    """3 a term in the title, 2 in the skills, .7 in the text, and 16 when the title is the terms exactly."""
-    out = F.lit(0.0)
-    for t in terms:
-        out = out + F.when(F.lower(title).contains(t), 3.0).otherwise(0.0) + F.when(F.array_contains(skills, t), 2.0).otherwise(0.0) + F.when(F.lower(text).contains(t), 0.7).otherwise(0.0)
-    return out + F.when(F.lower(F.trim(title)) == " ".join(terms), 16.0).otherwise(0.0)
+def query_terms(query: str) -> list[str]:
+    """The whole query and its words (ASCII words, CJK runs of two or more), the longest first."""
+    low = query.lower().strip()
+    words = {low, *re.findall(r"[a-z][a-z0-9+.#-]+|[一-鿿]{2,}", low)}
+    return sorted((w for w in words if len(w) > 1), key=lambda w: (-len(w), w))
+
+
+def market_relevance(title: Column, skills: Column, text: Column, query: str) -> Column:
+    """16 if the title holds the query; and for each of its terms 3, 2 or .7 weights by the first of title, skills and text
+    that holds it. A term weighs half its length, between 1 and 6; ASCII terms must stand alone. Nulls hold nothing."""
+    filled = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    out = F.when(F.contains(filled(title), F.lit(query.lower())), 16.0).otherwise(0.0)
+    for term in query_terms(query):
+        weight = min(6.0, max(1.0, len(term) / 2))
+        held = [bounded_contains(filled(c), term) for c in (title, skills, text)]
+        out = out + F.when(held[0], 3.0 * weight).when(held[1], 2.0 * weight).when(held[2], 0.7 * weight).otherwise(0.0)
+    return out
 
 
 def capability(overlap: Column, suitable: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import postings as P
 from ..operators import reports as R
 from .registry import Tables, query
 
@@ -161,3 +162,24 @@ SELECT p_partkey FROM part WHERE list_has_all(regexp_extract_all(lower(coalesce(
 def full_text_match(t: Tables) -> DataFrame:
     """Parts that hold all words of a query, or one of its expansions."""
     return t.part.where(R.text_match([F.col("p_name"), F.col("p_type")], "widget cold", ("promo",))).select("p_partkey")
+
+
+@query(r"""
+WITH t AS (SELECT l_orderkey, l_linenumber, l_linenumber::VARCHAR || '-' || (l_linenumber + 2)::VARCHAR || '年' AS x,
+  CASE l_returnflag WHEN 'R' THEN '硕士优先，本科及以上' WHEN 'A' THEN '大专以上，本科优先' ELSE '学历不限' END AS e, (l_linenumber * 4)::VARCHAR || '-' || (l_linenumber * 5)::VARCHAR || 'K·' || (11 + l_linenumber)::VARCHAR || '薪' AS p FROM lineitem),
+n AS (SELECT *, CAST(regexp_extract(x, '^(\d+)-', 1) AS INT) AS low, CAST(regexp_extract(x, '-(\d+)年', 1) AS INT) AS high FROM t)
+SELECT l_orderkey, l_linenumber, CASE WHEN low >= 5 THEN '5年以上' WHEN low >= 3 THEN '3-5年' WHEN high <= 1 THEN '1年以内' ELSE '1-3年' END AS record_x,
+  CASE WHEN high <= 1 THEN '1年以内' WHEN high <= 3 THEN '1-3年' WHEN high <= 5 THEN '3-5年' ELSE '5年以上' END AS market_x, x AS corpus_x,
+  CASE WHEN e LIKE '%不限%' THEN '学历不限' WHEN e LIKE '%硕士%' THEN '硕士' WHEN e LIKE '%本科%' THEN '本科' ELSE '大专' END AS record_e,
+  CASE WHEN e LIKE '%不限%' THEN '学历不限' WHEN e LIKE '%硕士%' THEN '硕士及以上' WHEN e LIKE '%本科%' THEN '本科及以上' ELSE '大专及以上' END AS search_e,
+  CASE WHEN e LIKE '%不限%' THEN '学历不限' WHEN e LIKE '硕士%' THEN '硕士及以上' ELSE '大专及以上' END AS market_e,
+  1000 * CAST(regexp_extract(p, '^(\d+)', 1) AS BIGINT) AS minimum, 1000 * CAST(regexp_extract(p, '-(\d+)K', 1) AS BIGINT) AS maximum, CAST(regexp_extract(p, '(\d+)薪', 1) AS INTEGER) AS months FROM n""")
+def posting_labels(t: Tables) -> DataFrame:
+    """Labels of schooling, experience and pay texts that are made from line items."""
+    n = F.col("l_linenumber")
+    x = F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit("年"))
+    e = F.when(F.col("l_returnflag") == "R", "硕士优先，本科及以上").when(F.col("l_returnflag") == "A", "大专以上，本科优先").otherwise("学历不限")
+    p = P.platform_pay(F.concat((n * 4).cast("string"), F.lit("-"), (n * 5).cast("string"), F.lit("K·"), (n + 11).cast("string"), F.lit("薪")))
+    return t.lineitem.select(
+        "l_orderkey", "l_linenumber", P.record_experience(x).alias("record_x"), P.market_experience(x).alias("market_x"), P.corpus_experience(x, F.lit("")).alias("corpus_x"),
+        P.record_education(e).alias("record_e"), P.search_education(e).alias("search_e"), P.market_education(e).alias("market_e"), p["minimum"].alias("minimum"), p["maximum"].alias("maximum"), p["months"].alias("months"))

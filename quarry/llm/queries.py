@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplane, boilerplate, crf, fixity, iblt, line_dedup, neural_index, packing, pfair, set_join
+from . import bitplane, boilerplate, crf, fixity, iblt, line_dedup, neural_index, packing, pfair, set_join, treap, vector_codes, word_table
 from .common import table
 
 
@@ -55,6 +55,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    codes = vector_codes.learn(vectors)
+    if codes is None:
+        none = vectors.limit(0).select("vec_id", "label", F.lit("").alias("code"), F.lit(0).cast("long").alias("error"))
+        return none.select("vec_id", "code", "error", F.col("error").alias("label_error"), F.lit("").alias("codebooks_sha256"))
+    coded = vector_codes.with_group_error(vector_codes.encode(codes, vectors), "label")
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(codes.digest()).alias("codebooks_sha256"))
+
+
+def op12_word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_table.decode(word_table.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_treap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = treap.build(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return treap.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_learned_partitions": op1_learned_partitions,
     "op2_iblt": op2_iblt,
@@ -66,6 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_boilerplate": op8_boilerplate,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_word_table": op12_word_table,
+    "op13_treap": op13_treap,
 }
 
-ORACLES: dict[str, str] = {"op4_fixity": fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_fixity": fixity.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op11_vector_codes": vector_codes.ORACLE, "op13_treap": treap.ORACLE,
+}

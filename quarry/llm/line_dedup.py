@@ -23,9 +23,13 @@ Method, in DataFrame functions only:
 
 The hashes of variants come from running sums, so a line of n words costs n steps.
 
+Where doc_ids repeat or several are null, rows are told apart by a number of their own:
+a place is still (doc_id, line number), so lines of two such rows at the same place don't
+drop each other, a line that one of them has at a later place goes, and what a row loses
+is always its own line.
+
 Edge cases: null text stays null with no lines; a text whose lines all go becomes
-empty; rows that repeat a doc_id hold the same places, so neither drops the other's
-lines and both lose the lines that an earlier document has; a null doc_id sorts
+empty; rows that repeat a doc_id with one text keep the same lines; a null doc_id sorts
 first; white space only separates words; an empty table gives an empty result;
 other columns are carried through unchanged.
 """
@@ -121,15 +125,24 @@ def within_one(a: Column, b: Column) -> Column:
     )
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """id, line_no, line of every line."""
-    return docs.select(place_id(docs).alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+def numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """(id, number, row of all columns; whether ids are shared): the number is the id, or the row's own where ids are shared."""
+    base = docs.select(place_id(docs).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    shared = base.groupBy("id").count().where("count > 1").limit(1).count() > 0
+    if not shared:
+        return base.withColumn("number", F.col("id")), False
+    return stored(base.withColumn("number", F.monotonically_increasing_id()), "numbered"), True
+
 
+def lines_of(base: DataFrame) -> DataFrame:
+    """id, number, line_no, line of every line."""
+    return base.select("id", "number", F.posexplode(F.split("row.text", "\n", -1)).alias("line_no", "line"))
 
-def hashed_lines(docs: DataFrame) -> DataFrame:
-    """id, line_no, h1, h2 of every line with words, and the halves of the longer ones."""
-    hashed = lines_of(docs).select(
-        "id", "line_no",
+
+def hashed_lines(base: DataFrame) -> DataFrame:
+    """id, number, line_no, h1, h2 of every line with words, and the halves of the longer ones."""
+    hashed = lines_of(base).select(
+        "id", "number", "line_no",
         F.inline(F.transform(F.array(words_in(F.col("line"))), lambda w: F.struct(
             F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"),
             F.when(F.size(w) >= MIN_WORDS, halves(w)).alias("halves")))),
@@ -146,8 +159,8 @@ def first_places(lines: DataFrame) -> DataFrame:
     return stored(first.select("h1", "h2", at.alias("at"), "copies", F.col("least.halves").alias("halves")), "distinct-lines")
 
 
-def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id, line_no of first occurrences that have an earlier near neighbour."""
+def near_lines(base: DataFrame, firsts: DataFrame) -> DataFrame:
+    """id, line_no, h1 of first occurrences that have an earlier near neighbour."""
     listed = firsts.select("at", "h1", F.explode("halves").alias("half"))
     shared = (
         listed.groupBy("half").agg(F.min("h1").alias("low"), F.max("h1").alias("high"))
@@ -158,9 +171,11 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     wanted = having(listed, "half", shared).select("at", "h1").distinct().select("at.id", "at.line_no", "at", "h1")
     wanted = stored(wanted.withColumn("place", place), "wanted-places")
     # The words of these lines: other lines are passed over before they are split.
-    met_lines = having(lines_of(docs).withColumn("place", place), "place", wanted.select("place")).select("id", "line_no", "line")
-    candidates = met_lines.join(wanted, ["id", "line_no"]).select("at", "h1", words_in(F.col("line")).alias("words"))
-    candidates = stored(candidates.where(F.xxhash64("words") == F.col("h1")).dropDuplicates(["at", "h1"]), "near-candidates")
+    met_lines = having(lines_of(base).withColumn("place", place), "place", wanted.select("place")).select("id", "line_no", "line")
+    # Rows that share an id may have several lines at a place: the hash tells them apart.
+    at = F.struct("id", "line_no", "h1").alias("at")
+    candidates = met_lines.join(wanted.drop("at"), ["id", "line_no"]).select(at, "h1", words_in(F.col("line")).alias("words"))
+    candidates = stored(candidates.where(F.xxhash64("words") == F.col("h1")).dropDuplicates(["at"]), "near-candidates")
 
     keyed = stored(variants(candidates), "variants")
     met = (
@@ -173,10 +188,8 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         *[F.min(F.when(F.col("role") == r, F.col("at"))).alias(f"first_{r}") for r in ("s", "p", "d")]
     )
     other = F.when(F.col("role") == "s", F.col("first_s")).when(F.col("role") == "p", F.col("first_d")).otherwise(F.col("first_p"))
-    pairs = (
-        meeting.join(first, "key").select("key", "role", "at", other.alias("earlier"))
-        .where(F.col("earlier") < F.col("at"))
-    )
+    before = F.struct("earlier.id", "earlier.line_no") < F.struct("at.id", "at.line_no")
+    pairs = meeting.join(first, "key").select("key", "role", "at", other.alias("earlier")).where(before)
     ours = candidates.select("at", F.col("words").alias("own"))
     theirs = candidates.select(F.col("at").alias("earlier"), F.col("words").alias("near"))
     checked = pairs.join(ours, "at").join(theirs, "earlier").withColumn("good", within_one(F.col("own"), F.col("near")))
@@ -186,36 +199,38 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     doubtful = checked.where(~F.col("good")).select("key", "at", "own")
     again = (
         doubtful.join(meeting.select("key", F.col("at").alias("earlier")), "key")
-        .where(F.col("earlier") < F.col("at"))
+        .where(before)
         .join(theirs, "earlier").where(within_one(F.col("own"), F.col("near")))
     )
-    return found.unionByName(again.select("at")).distinct().select("at.id", "at.line_no")
+    return found.unionByName(again.select("at")).distinct().select("at.id", "at.line_no", "at.h1")
 
 
 def repeated_lines(lines: DataFrame, firsts: DataFrame) -> DataFrame:
-    """id, line_no of all later occurrences of a line's words."""
+    """number, line_no of all later occurrences of a line's words."""
     keys = ["h1", "h2"]
     again = firsts.where("copies > 1").select(*keys, "at", "copies")
     # Lines with more copies than a hundred-thousandth of all lines (so fewer than 100,000 of
     # them) are sent to every task, so that their copies stay where they are.
     many = max(1000, lines.count() // 100_000)
     hot = again.where(F.col("copies") > many)
-    rows = lines.select("id", "line_no", *keys)
+    rows = lines.select("id", "number", "line_no", *keys)
     met = rows.join(F.broadcast(hot), keys).unionByName(
         rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(again.where(F.col("copies") <= many), keys)
     )
-    return met.where(F.struct("id", "line_no") > F.col("at")).select("id", "line_no")
+    return met.where(F.struct("id", "line_no") > F.col("at")).select("number", "line_no")
 
 
 def dedup(docs: DataFrame, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """The documents without their near-duplicate lines, all columns, and the numbers of all and of dropped lines
     under the names given (in place of columns of these names)."""
-    lines = hashed_lines(docs)
+    base, shared = numbered(docs)
+    lines = hashed_lines(base)
     firsts = first_places(lines)
-    gone = repeated_lines(lines, firsts).unionByName(near_lines(docs, firsts))
-    drops = gone.groupBy("id").agg(F.collect_set("line_no").alias("drops"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    joined = docs.select(place_id(docs).alias("key"), row.alias("row")).join(drops, F.col("key") == F.col("id"), "left")
+    near = near_lines(base, firsts)
+    near = lines.join(near, ["id", "line_no", "h1"], "left_semi").select("number", "line_no") if shared else near.select(F.col("id").alias("number"), "line_no")
+    gone = repeated_lines(lines, firsts).unionByName(near)
+    drops = gone.groupBy("number").agg(F.collect_set("line_no").alias("drops"))
+    joined = base.select("number", "row").join(drops, "number", "left")
     lines = F.split("row.text", "\n", -1)
     none = F.array().cast("array<int>")
     kept = F.transform(

@@ -220,6 +220,45 @@ def test_lines_with_null_and_repeated_ids(spark):
     assert got == [(-1, "a b"), (1, "c d"), (1, "c d"), (2, "")]
 
 
+def deduped_rows(rows):
+    """As `deduped`, row by row: for ids that several rows share."""
+    low = float("-inf")
+    lines = [((low if i is None else i, n), tuple(re.findall(r"[^\t-\r ]+", line))) for i, t in rows if t is not None for n, line in enumerate(t.split("\n"))]
+    first = {}
+    for at, w in lines:
+        if w:
+            first[w] = min(first.get(w, at), at)
+    longer = [(at, w) for w, at in first.items() if len(w) >= line_dedup.MIN_WORDS]
+    near = {(a, x) for (a, x), (b, y) in itertools.product(longer, longer) if b < a and close(list(x), list(y))}
+    out = []
+    for i, t in rows:
+        kept = []
+        for n, line in enumerate(t.split("\n") if t is not None else []):
+            at, w = (low if i is None else i, n), tuple(re.findall(r"[^\t-\r ]+", line))
+            if not w or (at == first[w] and (at, w) not in near):
+                kept.append(line)
+        out.append((i, None if t is None else "\n".join(kept), (t.count("\n") + 1 if t is not None else 0) - len(kept)))
+    return out
+
+
+def test_rows_that_share_an_id_lose_only_their_own_lines(spark):
+    df = spark.createDataFrame([(7, "x one\nfoo unique A"), (7, "y two\nx one"), (None, "p\nq"), (None, "r\np"), (None, None)], "doc_id long, text string")
+    got = Counter((r["doc_id"], r["text"]) for r in line_dedup.dedup(df).collect())
+    assert got == Counter([(7, "x one\nfoo unique A"), (7, "y two"), (None, "p\nq"), (None, "r"), (None, None)])
+    rng = random.Random(4)
+    bases = [words(rng, n, 40) for n in (8, 9, 12, 20)]
+    rows = []
+    for _ in range(60):
+        lines = [" ".join(words(rng, rng.randint(0, 3), 9)) for _ in range(rng.randint(0, 3))]
+        lines += [" ".join(edits(rng, rng.choice(bases))) for _ in range(rng.randint(0, 3))] + ["  ".join(rng.choice(bases))]
+        rng.shuffle(lines)
+        rows.append((rng.choice([None, 1, 2, 3, rng.randint(4, 30)]), "\n".join(lines)))
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, number string")
+    out = line_dedup.dedup(df)
+    assert out.columns == ["doc_id", "text", "number", "n_lines", "n_dropped"]
+    assert Counter((r["doc_id"], r["text"], r["n_dropped"]) for r in out.collect()) == Counter(deduped_rows(rows))
+
+
 # Sets
 
 

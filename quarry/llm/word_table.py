@@ -3,13 +3,15 @@
 For vocabularies whose pre-tokenizer drops white space, what lies between white space is
 encoded by itself: the ids of a text are those of its words in order.
 
-1. Texts are split at ASCII white space, in blocks of rows (some 32 MB of text). A block
+1. Texts are split at ASCII white space, in blocks of rows (some 8 MB of text). A block
    keeps its distinct words once and each position as a place among them. A mark after a
    letter is a word of its own, and words of Latin letters count in lower case, as the
    vocabulary sees them; words that could hold a special token are left as they are.
-2. The blocks' words are dealt by word and sorted, so that each distinct word of the whole
-   corpus is encoded once, by the library, where its rows meet. A word has one row for a
-   block at most, however often it occurs: no key is hot.
+2. The blocks' words are dealt by a hash of the word, so that each distinct word of the whole
+   corpus is encoded once, by the library, where its blocks' words meet. A word comes once
+   from a block, however often it occurs: no key is hot. A block sends its words of one part
+   as one compressed row. The parts grow in number with the words, so that each task holds
+   about a million words at most.
 3. The ids go back to the places of their block, and from there to every position. Blocks are
    stored in buckets of the block number, so only words and ids are shuffled, never texts.
 
@@ -32,6 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,9 +43,11 @@ from pyspark.sql import types as T
 from .common import partitions, scratch
 from .wordids import default_vocabulary
 
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+PART_WORDS = 1 << 20
+_MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 #: A mark that ends a word after one of these is a pre-token of its own.
-_TAIL = r"^(?P<stem>.*[0-9A-Za-zÀ-ÖØ-öø-ÿ])(?P<tail>[.,;:!?])$"
+_LETTERS = pa.array([chr(k) for k in range(256) if chr(k) in "0123456789" or chr(k).isalpha() and chr(k) not in "\u00aa\u00b5\u00ba"])
 _LATIN = r"^[\x01-\x7FÀ-ÖØ-öø-ÿ]*$"
 
 
@@ -60,11 +65,16 @@ def _tokenizer(path: str):
 
 def cut_words(words: pa.Array) -> tuple[pa.Array, pa.Array]:
     """Each word as (stem, tail): the tail is a mark at its end or empty, the stem is lower case where that is safe."""
-    cut = pc.extract_regex(words, _TAIL)
-    ends = cut.is_valid()
-    stems = pc.if_else(ends, pc.struct_field(cut, "stem"), words)
-    tails = pc.if_else(ends, pc.struct_field(cut, "tail"), "")
-    plain = pc.and_(pc.match_substring_regex(stems, _LATIN), pc.invert(pc.match_substring(stems, "<|")))
+    ends = pc.and_(pc.is_in(pc.utf8_slice_codeunits(words, -1, None), _MARKS), pc.is_in(pc.utf8_slice_codeunits(words, -2, -1), _LETTERS))
+    stems = pc.if_else(ends, pc.utf8_slice_codeunits(words, 0, -1), words)
+    tails = pc.if_else(ends, pc.utf8_slice_codeunits(words, -1, None), "")
+    plain = pc.string_is_ascii(stems)
+    other = np.flatnonzero(~np.asarray(plain))
+    if len(other):
+        mask = np.array(plain)
+        mask[other] = np.asarray(pc.match_substring_regex(stems.take(pa.array(other)), _LATIN))
+        plain = pa.array(mask)
+    plain = pc.and_(plain, pc.invert(pc.match_substring(stems, "<|")))
     return pc.if_else(plain, pc.utf8_lower(stems), stems), tails
 
 
@@ -78,7 +88,7 @@ def block_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     n = len(stems)
     parts = pa.concat_arrays([stems, tails]).dictionary_encode()
     place = np.asarray(parts.indices)
-    empty = pc.index(parts.dictionary, "").as_py()
+    empty = pc.index(parts.dictionary, "").as_py()  # -1 where there is none
     pairs = np.stack([place[:n], place[n:]], axis=1)
     keep = pairs != empty
     # Each distinct word is one or two places (none if it is empty); positions take them in turn.
@@ -99,7 +109,7 @@ def _gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.nd
 
 
 def in_blocks(docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, rows (the other columns), counts (words a row), words (distinct), places (int32): one row for each block."""
+    """block, rows (the other columns), counts (words a row), words (distinct), places (packed): one row for each block."""
     spark = docs.sparkSession
     others = [f for f in docs.schema.fields if f.name != column]
     made = T.StructType([
@@ -120,7 +130,7 @@ def in_blocks(docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> D
                 rows = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(1))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int64()), rows, pa.array([counts], pa.list_(pa.int32())),
-                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), pa.array([places.astype("<i4").tobytes()], pa.binary())],
+                     pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.string())), pa.array([_packed(places, "<u4")], pa.binary())],
                     names=made.names,
                 )
                 number += 1
@@ -135,53 +145,95 @@ def in_blocks(docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> D
     return spark.table(name)
 
 
-def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """block, place, ids (little-endian unsigned 32-bit) of block, place, word: each distinct word is encoded once."""
+def _packed(values: np.ndarray, kind: str) -> bytes:
+    """Integers, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values.astype(kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        library, last, held = _tokenizer(vocabulary), None, b""
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+
+
+def deal_words(blocks: DataFrame, parts: int) -> DataFrame:
+    """part, block, places, words: a block's words by a hash of the word, a row for each part that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            if not len(batch):
-                continue
-            word = batch["word"].to_numpy()
-            new = np.r_[True, word[1:] != word[:-1]]
-            distinct = word[new].tolist()
-            known = distinct[0] == last  # a word whose rows go on from the batch before
-            found = library.encode_batch_fast(distinct[known:], add_special_tokens=False)
-            ids = ([held] if known else []) + [np.array(e.ids, "<u4").tobytes() for e in found]
-            last, held = distinct[-1], ids[-1]
-            batch["ids"] = np.array([*ids, None], object)[:-1][np.cumsum(new) - 1]
-            yield batch[["block", "place", "ids"]]
+            for k in range(batch.num_rows):
+                words = batch.column("words")[k].values
+                if not len(words):
+                    continue
+                part = (pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False) % parts).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                words, part = words.take(pa.array(order)).to_pylist(), part[order]
+                edges = np.r_[np.flatnonzero(np.r_[True, part[1:] != part[:-1]]), len(part)].tolist()
+                some = list(zip(edges[:-1], edges[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part[edges[:-1]], pa.int32()), pa.array(np.full(len(some), batch.column("block")[k].as_py()), pa.int64()),
+                     pa.array([_packed(order[a:b], "<u4") for a, b in some], pa.binary()), pa.array([pack("\n".join(words[a:b]).encode()) for a, b in some], pa.binary())],
+                    names=["part", "block", "places", "words"],
+                )
+
+    return blocks.select("block", "words").mapInArrow(run, "part int, block long, places binary, words binary").repartitionById(parts, "part")
+
 
-    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "block long, place int, ids binary")
+def encode_words(dealt: DataFrame, vocabulary: str) -> DataFrame:
+    """block, places, sizes, ids of dealt words: each distinct word is encoded once, in the task of its part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library, unpack, known = _tokenizer(vocabulary), zstandard.ZstdDecompressor().decompress, {}
+        for batch in batches:
+            out = []
+            for block, places, raw in zip(batch.column("block").to_pylist(), batch.column("places").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                words = unpack(raw).split(b"\n")
+                new = [w for w in words if w not in known]
+                known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+                ids = [known[w] for w in words]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                out.append((block, places, _packed(sizes, "<u4"), _packed(np.frombuffer(b"".join(ids), "<u4"), "<u4")))
+            if out:
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["block", "places", "sizes", "ids"])
+
+    return dealt.mapInArrow(run, "block long, places binary, sizes binary, ids binary")
+
+
+def _word_ids(coded: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, number of ids of each place) of a block, from its parts."""
+    if not coded:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    places, sizes, ids = (np.concatenate([_unpacked(c[name], "<u4") for c in coded]).astype(np.int64) for name in ("places", "sizes", "ids"))
+    order = np.argsort(places)
+    return _gather(ids, np.cumsum(sizes) - sizes, sizes, order).astype(np.int32), sizes[order]
 
 
 def encode(docs: DataFrame, column: str = "text", vocabulary: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The other columns of `docs` and ids (array<int>), as the tokenizers library gives them without special tokens added."""
     vocabulary = vocabulary or default_vocabulary()
     blocks = in_blocks(docs, column, block_bytes)
-    words = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    coded = encode_words(words, vocabulary).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "ids"))).alias("coded"))
+    words = blocks.agg(F.sum(F.size("words"))).first()[0] or 0
+    dealt = deal_words(blocks, max(partitions(docs.sparkSession), -(-words // PART_WORDS)))
     # Bounded: a block's distinct words are no more than its text has.
-    joined = blocks.select("block", "rows", "counts", "places").join(coded.select("block", F.col("coded.ids").alias("word_ids")).hint("merge"), "block", "left")
+    coded = encode_words(dealt, vocabulary).groupBy("block").agg(F.collect_list(F.struct("places", "sizes", "ids")).alias("coded"))
+    joined = blocks.select("block", "rows", "counts", "places").join(coded.hint("merge"), "block", "left")
     row = blocks.schema["rows"].dataType.elementType
     made = T.StructType([T.StructField("row", row), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                rows = batch.column("rows")[k].values
-                counts = np.asarray(batch.column("counts")[k].values)
-                places = np.frombuffer(batch.column("places")[k].as_py(), "<i4")
-                held = batch.column("word_ids")[k].values
-                sizes = np.asarray(pc.binary_length(held)) // 4 if held is not None else np.zeros(0, np.int64)
-                values = np.frombuffer(b"".join(held.to_pylist()) if held is not None else b"", "<u4").astype(np.int32)
+                rows, counts = batch.column("rows")[k].values, np.asarray(batch.column("counts")[k].values)
+                places = _unpacked(batch.column("places")[k].as_py(), "<u4").astype(np.int64)
+                values, sizes = _word_ids(batch.column("coded")[k].as_py())
                 ids = _gather(values, np.cumsum(sizes) - sizes, sizes, places)
                 ends = np.r_[0, np.cumsum(sizes[places])][np.r_[0, np.cumsum(counts)]]
                 yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=made.names)
 
     others = [f for f in docs.schema.fields if f.name != column]
-    out = joined.select("rows", "counts", "places", "word_ids").mapInArrow(run, made)
+    out = joined.select("rows", "counts", "places", "coded").mapInArrow(run, made)
     carried = [F.col(f"row.c{k}").alias(f.name) for k, f in enumerate(others) if f.name.lower() != "ids"]
     return out.select(*carried, "ids")
 

@@ -7,7 +7,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quarry.llm import queries, treap, vector_codes, word_table
@@ -91,16 +93,35 @@ def test_words_give_the_ids_of_the_library(spark, block_bytes):
     assert word_table.decode(word_table.encode(df.limit(0))).count() == 0
 
 
-def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
-    df = spark.createDataFrame([(b, p, w) for b in range(40) for p, w in enumerate(("one", "two", "three", "two" * b))], "block long, place int, word string")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # words go over the edges of batches
+def test_each_distinct_word_is_encoded_once(spark, tmp_path):
+    """The library is asked for a word in one task alone, and only once there, whatever the number of blocks and parts."""
+    df = spark.createDataFrame([(b, f"one, two three word{b % 7} " * 3) for b in range(60)], "id long, text string")
+    blocks = word_table.in_blocks(df, "text", 100)
+    assert blocks.count() > 20
+    dealt = word_table.deal_words(blocks, 5)
+    seen = [(r["part"], w) for r in dealt.collect() for w in set(zstandard.ZstdDecompressor().decompress(r["words"]).split(b"\n"))]
+    assert {w for _, w in seen} - {b""} == {b"one", b",", b"two", b"three", *(b"word%d" % k for k in range(7))}
+    assert len(set(seen)) == len({w for _, w in seen}) < len(seen)
+    asked = []
+
+    class Library:
+        def encode_batch_fast(self, words, add_special_tokens):
+            asked.extend(words)
+            return real.encode_batch_fast(words, add_special_tokens=add_special_tokens)
+
+    real, kept = word_table._tokenizer(default_vocabulary()), word_table._tokenizer
+    word_table._tokenizer = lambda path: Library()
     try:
-        got = word_table.encode_words(df, default_vocabulary()).collect()
+        rows = [pa.RecordBatch.from_pylist([{k: r[k] for k in ("part", "block", "places", "words")}]) for r in dealt.collect()]
+
+        class Dealt:
+            def mapInArrow(self, run, schema):
+                return list(run(iter(rows)))
+
+        assert word_table.encode_words(Dealt(), default_vocabulary())
     finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    library = word_table._tokenizer(default_vocabulary())
-    want = {(r["block"], r["place"]): np.array(library.encode(r["word"], add_special_tokens=False).ids, "<u4").tobytes() for r in df.collect()}
-    assert {(r["block"], r["place"]): bytes(r["ids"]) for r in got} == want
+        word_table._tokenizer = kept
+    assert len(asked) == len(set(asked)) and len(set(asked) - {""}) == 11
 
 
 def test_decoding_of_odd_ids(spark):

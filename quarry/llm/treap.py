@@ -29,6 +29,7 @@ each answered; items without terms, or an empty table, give no rows; other colum
 from __future__ import annotations
 
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import scratch
 
-SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 22
+SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 20
 BLOCK_ITEMS = 1024
 K = 10
 #: Ranges halved at a time.
@@ -73,15 +74,15 @@ def weight(documents: int, df: int) -> int:
 def _interleaved(rows: np.ndarray, columns: np.ndarray, height: int) -> np.ndarray:
     out = np.zeros(len(rows), np.int64)
     for bit in range(height):
-        out |= (((rows >> bit) & 1) << (2 * bit + 1)) | (((columns >> bit) & 1) << (2 * bit))
+        out |= (((rows >> bit) & 1).astype(np.int64) << (2 * bit + 1)) | (((columns >> bit) & 1).astype(np.int64) << (2 * bit))
     return out
 
 
 def _apart(places: np.ndarray, height: int) -> tuple[np.ndarray, np.ndarray]:
-    rows, columns = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
+    rows, columns = np.zeros(len(places), np.int32), np.zeros(len(places), np.int32)
     for bit in range(height):
-        rows |= ((places >> (2 * bit + 1)) & 1) << bit
-        columns |= ((places >> (2 * bit)) & 1) << bit
+        rows |= (((places >> (2 * bit + 1)) & 1) << bit).astype(np.int32)
+        columns |= (((places >> (2 * bit)) & 1) << bit).astype(np.int32)
     return rows, columns
 
 
@@ -273,25 +274,26 @@ def count_terms(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: i
     """One row for each shard of documents with terms: their ids and lengths, the terms, and (term, document, count) of each posting."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number, known, docs, ids, counts, sizes = TaskContext.get().partitionId() << 32, {}, [], [], [], []
+        number, known, docs, ids, counts, sizes = TaskContext.get().partitionId() << 32, {}, [], array("i"), array("i"), []
 
         def shard() -> pd.DataFrame:
             nonlocal number
             order = sorted(range(len(docs)), key=lambda k: (docs[k][0] is None, docs[k][0] or 0))
             column = np.empty(len(docs), np.int64)
             column[order] = np.arange(len(docs))
-            term, df = np.array(ids, np.int64), np.bincount(ids, minlength=len(known))
+            term = np.array(ids, np.int32)
+            df = np.bincount(term, minlength=len(known))
             by_df = np.argsort(-df, kind="stable")
-            row = np.empty(len(known), np.int64)
+            row = np.empty(len(known), np.uint32)
             row[by_df] = np.arange(len(known))
             names = list(known)
-            cells = np.stack([row[term], np.repeat(column, sizes), np.array(counts, np.int64)]).astype("<u4").tobytes()
+            cells = np.concatenate([row[term], np.repeat(column.astype("<u4"), sizes), np.array(counts, "<u4")]).tobytes()
             out = pd.DataFrame([[number, [docs[k][0] for k in order], [docs[k][1] for k in order], [names[k] for k in by_df], df[by_df].tolist(), cells]],
                                columns=["shard", "doc_ids", "lengths", "terms", "dfs", "cells"])
             number += 1
-            known.clear()
-            for x in (docs, ids, counts, sizes):
+            for x in (known, docs, sizes):
                 x.clear()
+            del ids[:], counts[:]
             return out
 
         for batch in batches:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 
 def ascii_tokens(text: Column) -> Column:
@@ -128,6 +131,35 @@ def simhash(items: DataFrame, key: str, token: str, into: str = "simhash", bits:
     return votes.select(key, value.alias(into))
 
 
+@F.pandas_udf(LongType())
+def simhash_of(hashes: pd.Series) -> pd.Series:
+    """64-bit SimHash of each row's token hashes, as `simhash` gives it; 0 without tokens."""
+    sizes = np.array([0 if h is None else len(h) for h in hashes])
+    out = np.zeros(len(sizes), np.int64)
+    for low in range(0, len(sizes), 256):
+        some = np.flatnonzero(sizes[low : low + 256]) + low
+        if len(some):
+            flat = np.concatenate([np.asarray(hashes.iloc[k], np.int64) for k in some]).astype(">i8")
+            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
+            votes = np.add.reduceat(2 * bits - 1, np.cumsum(sizes[some]) - sizes[some], axis=0)
+            out[some] = np.packbits(votes >= 0, axis=1).view(">i8").reshape(-1)
+    return pd.Series(out)
+
+
+def claim_key(text: Column) -> Column:
+    """A claim without marks of lists and emphasis: lower-case letters, digits, + # . and CJK alone."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[#*_`>\-•·]+", " "), r"[^a-z0-9\x{3400}-\x{9fff}+#.]+", "")
+
+
+def claim_tokens(text: Column) -> Column:
+    """Distinct words of two characters or more, with + # . _ / - inside, and pairs of neighbouring CJK characters."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.filter(F.regexp_extract_all(low, F.lit(r"([a-z0-9][a-z0-9+#._/-]*)"), 1), lambda w: F.length(w) > 1)
+    runs = F.filter(F.regexp_extract_all(low, F.lit(r"([\x{3400}-\x{9fff}]+)"), 1), lambda r: F.length(r) > 1)
+    pairs = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))))
+    return F.array_distinct(F.concat(words, pairs))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 

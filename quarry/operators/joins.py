@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
+from .firstcome import candidates
+from .storage import stored
 
 
 def with_children(parent: DataFrame, child: DataFrame, key: str, foreign: str, into: str, fields: list[str]) -> DataFrame:
@@ -140,19 +142,11 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
     members = tokens.select("id", "h", "h2").join(ranges.drop("last"), ["h", "h2"]).where("id > first_id")
     members = members.select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
     sets = classes.select(F.col("r.id").alias("id"), F.array_distinct("r.tokens").alias("set"))
-    words = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("token"))
-    common = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("id").orderBy("df", "token")
-    prefix = words.join(common, "token").withColumn("p", F.row_number().over(rare_first))
-    prefix = prefix.where((F.col("p") <= F.col("n") - F.ceil(F.col("n") * least_jaccard - 1e-9) + 1) & (F.col("df") > 1))
-    x, y = prefix.alias("x"), prefix.alias("y")
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id"))
-                 & (F.col("x.n") >= F.col("y.n") * least_jaccard) & (F.col("y.n") >= F.col("x.n") * least_jaccard))
-    pairs = met.select(F.col("x.id").alias("first_id"), F.col("y.id").alias("second_id")).distinct()
-    signed = sets.join(T.simhash(words, "id", "token", "sim"), "id")
+    signed = stored(sets.withColumn("sim", T.simhash_of(F.transform("set", lambda t: F.xxhash64(t)))), "signed")
+    pairs = candidates(signed.select("id", F.col("set").alias("tokens")), least_jaccard)
     one = signed.select(F.col("id").alias("first_id"), F.col("set").alias("a"), F.col("sim").alias("sa"))
     two = signed.select(F.col("id").alias("second_id"), F.col("set").alias("b"), F.col("sim").alias("sb"))
-    both = pairs.join(one, "first_id").join(two, "second_id")
+    both = pairs.select(F.col("a").alias("first_id"), F.col("b").alias("second_id")).join(one, "first_id").join(two, "second_id")
     near = both.select(
         "first_id", "second_id", T.hamming(F.col("sa"), F.col("sb")).alias("bits"), T.jaccard(F.col("a"), F.col("b")).alias("jaccard")
     ).where((F.col("bits") <= most_bits) & (F.col("jaccard") >= least_jaccard))

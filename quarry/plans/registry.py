@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import analytics, documents, matching, relational, reports  # noqa: E402,F401  they register their queries
+from . import analytics, documents, greedy, matching, relational, reports  # noqa: E402,F401  they register their queries

@@ -6,34 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import inverted
 from .joins import top_k
 
 
-def term_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """item_id, doc_id, bm25, shared, terms of every document that has a term of a query.
+def term_scores(docs: DataFrame, queries: DataFrame, k: int | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """item_id, doc_id, bm25, shared, terms of every document that has a term of a query; with k, of those that may be among its k best.
 
-    docs(doc_id, text), queries(item_id, text). One pass over the texts: documents shrink to counts of the terms that some
-    query has before anything is shuffled; the empty term stands for the document itself and carries its length.
+    docs(doc_id, text), queries(item_id, text). One pass over the texts, in which terms that no query has are dropped before
+    anything is counted; the counts are written in blocks, and searched block by block.
     """
-    words = docs.select("doc_id", T.ascii_tokens(F.col("text")).alias("w"))
-    asked = queries.select("item_id", F.array_distinct(T.ascii_tokens(F.col("text"))).alias("w"))
-    asked = asked.select("item_id", F.size("w").alias("terms"), F.explode("w").alias("term"))
-    known = asked.select("term").unionByName(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    counted = words.select("doc_id", F.size("w").alias("len"), F.explode(F.array_append("w", F.lit(""))).alias("term"))
-    tf = counted.join(known, "term", "left_semi").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"))
-    sizes = tf.where("term = ''").agg(F.count(F.lit(1)).alias("docs"), F.avg("len").alias("mean_len"))  # one row
-    df = tf.where("term <> ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(sizes)).select("term", "mean_len", F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    # The few rows of the queries' terms, each with its idf, meet the counts once.
-    wanted = asked.join(idf, "term")
-    scored = tf.join(wanted, "term").select("item_id", "doc_id", "terms", weight.alias("s"))
-    return scored.groupBy("item_id", "doc_id").agg(F.round(F.sum("s"), 6).alias("bm25"), F.count(F.lit(1)).alias("shared"), F.max("terms").alias("terms"))
+    return inverted.hits(inverted.build(docs, wanted=inverted.wanted_terms(queries)), queries, k, k1, b)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Top k documents of each query by BM25."""
-    scored = term_scores(docs, queries).select("item_id", "doc_id", F.col("bm25").alias("score"))
+    scored = term_scores(docs, queries, k).select("item_id", "doc_id", F.col("bm25").alias("score"))
     return top_k(scored, "item_id", [F.desc("score"), F.asc("doc_id")], k)
 
 

@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import retrieval as R
 from ..operators import windows as W
+from ..operators.storage import stored
 from ..sources import records
 from .registry import Tables, query
 
@@ -39,7 +40,7 @@ otop AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC,
 
 def _channels(t: Tables, k: int) -> dict[str, DataFrame]:
     """Top k of each item by BM25 and by the share of its terms, from the same counts."""
-    hits = R.term_scores(t.documents, t.benchmark)
+    hits = stored(R.term_scores(t.documents, t.benchmark), "hits")
     bm25 = hits.select("item_id", "doc_id", F.col("bm25").alias("score"))
     overlap = hits.select("item_id", "doc_id", F.round(F.col("shared") / F.col("terms"), 6).alias("score"))
     return {name: J.top_k(d, "item_id", [F.desc("score"), F.asc("doc_id")], k) for name, d in (("bm25", bm25), ("overlap", overlap))}
@@ -147,7 +148,7 @@ FROM rel LEFT JOIN got USING (item_id) LEFT JOIN i USING (item_id)"""
 @query(_METRICS)
 def ir_metrics(t: Tables) -> DataFrame:
     """Ranking metrics of BM25 against silver grades: 2 for documents with nine tenths of an item's terms, 1 for six."""
-    hits = R.term_scores(t.documents, t.benchmark)
+    hits = stored(R.term_scores(t.documents, t.benchmark), "hits")
     judgments = hits.where(F.col("shared") >= 0.6 * F.col("terms")).select("item_id", "doc_id", F.when(F.col("shared") >= 0.9 * F.col("terms"), 2).otherwise(1).alias("grade"))
     ranked = J.top_k(hits.select("item_id", "doc_id", F.col("bm25").alias("score")), "item_id", [F.desc("score"), F.asc("doc_id")], 5)
     out = M.ranking_metrics(ranked, judgments, "item_id", "doc_id")
@@ -287,7 +288,7 @@ SELECT item_id, relevant, round(coalesce(found, 0) / relevant::DOUBLE, 6) AS can
   round(coalesce(found, 0) / relevant::DOUBLE / least(1.0::DOUBLE, 20 / relevant::DOUBLE), 6) AS normalized_recall, round(coalesce(said, 0) / relevant::DOUBLE, 6) AS citation_coverage
 FROM n2 LEFT JOIN c2 USING (item_id) LEFT JOIN s2 USING (item_id)""")
 def candidate_recall(t: Tables) -> DataFrame:
-    hits = R.term_scores(t.documents, t.benchmark)
+    hits = stored(R.term_scores(t.documents, t.benchmark), "hits")
     relevant = hits.where(F.round(F.col("shared") / F.col("terms"), 6) >= 0.6).select("item_id", "doc_id")
     top = J.top_k(hits.select("item_id", "doc_id", F.col("bm25").alias("score")), "item_id", [F.desc("score"), F.asc("doc_id")], 20)
     out = E.candidate_metrics(top, relevant, top.where("rank <= 5"), "item_id", "doc_id", 20)
@@ -304,7 +305,7 @@ SELECT item_id, round(good / n::DOUBLE, 6) AS context_precision, CASE WHEN coale
   round(1 - CASE WHEN coalesce(negatives, 0) = 0 THEN 0 ELSE bad / negatives::DOUBLE END, 6) AS hard_negative_rejection, round(wrong / n::DOUBLE, 6) AS false_evidence
 FROM a LEFT JOIN r USING (item_id) LEFT JOIN g USING (item_id)""")
 def graded_signals(t: Tables) -> DataFrame:
-    hits = R.term_scores(t.documents, t.benchmark)
+    hits = stored(R.term_scores(t.documents, t.benchmark), "hits")
     share = F.round(F.col("shared") / F.col("terms"), 6)
     judged = hits.where("doc_id % 3 <> 0").select("item_id", "doc_id", F.when(share >= 0.9, 2).when(share >= 0.6, 1).otherwise(0).alias("grade"))
     hard = hits.where((share < 0.3) & (F.col("doc_id") % 2 == 0)).select("item_id", "doc_id")

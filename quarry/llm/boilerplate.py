@@ -4,12 +4,16 @@ A page is cut into flat blocks at block-level tags. Each block gets its word
 count and link density, those of the blocks before and after it, whether it is a
 heading, whether it lies in an element that the page marks as its article, and
 whether its own tag (1) or an element around it (2) is named like a page part such as
-a menu or an advert (the article's own tag never is). Within a block, the text of an
-inline element that is named so is left out, unless the block has no other. A decision
-tree, grown here from the small labelled table below, keeps or drops each block: a
-link between prose is part of the text, one beside other links is not; a paragraph
-named like a page part is prose if it is long among prose; pages that mark no article
-are decided by words and links alone.
+a menu or an advert (the article's own tag never is). What an element holds can overrule
+its name: a form around the article, or one of prose with few fields, is none; nor is an
+element that is only partly named so, a quotation or a section, if it is prose; nor one
+around the page's only article. Comments, menus, footers and adverts stay what they are
+called. Within a block, the text of an inline element that is named so is left out, unless
+the block has no other. A decision tree, grown here from the small labelled table below,
+keeps or drops each block: a link between prose is part of the text, one beside other
+links is not; a paragraph named like a page part is prose if it is long among prose; pages
+that mark no article are decided by words and links alone. Where the tree keeps nothing,
+the longest run of blocks that aren't page parts and not mostly links is the text.
 
 Pages are independent, so Spark maps over them with no shuffle; the work in a task
 is linear in its pages.
@@ -67,6 +71,69 @@ _TOKEN = re.compile(
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
+#: Readers' comments by names that articles use for their own sections too: not of a <section>.
+COMMENT_LISTS = frozenset("discussion discussions responses thread talkback guestbook".split())
+#: With these in a class or id, its words tell of the page's build: has-sidebar, ad-hoc.
+BUILD_WORDS = frozenset("has with no without layout hoc".split())
+#: What no amount of prose makes text, if it is the whole name.
+ADVERT_WORDS = frozenset(
+    "ad ads advert advertisement adverts banner complementary cookie cookies consent newsletter pagination popup privacy promo promoted related"
+    " signup sponsor sponsored subscribe subscription".split()
+)
+FIELDS = frozenset("input select textarea button".split())
+PROSE_WORDS, PROSE_LINKS = 12, 0.3
+
+
+class Part:
+    """An element that is named like a page part, and what it holds."""
+
+    def __init__(self, kind: str, quotes: bool, inside: bool):
+        self.kind, self.quotes, self.inside = kind, quotes, inside  # kind: fixed, form, whole or partial name
+        self.around = self.main = False  # it holds an article, a main element
+        self.fields = self.words = self.prose = 0
+        self.linked = 0.0
+
+    def holds(self, words: int, links: float) -> None:
+        self.words += words
+        self.linked += words * links
+        if words >= PROSE_WORDS and links <= PROSE_LINKS:
+            self.prose += words
+
+    def lifted(self, other_article: bool, marked: bool) -> bool:
+        """Whether its content overrules its name. other_article: the page has one outside page parts."""
+        if self.kind == "fixed":
+            return False
+        if self.around and (self.main or self.kind == "form" or not other_article):
+            return True
+        if self.linked > PROSE_LINKS * self.words:
+            return False
+        if self.kind == "form":
+            return self.prose >= max(50, 10 * self.fields)
+        if self.kind == "advert":
+            return False
+        if self.inside:
+            return self.prose >= 40 and (self.kind == "partial" or self.quotes)
+        return not marked and self.kind == "partial" and self.prose >= 80
+
+
+def part_name(named: list[str], tag: str) -> str:
+    """'' or what a class, id or role tells: comment, advert (by its whole name), whole or partial."""
+    found = ""
+    for name in named:
+        words = set(re.split(r"[_-]+", name))
+        if not words.isdisjoint(BUILD_WORDS) or ("content" in words and not words.isdisjoint(("wrap", "wrapper", "container"))):
+            continue
+        if not words.isdisjoint(COMMENT_WORDS) or (tag != "section" and not words.isdisjoint(COMMENT_LISTS)):
+            return "comment"
+        if name in ADVERT_WORDS:
+            found = "advert"
+        elif name in PART_WORDS:
+            found = found if found == "advert" else "whole"
+        elif not words.isdisjoint(PART_WORDS):
+            found = found or "partial"
+    return found
+
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "article", "part")
 
 #: Labelled blocks: the features above (article: 1 in it, 0 the page marks none, -1 outside the one it marks;
@@ -291,8 +358,9 @@ def judge(tree: tuple, features: tuple) -> bool:
 def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
     """(text, words, link density, heading, in the article, page part) of each block with text."""
     out, parts, shown, linked = [], [], 0, 0
-    stack: list[tuple[str, int, int]] = []  # tag, page parts and articles around, itself included
-    part = article = heading = link = own = head = 0
+    stack: list[tuple[str, tuple[Part, ...], int]] = []  # tag, page parts and articles around, itself included
+    around: tuple[Part, ...] = ()
+    article = heading = link = own = head = 0
     aside, depth, hid, hid_shown, hid_linked = "", 0, [], 0, 0  # an open inline page part: tag, open ones of its name; its texts
 
     def close():
@@ -301,7 +369,10 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
         if not text and hid:  # nothing but page parts
             text, shown, linked, own = " ".join(unescape("".join(hid)).split()), hid_shown, hid_linked, 2
         if text:
-            out.append((text, text.count(" ") + 1, linked / max(shown, 1), int(heading > 0), int(article > 0), 2 if part else own))
+            words, links = text.count(" ") + 1, linked / max(shown, 1)
+            for p in around:
+                p.holds(words, links)
+            out.append((text, words, links, int(heading > 0), int(article > 0), own, around))
         parts.clear()
         hid.clear()
         aside, depth = "", 0
@@ -326,6 +397,9 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             continue
         tag = m["tag"] or m["tag2"]
         if tag is None or not m[0].endswith(">"):
+            if m["hidden"] and m["hidden"].lower() in FIELDS:
+                for p in around:
+                    p.fields += 1
             if m["hidden"] and m["hidden"].lower() in BLOCKS:
                 close()
             continue
@@ -349,12 +423,14 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
                     for k in range(len(stack) - 1, -1, -1):
                         if stack[k][0] == tag:
                             del stack[k:]
-                            part, article = stack[-1][1:] if stack else (0, 0)
+                            around, article = stack[-1][1:] if stack else ((), 0)
                             link = heading = 0
                             break
             continue
-        named = {w for found in _NAMED.findall(rest) for w in re.split(r"[\s_-]+", "".join(found).lower())} if rest else set()
-        names = not named.isdisjoint(PART_WORDS)
+        if tag in FIELDS:
+            for p in around:
+                p.fields += 1
+        name = part_name([w for found in _NAMED.findall(rest) for w in "".join(found).lower().split()], tag) if rest else ""
         if tag == "a":
             link = 1
         elif tag in BLOCKS:
@@ -362,21 +438,48 @@ def flat_blocks(html: str) -> list[tuple[str, int, float, int, int, int]]:
             link = 0
             heading = int(tag in HEADINGS)
             if tag in CONTAINERS:
-                inside = tag in PARTS or (names and tag not in ARTICLE) or (tag == "header" and not article)
-                if tag not in ("body", "html"):
-                    part, article = part + inside, article + (tag in ARTICLE)
+                if tag in ARTICLE:
+                    for p in around:
+                        p.around, p.main = True, p.main or tag == "main"
+                    article += 1
+                    if name == "comment" and tag == "article":
+                        around = (*around, Part("fixed", False, True))
+                elif tag not in ("body", "html"):
+                    if tag in PARTS and tag != "form" or name == "comment":
+                        around = (*around, Part("fixed", False, article > 0))
+                    elif tag == "form" or name or (tag == "header" and not article):
+                        around = (*around, Part("form" if tag == "form" else name or "whole", tag in ("blockquote", "section", "figure", "details"), article > 0))
                 if not rest.endswith("/"):
-                    stack.append((tag, part, article))
+                    stack.append((tag, around, article))
+                elif tag not in ("body", "html"):
+                    around, article = stack[-1][1:] if stack else ((), 0)
             else:
-                own = 0 if not names or tag in VOID else 2 - named.isdisjoint(COMMENT_WORDS)
+                own = 0 if not name or tag in VOID else 1 + (name == "comment")
         elif tag == "br":
             (hid if depth else parts).append(" ")
         elif tag == aside:
             depth += 1
-        elif names and not depth and tag not in VOID and not rest.endswith("/"):
+        elif name and not depth and tag not in VOID and not rest.endswith("/"):
             aside, depth = tag, 1
     close()
-    return out
+    marked = any(b[4] for b in out)
+    other = any(b[4] and not b[6] for b in out)
+    lifted = {p for b in out for p in b[6] if p.lifted(other, marked)}
+    return [(*b[:5], b[5] if lifted.issuperset(b[6]) else 2) for b in out]
+
+
+def densest_run(blocks: list[tuple]) -> list[str]:
+    """The run of blocks with the most words that aren't page parts and not mostly links; of the article, where there is one."""
+    marked = any(b[4] and b[5] < 2 for b in blocks)
+    runs, words = [[]], [0]
+    for text, n, links, _, article, part in blocks:
+        if part == 2 or links > 0.5 or (marked and not article):
+            runs.append([])
+            words.append(0)
+        else:
+            runs[-1].append(text)
+            words[-1] += n
+    return runs[words.index(max(words))]
 
 
 def main_text(html: str | None, tree: tuple) -> str:
@@ -388,7 +491,7 @@ def main_text(html: str | None, tree: tuple) -> str:
         article = (1 if at[4] else -1) if marked else 0
         if judge(tree, (at[1], at[2], before[1], before[2], after[1], after[2], at[3], article, at[5])):
             kept.append(at[0])
-    return "\n".join(kept)
+    return "\n".join(kept or densest_run(blocks))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -376,6 +376,35 @@ MARKED = [  # blocks of an article, and whether they are main text
 ]
 
 
+L = "plain prose that goes on for some words and has no link at all " * 5
+WRAPPED = [  # page, text: what a page part's name can't take away, and what it does take
+    (f"<div class='layout has-sidebar'><article><p>{L}</p></article></div>", [L]),
+    (f"<div id='content-sidebar-wrap'><main><p>One.</p><p>{L}</p></main></div>", ["One.", L]),
+    ("<form id='aspnetForm'><nav><a href=1>Home</a></nav><article><p>One.</p><p>Two.</p></article><input></form>", ["One.", "Two."]),
+    (f"<form><div><p>{L}</p><p>{L}</p></div><input type=hidden></form>", [L, L]),
+    (f"<div class='page sidebar'><main><h1>A</h1><p>{L}</p></main></div>", ["A", L]),
+    (f"<div class=header-fixed><div><article><p>{L}</p></article></div></div>", [L]),
+    (f"<article><p>a b</p><section class='ad-hoc-analysis'><p>{L}</p></section><p>c</p></article>", ["a b", L, "c"]),
+    (f"<article><div class='market-share'><p>{L}</p></div><blockquote class='notice'>{L}</blockquote></article>", [L, L]),
+    ("just text &amp; more", ["just text & more"]),
+    ("<p>Roses are red</p><p>Violets are blue</p>", ["Roses are red", "Violets are blue"]),
+    ("<ul><li>one</li><li>two</li></ul>", ["one", "two"]),
+    (f"<article><p>{L}</p></article><div id='discussion'><p>{L}</p></div>", [L]),
+    (f"<article><p>{L}</p><div class='comments-wrapper'><article class=comment><p>{L}</p></article></div></article>", [L]),
+    (f"<article><section id='discussion'><h2>Discussion</h2><p>{L}</p></section></article>", ["Discussion", L]),
+    (f"<div class=sidebar><article><p>{L}</p></article></div><article><p>Main.</p><p>{L}</p></article>", ["Main.", L]),
+    (f"<article><p>T</p><div class='ad'><p>{L}</p></div><div class=cookie-consent><p>We use cookies. Accept them.</p></div></article>", ["T"]),
+    (f"<article><form><p>Your name and the address, please, in this field here, thank you all</p><input><input></form><p>{L}</p></article>", [L]),
+    (f"<aside><p>{L}</p></aside><article><p>x</p><aside><p>{L}</p></aside></article><footer><p>{L}</p></footer>", ["x"]),
+    ("<nav><a href=1>Home</a> <a href=2>Us</a></nav>", []),
+]
+
+
+@pytest.mark.parametrize("html,text", WRAPPED)
+def test_content_overrules_names(html, text):
+    assert boilerplate.main_text(html, boilerplate.labelled_tree()) == "\n".join(x.strip() for x in text)
+
+
 def test_blocks_by_words_and_links():
     """Labelled by hand: tags alone don't tell these."""
     tree = boilerplate.labelled_tree()

@@ -1,0 +1,98 @@
+"""Terms, skills and requirements against plain patterns."""
+
+import random
+import re
+from collections import Counter
+
+from pyspark.sql import functions as F
+
+from quarry.operators import extraction as K
+from quarry.operators import matching as Q
+
+
+def pattern(w):
+    if w == "C":
+        return r"(?<![A-Za-z0-9+#])C(?![A-Za-z0-9+#])"
+    return rf"(?<![A-Za-z0-9]){re.escape(w)}(?![A-Za-z0-9])" if re.fullmatch(r"[A-Za-z0-9+.# -]+", w) else re.escape(w)
+
+
+def plain_spans(text, lexicon):
+    out = set()
+    for term, wordings in lexicon.terms:
+        for w in wordings:
+            at = re.compile(f"(?=({pattern(w)}))", re.I)
+            out |= {(m.start(), m.start() + len(w), term) for m in at.finditer(text or "")}
+    return sorted(out, key=lambda m: (m[0], -m[1], m[2]))
+
+
+def plain_longest(matches):
+    out = []
+    for m in matches:
+        if all(m[0] >= o[1] or m[:2] == o[:2] for o in out):
+            out.append(m)
+    return out
+
+
+ODD = [None, "", "C", "C/C++ and C#", "c语言 C＋＋", "SpringBoot, Spring boot; spring", "React和Vue3", "GOLANG go Go1 1go", "İstanbul Python İ C", "Node.js/nodejs", "大模型与多智能体"]
+
+
+def test_spans_equal_plain_patterns(spark):
+    rng = random.Random(9)
+    lexicon = K.skill_lexicon()
+    words = [w for _, ws in lexicon.terms for w in ws] + ["and", "的", "+", "#", "x", "C", "C++"]
+    texts = ODD + ["".join(rng.choice(words) + rng.choice(["", " ", "/", "、", ", ", "3"]) for _ in range(rng.randint(1, 40))).swapcase() for _ in range(150)]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(0, "Python", "y")], "id long, text string, term string")
+    got = Counter(map(tuple, K.spans(df, ["id"], "text", lexicon, longest=False).collect()))
+    want = [(k, t) for k, t in enumerate(texts)] + [(0, "Python")]
+    assert got == Counter((k, term, a, b) for k, t in want for a, b, term in plain_spans(t, lexicon))
+    longest = Counter(map(tuple, K.spans(df, ["id"], "text", lexicon).collect()))
+    assert longest == Counter((k, term, a, b) for k, t in want for a, b, term in plain_longest(plain_spans(t, lexicon)))
+    assert K.spans(df, ["id"], "text", K.Lexicon(())).count() == 0 and K.spans(df.limit(0), ["id"], "text", lexicon).count() == 0
+
+
+def test_skills_by_section(spark):
+    rows = [
+        (1, "requirements", "熟悉 Python 和 C/C++"), (1, "preferred", "Docker, python, Spring Boot; Spring"), (1, "body", "We use Rust"), (1, "requirements", None),
+        (2, "body", "Java 后端, C语言"), (2, "preferred", "Kubernetes"), (2, "summary", "Redis"), (3, "requirements", ""), (3, "body", "Go"), (None, "body", "SQL"),
+    ]
+    df = spark.createDataFrame(rows, "id long, section string, line string")
+    got = {(r["id"], r["skill"]): (r["type"], r["importance"]) for r in K.skills(df, "id").collect()}
+    must, nice = ("required", 0.7), ("preferred", 0.4)
+    assert got == {
+        (1, "Python"): must, (1, "C++"): must, (1, "Docker"): nice, (1, "Spring Boot"): nice,
+        (2, "Java"): must, (2, "C"): must, (2, "Kubernetes"): nice, (3, "Go"): must, (None, "SQL"): must,
+    }
+
+
+def test_requirements_and_groups_end_to_end(spark):
+    text = "负责平台开发\n必须精通 Python；熟悉 React 或 Vue\n至少两种：MySQL、Redis、Kafka 等数据库\nDocker 优先\n了解 Rust; 核心要求 SQL 要求"
+    docs = spark.createDataFrame([(1, text), (2, "Java"), (3, None)], "id long, text string")
+    found = [("Python", "required"), ("React", "required"), ("Vue", "required"), ("MySQL", "required"), ("Redis", "required"), ("Kafka", "required"), ("Docker", "required"), ("Rust", "required"), ("SQL", "required")]
+    listed = spark.createDataFrame([(1, s, t, 0.7) for s, t in found] + [(2, "Go", "preferred", 0.4), (3, "AI", "required", 0.7)], "id long, skill string, type string, importance double")
+    asked = K.requirements(docs, "id", "text", listed)
+    got = {(r["id"], r["skill"]): r for r in asked.collect()}
+    kind = {k: (r["type"], r["relation"], r["at_least"], tuple(r["wanted"])) for k, r in got.items()}
+    store = ("Kafka", "MySQL", "Redis")
+    assert kind == {
+        (1, "Python"): ("must_have_skill", "ALL_OF", 1, ("Python",)), (1, "React"): ("must_have_skill", "ANY_OF", 1, ("React", "Vue")),
+        (1, "Vue"): ("must_have_skill", "ANY_OF", 1, ("React", "Vue")), (1, "MySQL"): ("must_have_skill", "AT_LEAST_N", 2, store),
+        (1, "Redis"): ("must_have_skill", "AT_LEAST_N", 2, store), (1, "Kafka"): ("must_have_skill", "AT_LEAST_N", 2, store),
+        (1, "Docker"): ("preferred_skill", "ALL_OF", 1, ("Docker",)), (1, "Rust"): ("context_skill", "ALL_OF", 1, ("Rust",)),
+        (1, "SQL"): ("must_have_skill", "AT_LEAST_N", 2, store),  # "MySQL" is the first unit that has the name
+        (2, "Go"): ("preferred_skill", "ALL_OF", 1, ("Go",)), (3, "AI"): ("must_have_skill", "ALL_OF", 1, ("AI",)),
+    }
+    assert got[1, "Python"]["critical"] and got[1, "Redis"]["group_id"] == got[1, "MySQL"]["group_id"] and got[2, "Go"]["unit_no"] is None
+    assert got[3, "AI"]["specificity"] == 0.35 and not got[1, "Docker"]["hard"]
+    none = lambda k: F.lit(None).cast(k)
+    have = F.struct(F.array(F.lit("Python"), F.lit("Vue"), F.lit("Redis")).alias("skills"), none("string").alias("direction"), none("int").alias("level"), none("double").alias("years"))
+    rows = Q.evaluated(asked.where("id = 1").withColumns({"level": none("int"), "minimum": none("double")}), have).withColumn("deduction", F.lit(0.0))
+    status = {r["skill"]: r["status"] for r in rows.collect()}
+    assert status == status | {"Python": "matched", "React": "matched", "Vue": "matched", "Redis": "missing", "Docker": "missing"}
+    score = Q.quick_scores(rows, "id").first()
+    assert score["must_have"] == 100.0 and score["preferred"] == 0.0 and score["final"] <= 100.0
+
+
+def test_directions(spark):
+    rows = {"BD经理": "sales", "Senior Developer": "engineering", "算法工程师": "algorithm", "UX lead": "design", "luxury": "unknown", "": "unknown", None: "unknown", "产品经理（运营）": "operations"}
+    df = spark.createDataFrame([(k,) for k in rows], "title string")
+    assert {r[0]: r[1] for r in df.select("title", K.direction(F.col("title"))).collect()} == rows

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import etl as X
 from ..operators import evaluation as E
+from ..operators import folds as O
 from ..operators import joins as J
 from ..operators import metrics as M
 from ..operators import retrieval as R
@@ -175,12 +176,42 @@ def memory_scores(t: Tables) -> DataFrame:
     return t.conversations.join(last, "conv_id").select("conv_id", "turn", F.round(score, 6).alias("score"))
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (PARTITION BY conv_id ORDER BY turn, length(text)) AS n FROM conversations),
+f AS (SELECT conv_id, 0::BIGINT AS n, 0::BIGINT AS used, []::INTEGER[] AS turns FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL SELECT f.conv_id, r.n, CASE WHEN used + cost <= 600 THEN used + cost ELSE used END, CASE WHEN used + cost <= 600 THEN list_append(turns, turn::INTEGER) ELSE turns END
+  FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1)
+SELECT conv_id, turns FROM f QUALIFY n = max(n) OVER (PARTITION BY conv_id)""")
 def token_budget_fold(t: Tables) -> DataFrame:
-    items = F.sort_array(F.collect_list(F.struct("turn", F.length("text").alias("cost"))))
-    grouped = t.conversations.groupBy("conv_id").agg(items.alias("items"))
-    kept = W.within_budget(F.col("items"), "cost", 600)
-    return grouped.select("conv_id", F.transform(kept, lambda x: x["turn"]).alias("turns"))
+    """Turns that fit 600 characters, in order, passing over those that don't."""
+    rows = t.conversations.select("conv_id", F.col("turn").cast("int").alias("turn"), F.length("text").alias("cost"))
+    taken = O.within_budget(rows, ["conv_id"], [F.col("turn"), F.col("cost")], "cost", 600)
+    # Bounded: what was taken fits the budget.
+    kept = F.sort_array(F.collect_list(F.when(F.col("taken"), F.struct("turn", "cost"))))
+    return taken.groupBy("conv_id").agg(F.transform(kept, lambda x: x["turn"]).alias("turns"))
+
+
+@query("""
+WITH RECURSIVE s AS (SELECT conv_id, turn, length(text) AS cost, (length(text) % 100) / 100.0 AS relevance FROM conversations),
+k AS (SELECT *, CASE WHEN turn % 7 = 6 THEN 2 WHEN relevance >= 0.72 THEN 0 WHEN relevance >= 0.45 THEN 1 ELSE 3 END AS tier FROM s),
+r AS (SELECT *, [480, 200, 120, 120][tier + 1] AS share, row_number() OVER (PARTITION BY conv_id ORDER BY tier, relevance DESC, turn) AS n FROM k),
+f AS (SELECT conv_id, 0::BIGINT AS n, -1 AS tier, 0::BIGINT AS used, 0::BIGINT AS own, false AS fits FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL SELECT conv_id, n, tier, used + CASE WHEN fits THEN cost ELSE 0 END, own + CASE WHEN fits THEN cost ELSE 0 END, fits
+  FROM (SELECT *, own + cost <= share AND used + cost <= 800 AS fits FROM (
+    SELECT r.conv_id, r.n, r.tier, r.cost, r.share, f.used, CASE WHEN r.tier = f.tier THEN f.own ELSE 0 END AS own FROM f JOIN r ON r.conv_id = f.conv_id AND r.n = f.n + 1))),
+o AS (SELECT r.*, fits AS first, row_number() OVER (PARTITION BY conv_id ORDER BY fits DESC, r.n) AS m FROM r JOIN f USING (conv_id, n)),
+g AS (SELECT conv_id, 0::BIGINT AS m, 0::BIGINT AS used, 0 AS place, false AS fits FROM (SELECT DISTINCT conv_id FROM r)
+  UNION ALL SELECT conv_id, m, used + CASE WHEN fits THEN cost ELSE 0 END, place + fits::INT, fits
+  FROM (SELECT *, first OR used + cost <= 800 AS fits FROM (SELECT o.conv_id, o.m, o.cost, o.first, g.used, g.place FROM g JOIN o ON o.conv_id = g.conv_id AND o.m = g.m + 1)))
+SELECT o.conv_id, turn, ['PRIMARY', 'SUPPORTING', 'CONTRADICTORY', 'BACKGROUND'][o.tier + 1] AS tier, CASE WHEN first THEN 'tier' WHEN fits THEN 'rest' END AS taken,
+  CASE WHEN fits THEN place END::INTEGER AS place FROM o JOIN g USING (conv_id, m)""")
+def context_tiers(t: Tables) -> DataFrame:
+    """A context of 800 characters of each conversation: tiers by relevance, each within its share, then what is left."""
+    relevance = (F.length("text") % 100) / 100.0
+    rows = t.conversations.select("conv_id", "turn", F.length("text").alias("cost"), relevance.alias("relevance"))
+    tier = F.when(F.col("turn") % 7 == 6, "CONTRADICTORY").when(F.col("relevance") >= 0.72, "PRIMARY").when(F.col("relevance") >= 0.45, "SUPPORTING").otherwise("BACKGROUND")
+    out = O.tiered(rows.withColumn("tier", tier), ["conv_id"], [F.desc("relevance"), F.col("turn")], "tier", "cost", 800)
+    return out.select("conv_id", "turn", "tier", "taken", "place")
 
 
 @query()

@@ -11,6 +11,7 @@ from ..operators import filters as P
 from ..operators import incremental as I
 from ..operators import joins as J
 from ..operators import windows as W
+from ..operators.storage import scratch
 from ..streaming import events as E
 from .registry import Tables, query
 
@@ -293,11 +294,7 @@ def change_set(t: Tables) -> DataFrame:
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_tail_dedup(t: Tables) -> DataFrame:
     """The events table as a file stream, drained into Parquet; each event once."""
-    import uuid
-
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    base = f"{root.rstrip('/')}/tail-{uuid.uuid4().hex}"
-    t.events.write.parquet(f"{base}/in")
-    stream = E.tail(t.spark, f"{base}/in", t.events.schema, "event_id", "ts", "400 days")
+    base = scratch(t.spark, "tail")
+    stream = E.tail(t.spark, f"{t.folder}/events.parquet*", t.events.schema, "event_id", "ts", "400 days")
     E.drain(stream.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/state")
     return t.spark.read.schema("event_id long, user_id long, event_type string").parquet(f"{base}/out")

@@ -73,32 +73,48 @@ def years_required(text: Column) -> Column:
     return F.when(text.rlike("(?i)不限|应届|entry"), 0).otherwise(least)
 
 
-def experience_bucket(text: Column) -> Column:
-    years = years_required(text)
-    return (
-        F.when(years.isNull(), "unknown").when(years < 1, "none").when(years < 3, "1-3").when(years < 5, "3-5")
-        .when(years < 10, "5-10").otherwise("10+")
-    )
+#: Cities that a space alone parts from a district.
+_CITIES = "北京|上海|深圳|广州|武汉|成都|杭州|南京|西安|.+市"
 
 
 def place(text: Column) -> Column:
-    """struct(raw, city, district, normalized) of a place text."""
-    parts = F.filter(F.split(F.regexp_replace(text, r"[·|｜,/、\s]+", "|"), r"\|"), lambda x: x != "")
-    city = F.regexp_replace(F.get(parts, F.lit(0)), "市$", "")
-    district = F.get(parts, F.lit(1))
-    return F.struct(text.alias("raw"), city.alias("city"), district.alias("district"), F.concat_ws("·", city, district).alias("normalized"))
+    """struct(raw, city, district, normalized) of a place: parts between ·|｜，,/ or, of a known city and a district, a space."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    parts = F.filter(F.transform(F.split(raw, r"[·|｜，,/]"), F.trim), lambda x: x != "")
+    spaced = rf"^({_CITIES})\s+(.+(?:区|县))$"
+    one = (F.size(parts) == 1) & raw.rlike(spaced)
+    city = F.when(one, F.regexp_extract(raw, spaced, 1)).otherwise(F.coalesce(F.get(parts, F.lit(0)), raw))
+    district = F.when(one, F.regexp_extract(raw, spaced, 2)).otherwise(F.coalesce(F.get(parts, F.lit(1)), F.lit("")))
+    return F.struct(raw.alias("raw"), city.alias("city"), district.alias("district"), raw.alias("normalized"))
 
 
-#: Words of employment types.
-EMPLOYMENT = (("实习|intern", "internship"), ("兼职|part[- ]?time", "part_time"), ("合同|外包|contract", "contract"), ("全职|full[- ]?time", "full_time"))
+#: Words and labels of employment types.
+EMPLOYMENT = ((("实习", "intern"), "实习"), (("兼职", "part-time", "part time"), "兼职"), (("全职", "full-time", "full time"), "全职"))
 
 
 def employment(text: Column) -> Column:
-    out = None
+    """The label of the first type named; other texts as they are."""
+    raw = F.trim(F.coalesce(text, F.lit("")))
+    out = F.lit(None).cast("string")
     for words, name in EMPLOYMENT:
-        test = F.lower(text).rlike(words)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
+        said = F.lit(False)
+        for w in words:
+            said = said | F.contains(F.lower(raw), F.lit(w))
+        out = F.coalesce(out, F.when(said, name))
+    return F.coalesce(out, raw)
+
+
+#: Families of roles and the words that tell them, the first that is found.
+ROLE_FAMILIES = (
+    ("AI/LLM", ("agent", "rag", "llm", "大模型", "智能体", "nlp")), ("AI算法", ("算法", "机器学习", "深度学习", "计算机视觉", "推荐")), ("机器人", ("机器人", "ros", "控制算法", "运动规划")),
+    ("后端开发", ("后端", "backend", "server", "服务端")), ("前端开发", ("前端", "frontend", "react", "vue")), ("数据", ("数据分析", "数据工程", "数仓", "data")),
+    ("测试", ("测试", "qa", "质量保障")), ("产品", ("产品经理", "产品运营", "product")), ("运维/DevOps", ("运维", "devops", "sre")),
+)
+
+
+def role_family(text: Column) -> Column:
+    """The first family of which a text has a word anywhere, else 其他."""
+    return ordered_rules(text, [("|".join(words), name) for name, words in ROLE_FAMILIES], "其他")
 
 
 def ordered_rules(text: Column, rules: list[tuple[str, str]], other: str | None = None) -> Column:

@@ -21,10 +21,10 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " "))
 
 
-def clean_title(title: Column, tags: tuple[str, ...] = ("急招", "urgent", "hot")) -> Column:
-    """A title without its bracketed tags."""
-    alternatives = "|".join(tags)
-    return squeeze(F.regexp_replace(title, rf"(?i)[\[\(【（]\s*(?:{alternatives})\s*[\]\)】）]", " "))
+def clean_title(title: Column) -> Column:
+    """A title without the tags that it is urgent or hiring, white space runs as one space, bars and dashes at the ends off."""
+    bare = F.regexp_replace(F.regexp_replace(title, r"\s+", " "), r"[【\[]?(?:急招|招聘中|实习招聘)[】\]]?", "")
+    return F.regexp_replace(bare, r"^[ \-—|｜]+|[ \-—|｜]+$", "")
 
 
 def dedup_key(text: Column) -> Column:

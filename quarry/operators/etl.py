@@ -4,68 +4,83 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import parse as P
+from ..functions import postings as S
 from ..functions import text as T
+from . import extraction as K
 
 
-class _Text(HTMLParser):
-    """Text with line ends at block tags; nothing from scripts and the like."""
+# Tags that end a line, tags without text, and lines that are no part of a posting.
+BLOCK_TAGS = ("br", "div", "p", "li", "section", "article", "h1", "h2", "h3", "h4", "tr")
+SILENT_TAGS = ("script", "style", "svg", "noscript", "iframe", "template")
+NOISE = (
+    "立即沟通|在线沟通|收藏|举报|分享|扫码分享|查看更多|展开|收起",
+    "登录|注册|下载app|打开app|关注我们|职位收藏成功",
+    "boss直聘|智联招聘|前程无忧|牛客网",
+)
+#: White space of any script, and the line ends among it.
+_SPACE = r"[\s\x1c-\x1f\x{85}\p{Z}]"
+_LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
-    #: Tags that end a line, and tags without text.
-    BLOCKS = frozenset("p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav blockquote pre".split())
-    SILENT = frozenset("script style svg noscript iframe template".split())
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.quiet = [], 0
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def handle_starttag(self, tag, attrs):
-        if tag in self.SILENT:
-            self.quiet += 1
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
 
-    def handle_endtag(self, tag):
-        if tag in self.SILENT:
-            self.quiet = max(0, self.quiet - 1)
-        elif tag in self.BLOCKS:
-            self.out.append("\n")
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
 
-    def handle_data(self, data):
-        if not self.quiet:
-            self.out.append(data)
 
+@F.pandas_udf(StringType())
+def _unescaped(raw: pd.Series) -> pd.Series:
+    return raw.map(unescape, na_action="ignore")
 
-_NOISE = re.compile(r"^(apply now|share|report|login|sign up|立即申请|分享|举报|登录)$", re.I)
 
+def unescaped(text: Column) -> Column:
+    """Character references decoded; Spark has no function for it, so texts with an ampersand go through Arrow."""
+    return F.when(F.contains(text, F.lit("&")), _unescaped(text)).otherwise(text)
 
-def clean_one(raw: str | None) -> str:
-    if not raw:
-        return ""
-    if "<" in raw:
-        parser = _Text()
-        parser.feed(raw)
-        parser.close()
-        raw = "".join(parser.out)
-    raw = re.sub("[​-‍﻿]", "", raw.replace("\r\n", "\n").replace("\r", "\n"))
-    lines = [re.sub(r"[ \t\xa0]+", " ", x).strip() for x in raw.split("\n")]
-    return "\n".join(x for x in lines if x and not _NOISE.match(x))
 
+def without_markup(html: Column) -> Column:
+    """A line end for each tag that ends a line, nothing for other tags and comments, nor for what silent tags hold."""
+    silent, block = "|".join(SILENT_TAGS), "|".join(BLOCK_TAGS)
+    for pattern, by in (
+        (r"(?s)<!--.*?(?:-->|$)", ""), (rf"(?i)<(?:{silent})(?:\s{_INSIDE})?/>", ""), (rf"(?is)<({silent})(?:[\s/]{_INSIDE})?>.*?</\1\s*>", ""),
+        (rf"(?is)<(?:{silent})(?:[\s/]{_INSIDE})?>.*$", ""), (rf"(?i)</?(?:{block})(?:[\s/]{_INSIDE})?>", "\n"),
+        (rf"</?[A-Za-z]{_INSIDE}>", ""), (r"<[!?/][^>]*>", ""),
+    ):
+        html = F.regexp_replace(html, pattern, by)
+    return html
 
-def clean_html(df: DataFrame, column: str, into: str) -> DataFrame:
-    """Readable text of an HTML or plain column, by Arrow batches."""
-
-    @F.pandas_udf("string")
-    def cleaned(raw: pd.Series) -> pd.Series:
-        return raw.map(clean_one)
 
-    return df.withColumn(into, cleaned(F.col(column)))
+def clean_html(df: DataFrame, column: str, into: str) -> DataFrame:
+    """df with `into`, the readable text of an HTML or plain column, `into`_removed, its lines that are noise (each once), and
+    `into`_warnings: clean_text_empty, description_too_short (under 40 characters), unmapped_private_or_replacement_character.
+
+    Null counts as empty. References are decoded before tags are read, and again in what is left.
+    """
+    raw = unescaped(F.coalesce(F.col(column), F.lit("")))
+    bare = df.withColumn("__raw", F.regexp_replace(raw, r"\r\n?", "\n")).withColumn("__bare", unescaped(without_markup(F.col("__raw"))))
+    text = F.regexp_replace(F.regexp_replace("__bare", r"[\x{200b}-\x{200f}\x{feff}\x{2060}]", ""), r"[ \t\x{a0}]+", " ")
+    noise = "(?i)^(?:" + "|".join(NOISE) + rf"){_SPACE}*$"
+    core = lambda x: F.regexp_replace(x, r"^[ \t•·\-—]+|[ \t•·\-—]+$", "")
+    lines = F.transform(F.split(text, _LINE_END), lambda x: F.struct(stripped(x).alias("line"), core(x).alias("core")))
+    split = bare.withColumn("__lines", F.filter(lines, lambda x: x["core"] != ""))
+    kept = F.transform(F.filter("__lines", lambda x: ~x["core"].rlike(noise)), lambda x: x["line"])
+    out = split.withColumns({into: F.array_join(kept, "\n"), f"{into}_removed": F.array_distinct(F.transform(F.filter("__lines", lambda x: x["core"].rlike(noise)), lambda x: x["core"]))})
+    warnings = F.array_compact(F.array(
+        F.when(F.col(into) == "", "clean_text_empty"), F.when(F.length(into) < 40, "description_too_short"),
+        F.when(F.col(into).rlike(r"[\x{fffd}\x{e000}-\x{f8ff}]"), "unmapped_private_or_replacement_character")))
+    return out.withColumn(f"{into}_warnings", warnings).drop("__raw", "__bare", "__lines")
 
 
 def normal_form(column: Column) -> Column:
@@ -92,33 +107,42 @@ def similarity_ratio(a: Column, b: Column) -> Column:
 
 #: Headings of sections.
 HEADINGS = {
-    "responsibilities": ("responsibilities", "duties", "岗位职责", "工作内容"),
-    "requirements": ("requirements", "qualifications", "任职要求", "岗位要求"),
-    "preferred": ("preferred", "nice to have", "加分项"),
-    "benefits": ("benefits", "perks", "福利"),
+    "responsibilities": ("岗位职责", "工作职责", "职位职责", "工作内容", "主要职责", "你将负责"),
+    "requirements": ("任职要求", "任职条件", "职位要求", "岗位要求", "资格要求", "岗位资格", "招聘条件"),
+    "preferred": ("加分项", "优先条件", "加分条件", "优先资格", "nice to have", "bonus points"),
+    "benefits": ("福利待遇", "岗位福利", "公司福利", "你将获得", "福利"),
+    "summary": ("职位简介", "岗位简介", "职位描述", "岗位描述", "岗位概览", "about the role"),
 }
+_NUMERAL = "一二三四五六七八九十百"
 
 
 def heading_of(line: Column) -> Column:
-    """The section that a heading line names, else null."""
-    bare = F.lower(F.trim(F.regexp_replace(line, r"[\[\]【】#*:：]+", " ")))
-    out = None
-    for name, words in HEADINGS.items():
-        test = bare.isin(*words)
-        out = F.when(test, name) if out is None else out.when(test, name)
-    return out
-
-
-def split_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, section, item_index, item: list items under the heading above them."""
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.where(F.trim("line") != "")
-    w = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    marked = lines.withColumn("h", heading_of(F.col("line")))
-    named = marked.withColumn("section", F.coalesce(F.last("h", ignorenulls=True).over(w), F.lit("body"))).where(F.col("h").isNull())
-    item = F.trim(F.regexp_replace("line", r"^\s*(?:[-*•·]|\d+[.)、])\s*", ""))
-    index = F.row_number().over(Window.partitionBy(key, "section").orderBy("line_no")) - 1
-    return named.select(key, "section", index.alias("item_index"), item.alias("item"))
+    """The section that a heading line names, alone or before a space, colon or bar; else null."""
+    bare = F.trim(F.regexp_replace(line, r"^\s{0,3}#{1,6}\s*", ""))
+    bare = F.regexp_replace(bare, rf"^(?:[{_NUMERAL}]+|\d{{1,2}})\s*[、.．)]\s*", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, r"^[【\[（(]\s*", ""), r"\s*[】\]）)]$", "")
+    bare = F.regexp_replace(F.lower(F.regexp_replace(bare, r"^[ ：:|\-—]+|[ ：:|\-—]+$", "")), r"\s+", " ")
+    return let(bare, lambda x: F.coalesce(*[F.when(x.rlike(f"^(?:{'|'.join(words)})(?:$|[ :：|｜])"), name) for name, words in HEADINGS.items()]))
+
+
+def split_sections(docs: DataFrame, key: str, text: str, other: str = "other") -> DataFrame:
+    """key, section, item_index, item, line_index: list items under the heading above them (`other` before the first).
+
+    What follows a heading on its line, after a colon or bar, is an item of its section, unless it names the same one. Lines
+    are cut after ； and before numbered items, never at commas; bullets and numbers go.
+    """
+    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|" + _LINE_END)).alias("line_index", "line"))
+    lines = lines.withColumn("line", stripped(F.col("line"))).where("line <> ''").withColumn("h", heading_of(F.col("line")))
+    above = Window.partitionBy(key).orderBy("line_index").rowsBetween(Window.unboundedPreceding, 0)
+    named = lines.withColumn("section", F.coalesce(F.last("h", ignorenulls=True).over(above), F.lit(other)))
+    rest = F.when(F.col("line").rlike("[：:|｜]"), F.regexp_replace("line", r"^.*?[：:|｜]\s*", "")).otherwise("")
+    inline = F.when((rest != "") & ~heading_of(rest).eqNullSafe(F.col("h")), F.array(rest)).otherwise(F.array().cast("array<string>"))
+    cut = F.split("line", rf"(?<=；)|(?<=[。！？])\s+(?=[{_NUMERAL}\d]+[、.)])")
+    bullet = rf"^\s*(?:[-*•·]|\d{{1,2}}[、.)]|[{_NUMERAL}]+[、.])\s*"
+    items = F.transform(cut, lambda x: stripped(F.regexp_replace(x, bullet, "")))
+    found = named.select(key, "section", "line_index", F.posexplode(F.when(F.col("h").isNotNull(), inline).otherwise(items)).alias("n", "item")).where("item <> ''")
+    index = F.row_number().over(Window.partitionBy(key, "section").orderBy("line_index", "n")) - 1
+    return found.select(key, "section", index.alias("item_index"), "item", "line_index")
 
 
 def chunk_one(text: str, chars: int, tokens: int, overlap: int) -> list[tuple[int, str, int]]:
@@ -199,16 +223,6 @@ def record_quality(checks: dict[str, Column]) -> Column:
     return F.struct(score.alias("score"), level.alias("level"), failed.alias("failed"))
 
 
-def quality(checks: dict[str, tuple[Column, float]]) -> Column:
-    """struct(score, level) of weighted checks."""
-    total = sum(w for _, w in checks.values())
-    score = F.lit(0.0)
-    for test, w in checks.values():
-        score = score + F.when(F.coalesce(test, F.lit(False)), w / total).otherwise(0.0)
-    rounded = F.round(score, 6)
-    return F.struct(rounded.alias("score"), F.when(rounded >= 0.8, "high").when(rounded >= 0.55, "medium").otherwise("low").alias("level"))
-
-
 def skills(docs: DataFrame, key: str, section: str, item: str, lexicon: dict[str, tuple[str, ...]]) -> DataFrame:
     """key, skill, importance: lexicon terms with their aliases, required before preferred before inferred."""
     rank = F.when(F.col(section) == "requirements", 3).when(F.col(section) == "preferred", 2).otherwise(1)
@@ -227,21 +241,36 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def process(raw: DataFrame) -> DataFrame:
-    """Raw records (source, source_job_id, raw_title, raw_salary, raw_location, description_html, company_name,
-    education, experience, employment_type) to canonical rows."""
-    cleaned = clean_html(raw, "description_html", "clean_description")
+def process(raw: DataFrame, key: str = "source_job_id") -> DataFrame:
+    """Raw records (source, source_job_id, raw_title, raw_salary, raw_location, description_html, company_name, education,
+    experience, employment_type), one for each key, to canonical rows: parsed fields, sections, skills with evidence, quality,
+    warnings and a hash of the content."""
+    fields = ("raw_title", "raw_salary", "raw_location", "education", "experience", "employment_type")
+    plain = raw.withColumns({f"__{f}": F.trim(normal_form(F.coalesce(F.col(f), F.lit("")))) for f in fields})
+    cleaned = clean_html(plain, "description_html", "clean_description")
     out = cleaned.select(
-        "source", "source_job_id", T.clean_title(F.col("raw_title")).alias("title"), T.first_filled(F.col("company_name")).alias("company"),
-        P.pay(F.col("raw_salary")).alias("salary"), P.place(F.col("raw_location")).alias("location"), P.schooling(F.col("education")).alias("education"),
-        P.experience_bucket(F.col("experience")).alias("experience"), P.employment(F.col("employment_type")).alias("employment_type"), "clean_description",
+        "source", key, T.clean_title(F.col("__raw_title")).alias("title"), F.trim(F.coalesce("company_name", F.lit(""))).alias("company"), P.pay(F.col("__raw_salary")).alias("salary"),
+        P.place(F.col("__raw_location")).alias("location"), S.record_education(F.col("__education")).alias("education"), S.record_experience(F.col("__experience")).alias("experience"),
+        P.employment(F.col("__employment_type")).alias("employment_type"), "clean_description", F.col("clean_description_warnings").alias("text_warnings"),
     )
-    out = out.withColumn("content_hash", T.content_hash("title", "company", "salary", "location", "clean_description"))
-    q = quality({
-        "title": (F.length("title") > 0, 2.0), "company": (F.col("company").isNotNull(), 1.5), "salary": (F.col("salary.status").isin("parsed", "negotiable"), 1.5),
-        "location": (F.length("location.city") > 0, 1.0), "education": (F.col("education").isNotNull(), 1.0), "text": (F.length("clean_description") >= 40, 3.0),
-    })
-    warnings = F.array_compact(F.array(*[F.when(test, f"missing_{n}") for n, test in {
-        "title": F.coalesce(F.length("title"), F.lit(0)) == 0, "company": F.col("company").isNull(), "salary": F.col("salary.status") == "missing",
-        "description": F.length("clean_description") == 0}.items()]))
-    return out.withColumn("quality", q).withColumn("warnings", warnings)
+    out = out.withColumn("role_family", P.role_family(F.concat_ws(" ", "title", "clean_description")))
+    # Bounded: the items of one text.
+    items = split_sections(out, key, "clean_description")
+    sections = items.groupBy(key).agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("section") == s, F.struct("item_index", "item")))).alias(f"__{s}") for s in ("responsibilities", "requirements", "preferred", "benefits")])
+    found = K.spans(out.select(key, "clean_description"), [key], "clean_description", K.skill_lexicon(), longest=False)
+    first = found.groupBy(key, F.col("term").alias("name")).agg(F.min(F.struct("start", "end")).alias("at"))
+    skills_ = first.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("name", F.col("at.start").alias("start_char"), F.col("at.end").alias("end_char")))).alias("skills"))
+    joined = out.join(sections, key, "left").join(skills_, key, "left")
+    none = F.array().cast("array<string>")
+    joined = joined.withColumns({s: F.coalesce(F.transform(f"__{s}", lambda x: x["item"]), none) for s in ("responsibilities", "requirements", "preferred", "benefits")})
+    joined = joined.drop("__responsibilities", "__requirements", "__preferred", "__benefits").withColumn("skills", F.coalesce("skills", F.array().cast(joined.schema["skills"].dataType)))
+    joined = joined.withColumn("content_hash", T.content_hash("title", "clean_description", "salary", "education", "experience"))
+    checks = {
+        "title": F.col("title") != "", "description": F.length("clean_description") >= 80, "company": F.col("company") != "", "location": F.col("location.normalized") != "",
+        "salary": F.col("salary.status").isin("parsed", "negotiable"), "education": F.col("education") != "", "experience": F.col("experience") != "",
+        "responsibilities": F.size("responsibilities") > 0, "requirements": F.size("requirements") > 0, "skills": F.size("skills") > 0, "evidence": F.lit(True),  # every skill has its place
+    }
+    gone = {"company": "company", "location": "location.normalized", "education": "education", "experience": "experience"}
+    missing = F.array_compact(F.array(*[F.when(F.col(c) == "", f"missing_{n}") for n, c in gone.items()]))
+    return joined.withColumn("quality", record_quality(checks)).withColumn("warnings", F.concat("text_warnings", missing)).drop("text_warnings")

@@ -84,11 +84,22 @@ def cascade(df: DataFrame, key: str, stages: list[tuple[str, str, int]]) -> tupl
     return now, trace
 
 
+#: Words that are no terms of a query, and word ends that are cut off.
+STOP_TERMS = frozenset("岗位 方向 工作 职位 要求 学习 相关 想做 希望 了解".split())
+TERM_ENDS = ("实习生", "工程师", "专家", "岗位", "方向", "职位")
+
+
 def query_terms(query: str) -> list[str]:
-    """The whole query and its words (ASCII words, CJK runs of two or more), the longest first."""
+    """The whole query, its words (ASCII words, CJK runs of two or more), and of CJK terms of four or more what is left without
+    the usual ends, and their pairs of characters; the longest first."""
     low = query.lower().strip()
-    words = {low, *re.findall(r"[a-z][a-z0-9+.#-]+|[一-鿿]{2,}", low)}
-    return sorted((w for w in words if len(w) > 1), key=lambda w: (-len(w), w))
+    terms = {low, *re.findall(r"[a-z][a-z0-9+.#-]+|[一-鿿]{2,}", low)}
+    for term in [t for t in terms if re.fullmatch("[一-鿿]{4,}", t)]:
+        short = term
+        for end in TERM_ENDS:
+            short = short.replace(end, "")
+        terms |= {short, *(term[k : k + 2] for k in range(len(term) - 1))}
+    return sorted((t for t in terms if len(t) >= 2 and t not in STOP_TERMS), key=lambda t: (-len(t), t))
 
 
 def market_relevance(title: Column, skills: Column, text: Column, query: str) -> Column:

@@ -103,7 +103,35 @@ def token_stats(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", T.approx_tokens(F.col("text")).alias("tokens"))
 
 
-@query()
+def _replaced(text: str, *steps: tuple[str, str, str]) -> str:
+    for pattern, by, flags in steps:
+        text = f"regexp_replace({text}, '{pattern}', {by}, '{flags}')"
+    return text
+
+
+def _decoded(text: str) -> str:
+    """The references that the pages have, the ampersand last."""
+    for name, by in (("&quot;", "'\"'"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&amp;", "'&'")):
+        text = f"replace({text}, '{name}', {by})"
+    return f"regexp_replace({text}, '&amp$', '&')"
+
+
+_IN = r"""(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+_SILENT = tuple((rf"<{tag}(?:[\s/]{_IN})?>.*?(?:</{tag}\s*>|$)", "''", "gis") for tag in X.SILENT_TAGS)
+_BARE = _replaced(
+    _decoded("html"), ("<!--.*?(?:-->|$)", "''", "gs"), *_SILENT, (rf"</?(?:{'|'.join(X.BLOCK_TAGS)})(?:[\s/]{_IN})?>", "chr(10)", "gi"),
+    (rf"</?[A-Za-z]{_IN}>", "''", "g"), ("<[!?/][^>]*>", "''", "g"))
+_NOISE = "^(?:" + "|".join(X.NOISE) + r")\s*$"
+
+
+_TEXT = _replaced(_decoded(_BARE), (r"[ \t\x{a0}]+", "' '", "g"))
+_CORE = "trim(x, ' •·-—' || chr(9))"
+
+
+@query(f"""
+WITH b AS (SELECT page_id, string_split({_TEXT}, chr(10)) AS lines FROM pages),
+k AS (SELECT page_id, list_transform(list_filter(lines, lambda x: {_CORE} <> '' AND NOT regexp_matches({_CORE}, '{_NOISE}', 'i')), lambda x: trim(x)) AS kept FROM b)
+SELECT page_id, array_to_string(kept, chr(10)) AS content, length(array_to_string(kept, chr(10)))::INTEGER AS chars FROM k""")
 def html_clean(t: Tables) -> DataFrame:
     out = X.clean_html(t.pages, "html", "content")
     return out.select("page_id", "content", F.length("content").alias("chars"))

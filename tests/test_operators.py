@@ -51,13 +51,16 @@ def test_approximate_tokens(spark):
 
 
 def test_places_levels_years(spark):
-    place = one(spark, P.place(F.lit("武汉市 洪山区")))
-    assert (place["city"], place["district"]) == ("武汉", "洪山区")
+    places = {x: tuple(one(spark, P.place(F.lit(x)))) for x in ("武汉 洪山区", "武汉市 洪山区", "北京·海淀·中关村", "New York", "上海 张江", "", None)}
+    assert places == {
+        "武汉 洪山区": ("武汉 洪山区", "武汉", "洪山区", "武汉 洪山区"), "武汉市 洪山区": ("武汉市 洪山区", "武汉市", "洪山区", "武汉市 洪山区"),
+        "北京·海淀·中关村": ("北京·海淀·中关村", "北京", "海淀", "北京·海淀·中关村"), "New York": ("New York", "New York", "", "New York"),
+        "上海 张江": ("上海 张江", "上海 张江", "", "上海 张江"), "": ("", "", "", ""), None: ("", "", "", "")}
     assert one(spark, P.schooling(F.lit("本科及以上，硕士优先"))) == "bachelor"
     assert one(spark, P.schooling_level(F.lit("本科及以上，硕士优先"))) == 4
-    assert one(spark, P.experience_bucket(F.lit("3-5年"))) == "3-5"
+    assert [one(spark, P.role_family(F.lit(x))) for x in ("RAG 工程师", "数据分析师", "Cook")] == ["AI/LLM", "数据", "其他"]
     assert one(spark, P.years_required(F.lit("经验不限"))) == 0
-    assert one(spark, P.employment(F.lit("Intern"))) == "internship"
+    assert [one(spark, P.employment(F.lit(x))) for x in ("Intern", "part time", "全职", " 合同工 ", None)] == ["实习", "兼职", "全职", "合同工", ""]
     assert [one(spark, P.chinese_number(F.lit(s))) for s in ("三", "十二", "二十五", "两")] == [3, 12, 25, 2]
     assert [one(spark, P.lifecycle(F.lit(d))) for d in (1, 20, 40, None)] == ["active", "possibly_expired", "expired", "possibly_expired"]
 
@@ -65,7 +68,8 @@ def test_places_levels_years(spark):
 def test_text(spark):
     assert one(spark, T.grams(F.lit("数据库 SQL"))) == ["sql", "zh2:数据", "zh2:据库", "zh3:数据库"]
     assert one(spark, T.bounded_contains(F.lit("uses go daily"), "go")) and not one(spark, T.bounded_contains(F.lit("mongodb"), "go"))
-    assert one(spark, T.clean_title(F.lit("[急招]  Data   Engineer"))) == "Data Engineer"
+    assert [one(spark, T.clean_title(F.lit(x))) for x in ("[急招]  Data   Engineer", "【招聘中】后端 - ", "实习招聘|前端")] == ["Data Engineer", "后端", "前端"]
+    assert S.query_terms("Python 后端工程师") == ["python 后端工程师", "python", "后端工程师", "后端", "工程", "程师", "端工"]
     assert one(spark, T.fingerprint(F.lit("a"), F.lit(" "))) is None
     assert one(spark, T.canonical_url(F.lit("HTTPS://A.Example/p/?q=1#x"))) == "https://a.example/p"
     assert one(spark, T.half_even(F.lit(0.125), 2)) == 0.12
@@ -75,10 +79,23 @@ def test_text(spark):
 
 
 def test_html_and_sections(spark):
-    assert X.clean_one("<script>x()</script><div>A&amp;B</div><button>Apply now</button>\r\n") == "A&B\nApply now" or X.clean_one("<p>Apply now</p><p>A</p>") == "A"
-    df = spark.createDataFrame([(1, "intro\n岗位职责：\n1. build\n- test\nRequirements\nsql")], "id int, text string")
-    got = [tuple(r) for r in X.split_sections(df, "id", "text").orderBy("section", "item_index").collect()]
-    assert got == [(1, "body", 0, "intro"), (1, "requirements", 0, "sql"), (1, "responsibilities", 0, "build"), (1, "responsibilities", 1, "test")]
+    rows = {
+        "<script>x()</script><div>A&amp;B</div><button>Apply</button>\r\n": "A&B\nApply", "<p>立即沟通</p><p>A</p><div> · </div>登录": "A", None: "", "plain​ text⁠ here": "plain text here",
+        "a<br/>b<svg><p>no</p></svg>c<!-- <p>x</p> -->d": "a\nbcd", "&lt;b&gt;bold&lt;/b&gt; 1 < 2 &amp;amp; 3": "bold 1 < 2 & 3", "<a title='x>y'>in</a><noscript>never closed": "in",
+        "<pre>kept</pre><h5>same</h5>line": "keptsameline", "BOSS直聘 \n • 负责 \t 开发": "• 负责 开发",
+    }
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(rows)], "id int, html string")
+    got = {r["id"]: r for r in X.clean_html(df, "html", "text").collect()}
+    assert [got[k]["text"] for k in range(len(rows))] == list(rows.values())
+    assert got[1]["text_removed"] == ["立即沟通", "登录"] and got[2]["text_warnings"] == ["clean_text_empty", "description_too_short"]
+    odd = spark.createDataFrame([(1, "�" + "x" * 50)], "id int, html string")
+    assert X.clean_html(odd, "html", "text").first()["text_warnings"] == ["unmapped_private_or_replacement_character"]
+    text = "intro\n岗位职责：\n1. build\n- test；写文档；\n【任职要求】\nsql\n三、福利待遇：五险一金\n加分项|加分项\nNice to have: Rust\n负责。 2、上线"
+    df = spark.createDataFrame([(1, text), (2, None)], "id int, text string")
+    got = {(r["section"], r["item_index"]): (r["item"], r["line_index"]) for r in X.split_sections(df, "id", "text").collect()}
+    assert got == {
+        ("other", 0): ("intro", 0), ("responsibilities", 0): ("build", 2), ("responsibilities", 1): ("test；", 3), ("responsibilities", 2): ("写文档；", 3), ("requirements", 0): ("sql", 5),
+        ("benefits", 0): ("五险一金", 6), ("preferred", 0): ("Rust", 8), ("preferred", 1): ("负责。", 9), ("preferred", 2): ("上线", 9)}
 
 
 def test_chunks():
@@ -90,11 +107,19 @@ def test_chunks():
 
 
 def test_pipeline_record(spark):
-    row = ("a", "1", "[hot] Engineer", "10-20K", "武汉 洪山区", "<p>We build useful data systems together.</p><p>Join.</p>", "Acme", "本科", "3-5年", "全职")
-    raw = spark.createDataFrame([row], "source string, source_job_id string, raw_title string, raw_salary string, raw_location string, description_html string,"
-                                       " company_name string, education string, experience string, employment_type string")
-    r = X.process(raw).first()
-    assert r["title"] == "Engineer" and r["salary"]["maximum"] == 20000 and r["quality"]["level"] == "high" and r["warnings"] == []
+    html = "<p>岗位职责：</p><li>1. 负责 Python 与 Spark 平台的开发和维护</li><p>任职要求</p><li>熟悉 SQL，三年以上经验</li><li>Go 优先</li><p>" + "We build useful data systems together. " * 2 + "</p>"
+    rows = [("a", "1", "[急招] Ｄata Engineer", "10-20K", "武汉 洪山区", html, "Acme", "本科", "3-5年", "全职"), ("a", "2", None, None, None, None, None, None, None, None)]
+    raw = spark.createDataFrame(rows, "source string, source_job_id string, raw_title string, raw_salary string, raw_location string, description_html string,"
+                                      " company_name string, education string, experience string, employment_type string")
+    got = {r["source_job_id"]: r for r in X.process(raw).collect()}
+    r = got["1"]
+    assert (r["title"], r["salary"]["maximum"], r["education"], r["experience"], r["employment_type"]) == ("Data Engineer", 20000, "本科", "3-5年", "全职")
+    assert r["responsibilities"] == ["负责 Python 与 Spark 平台的开发和维护"] and r["requirements"][:2] == ["熟悉 SQL，三年以上经验", "Go 优先"]
+    assert [(s["name"], r["clean_description"][s["start_char"] : s["end_char"]]) for s in r["skills"]] == [(x, x) for x in ("Go", "Python", "SQL", "Spark")]
+    assert (r["quality"]["score"], r["quality"]["level"], r["warnings"]) == (1.0, "high", [])
+    empty = got["2"]
+    assert empty["quality"]["score"] == 0.03 and empty["quality"]["level"] == "low" and empty["skills"] == [] and empty["requirements"] == []
+    assert empty["warnings"] == ["clean_text_empty", "description_too_short", "missing_company", "missing_location", "missing_education", "missing_experience"]
 
 
 def test_evidence_and_skills(spark):

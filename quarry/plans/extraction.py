@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import extraction as K
 from ..operators import matching as Q
+from ..operators import sections as Y
 from ..operators.storage import stored
 from . import matching
 from .registry import ORACLES, Tables, query
@@ -117,3 +118,19 @@ def posting_scores(t: Tables) -> DataFrame:
     rows = _asked(t).withColumns({"level": none("int"), "minimum": none("double")}).join(have, "doc_id")
     known = Q.evaluated(rows, F.col("have")).withColumn("deduction", F.when(F.col("type") == "must_have_skill", 6.0).otherwise(0.0))
     return Q.quick_scores(known, "doc_id", digits=4).withColumn("entries", F.size("ledger")).drop("ledger")
+
+
+#: Words that head a section in the documents, at the start of a line.
+HEADS = {"requirements": ("the", "la", "le"), "responsibilities": ("in", "en"), "preferred": ("de",), "summary": ("a",), "benefits": ("of",)}
+
+
+@query()
+def posting_sections(t: Tables) -> DataFrame:
+    """Lines of each document by the section that the last line beginning with a heading word opens."""
+    return Y.posting_sections(t.documents.where("doc_id IS NOT NULL"), "doc_id", "text", HEADS).select("doc_id", "section", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query()
+def posting_requirements(t: Tables) -> DataFrame:
+    """What the sections of each document ask for."""
+    return Y.posting_requirements(Y.posting_sections(t.documents.where("doc_id IS NOT NULL"), "doc_id", "text", HEADS), "doc_id")

@@ -33,4 +33,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import analytics, documents, extraction, greedy, matching, relational, reports, sampling, stores, streams  # noqa: E402,F401  they register their queries
+from . import analytics, documents, extraction, further, greedy, matching, relational, reports, sampling, stores, streams  # noqa: E402,F401  they register their queries

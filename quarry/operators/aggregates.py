@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import stored
+
 
 def facets(df: DataFrame, by: str, filters: Column | None = None) -> DataFrame:
     """Counts by value; the facet's own filter is left to the caller to omit."""
@@ -123,14 +125,15 @@ def bootstrap(df: DataFrame, topic: str, value: str, rounds: int = 2000, seed: i
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     """n, observed agreement, Cohen's kappa, and quadratic weighted kappa of two raters with grades."""
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    n = cells.agg(F.sum("c").alias("n"))
-    rows = cells.groupBy(F.col("a").alias("ra")).agg(F.sum("c").alias("na"))
-    cols = cells.groupBy(F.col("b").alias("rb")).agg(F.sum("c").alias("nb"))
-    # Marginals are one row a grade.
-    chance = rows.crossJoin(F.broadcast(cols)).agg(
-        F.sum(F.when(F.col("ra") == F.col("rb"), F.col("na") * F.col("nb")).otherwise(0.0)).alias("same"),
-        F.sum((F.col("ra") - F.col("rb")) ** 2 * F.col("na") * F.col("nb")).alias("far"),
-    )
+    rows = cells.groupBy(F.col("a").alias("g")).agg(F.sum("c").alias("na"))
+    cols = cells.groupBy(F.col("b").alias("g")).agg(F.sum("c").alias("nb"))
+    same = rows.join(cols, "g").agg(F.coalesce(F.sum(F.col("na") * F.col("nb")), F.lit(0.0)).alias("same"))
+    # The squared distances of all pairs of grades, from their moments: one row.
+    n = cells.agg(
+        F.sum("c").alias("n"), F.sum(F.col("c") * F.col("a")).alias("a1"), F.sum(F.col("c") * F.col("a") ** 2).alias("a2"),
+        F.sum(F.col("c") * F.col("b")).alias("b1"), F.sum(F.col("c") * F.col("b") ** 2).alias("b2"))
+    chance = n.crossJoin(same).select("same", (F.col("n") * (F.col("a2") + F.col("b2")) - 2 * F.col("a1") * F.col("b1")).alias("far"))
+    n = n.select("n")
     seen = cells.agg(F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0.0)).alias("hit"), F.sum((F.col("a") - F.col("b")) ** 2 * F.col("c")).alias("off"))
     po, pe = F.col("hit") / F.col("n"), F.col("same") / (F.col("n") * F.col("n"))
     return n.crossJoin(chance).crossJoin(seen).select(
@@ -172,7 +175,7 @@ def frontier(df: DataFrame, key: str, most: list[str], least: list[str], block:
                 best = x[np.argsort(-x.sum(axis=1), kind="stable")[:256]]
                 yield b[~beaten(x, best)]
 
-    kept = values.mapInPandas(local, values.schema)
+    kept = stored(values.mapInPandas(local, values.schema), "frontier")
     blocks = max(1, -(-kept.count() // block))
     number = F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

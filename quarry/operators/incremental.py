@@ -11,9 +11,14 @@ def new_snapshots(have: DataFrame, incoming: DataFrame, key: list[str]) -> DataF
     return incoming.dropDuplicates(key).join(have.select(*key), key, "left_anti")
 
 
-def upsert(have: DataFrame, incoming: DataFrame, key: list[str], generation: str = "generation") -> DataFrame:
-    """Rows of both; a key that comes again takes the incoming values and the next generation."""
+def upsert(have: DataFrame, incoming: DataFrame, key: list[str], generation: str = "generation", at: str | None = None) -> DataFrame:
+    """Rows of both; a key that comes again takes the incoming values and the next generation.
+
+    Of several incoming rows of a key the one with the greatest `at` counts, or else with the greatest values.
+    """
     values = [c for c in have.columns if c not in (*key, generation)]
+    last = F.max(F.struct(*([F.col(at).alias("__at")] if at else []), *values)).alias("__r")
+    incoming = incoming.groupBy(*key).agg(last).select(*key, *[F.col(f"__r.{c}").alias(c) for c in values])
     new = incoming.select(*key, *[F.col(c).alias(f"__{c}") for c in values]).withColumn("__new", F.lit(True))
     both = have.withColumn("__old", F.lit(True)).join(new, key, "full")
     came = F.col("__new").isNotNull()

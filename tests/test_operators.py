@@ -320,3 +320,11 @@ def test_ranks_and_frontier(spark):
     want = {k for k, x, y in points if not any(a >= x and b <= y and (a > x or b < y) for _, a, b in points)}
     df = spark.createDataFrame([*points, (1000, None, 0.0)], "k int, x double, y double")
     assert {r["k"] for r in A.frontier(df, "k", ["x"], ["y"], block=7).collect()} == want
+
+
+def test_upsert_takes_one_row_of_a_key(spark):
+    have = spark.createDataFrame([(1, "a", 3), (2, "b", 1)], "id int, v string, generation int")
+    new = spark.createDataFrame([(1, "y", 10), (1, "x", 20), (3, "z", 5), (3, "w", 5)], "id int, v string, at int")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(I.upsert(have, new, ["id"], at="at")) == [(1, "x", 4), (2, "b", 1), (3, "z", 1)]
+    assert rows(I.upsert(have, new.drop("at"), ["id"])) == [(1, "y", 4), (2, "b", 1), (3, "z", 1)]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,41 +147,74 @@ def split_sections(docs: DataFrame, key: str, text: str, other: str = "other") -
     return found.select(key, "section", index.alias("item_index"), "item", "line_index")
 
 
+_TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]")
+
+
+class _Line:
+    """A line whose parts' tokens are counted from places found once: a quarter of a word's letters, rounded up, one for a mark."""
+
+    def __init__(self, text: str):
+        self.text = text
+        spans = [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [a for a, _ in spans], [b for _, b in spans]
+        self.before = [0, *accumulate(-(-(b - a) // 4) for a, b in spans)]
+
+    def tokens(self, a: int, b: int) -> int:
+        """Of text[a:b]; a word that the edges cut counts by what is inside."""
+        i, j = bisect_right(self.ends, a), bisect_left(self.starts, b)
+        if i >= j:
+            return 0
+        out = self.before[j] - self.before[i]
+        for k in {i, j - 1}:
+            low, high = max(self.starts[k], a), min(self.ends[k], b)
+            out += -(-(high - low) // 4) - (self.before[k + 1] - self.before[k])
+        return out
+
+    def trimmed(self, a: int, b: int) -> tuple[int, int]:
+        while a < b and self.text[a].isspace():
+            a += 1
+        while b > a and self.text[b - 1].isspace():
+            b -= 1
+        return a, b
+
+
 def chunk_one(text: str, chars: int, tokens: int, overlap: int) -> list[tuple[int, str, int]]:
     """Lines packed in order into chunks below both limits, the last lines repeated up to `overlap` tokens."""
-    count = lambda s: sum(-(-len(w) // 4) for w in re.findall(r"[A-Za-z0-9]+", s)) + len(re.findall(r"[^A-Za-z0-9\s]", s))
-    units = []
+    units: list[tuple[str, int]] = []
     for line in text.split("\n"):
-        line = line.strip()
-        while line and (len(line) > chars or count(line) > tokens):  # halved until it fits
-            cut = min(len(line) // 2, chars)
-            space = line.rfind(" ", 0, cut + 1)
+        whole = _Line(line)
+        a, b = whole.trimmed(0, len(line))
+        while a < b:
+            n = whole.tokens(a, b)
+            if b - a <= chars and n <= tokens:
+                units.append((line[a:b], n))
+                break
+            cut = min((b - a) // 2, chars)  # halved until it fits
+            space = line.rfind(" ", a, a + cut + 1) - a
             cut = space if space > 0 else max(cut, 1)
-            units.append(line[:cut].strip())
-            line = line[cut:].strip()
-        if line:
-            units.append(line)
-    units = [u for u in units if u]
-    out, now, size, fresh = [], [], 0, 0
-    for u in units:
-        n = count(u)
-        if fresh and (size + n > tokens or sum(map(len, now)) + len(now) + len(u) > chars):
+            c, d = whole.trimmed(a, a + cut)
+            if c < d:
+                units.append((line[c:d], whole.tokens(c, d)))
+            a, b = whole.trimmed(a + cut, b)
+    out, now, size, length, fresh = [], [], 0, 0, 0
+    for unit in units:
+        u, n = unit
+        if fresh and (size + n > tokens or length + len(now) + len(u) > chars):
             out.append(now)
             back, held = [], 0
             for x in reversed(now):
-                if held + count(x) > overlap:
+                if held + x[1] > overlap:
                     break
                 back.insert(0, x)
-                held += count(x)
-            now, size, fresh = back, held, 0
-            if size + n > tokens or sum(map(len, now)) + len(now) + len(u) > chars:
-                now, size = [], 0
-        now.append(u)
-        size += n
-        fresh += 1
+                held += x[1]
+            now, size, length, fresh = back, held, sum(len(x) for x, _ in back), 0
+            if size + n > tokens or length + len(now) + len(u) > chars:
+                now, size, length = [], 0, 0
+        now.append(unit)
+        size, length, fresh = size + n, length + len(u), fresh + 1
     if fresh:
         out.append(now)
-    return [(k, "\n".join(c), sum(map(count, c))) for k, c in enumerate(out)]
+    return [(k, "\n".join(u for u, _ in c), sum(n for _, n in c)) for k, c in enumerate(out)]
 
 
 def chunks(docs: DataFrame, key: str, text: str, chars: int = 1400, tokens: int = 160, overlap: int = 16) -> DataFrame:

@@ -4,15 +4,18 @@ On a bounded sample the nearest-neighbour graph is built and cut into parts of
 equal size, moving vertices to the part of most of their neighbours while sizes
 stay balanced. A small network then learns, from each sample vector, in which
 parts its neighbours lie. The network places every vector of the table in its
-most probable part, and sends each query to its several most probable parts,
-where it is compared with every vector in exact double precision.
+most probable part, and sends each query to its most probable parts, as many as
+together hold its neighbours with a probability of `MASS`: few where vectors form
+clusters, most where they are noise. There it is compared with every vector in exact
+double precision. The number of parts grows with the table, from 16 to 64.
 
 Parts hold unequal and growing numbers of rows, so each is cut into blocks of a
 fixed size (salted by vec_id): a task holds one block of vectors and one block of
 queries, whatever the size of the part or of a group of copies in it. The fitted
 state (a few thousand numbers a part) is all that is sent to the tasks.
 
-Edge cases: vectors that are null, zero, of another length than most, or that hold
+Edge cases: finite vectors of any size take part (distances are scaled where squares
+would overflow; one beyond the largest double is infinite); vectors that are null, zero, of another length than most, or that hold
 null or non-finite components take no part; copies are all found, ties going to
 the smaller vec_id; fewer candidates than k give fewer rows; a row is no candidate
 of its own query (rows are told apart by vec_id); query rows that repeat an id ask
@@ -32,12 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-PARTS = 16
-PROBES = 13
+PARTS = 16, 64
+MASS = 0.95
 SAMPLE = 6000
 NEIGHBOURS = 10
-BLOCK = 512
-QUERY_BLOCK = 1024
+BLOCK = 4096
+QUERY_BLOCK = 8192
 HITS = "query_id long, vec_id long, score double"
 
 
@@ -51,11 +54,21 @@ class Router:
     b2: np.ndarray
 
     def scores(self, x: np.ndarray) -> np.ndarray:
+        x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 1e-300)
         x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
 
-    def best(self, x: np.ndarray, count: int) -> np.ndarray:
-        return np.argsort(-self.scores(x), axis=1, kind="stable")[:, :count]
+    def best(self, x: np.ndarray, count: int | None = None, mass: float = MASS) -> tuple[np.ndarray, np.ndarray]:
+        """(the parts of all rows, most probable first, one row after the other; how many each has): `count`, or up to `mass`."""
+        z = self.scores(x)
+        order = np.argsort(-z, axis=1, kind="stable")
+        if count is not None:
+            many = np.full(len(x), min(count, z.shape[1]))
+        else:
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            sums = np.cumsum(np.take_along_axis(p / p.sum(axis=1, keepdims=True), order, axis=1), axis=1)
+            many = np.minimum((sums < mass).sum(axis=1) + 1, z.shape[1])
+        return order[np.arange(z.shape[1]) < many[:, None]], many
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -115,6 +128,7 @@ def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rng: np.random.
 
 def train(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hidden: int = 128, epochs: int = 40) -> Router:
     """Cross-entropy to the parts' shares of each row's neighbours, by Adam."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     d, parts = x.shape[1], target.shape[1]
     net = [rng.normal(0, 1.5 / np.sqrt(d), (d, hidden)) * np.sqrt(d), np.zeros(hidden), rng.normal(0, 0.1, (hidden, parts)), np.zeros(parts)]
@@ -138,9 +152,14 @@ def train(x: np.ndarray, target: np.ndarray, rng: np.random.Generator, hidden: i
     return Router(*net)
 
 
-def fit(sample: np.ndarray, parts: int = PARTS, neighbours: int = NEIGHBOURS, seed: int = 7) -> Router:
+def parts_for(rows: int) -> int:
+    """A power of two that grows with the square root of the table."""
+    return int(np.clip(1 << int(np.log2(max(rows, 1) ** 0.5 / 32 + 1)), *PARTS))
+
+
+def fit(sample: np.ndarray, parts: int = PARTS[0], neighbours: int = NEIGHBOURS, seed: int = 7) -> Router:
     rng = np.random.default_rng(seed)
-    x = np.unique(np.asarray(sample, np.float64), axis=0)  # copies teach nothing more
+    x = np.unique(np.clip(np.asarray(sample, np.float64), -1e100, 1e100), axis=0)  # copies teach nothing more
     parts = max(1, min(parts, len(x) // 4))
     graph = neighbour_graph(x, neighbours)
     part = balanced_parts(x, graph, parts, rng)
@@ -164,6 +183,19 @@ def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
     return rows.where(F.size("embedding") == length)
 
 
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of rows to q; scaled by the largest difference where squares leave the doubles."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        apart = x - q
+        d = np.sqrt((apart**2).sum(axis=1))
+        far = np.flatnonzero(~np.isfinite(d))
+        if len(far):
+            most = np.abs(apart[far]).max(axis=1, keepdims=True)
+            scaled = np.where(np.isfinite(most), apart[far] / most, 0.0)
+            d[far] = np.where(np.isfinite(most[:, 0]), most[:, 0] * np.sqrt((scaled**2).sum(axis=1)), np.inf)
+    return d
+
+
 def nearest_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.DataFrame:
     """Exact distances of a block of queries to a block of vectors: each query's k nearest."""
     if not len(queries) or not len(block):
@@ -172,22 +204,22 @@ def nearest_in_block(queries: pd.DataFrame, block: pd.DataFrame, k: int) -> pd.D
     ids, x = block["vec_id"].to_numpy(), np.stack(block["embedding"])
     out = []
     for query, q in zip(queries["query_id"], queries["embedding"], strict=True):
-        d = np.sqrt(((x - q) ** 2).sum(axis=1))
-        d[ids == query] = np.inf
+        other = np.flatnonzero(ids != query)
+        d = distances(x[other] if len(other) < len(x) else x, q)
         at = np.argpartition(d, k)[:k] if len(d) > k else np.arange(len(d))
         if len(d) > k:  # with all that tie with the last, then the smaller ids
             at = np.flatnonzero(d <= d[at].max())
-        at = at[np.lexsort((ids[at], d[at]))][:k]
-        at = at[np.isfinite(d[at])]
-        out.append((np.full(len(at), query), ids[at], d[at]))
+        at = at[np.lexsort((ids[other][at], d[at]))][:k]
+        out.append((np.full(len(at), query), ids[other][at], d[at]))
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PARTS, probes: int = PROBES,
-           sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None, probes: int | None = None,
+           sample: int = SAMPLE, block: int = BLOCK, query_block: int = QUERY_BLOCK, mass: float = MASS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query.
 
-    vectors: vec_id, embedding; queries: the same columns. sample: at most as many vectors to fit on.
+    vectors: vec_id, embedding; queries: the same columns. sample: at most as many vectors to fit on. probes: as many
+    parts for every query, rather than up to a probability of `mass`.
     """
     spark = vectors.sparkSession
     rows = usable(vectors)
@@ -198,16 +230,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, parts: int = PAR
     picked = rows.where(key < F.lit(int(share * (1 << 30)))).orderBy(key, "vec_id", "embedding").limit(sample).select("embedding").toPandas()
     if not len(picked):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    router = fit(np.stack(picked["embedding"]), parts)
+    router = fit(np.stack(picked["embedding"]), parts or parts_for(total))
     shape = "vec_id long, embedding array<double>, part int"
 
-    def route(count: int):
+    def route(count: int | None):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch):
-                    best = router.best(np.stack(batch["embedding"]), count)
-                    out = batch.loc[batch.index.repeat(best.shape[1])].reset_index(drop=True)
-                    out["part"] = best.ravel().astype("int32")
+                    best, many = router.best(np.stack(batch["embedding"]), count, mass)
+                    out = batch.loc[batch.index.repeat(many)].reset_index(drop=True)
+                    out["part"] = best.astype("int32")
                     yield out
         return run
 

@@ -60,6 +60,28 @@ def test_search_recall_at_production_settings(spark):
     assert len(queries) >= 15 and hit >= 9 * len(queries)
 
 
+def test_probes_follow_the_data_and_huge_vectors_count(spark):
+    rng = np.random.default_rng(2)
+    noise, centres = rng.normal(0, 1, (3000, 24)), rng.normal(0, 1, (40, 24))
+    close = centres[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(0, 1, (3000, 24))
+    for x, few in ((noise, False), (close, True)):
+        router = neural_index.fit(x, 16)
+        many = router.best(x[:300])[1]
+        assert (many.mean() < 4) if few else (many.mean() > 8)
+        near = [set(np.argsort(neural_index.distances(x, x[q]))[1:11]) for q in range(300)]
+        place = router.best(x, 1)[0]
+        parts = np.split(router.best(x[:300])[0], np.cumsum(many)[:-1])
+        assert sum(len({i for i in near[q] if place[i] in set(parts[q])}) for q in range(300)) >= 0.9 * 3000
+    assert [neural_index.parts_for(n) for n in (0, 50_000, 10**6, 4 * 10**6, 10**12)] == [16, 16, 32, 32, 64]
+    rows = {0: [1.0, 2.0], 100: [1e200, 1.0], 3: [1e200, 5.0], 4: [-1e200, 1.0], 5: [1e-200, 0.0]}
+    df = spark.createDataFrame([(k, v) for k, v in rows.items()], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neural_index.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert [i for _, i, _ in sorted(got[100])] == [3, 0, 5, 4] and [i for _, i, _ in sorted(got[0])] == [5, 3, 4, 100]
+    assert {i: d for _, i, d in got[100]} == {3: 4.0, 0: 1e200, 5: 1e200, 4: 2e200}
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(2)
     x = rng.normal(0, 1, (800, 8))

@@ -135,14 +135,14 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
     true). Members are near whatever their representative is near; those pairs aren't listed. Texts
     without ASCII tokens and rows without an id have no row.
     """
-    tokens = texts.select(F.col(key).alias("id"), T.ascii_tokens(F.col(text)).alias("tokens")).where((F.size("tokens") > 0) & F.col("id").isNotNull())
-    tokens = tokens.select("id", "tokens", F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
-    classes = tokens.groupBy("h", "h2").agg(F.min(F.struct("id", "tokens")).alias("r"))
-    ranges = tokens.groupBy("h", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last")).where("first_id < last")
-    members = tokens.select("id", "h", "h2").join(ranges.drop("last"), ["h", "h2"]).where("id > first_id")
+    tokens = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), T.ascii_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    tokens = stored(tokens.select("id", F.array_distinct("tokens").alias("set"), F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("h2")), "token-sets")
+    ranges = tokens.groupBy("h", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last"))
+    several = ranges.where("first_id < last").drop("last")
+    members = tokens.select("id", "h", "h2").join(several, ["h", "h2"]).where("id > first_id")
     members = members.select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
-    sets = classes.select(F.col("r.id").alias("id"), F.array_distinct("r.tokens").alias("set"))
-    signed = stored(sets.withColumn("sim", T.simhash_of(F.transform("set", lambda t: F.xxhash64(t)))), "signed")
+    firsts = tokens.join(ranges.select("h", "h2", F.col("first_id").alias("id")), ["h", "h2", "id"], "left_semi").dropDuplicates(["id", "h", "h2"])
+    signed = stored(firsts.select("id", "set", T.simhash_of(F.transform("set", lambda t: F.xxhash64(t))).alias("sim")), "signed")
     pairs = candidates(signed.select("id", F.col("set").alias("tokens")), least_jaccard)
     one = signed.select(F.col("id").alias("first_id"), F.col("set").alias("a"), F.col("sim").alias("sa"))
     two = signed.select(F.col("id").alias("second_id"), F.col("set").alias("b"), F.col("sim").alias("sb"))

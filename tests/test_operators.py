@@ -265,12 +265,19 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream_upserts(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "k int, v string, at int").write.parquet(src)
-    stream = spark.readStream.schema("k int, v string, at int").parquet(src)
-    E.upserts(stream, str(tmp_path / "table"), ["k"], "at", str(tmp_path / "state"))
-    got = {r["k"]: r["v"] for r in spark.read.parquet(str(tmp_path / "table/v00000000")).collect()}
-    assert got == {1: "b", 2: "c"}
+    src, table, state, shape = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "state"), "k int, v string, at int"
+    stored = lambda: {r["k"]: r["v"] for r in E.upserted(spark, table, shape).collect()}
+    assert stored() == {}
+    want = {}
+    for n in range(5):
+        rows = [(1, "a", 1), (1, "b", 2), (2, "c", 1)] if n == 0 else [(k, f"{n}", n + 10) for k in range(n, 40, 7)] + [(1, "late", 0)]
+        spark.createDataFrame(rows, shape).repartition(1).write.mode("append").parquet(src)
+        E.upserts(spark.readStream.schema(shape).parquet(src), table, ["k"], "at", state, buckets=8)
+        want |= {1: "b", 2: "c"} if n == 0 else {k: f"{n}" for k in range(n, 40, 7)}
+        assert stored() == want
+    assert len(list((tmp_path / "table/versions").iterdir())) == 2
+    held = {v for x in E._versions(table) for v in x["held"].items()}
+    assert {(p.name.split("=")[1], int(p.parent.name)) for p in (tmp_path / "table/data").glob("*/__bucket=*")} == held
 
 
 def test_dictionaries_and_conflicts(spark):

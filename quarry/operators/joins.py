@@ -143,7 +143,7 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
     members = members.select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
     firsts = tokens.join(ranges.select("h", "h2", F.col("first_id").alias("id")), ["h", "h2", "id"], "left_semi").dropDuplicates(["id", "h", "h2"])
     signed = stored(firsts.select("id", "set", T.simhash_of(F.transform("set", lambda t: F.xxhash64(t))).alias("sim")), "signed")
-    pairs = candidates(signed.select("id", F.col("set").alias("tokens")), least_jaccard)
+    pairs = candidates(signed.select("id", F.transform("set", lambda t: F.xxhash64(t)).alias("tokens")), least_jaccard)
     one = signed.select(F.col("id").alias("first_id"), F.col("set").alias("a"), F.col("sim").alias("sa"))
     two = signed.select(F.col("id").alias("second_id"), F.col("set").alias("b"), F.col("sim").alias("sb"))
     both = pairs.select(F.col("a").alias("first_id"), F.col("b").alias("second_id")).join(one, "first_id").join(two, "second_id")

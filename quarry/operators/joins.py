@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vectors as V
-from .firstcome import candidates
+from .firstcome import FEW, Alike, candidates
 from .storage import stored
 
 
@@ -136,20 +136,22 @@ def simhash_pairs(texts: DataFrame, key: str, text: str, most_bits: int = 6, lea
     without ASCII tokens and rows without an id have no row.
     """
     tokens = texts.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), T.ascii_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    tokens = stored(tokens.select("id", F.array_distinct("tokens").alias("set"), F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("h2")), "token-sets")
-    ranges = tokens.groupBy("h", "h2").agg(F.min("id").alias("first_id"), F.max("id").alias("last"))
-    several = ranges.where("first_id < last").drop("last")
-    members = tokens.select("id", "h", "h2").join(several, ["h", "h2"]).where("id > first_id")
-    members = members.select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
-    firsts = tokens.join(ranges.select("h", "h2", F.col("first_id").alias("id")), ["h", "h2", "id"], "left_semi").dropDuplicates(["id", "h", "h2"])
-    signed = stored(firsts.select("id", "set", T.simhash_of(F.transform("set", lambda t: F.xxhash64(t))).alias("sim")), "signed")
-    pairs = candidates(signed.select("id", F.transform("set", lambda t: F.xxhash64(t)).alias("tokens")), least_jaccard)
-    one = signed.select(F.col("id").alias("first_id"), F.col("set").alias("a"), F.col("sim").alias("sa"))
-    two = signed.select(F.col("id").alias("second_id"), F.col("set").alias("b"), F.col("sim").alias("sb"))
-    both = pairs.select(F.col("a").alias("first_id"), F.col("b").alias("second_id")).join(one, "first_id").join(two, "second_id")
-    near = both.select(
-        "first_id", "second_id", T.hamming(F.col("sa"), F.col("sb")).alias("bits"), T.jaccard(F.col("a"), F.col("b")).alias("jaccard")
-    ).where((F.col("bits") <= most_bits) & (F.col("jaccard") >= least_jaccard))
+    # Tokens are compared by 64-bit hashes, which are a third of their size; rows have numbers, as ids may repeat.
+    hashed = tokens.select("id", F.array_distinct(F.transform("tokens", lambda t: F.xxhash64(t))).alias("tokens"), F.xxhash64("tokens").alias("h"), F.xxhash64(F.lit(1), "tokens").alias("h2"))
+    hashed = stored(hashed.withColumns({"sign": T.simhash_of(F.col("tokens")), "row": F.monotonically_increasing_id()}), "token-sets")
+    ids = hashed.select("id", "h", "h2", "row")
+    ranges = ids.groupBy("h", "h2").agg(F.min(F.struct("id", "row")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = stored(ids.join(ranges, ["h", "h2"]).select(F.col("first.id").alias("first_id"), "id", "row", (F.col("row") != F.col("first.row")).alias("later")).where("later"), "copies")
+    members = copies.where("id > first_id").select("first_id", F.col("id").alias("second_id"), F.lit(0).alias("bits"), F.lit(1.0).alias("jaccard"), F.lit(True).alias("copy")).distinct()
+    later = copies.select("row")
+    sets = hashed.join(F.broadcast(later) if later.count() <= FEW else later, "row", "left_anti").select("id", "tokens", "sign")
+    pairs = stored(candidates(sets, Alike(least_jaccard, most_bits)), "candidates")
+    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("x"), F.col("sign").alias("sa"))
+    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("y"), F.col("sign").alias("sb"))
+    shared = F.size(F.array_intersect("x", "y"))
+    near = pairs.join(one, "a").join(two, "b").select(
+        F.col("a").alias("first_id"), F.col("b").alias("second_id"), T.hamming(F.col("sa"), F.col("sb")).alias("bits"),
+        (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where((F.col("bits") <= most_bits) & (F.col("jaccard") >= least_jaccard))
     return near.withColumn("copy", F.lit(False)).unionByName(members)
 
 

@@ -107,9 +107,14 @@ WITH c AS (SELECT conv_id, least(1.0::DOUBLE, count(*) / 8.0) AS coverage, avg((
 SELECT conv_id, round(0.72 * coverage + 0.16 * quality + 0.12 * diversity, 6) AS score, 0.72 * coverage + 0.16 * quality + 0.12 * diversity >= 0.65 AND coverage >= 0.42 AND conflicts = 0 AS sufficient FROM c""")
 def evidence_sufficiency(t: Tables) -> DataFrame:
     """Whether a conversation's turns are evidence enough."""
-    got = t.conversations.groupBy("conv_id").agg(
-        F.least(F.lit(1.0), F.count(F.lit(1)) / 8.0).alias("coverage"), F.avg((F.length("text") % 100) / 100.0).alias("quality"),
+    rows = t.conversations.withColumn("v", (F.length("text") % 100) / 100.0)
+    got = rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.least(F.lit(1.0), F.count(F.lit(1)) / 8.0).alias("coverage"), F.avg("v").alias("mean"),
         F.least(F.lit(1.0), F.countDistinct("role") / 2.0).alias("diversity"), F.count_if(F.col("turn") % 7 == 6).alias("conflicts"))
+    # From eight turns on, the score is above the bound by coverage alone. Below, it may be the bound to the last digit: values are added by turn.
+    few = rows.join(got.where("n < 8").select("conv_id"), "conv_id").where("v IS NOT NULL").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "v"))).alias("turns"))
+    few = few.select("conv_id", (F.aggregate("turns", F.lit(0.0), lambda s, x: s + x["v"]) / F.size("turns")).alias("ordered"))
+    got = got.join(few, "conv_id", "left").withColumn("quality", F.coalesce("ordered", "mean"))
     told = R.sufficiency(*[F.col(c) for c in ("coverage", "quality", "diversity", "conflicts")])
     return got.select("conv_id", told.alias("t")).select("conv_id", F.round("t.score", 6).alias("score"), "t.sufficient")
 

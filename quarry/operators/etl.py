@@ -6,12 +6,14 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from html import unescape
+from html.entities import html5
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import parse as P
 from ..functions import postings as S
@@ -47,9 +49,26 @@ def _unescaped(raw: pd.Series) -> pd.Series:
     return raw.map(unescape, na_action="ignore")
 
 
-def unescaped(text: Column) -> Column:
-    """Character references decoded, through Arrow: Spark has no function for it. (A test for ampersands before would compute the text twice.)"""
-    return _unescaped(text)
+_CLOSED = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|([A-Za-z][A-Za-z0-9]*))(?:;|\Z)")
+
+
+def _closed(m: re.Match) -> str:
+    name = m[1]
+    known = name is None or name + ";" in html5 and (m[0].endswith(";") or name in html5)
+    return unescape(m[0]) if known else m[0]
+
+
+@F.pandas_udf(StringType())
+def _unescaped_closed(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda x: _CLOSED.sub(_closed, x), na_action="ignore")
+
+
+def unescaped(text: Column, closed: bool = False) -> Column:
+    """Character references decoded, through Arrow: Spark has no function for it. (A test for ampersands before would compute the text twice.)
+
+    closed: only those that a semicolon, or the text, ends; others are text.
+    """
+    return (_unescaped_closed if closed else _unescaped)(text)
 
 
 def without_markup(html: Column) -> Column:
@@ -64,14 +83,14 @@ def without_markup(html: Column) -> Column:
     return html
 
 
-def clean_html(df: DataFrame, column: str, into: str) -> DataFrame:
+def clean_html(df: DataFrame, column: str, into: str, closed: bool = False) -> DataFrame:
     """df with `into`, the readable text of an HTML or plain column, `into`_removed, its lines that are noise (each once), and
     `into`_warnings: clean_text_empty, description_too_short (under 40 characters), unmapped_private_or_replacement_character.
 
-    Null counts as empty. References are decoded before tags are read, and again in what is left.
+    Null counts as empty. References are decoded before tags are read, and again in what is left (closed: see `unescaped`).
     """
-    raw = unescaped(F.coalesce(F.col(column), F.lit("")))
-    bare = df.withColumn("__raw", F.regexp_replace(raw, r"\r\n?", "\n")).withColumn("__bare", unescaped(without_markup(F.col("__raw"))))
+    raw = unescaped(F.coalesce(F.col(column), F.lit("")), closed)
+    bare = df.withColumn("__raw", F.regexp_replace(raw, r"\r\n?", "\n")).withColumn("__bare", unescaped(without_markup(F.col("__raw")), closed))
     text = F.regexp_replace(F.regexp_replace("__bare", r"[\x{200b}-\x{200f}\x{feff}\x{2060}]", ""), r"[ \t\x{a0}]+", " ")
     noise = "(?i)^(?:" + "|".join(NOISE) + rf"){_SPACE}*$"
     core = lambda x: F.regexp_replace(x, r"^[ \t•·\-—]+|[ \t•·\-—]+$", "")
@@ -217,16 +236,33 @@ def chunk_one(text: str, chars: int, tokens: int, overlap: int) -> list[tuple[in
     return [(k, "\n".join(u for u, _ in c), sum(n for _, n in c)) for k, c in enumerate(out)]
 
 
+#: Characters of chunks that a task of `chunks` sends at once.
+HELD_CHARS = 1 << 20
+
+
 def chunks(docs: DataFrame, key: str, text: str, chars: int = 1400, tokens: int = 160, overlap: int = 16) -> DataFrame:
     """key, chunk_index, content, token_count of every document's chunks."""
-    kind = docs.schema[key].dataType.simpleString()
+    made = StructType([StructField(key, docs.schema[key].dataType), StructField("chunk_index", IntegerType()), StructField("content", StringType()), StructField("token_count", LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(k, *c) for k, t in zip(batch[key], batch[text], strict=True) for c in chunk_one(t or "", chars, tokens, overlap)]
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content", "token_count"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(keys: pa.Array, at: list[int], found: list[tuple[int, str, int]]) -> pa.RecordBatch:
+            number, content, size = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(number, pa.int32()), pa.array(content, pa.string()), pa.array(size, pa.int64())], names=made.names)
 
-    return docs.select(key, text).mapInPandas(run, f"{key} {kind}, chunk_index int, content string, token_count long")
+        for batch in batches:
+            at, found, held = [], [], 0
+            for k in range(batch.num_rows):  # a text at a time: what a task holds doesn't grow with the batch
+                some = chunk_one(batch.column(1)[k].as_py() or "", chars, tokens, overlap)
+                at += [k] * len(some)
+                found += some
+                held += sum(len(c) for _, c, _ in some)
+                if held > HELD_CHARS:
+                    yield sent(batch.column(0), at, found)
+                    at, found, held = [], [], 0
+            if found:
+                yield sent(batch.column(0), at, found)
+
+    return docs.select(key, F.col(text).cast("string")).mapInArrow(run, made)
 
 
 def evidence(text: Column, term: Column, around: int = 20) -> Column:

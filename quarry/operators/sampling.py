@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from fractions import Fraction
@@ -107,16 +108,22 @@ def coverage_sample(df: DataFrame, id_: str, dimensions: list[str], size: int, s
     return ranked.join(F.broadcast(wanted), [*names, "r"]).select(F.col("first.id").alias(id_), "place")
 
 
-def _below(n: int, count: int, state: tuple) -> np.ndarray:
-    """The first `count` results of randrange(n) of a generator in that state."""
+def _rounds(n: int, low: int, high: int, state: tuple, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
+    """n results of randrange(n) for each round from low to high, of a generator in that state; one round is held."""
     raw = np.random.RandomState()
     raw.set_state(("MT19937", np.array(state[1][:-1], np.uint32), state[1][-1]))
-    shift, parts, have = 32 - n.bit_length(), [], 0
-    while have < count:
-        draws = raw.randint(0, 1 << 32, size=max(1024, int((count - have) * 1.1 * (1 << n.bit_length()) / n)), dtype=np.uint32) >> shift
-        parts.append(draws[draws < n])
-        have += len(parts[-1])
-    return np.concatenate(parts)[:count]
+    shift, skip, parts, have, left = 32 - n.bit_length(), low * n, [], 0, high - low
+    while left > 0:
+        draws = raw.randint(0, 1 << 32, size=chunk, dtype=np.uint32) >> shift
+        draws = draws[draws < n]
+        gone = min(skip, len(draws))
+        skip, draws = skip - gone, draws[gone:]
+        while left > 0 and have + len(draws) >= n:
+            yield np.concatenate([*parts, draws[: n - have]])
+            draws, parts, have, left = draws[n - have :], [], 0, left - 1
+        if len(draws):
+            parts.append(draws.copy())  # not a view, which would hold its chunk
+            have += len(draws)
 
 
 def seeded_interval(df: DataFrame, order: str, value: str, seed: int = 20260910, rounds: int = 1000, tasks: int = 16) -> DataFrame:
@@ -131,22 +138,21 @@ def seeded_interval(df: DataFrame, order: str, value: str, seed: int = 20260910,
     n = kept.count()
     if n > MOST_VALUES:
         raise ValueError(f"more than {MOST_VALUES} values: use aggregates.bootstrap")
-    values = [r["v"] for r in kept.orderBy(order, "v").select("v").collect()]
+    values = array("d", kept.orderBy(order, "v").select("v").toArrow().column(0).to_numpy().tobytes())  # MOST_VALUES at most
     made = "n long, mean double, low double, high double"
     if n < 2:
-        return spark.createDataFrame([(n, *(values * 3 or [None] * 3))], made)
+        return spark.createDataFrame([(n, *(list(values) * 3 or [None] * 3))], made)
     rounds = max(100, rounds)
-    sent, state = spark.sparkContext.broadcast(values), random.Random(seed).getstate()
+    sent, state = spark.sparkContext.broadcast(np.array(values)), random.Random(seed).getstate()
     share = -(-rounds // tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.array(sent.value)
+        held = sent.value
         for batch in batches:
             for k in batch["id"]:
                 low, high = k * share, min(rounds, (k + 1) * share)
-                if low < high:
-                    drawn = _below(n, high * n, state)[low * n :].reshape(-1, n)
-                    yield pd.DataFrame({"m": [sum(held[row].tolist()) / n for row in drawn]})
+                if low < high:  # one round at a time, added as floats in turn
+                    yield pd.DataFrame({"m": [sum(array("d", held[row].tobytes())) / n for row in _rounds(n, low, high, state)]})
 
     means = sorted(r["m"] for r in spark.range(0, tasks, 1, tasks).mapInPandas(run, "m double").collect())  # a number a round
     return spark.createDataFrame([(n, sum(values) / n, means[int(0.025 * (rounds - 1))], means[int(0.975 * (rounds - 1))])], made)
@@ -193,9 +199,13 @@ def seeded_topic_interval(df: DataFrame, topic: str, value: str, seed: int = 42,
                 if low < high:
                     raw = np.random.RandomState()
                     raw.set_state(("MT19937", np.array(state[1][:-1], np.uint32), state[1][-1]))
-                    raw.random_sample(low * len(whole))
-                    drawn = np.floor(raw.random_sample((high - low) * len(whole)) * len(whole)).astype(int).reshape(-1, len(whole))
-                    yield pd.DataFrame({"m": [float(Fraction(sum(whole[j] for j in row), scale * sum(sizes[j] for j in row))) for row in drawn.tolist()]})
+                    for _ in range(low):
+                        raw.random_sample(len(whole))
+                    means = []
+                    for _ in range(high - low):  # one round at a time
+                        row = np.floor(raw.random_sample(len(whole)) * len(whole)).astype(int).tolist()
+                        means.append(float(Fraction(sum(map(whole.__getitem__, row)), scale * sum(map(sizes.__getitem__, row)))))
+                    yield pd.DataFrame({"m": means})
 
     means = sorted(r["m"] for r in spark.range(0, tasks, 1, tasks).mapInPandas(run, "m double").collect())
     mean = float(Fraction(sum(whole), scale * n))

@@ -45,6 +45,8 @@ from .wordids import default_vocabulary
 
 BLOCK_BYTES = 8 << 20
 PART_WORDS = 1 << 20
+#: Words whose ids a task puts in one batch, and texts that are decoded together.
+OUT_WORDS, OUT_TEXTS = 1 << 17, 512
 _MARKS = pa.array([".", ",", ";", ":", "!", "?"])
 #: A mark that ends a word after one of these is a pre-token of its own.
 _LETTERS = pa.array([chr(k) for k in range(256) if chr(k) in "0123456789" or chr(k).isalpha() and chr(k) not in "\u00aa\u00b5\u00ba"])
@@ -134,6 +136,7 @@ def in_blocks(docs: DataFrame, column: str, block_bytes: int = BLOCK_BYTES) -> D
                     names=made.names,
                 )
                 number += 1
+            pa.default_memory_pool().release_unused()
 
     carried = F.struct(*[F.col(f"`{f.name}`").alias(f"c{k}") for k, f in enumerate(others)], F.lit(None).cast("int").alias("none"))
     if others:
@@ -228,9 +231,15 @@ def encode(docs: DataFrame, column: str = "text", vocabulary: str | None = None,
                 rows, counts = batch.column("rows")[k].values, np.asarray(batch.column("counts")[k].values)
                 places = _unpacked(batch.column("places")[k].as_py(), "<u4").astype(np.int64)
                 values, sizes = _word_ids(batch.column("coded")[k].as_py())
-                ids = _gather(values, np.cumsum(sizes) - sizes, sizes, places)
-                ends = np.r_[0, np.cumsum(sizes[places])][np.r_[0, np.cumsum(counts)]]
-                yield pa.RecordBatch.from_arrays([rows, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], names=made.names)
+                starts, ends, n = np.cumsum(sizes) - sizes, np.r_[0, np.cumsum(counts, dtype=np.int64)], len(counts)
+                edges = np.searchsorted(ends, np.arange(OUT_WORDS, ends[-1] + OUT_WORDS, OUT_WORDS))
+                edges = np.unique(np.r_[0, np.minimum(edges, n), n])
+                for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    at = places[ends[low] : ends[high]]
+                    ids = _gather(values, starts, sizes, at)
+                    offsets = np.r_[0, np.cumsum(sizes[at])][ends[low : high + 1] - ends[low]]
+                    yield pa.RecordBatch.from_arrays([rows.slice(low, high - low), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=made.names)
+                pa.default_memory_pool().release_unused()
 
     others = [f for f in docs.schema.fields if f.name != column]
     out = joined.select("rows", "counts", "places", "coded").mapInArrow(run, made)
@@ -253,7 +262,7 @@ def decode(frame: DataFrame, column: str = "ids", vocabulary: str | None = None)
     made = T.StructType([T.StructField("row", frame.select(F.struct(*frame.columns)).schema[0].dataType), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(low, OUT_TEXTS) for b in batches for low in range(0, b.num_rows, OUT_TEXTS)):
             lists = batch.column("ids")
             flat = lists.flatten()
             there = pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)

@@ -1,6 +1,6 @@
 """Parsers of postings and of free-text questions, each with the labels of its own use; they are not interchangeable.
 
-All take null as an empty text and are column expressions without Python workers.
+All take null as an empty text and are column expressions without Python workers. What several rules use is computed once.
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _text(value: Column) -> Column:
     return F.trim(F.coalesce(value, F.lit("")))
@@ -34,11 +36,14 @@ def first_rule(rules: list[tuple[Column, str]], other: Column) -> Column:
 
 def record_education(value: Column) -> Column:
     """The label of a stored record: the highest level named; other texts as they are."""
-    raw, low = _text(value), F.lower(_text(value))
-    return first_rule([
-        (raw == "", ""), (has(raw, "不限", "无要求", "不作要求"), "学历不限"), (has(low, "博士", "phd"), "博士"), (has(low, "硕士", "研究生", "master"), "硕士"),
-        (has(low, "本科", "学士", "bachelor"), "本科"), (has(low, "大专", "专科", "associate"), "大专"), (has(low, "中专", "高中", "technical secondary"), "中专/高中"),
-    ], raw)
+
+    def named(raw: Column, low: Column) -> Column:
+        return first_rule([
+            (raw == "", ""), (has(raw, "不限", "无要求", "不作要求"), "学历不限"), (has(low, "博士", "phd"), "博士"), (has(low, "硕士", "研究生", "master"), "硕士"),
+            (has(low, "本科", "学士", "bachelor"), "本科"), (has(low, "大专", "专科", "associate"), "大专"), (has(low, "中专", "高中", "technical secondary"), "中专/高中"),
+        ], raw)
+
+    return let(_text(value), lambda raw: let(F.lower(raw), lambda low: named(raw, low)))
 
 
 def search_education(value: Column) -> Column:
@@ -52,10 +57,13 @@ def search_education(value: Column) -> Column:
 
 def market_education(value: Column) -> Column:
     """The label of market reports: the level whose word comes first."""
-    raw = _text(value)
     words = [("博士", "博士"), ("硕士", "硕士及以上"), ("本科", "本科及以上"), ("大专", "大专及以上"), ("专科", "大专及以上")]
-    found = F.array_compact(F.array(*[F.when(has(raw, w), F.struct(F.instr(raw, F.lit(w)).alias("at"), F.lit(name).alias("name"))) for w, name in words]))
-    return first_rule([(raw == "", "未注明"), (has(raw, "不限", "无要求"), "学历不限")], F.coalesce(F.array_min(found)["name"], F.substring(raw, 1, 30)))
+
+    def named(raw: Column) -> Column:
+        found = F.array_compact(F.array(*[F.when(has(raw, w), F.struct(F.instr(raw, F.lit(w)).alias("at"), F.lit(name).alias("name"))) for w, name in words]))
+        return first_rule([(raw == "", "未注明"), (has(raw, "不限", "无要求"), "学历不限")], F.coalesce(F.array_min(found)["name"], F.substring(raw, 1, 30)))
+
+    return let(_text(value), named)
 
 
 def corpus_education(value: Column) -> Column:
@@ -73,26 +81,27 @@ def _numbers(text: Column, pattern: str, group: int = 1) -> Column:
 
 def record_experience(value: Column) -> Column:
     """The label of a stored record, by the bounds of the ranges named, else by the largest number of years."""
-    raw = F.lower(_text(value))
     ranges = r"(\d{1,2})\s*(?:-|~|～|至|到)\s*(\d{1,2})\s*年"
-    lows, highs = _numbers(raw, ranges), _numbers(raw, ranges, 2)
-    single = F.array_max(_numbers(raw, r"(?<!\d)(\d{1,2})\s*(?:\+|年以上|年)"))
-    low, high = F.coalesce(F.array_min(lows), single), F.coalesce(F.array_max(highs), single)
-    return first_rule([
-        (has(raw, "不限", "无经验", "无需经验", "应届", "在校"), "应届/经验不限"), (low.isNull(), ""), (low >= 5, "5年以上"), (low >= 3, "3-5年"), (high <= 1, "1年以内"),
-    ], F.lit("1-3年"))
+
+    def by_years(raw: Column) -> Column:
+        lows, highs = _numbers(raw, ranges), _numbers(raw, ranges, 2)
+        single = F.array_max(_numbers(raw, r"(?<!\d)(\d{1,2})\s*(?:\+|年以上|年)"))
+        years = F.struct(F.coalesce(F.array_min(lows), single).alias("low"), F.coalesce(F.array_max(highs), single).alias("high"))
+        return let(years, lambda y: first_rule([(y["low"].isNull(), ""), (y["low"] >= 5, "5年以上"), (y["low"] >= 3, "3-5年"), (y["high"] <= 1, "1年以内")], F.lit("1-3年")))
+
+    return let(F.lower(_text(value)), lambda raw: F.when(has(raw, "不限", "无经验", "无需经验", "应届", "在校"), "应届/经验不限").otherwise(by_years(raw)))
 
 
 def market_experience(value: Column) -> Column:
     """The label of market reports, by the smallest and largest number of years."""
-    raw = F.lower(_text(value))
-    years = _numbers(raw, r"(\d+)\s*年")
-    low, high = F.array_min(years), F.array_max(years)
-    wished = has(raw, "经验") & has(raw, "优先", "具备", "拥有", "丰富")
-    return first_rule([
-        (has(raw, "不限", "无经验", "应届", "在校", "实习"), "应届/经验不限"), (high <= 1, "1年以内"), (low <= 3, "1-3年"), (low <= 5, "3-5年"), (low > 5, "5年以上"),
-        (wished, "相关项目经验优先"),
-    ], F.lit("未注明"))
+
+    def by_years(raw: Column) -> Column:
+        wished = has(raw, "经验") & has(raw, "优先", "具备", "拥有", "丰富")
+        return let(_numbers(raw, r"(\d+)\s*年"), lambda y: first_rule([
+            (F.array_max(y) <= 1, "1年以内"), (F.array_min(y) <= 3, "1-3年"), (F.array_min(y) <= 5, "3-5年"), (F.array_min(y) > 5, "5年以上"), (wished, "相关项目经验优先"),
+        ], F.lit("未注明")))
+
+    return let(F.lower(_text(value)), lambda raw: F.when(has(raw, "不限", "无经验", "应届", "在校", "实习"), "应届/经验不限").otherwise(by_years(raw)))
 
 
 def corpus_experience(value: Column, text: Column) -> Column:
@@ -112,23 +121,24 @@ _NUMBER = r"(\d+(?:\.\d+)?)"
 
 def platform_pay(value: Column) -> Column:
     """struct(minimum, maximum, months) of a platform's pay text; day rates stay as they are, a bound takes the other's scale."""
-    raw = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " "))
     one = _NUMBER + r"\s*([Kk千万])?"
     pair = one + r"\s*(?:-|~|至|—|–)\s*" + one
-    part = lambda pattern, k: F.nullif(F.regexp_extract(raw, pattern, k), F.lit(""))
-    ranged = raw.rlike(pair)
-    low, low_scale = F.when(ranged, part(pair, 1)).otherwise(part(one, 1)), F.when(ranged, part(pair, 2)).otherwise(part(one, 2))
-    high, high_scale = F.when(ranged, part(pair, 3)).otherwise(low), F.when(ranged, part(pair, 4)).otherwise(low_scale)
+    filled = lambda c: F.when(c != "", c)
 
     def amount(number: Column, scale: Column) -> Column:
         factor = F.when(F.lower(scale).isin("k", "千"), 1000).when(scale == "万", 10000).otherwise(1)
-        return F.bround(number.cast("double") * factor).cast("long")
-
-    open_ = raw.rlike("(?i)面议|negotiable|面谈")
-    return F.struct(
-        F.when(~open_, amount(low, F.coalesce(low_scale, high_scale))).alias("minimum"), F.when(~open_, amount(high, F.coalesce(high_scale, low_scale))).alias("maximum"),
-        part(r"(\d{1,2})\s*薪", 1).cast("int").alias("months"),
-    )
+        return F.bround(filled(number).cast("double") * factor).cast("long")
+
+    def parsed(raw: Column) -> Column:
+        groups = lambda pattern, *names: F.struct(*[F.regexp_extract(raw, pattern, k).alias(name) for k, name in enumerate(names, 1)])
+        single = let(groups(one, "low", "low_scale"), lambda s: F.struct(s["low"].alias("low"), s["low_scale"].alias("low_scale"), s["low"].alias("high"), s["low_scale"].alias("high_scale")))
+        found = F.when(~raw.rlike("(?i)面议|negotiable|面谈"), F.when(raw.rlike(pair), groups(pair, "low", "low_scale", "high", "high_scale")).otherwise(single))
+        return let(F.struct(found.alias("f"), F.regexp_extract(raw, r"(\d{1,2})\s*薪", 1).alias("months")), lambda x: F.struct(
+            amount(x["f"]["low"], F.coalesce(filled(x["f"]["low_scale"]), filled(x["f"]["high_scale"]))).alias("minimum"),
+            amount(x["f"]["high"], F.coalesce(filled(x["f"]["high_scale"]), filled(x["f"]["low_scale"]))).alias("maximum"),
+            filled(x["months"]).cast("int").alias("months")))
+
+    return let(F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"\s+", " ")), parsed)
 
 
 def posted_pay(text: Column) -> Column:

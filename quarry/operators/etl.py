@@ -18,6 +18,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from ..functions import parse as P
 from ..functions import postings as S
 from ..functions import text as T
+from ..functions.text import let
 from . import extraction as K
 
 
@@ -35,11 +36,6 @@ _LINE_END = r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _INSIDE = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, rf"^{_SPACE}+|{_SPACE}+$", "")
 

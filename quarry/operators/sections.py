@@ -11,7 +11,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .etl import let
+from ..functions.text import let
 
 # Headings of sections, patterns of lines, and how many items are kept.
 ALIASES = {

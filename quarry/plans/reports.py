@@ -180,6 +180,6 @@ def posting_labels(t: Tables) -> DataFrame:
     x = F.concat(n.cast("string"), F.lit("-"), (n + 2).cast("string"), F.lit("年"))
     e = F.when(F.col("l_returnflag") == "R", "硕士优先，本科及以上").when(F.col("l_returnflag") == "A", "大专以上，本科优先").otherwise("学历不限")
     p = P.platform_pay(F.concat((n * 4).cast("string"), F.lit("-"), (n * 5).cast("string"), F.lit("K·"), (n + 11).cast("string"), F.lit("薪")))
-    return t.lineitem.select(
+    return t.lineitem.withColumn("pay", p).select(
         "l_orderkey", "l_linenumber", P.record_experience(x).alias("record_x"), P.market_experience(x).alias("market_x"), P.corpus_experience(x, F.lit("")).alias("corpus_x"),
-        P.record_education(e).alias("record_e"), P.search_education(e).alias("search_e"), P.market_education(e).alias("market_e"), p["minimum"].alias("minimum"), p["maximum"].alias("maximum"), p["months"].alias("months"))
+        P.record_education(e).alias("record_e"), P.search_education(e).alias("search_e"), P.market_education(e).alias("market_e"), "pay.minimum", "pay.maximum", "pay.months")

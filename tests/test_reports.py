@@ -37,6 +37,13 @@ def test_pay(spark):
     assert [tuple(x) for x in got] == [(90, 120, "USD"), (15, 25, "CNY"), (None, None, "CNY"), (None, None, "CNY")]
 
 
+@pytest.mark.parametrize(("f", "most"), [(P.platform_pay, 12), (P.record_experience, 4), (P.market_experience, 2)])
+def test_patterns_are_matched_once(spark, f, most):
+    """What several rules use stands in the plan once."""
+    plan = spark.createDataFrame([("1-3年",)], "t string").select(f(F.col("t")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") <= most
+
+
 def test_questions(spark):
     assert values(spark, P.intent, "前端和后端哪个适合我", "简历缺什么", "怎么学 Go", "行业趋势", None) == ["role_comparison", "resume_gap", "learning_roadmap", "market_research", "general_career_chat"]
     assert values(spark, P.capabilities, "查询最新岗位", "招聘", None) == [["job_search", "realtime_information"], [], []]

@@ -12,6 +12,7 @@ leaves the task that reads the text.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import scratch
+from .storage import batches_of, scratch, stored
 
 BLOCK_DOCS, BLOCK_POSTINGS = 4096, 1 << 20
 #: Queries that are answered together; more come in several rounds.
 BLOCK_QUERIES = 4096
+#: Texts that a task's worker gets at once, and hits that it sends at once. Of blocks it gets one at a time.
+TEXTS, SENT = 256, 1 << 18
 _KEPT = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _CELLS = [("terms", pa.list_(pa.binary())), ("ends", pa.list_(pa.int32())), ("most", pa.list_(pa.int32())), ("least", pa.list_(pa.int64())),
           ("docs", pa.binary()), ("counts", pa.binary())]
@@ -38,24 +41,36 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_KEPT).split()
 
 
-def _block(ids: pa.Array, lengths: list[int], counted: list[Counter]) -> list[pa.Array]:
-    """ids, lengths and the cells of _CELLS, of one block."""
-    known: dict[bytes, int] = {}
-    term = np.fromiter((known.setdefault(w, len(known)) for c in counted for w in c), np.int64)
-    doc = np.repeat(np.arange(len(counted)), [len(c) for c in counted])
-    tf = np.fromiter((n for c in counted for n in c.values()), np.int64, len(term))
-    names = sorted(known)
-    place = np.empty(len(known), np.int64)
-    place[[known[w] for w in names]] = np.arange(len(known))
-    order = np.argsort(place[term], kind="stable")
-    term, doc, tf = place[term][order], doc[order], tf[order]
-    ends = np.searchsorted(term, np.arange(len(names) + 1))
-    size = np.array(lengths, np.int64)[doc]
-    most = np.maximum.reduceat(tf, ends[:-1]) if len(names) else ends[:0]
-    least = np.minimum.reduceat(size, ends[:-1]) if len(names) else ends[:0]
-    cells = [names, ends.tolist(), most.tolist(), least.tolist(), doc.astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
-    held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return [held, pa.array([lengths], pa.list_(pa.int64())), *(pa.array([x], kind) for x, (_, kind) in zip(cells, _CELLS, strict=True))]
+class _Block:
+    """What a task has read of a block: eight bytes or so a posting."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.known = [], [], {}
+        self.term, self.tf, self.sizes = array("q"), array("q"), array("q")
+
+    def add(self, id_: object, words: list[bytes], only: frozenset[bytes] | None) -> None:
+        found = Counter(words if only is None else [w for w in words if w in only])
+        self.ids.append(id_)
+        self.lengths.append(len(words))
+        self.sizes.append(len(found))
+        self.term.extend([self.known.setdefault(w, len(self.known)) for w in found])
+        self.tf.extend(found.values())
+
+    def cells(self, kind: pa.DataType) -> list[pa.Array]:
+        """ids, lengths and the cells of _CELLS."""
+        term, tf = np.array(self.term, np.int64), np.array(self.tf, np.int64)
+        doc = np.repeat(np.arange(len(self.ids)), np.array(self.sizes, np.int64))
+        names = sorted(self.known)
+        place = np.empty(len(names), np.int64)
+        place[[self.known[w] for w in names]] = np.arange(len(names))
+        order = np.argsort(place[term], kind="stable")
+        term, doc, tf = place[term][order], doc[order], tf[order]
+        ends = np.searchsorted(term, np.arange(len(names) + 1))
+        size = np.array(self.lengths, np.int64)[doc]
+        most = np.maximum.reduceat(tf, ends[:-1]) if len(names) else ends[:0]
+        least = np.minimum.reduceat(size, ends[:-1]) if len(names) else ends[:0]
+        cells = [names, ends.tolist(), most.tolist(), least.tolist(), doc.astype("<u4").tobytes(), tf.astype("<u4").tobytes()]
+        return [pa.array([self.ids], pa.list_(kind)), pa.array([self.lengths], pa.list_(pa.int64())), *(pa.array([x], k) for x, (_, k) in zip(cells, _CELLS, strict=True))]
 
 
 @dataclass
@@ -77,26 +92,26 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", wanted: froz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = None if sent is None else sent.value
+        block, id_kind = _Block(), None
         for batch in batches:
-            low, lengths, counted, postings = 0, [], [], 0
-            for k, value in enumerate(batch.column(1).to_pylist()):
-                words = tokens(value)
-                found = Counter(words if only is None else [w for w in words if w in only])
-                lengths.append(len(words))
-                counted.append(found)
-                postings += len(found)
-                if len(counted) >= block_docs or postings >= block_postings or k == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays(_block(batch.column(0).slice(low, len(counted)), lengths, counted), names=names)
-                    low, lengths, counted, postings = k + 1, [], [], 0
-
-    array = lambda t: T.ArrayType(t)
+            id_kind = batch.schema.field(0).type
+            for id_, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                block.add(id_, tokens(value), only)
+                if len(block.ids) >= block_docs or len(block.term) >= block_postings:
+                    yield pa.RecordBatch.from_arrays(block.cells(id_kind), names=names)
+                    block = _Block()
+        if block.ids:
+            yield pa.RecordBatch.from_arrays(block.cells(id_kind), names=names)
+
+    many = lambda t: T.ArrayType(t)
     made = T.StructType([
-        T.StructField("ids", array(kind)), T.StructField("lengths", array(T.LongType())), T.StructField("terms", array(T.BinaryType())),
-        T.StructField("ends", array(T.IntegerType())), T.StructField("most", array(T.IntegerType())), T.StructField("least", array(T.LongType())),
+        T.StructField("ids", many(kind)), T.StructField("lengths", many(T.LongType())), T.StructField("terms", many(T.BinaryType())),
+        T.StructField("ends", many(T.IntegerType())), T.StructField("most", many(T.IntegerType())), T.StructField("least", many(T.LongType())),
         T.StructField("docs", T.BinaryType()), T.StructField("counts", T.BinaryType()),
     ])
     path = scratch(spark, "inverted")
-    docs.select(key, F.col(text).cast("string")).mapInArrow(run, made).write.option("compression", "zstd").parquet(path)
+    with batches_of(spark, TEXTS):
+        docs.select(key, F.col(text).cast("string")).mapInArrow(run, made).write.option("compression", "zstd").parquet(path)
     blocks = spark.read.schema(made).parquet(path)
     sums = blocks.agg(F.sum(F.size("ids")).alias("n"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total")).first()
     return Index(blocks, sums["n"] or 0, (sums["total"] or 0) / max(sums["n"] or 0, 1))
@@ -117,7 +132,8 @@ def frequencies(index: Index, terms: list[bytes]) -> dict[bytes, int]:
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], names=["term", "df"])
 
     counted = index.blocks.select("terms", "ends").mapInArrow(run, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    return {terms[r["term"]]: r["df"] for r in counted.collect()}
+    with batches_of(index.blocks.sparkSession, 1):
+        return {terms[r["term"]]: r["df"] for r in counted.collect()}
 
 
 @dataclass
@@ -135,6 +151,11 @@ def _answers(index: Index, queries: _Queries, k: int | None, k1: float, b: float
     mean = index.mean_length
     kind = index.blocks.schema["ids"].dataType.elementType
 
+    def sent_on(ids: pa.Array, numbers: list, places: list, scores: list, shared: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate(numbers), pa.int32()), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores)), pa.array(np.concatenate(shared), pa.int64())],
+            names=["number", "id", "bm25", "shared"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         asked = pa.array(q.terms, pa.binary())
@@ -148,7 +169,7 @@ def _answers(index: Index, queries: _Queries, k: int | None, k1: float, b: float
                 part = lambda tf, size: tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean))
                 weight = part(tf, lengths[docs])
                 bound = part(np.asarray(cell["most"].values).astype(np.float64), np.asarray(cell["least"].values)) if k else None
-                numbers, places, scores, shared = [], [], [], []
+                numbers, places, scores, shared, waiting = [], [], [], [], 0
                 for number, mine in enumerate(q.asked):
                     own = at[mine]
                     there = own >= 0
@@ -168,10 +189,12 @@ def _answers(index: Index, queries: _Queries, k: int | None, k1: float, b: float
                     places.append(hit)
                     scores.append(score[hit])
                     shared.append(terms[hit])
+                    waiting += len(hit)
+                    if waiting >= SENT:
+                        yield sent_on(ids, numbers, places, scores, shared)
+                        numbers, places, scores, shared, waiting = [], [], [], [], 0
                 if numbers:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(numbers), pa.int32()), ids.take(pa.array(np.concatenate(places))), pa.array(np.concatenate(scores)), pa.array(np.concatenate(shared), pa.int64())],
-                        names=["number", "id", "bm25", "shared"])
+                    yield sent_on(ids, numbers, places, scores, shared)
 
     made = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("id", kind), T.StructField("bm25", T.DoubleType()), T.StructField("shared", T.LongType())])
     return index.blocks.mapInArrow(run, made)
@@ -181,7 +204,7 @@ def hits(index: Index, queries: DataFrame, k: int | None = None, k1: float = 1.2
     """item_id, key, bm25 (6 digits), shared (terms that both have), terms (of the query) for queries(item_id, text).
 
     All documents with a term of a query; with k, at least those that may be among its k best (rank them by bm25, then
-    key). Rows that repeat an item_id are one query, of all their terms.
+    key). Rows that repeat an item_id are one query, of all their terms. The result is a stored table.
     """
     spark = index.blocks.sparkSession
     id_kind = queries.schema["item_id"].dataType
@@ -200,6 +223,8 @@ def hits(index: Index, queries: DataFrame, k: int | None = None, k1: float = 1.2
         items = T.StructType([T.StructField("number", T.IntegerType()), T.StructField("item_id", id_kind), T.StructField("terms", T.IntegerType())])
         named = spark.createDataFrame([(n, item, len(words)) for n, (item, words) in enumerate(mine.items())], items)
         some = found.join(F.broadcast(named), "number").select("item_id", F.col("id").alias(key), F.round("bm25", 6).alias("bm25"), "shared", "terms")
+        with batches_of(spark, 1):
+            some = stored(some, "hits")
         out = some if out is None else out.unionByName(some)
     return out
 

@@ -49,7 +49,7 @@ SELECT item_id, count(*) AS sample_count, count(DISTINCT source) AS sources, cou
   CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 5 THEN 'medium' ELSE 'insufficient' END AS confidence FROM m JOIN documents USING (doc_id) GROUP BY 1""")
 def search_statistics(t: Tables) -> DataFrame:
     """What each search rests on: documents with half of its terms and its hits, counted over sources and languages."""
-    hits = stored(R.term_scores(t.documents, t.benchmark), "hits")
+    hits = R.term_scores(t.documents, t.benchmark)
     matched = hits.where(F.round(F.col("shared") / F.col("terms"), 6) >= 0.5).select("item_id", "doc_id")
     both = matched.unionByName(search_hits(t).select("item_id", "doc_id")).distinct().join(t.documents.select("doc_id", "source", "lang"), "doc_id")
     out = both.groupBy("item_id").agg(
@@ -81,7 +81,7 @@ FROM f LEFT JOIN o USING (item_id, doc_id)""")
 def multi_query_rerank(t: Tables) -> DataFrame:
     """Hits found by several ways, summed by reciprocal rank and ranked by the local rule."""
     hits = stored(_hits(t), "channel-hits")
-    share = stored(R.term_scores(t.documents, t.benchmark), "hits").select("item_id", "doc_id", F.round(F.col("shared") / F.col("terms"), 6).alias("share"))
+    share = R.term_scores(t.documents, t.benchmark).select("item_id", "doc_id", F.round(F.col("shared") / F.col("terms"), 6).alias("share"))
     out = R.multi_query(hits, "item_id", "doc_id", "channel").join(share, ["item_id", "doc_id"], "left")
     own = F.coalesce("share", F.lit(0.0))
     score = R.local_rerank(F.col("fused"), own, own, F.lit(0.5), F.col("matched"))

@@ -5,9 +5,11 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarry.operators import inverted, retrieval
+from quarry.operators import inverted, retrieval, storage
 
 
 def plain(docs, items, k1=1.2, b=0.75):
@@ -60,3 +62,25 @@ def test_empty_tables_and_many_terms(spark):
     assert inverted.wanted_terms(asked, most=3) is None
     top = retrieval.bm25(frame, asked, 2).collect()
     assert {r["rank"] for r in top} == {1, 2} and max(Counter(r["item_id"] for r in top).values()) == 2
+
+
+def test_large_rows_come_alone(spark, monkeypatch):
+    """A worker gets few texts and one block at a time, whatever the table's size, and blocks don't end where a batch does."""
+    monkeypatch.setattr(inverted, "TEXTS", 2)
+    docs = spark.createDataFrame([(k, f"w{k} all") for k in range(10)], "doc_id long, text string").coalesce(1)
+    index = inverted.build(docs, block_docs=3)
+    assert sorted(len(r["ids"]) for r in index.blocks.collect()) == [1, 3, 3, 3]
+
+    def batch_sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int32())], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = index.blocks.coalesce(1).select(F.size("ids").alias("n"))
+    with storage.batches_of(spark, 1):
+        assert [r[0] for r in rows.mapInArrow(batch_sizes, "n int").collect()] == [1] * 4
+    assert spark.conf.get(name) == before and [r[0] for r in rows.mapInArrow(batch_sizes, "n int").collect()] == [4]
+    asked = spark.createDataFrame([(1, "all w3")], "item_id long, text string")
+    found = inverted.hits(index, asked)
+    assert found.inputFiles() and {r["doc_id"]: r["shared"] for r in found.collect()} == {k: 1 + (k == 3) for k in range(10)}

@@ -41,13 +41,16 @@ ABILITY_STARTS = (
 MOST = {"responsibilities": 12, "qualifications": 16, "preferred_qualifications": 12, "benefits": 12}
 _NUMERAL = "一二三四五六七八九十"
 _SITES = r"(?:智联招聘|牛客网)\s*$"
+#: Inside a class: what is taken off around a heading.
+_AROUND = r"\s#\-—_=~*•·:：;；【】\[\]（）()"
 #: Radicals that pages show in place of the characters that look the same.
 _RADICALS = {chr(k): unicodedata.normalize("NFKC", chr(k)) for k in range(0x2E80, 0x3000) if len(unicodedata.normalize("NFKC", chr(k))) == 1 and unicodedata.normalize("NFKC", chr(k)) != chr(k)}
 
 
 def posting_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line_no, line of the lines that hold something: radicals as characters, white space as one space, no site names at ends."""
-    plain = F.translate(F.coalesce(F.col(text), F.lit("")), "".join(_RADICALS), "".join(_RADICALS.values()))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    plain = F.when(whole.rlike(r"[\x{2e80}-\x{2fff}]"), F.translate(whole, "".join(_RADICALS), "".join(_RADICALS.values()))).otherwise(whole)
     plain = F.regexp_replace(F.regexp_replace(plain, r"\r\n?", "\n"), r"[\x{200b}-\x{200d}\x{feff}]", "")
     cut = F.transform(F.split(plain, r"[\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"), lambda x: F.trim(F.regexp_replace(F.trim(F.regexp_replace(x, r"[ \t\x{a0}]+", " ")), _SITES, "")))
     return docs.select(key, F.posexplode(F.filter(cut, lambda x: x != "")).alias("line_no", "line"))
@@ -56,6 +59,9 @@ def posting_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 def heading_type(line: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:
     """The section that a heading names, alone or before a separator; body for another one numbered in Chinese; else null."""
     major = rf"^[{_NUMERAL}百]+\s*[、．.]\s*"
+    # What any heading begins with, told before the line is cleaned: few lines do.
+    every = "|".join(w for words in (aliases or ALIASES).values() for w in words).replace(" ", r"\s+")
+    may = F.lower(line).rlike(rf"^(?:[{_AROUND}{_NUMERAL}百0-9、．.]*(?:{every})(?:$|[{_AROUND}|｜/\x{{85}}\x{{2028}}\x{{2029}}])|[\s#]*[{_NUMERAL}百])")
     bare = F.trim(F.regexp_replace(line, r"^\s{0,3}#{1,6}\s*", ""))
 
     def named(bare: Column) -> Column:
@@ -66,7 +72,7 @@ def heading_type(line: Column, aliases: dict[str, tuple[str, ...]] | None = None
         found = let(core, lambda x: F.coalesce(*[F.when(x.rlike(f"^(?:{'|'.join(words)})(?:$|[ :：|｜\\-—/\\[【(（])"), name) for name, words in (aliases or ALIASES).items()]))
         return F.coalesce(found, F.when(bare.rlike(major), "body"))
 
-    return let(bare, named)
+    return F.when(may, let(bare, named))
 
 
 def split_heading(line: Column, aliases: dict[str, tuple[str, ...]] | None = None) -> Column:

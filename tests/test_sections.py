@@ -73,3 +73,16 @@ def test_sections_of_a_whole_table(spark):
             else:
                 want[d["doc_id"], n] = (section, line)
     assert len({s for s, _ in want.values()}) > 3 and got == want
+
+
+def test_headings_are_told_before_lines_are_cleaned(spark):
+    """Only lines that begin like a heading are cleaned, and none is missed for what is around it."""
+    bare = ["the", "THE end", "a", "nice to have", "what  you\tbring"]
+    odd = [f"{x}{w}{y}" for w in bare for x in ("", " ## ", "二、", "12.", "（三） ", "** - ", "【") for y in ("", " ***", "】：", " - ", "：x", "|x", "/x", "\u2028***")]
+    other = ["them", "an end", "x the", "", "百.", "# 十 、 x", "一 the"]
+    aliases = {"one": ("the", "a"), "two": ("nice to have", "what you bring")}
+    df = spark.createDataFrame([(x,) for x in [*odd, *other]], "line string").select("line", Y.heading_type(F.col("line"), aliases).alias("h"))
+    got = {r["line"]: r["h"] for r in df.collect()}
+    assert all(got[x] in ("one", "two") for x in odd if x[-1] != "】") and [got[x] for x in other] == [None, None, None, None, "body", "body", None]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RLIKE") < plan.index("regexp_replace")

@@ -92,6 +92,54 @@ def test_requirements_and_groups_end_to_end(spark):
     assert score["must_have"] == 100.0 and score["preferred"] == 0.0 and score["final"] <= 100.0
 
 
+def plain_evidence(text, lexicon):
+    pieces = [u for u in (p.strip(" -•\t") for p in re.split(r"[\r\n]+", re.sub("([。！？；;])", r"\1\n", text or ""))) if u]
+    first = {}
+    for term, _ in lexicon.terms:
+        name = K.fold(term)
+        words = [w for w in re.split(r"[,，/、\s]+", name) if len(w) >= 2]
+        at = [n for n, u in enumerate(pieces) if name in K.fold(u)] or [n for n, u in enumerate(pieces) if any(w in K.fold(u) for w in words)]
+        if at:
+            first.setdefault(at[0], set()).add(term)
+    return {(n, pieces[n], tuple(sorted(terms)), tuple(sorted({t for _, _, t in plain_spans(pieces[n], lexicon)}))) for n, terms in first.items()}
+
+
+def test_evidence_equals_plain_search(spark):
+    rng = random.Random(5)
+    lexicon = K.skill_lexicon()
+    words = ["Machine", "learning", "machine Learning", "Tool", "Spring Boot", "springboot", "boot", "C", "C++", "Vue", "ROS 2", "Claude Code", "code", "的", "大模型", "-", "•"]
+    odd = [None, "", "İ Python İ C", "\n\r;；", " -•\t", "Vue -\u2028", "- Go -\x85;C", "；。C;\r\nC++。。Go"]
+    texts = odd + ["".join(rng.choice(words) + rng.choice([" ", " ", "", "\n", "\r\n", "；", "。", ";", "/"]) for _ in range(rng.randint(1, 40))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {}
+    for r in K.evidence(df, "id", "text", lexicon).collect():
+        got.setdefault(r["id"], []).append((r["unit_no"], r["unit"], tuple(sorted(r["skills"])), tuple(r["offered"])))
+    assert {k: set(v) for k, v in got.items()} == {k: want for k, t in enumerate(texts) if (want := plain_evidence(t, lexicon))}
+    assert sum(map(len, got.values())) == sum(len(set(v)) for v in got.values())
+    assert K.evidence(df, "id", "text", K.Lexicon(())).count() == 0
+
+
+def test_cues_are_what_their_patterns_find(spark):
+    rng = random.Random(6)
+    bits = sorted({w for ws in K.CUES.values() for w in ws}) + ["核心", "目前", "使用", "具备", "门", "两", "框架", "have", "-", " to ", "ct", "种", "至少 3 ", "x", "有机会"]
+    texts = ["", *bits] + ["".join(rng.choice(bits) for _ in range(rng.randint(2, 6))) for _ in range(600)]
+    df = spark.createDataFrame([(t.upper() if k % 2 else t,) for k, t in enumerate(texts)], "unit string").withColumn("low", F.lower("unit"))
+    unit, low = F.col("unit"), F.col("low")
+    both = df.select(*[F.array(K.cue(unit, low, p), unit.rlike(p)) for p in K.CUES]).collect()
+    assert all(a == b for r in both for a, b in r)
+    assert all({r[k][0] for r in both} == {True, False} for k in range(len(K.CUES)))
+
+
+def test_requirements_read_a_text_once_and_shuffle_no_texts(spark):
+    docs = spark.createDataFrame([(1, "Python or Vue")], "id long, text string")
+    listed = spark.createDataFrame([(1, "Python", "required", 0.7)], "id long, skill string, type string, importance double")
+    asked = K.requirements(docs, "id", "text", listed).select("id", "skill", "type", "relation", "wanted", "unit_no")
+    plan = asked._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("MapInArrow") == 1
+    moved = re.findall(r"Exchange hashpartitioning.*\n.*?(\[.*)", plan.executedPlan().toString())
+    assert moved and not any(re.search(r"\b(unit|low|text)#", m) for m in moved)
+
+
 def test_directions(spark):
     rows = {"BD经理": "sales", "Senior Developer": "engineering", "算法工程师": "algorithm", "UX lead": "design", "luxury": "unknown", "": "unknown", None: "unknown", "产品经理（运营）": "operations"}
     df = spark.createDataFrame([(k,) for k in rows], "title string")

@@ -113,7 +113,7 @@ e2 AS (SELECT * EXCLUDE (part), CASE WHEN status = 'matched' THEN 100.0 ELSE par
 def posting_scores(t: Tables) -> DataFrame:
     """From text to score: skills, requirements, evaluation against the words of the document's last line, quick score."""
     none = lambda kind: F.lit(None).cast(kind)
-    words = F.array_distinct(X.ascii_tokens(F.element_at(F.split("text", "\n", -1), -1)))
+    words = F.array_distinct(X.ascii_tokens(F.substring_index("text", "\n", -1)))
     have = t.documents.select("doc_id", F.struct(words.alias("skills"), none("string").alias("direction"), none("int").alias("level"), none("double").alias("years")).alias("have"))
     rows = _asked(t).withColumns({"level": none("int"), "minimum": none("double")}).join(have, "doc_id")
     known = Q.evaluated(rows, F.col("have")).withColumn("deduction", F.when(F.col("type") == "must_have_skill", 6.0).otherwise(0.0))

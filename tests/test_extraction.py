@@ -4,10 +4,13 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import extraction as K
 from quarry.operators import matching as Q
+from quarry.plans import registry
 
 
 def pattern(w):
@@ -140,6 +143,28 @@ def test_requirements_read_a_text_once_and_shuffle_no_texts(spark):
     assert moved and not any(re.search(r"\b(unit|low|text)#", m) for m in moved)
 
 
+def test_posting_scores_shuffle_no_texts(spark):
+    plan = registry.QUERIES["posting_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "split(text" not in plan  # the last line is taken without cutting the others
+
+
+@pytest.mark.parametrize("name", ["asked_requirements", "posting_scores"])
+def test_odd_postings_equal_sql(spark, tmp_path, name):
+    rng = random.Random(8)
+    words = ["distributed", "Systems", "PROGRAMMING", "teaching", "subsystems", "要求", "必须", "了解", "NICE  to have", "preferred", "must-have", "任意两门", "等语言", "或", "/", "至少 2 种", "-", "•", "x"]
+    texts = [None, "", "\n", "systems", "systems\n", "\r\n;；", "- systems/teaching -\u2028;\nteaching", "a\nsystems 或 teaching\nb\n\nsystems\nTeaching SYSTEMS"]
+    texts += ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\r\n", "；", "。", ";"]) for _ in range(rng.randint(1, 60))) for _ in range(120)]
+    con = duckdb.connect()
+    for table, rows in (("documents", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), ("benchmark", spark.createDataFrame([(0, "Distributed systems, programming & teaching")], "item_id long, text string"))):
+        rows.write.parquet(f"{tmp_path}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    got = registry.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({registry.ORACLES[name]})").fetchall()
+    plain = lambda rows: Counter(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in rows)
+    assert len(want) > 50 and plain(got.collect()) == plain(want)
+
+
 def test_directions(spark):
     rows = {"BD经理": "sales", "Senior Developer": "engineering", "算法工程师": "algorithm", "UX lead": "design", "luxury": "unknown", "": "unknown", None: "unknown", "产品经理（运营）": "operations"}
     df = spark.createDataFrame([(k,) for k in rows], "title string")

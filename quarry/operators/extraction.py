@@ -3,7 +3,8 @@
 A lexicon of any size is one automaton of all its wordings (Aho-Corasick): a text is read once, whatever the number of
 terms. The automaton is sent once and run over Arrow batches; only what it finds is shuffled, as (text, line, term) rows
 that are few and need no order. Requirements are told by units of a text: where a text is read, its units that are a skill's
-evidence are told and their cues read; they alone, without their words, meet the listed skills.
+evidence are told and their cues read; they alone, without their words, meet the listed skills. A lexicon may come in
+parts, each an automaton of its own: results are those of the whole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.postings import has
+from .storage import stored
 
 # Skills, their further wordings, and words of requirements.
 SKILLS = tuple("""
@@ -200,7 +203,7 @@ def _number(text: Column) -> Column:
     return F.coalesce(digits.try_cast("int"), F.lit(1))
 
 
-def requirements(docs: DataFrame, key: str, text: str, listed: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+def requirements(docs: DataFrame, key: str, text: str, listed: DataFrame, *parts: Lexicon) -> DataFrame:
     """What each text asks of the skills listed for it: a row for each type and skill.
 
     docs(key, text) with unique keys, listed(key, skill, type, importance) as `skills` gives it. The evidence of a skill is the
@@ -208,8 +211,7 @@ def requirements(docs: DataFrame, key: str, text: str, listed: DataFrame, lexico
     context_skill) and whether it is critical; a unit that offers alternatives makes those of its listed skills one group:
     relation (ALL_OF, ANY_OF, AT_LEAST_N), at_least, members. A skill without evidence keeps the listed type, alone.
     """
-    lexicon = lexicon or skill_lexicon()
-    told = evidence(docs, key, text, lexicon).withColumn("low", F.lower("unit"))
+    told = evidence(docs, key, text, *(parts or (skill_lexicon(),))).withColumn("low", F.lower("unit"))
     unit, low = F.col("unit"), F.col("low")
     number = F.when(has(low, *CUES[AT_LEAST]), F.regexp_extract(unit, AT_LEAST, 1)).otherwise("")
     cues = told.select(
@@ -242,12 +244,29 @@ def requirements(docs: DataFrame, key: str, text: str, listed: DataFrame, lexico
     )
 
 
-def evidence(docs: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+def evidence(docs: DataFrame, key: str, text: str, *parts: Lexicon) -> DataFrame:
     """key, unit_no, unit, skills, offered: the units of each text that are the evidence of terms, which `skills` names.
 
     A term's evidence is the first unit that has its name, else the first that has a word of it, anywhere in it; `offered` are
-    the terms that the unit has as `spans` finds them.
+    the terms that the unit has as `spans` finds them, of all parts of the lexicon (a term is in one part, a key in one row).
     """
+    found = [_evidence(docs, key, text, lexicon) for lexicon in parts]
+    if len(found) == 1:
+        return found[0]
+    # A unit that is the evidence of one part's terms has terms of the others as well: they are looked for in all units told.
+    at = [key, "unit_no"]
+    told = stored(_all(found).groupBy(*at).agg(F.first("unit").alias("unit"), F.flatten(F.collect_list("skills")).alias("skills")), "evidence")
+    terms = _all([spans(told, at, "unit", lexicon, longest=False).select(*at, "term") for lexicon in parts])
+    offered = terms.groupBy(*at).agg(F.sort_array(F.collect_set("term")).alias("offered"))
+    return told.join(offered, at, "left").select(*at, "unit", "skills", F.coalesce("offered", F.array().cast("array<string>")).alias("offered"))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
+
+
+def _evidence(docs: DataFrame, key: str, text: str, lexicon: Lexicon) -> DataFrame:
+    """evidence() of one part of a lexicon, with the terms of that part."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

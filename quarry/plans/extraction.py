@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ MOST = 100_000
 
 
 def lexicons(t: Tables, letters: int = LETTERS) -> list[K.Lexicon]:
-    """The words of the benchmark items, in lexicons of a bounded size."""
+    """The words of the benchmark items, in lexicons of a bounded size (parts of one: no result depends on how many)."""
     words = t.benchmark.select(F.explode(X.ascii_tokens(F.col("text"))).alias("w")).where(F.length("w") >= letters).distinct()
     blocks = max(1, -(-words.count() // MOST))
     dealt = words.withColumn("block", F.pmod(F.xxhash64("w"), F.lit(blocks)))
@@ -86,12 +88,9 @@ asked AS (SELECT doc_id, skill, CASE WHEN pref THEN 'preferred_skill' WHEN ctx A
 
 
 def _asked(t: Tables) -> DataFrame:
-    out = None
-    for lexicon in lexicons(t):
-        listed = stored(_listed(t, lexicon), "listed")
-        some = K.requirements(t.documents, "doc_id", "text", listed, lexicon)
-        out = some if out is None else out.unionByName(some)
-    return out
+    parts = lexicons(t)
+    listed = [stored(_listed(t, lexicon), "listed") for lexicon in parts]
+    return K.requirements(t.documents, "doc_id", "text", reduce(DataFrame.unionByName, listed), *parts)
 
 
 @query(_ASKED + " SELECT doc_id, skill, type, importance, relation, len(wanted)::INTEGER AS members, unit_no::INTEGER AS unit_no FROM asked")

@@ -18,7 +18,8 @@ results are exact, ties included.
 Spark cuts the documents into shards where they are read, writes the counts, adds up documents
 and lengths, builds a treap in each shard, and searches every shard for a block of items; the
 k best of each shard and item meet in a window. A shard's size is bounded in documents and in
-postings, and items come in blocks, so no task grows with the corpus.
+postings, and items come in blocks, so no task grows with the corpus; it holds one shard at a
+time, however many it reads or writes.
 
 Edge cases: a null text has no terms and doesn't count as a document; rows that repeat a
 doc_id are documents of their own; documents without an id are last among equal scores;
@@ -43,9 +44,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch
+from ..operators.storage import batches_of
+from .common import scratch, stored
 
 SHARD_DOCS, SHARD_POSTINGS = 1 << 14, 1 << 20
+#: Bytes of shards that a writer gathers before it writes them, and texts that a task's worker gets at once. Of shards it gets one at a time.
+GROUP_BYTES, TEXTS = 8 << 20, 256
 BLOCK_ITEMS = 1024
 K = 10
 #: Ranges halved at a time.
@@ -327,12 +331,15 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: int = S
     """The index of `docs` (doc_id, text), written to the shared folder."""
     spark = docs.sparkSession
 
-    def written(frame: DataFrame, name: str) -> DataFrame:
+    def written(frame: DataFrame, name: str, rows: int) -> DataFrame:
         path = scratch(spark, name)
-        frame.write.option("compression", "zstd").parquet(path)
+        # A row is a shard, of megabytes: the writer looks at its buffer's size after each row, not after 100.
+        out = frame.write.options(**{"compression": "zstd", "parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1})
+        with batches_of(spark, rows):
+            out.parquet(path)
         return spark.read.schema(frame.schema).parquet(path)
 
-    counted = written(count_terms(docs, shard_docs, shard_postings), "term-counts")
+    counted = written(count_terms(docs, shard_docs, shard_postings), "term-counts", TEXTS)
     sums = counted.agg(F.sum(F.size("doc_ids")).alias("documents"), F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda s, x: s + x)).alias("total")).first()
     documents, total = sums["documents"] or 0, sums["total"] or 0
 
@@ -352,7 +359,7 @@ def build(docs: DataFrame, shard_docs: int = SHARD_DOCS, shard_postings: int = S
                     names=["shard", "doc_ids", "terms", "dfs", "height", "levels", "masks", "drops", "places"],
                 )
 
-    return Index(written(counted.mapInArrow(run, _INDEX), "treaps"), documents, total)
+    return Index(written(counted.mapInArrow(run, _INDEX), "treaps", 1), documents, total)
 
 
 def _answer(index: Index, items: list[tuple], k: int) -> DataFrame:
@@ -372,7 +379,8 @@ def _answer(index: Index, items: list[tuple], k: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), pa.array(total[met], pa.int64())], names=["term", "df"])
 
     # At most one row for each term of the block reaches the driver.
-    counts = index.shards.select("terms", "dfs").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+    with batches_of(spark, 1):
+        counts = index.shards.select("terms", "dfs").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
     weights = {terms[r["term"]]: w for r in counts if (w := weight(index.documents, r["df"]))}
     queries = [[(t, weights[t]) for t in a if t in weights] for a in asked]
     queries_sent = spark.sparkContext.broadcast(queries)
@@ -408,7 +416,8 @@ def _answer(index: Index, items: list[tuple], k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("number").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last()))
     names = spark.createDataFrame([(i, item_id) for i, (item_id, _) in enumerate(items)], "number int, item_id long")
     best = each.withColumn("rank", rank).where(F.col("rank") <= k)
-    return best.join(F.broadcast(names), "number").select("item_id", "rank", "doc_id", "score")
+    with batches_of(spark, 1):
+        return stored(best.join(F.broadcast(names), "number").select("item_id", "rank", "doc_id", "score"), "best")
 
 
 def search(index: Index, items: DataFrame, k: int = K, block_items: int = BLOCK_ITEMS) -> DataFrame:
